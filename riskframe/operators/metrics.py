@@ -106,13 +106,19 @@ def ranking_metrics(thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _with_totals(thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Class totals of the group on every threshold row, as `_p` and `_n`."""
+    sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
+    if not by:
+        total = thresholds.agg(*sums).first()
+        return thresholds.select("*", F.lit(total["_p"]).alias("_p"), F.lit(total["_n"]).alias("_n"))
+    totals = thresholds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*sums)
+    return thresholds.join(totals, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+
+
 def roc_curve(thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, collinear points kept."""
-    totals = thresholds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
-    return thresholds.join(totals, on).select(
+    return _with_totals(thresholds, by).select(
         *by,
         "threshold",
         F.try_divide(F.col("cum_neg").cast("double"), F.col("_n")).alias("fpr"),
@@ -122,9 +128,7 @@ def roc_curve(thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pr_curve(thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, precision, recall) per distinct score."""
-    totals = thresholds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("pos").alias("_p"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
-    return thresholds.join(totals, on).select(
+    return _with_totals(thresholds, by).select(
         *by,
         "threshold",
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
