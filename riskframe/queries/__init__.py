@@ -1,0 +1,6 @@
+"""All registered queries and their SQL twins."""
+
+from riskframe.queries import preprocessing, projection  # noqa: F401
+from riskframe.queries.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
