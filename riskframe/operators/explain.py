@@ -453,9 +453,18 @@ def beeswarm(contributions: DataFrame, encoded: DataFrame, id_col: str, k: int)
 
 
 def uncertain_samples(
-    scored: DataFrame, id_col: str, n: int, ids: Sequence | None = None, score: str = "probability"
+    scored: DataFrame,
+    id_col: str,
+    n: int,
+    ids: DataFrame | Sequence | None = None,
+    score: str = "probability",
 ) -> DataFrame:
-    """The given rows, or the n whose probability is nearest one half."""
+    """The n rows whose probability is nearest one half, or the rows with the given ids.
+
+    Ids come as a short list or as a table with the id column.
+    """
+    if isinstance(ids, DataFrame):
+        return scored.join(ids.select(id_col), id_col, "left_semi")
     if ids:
         return scored.filter(F.col(id_col).isin(list(ids)))
     return scored.orderBy(F.abs(F.col(score) - 0.5), id_col).limit(n)

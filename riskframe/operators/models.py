@@ -290,7 +290,8 @@ def predict(model, df: DataFrame) -> DataFrame:
     """The given columns plus `prediction` (int) and `probability` of the positive class."""
     scored = model.transform(df)
     if "probability" in scored.columns:
-        probability = vector_to_array("probability")[1]
+        plain = scored.schema["probability"].dataType.typeName() == "double"
+        probability = F.col("probability") if plain else vector_to_array("probability")[1]
     elif "rawPrediction" in scored.columns:
         probability = fx.sigmoid(vector_to_array("rawPrediction")[1])
     else:

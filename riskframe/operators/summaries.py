@@ -40,7 +40,8 @@ def search_summary(df: DataFrame, by: Sequence[str] = ("candidate",), group: Seq
     s = df.groupBy(*group, *by).agg(
         F.avg("score").alias("mean_test_score"), F.stddev_pop("score").alias("std_test_score")
     )
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("mean_test_score"))
+    # means that differ by summation order only are one rank
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.round("mean_test_score", 12).desc())
     return s.withColumn("rank", F.rank().over(w))
 
 
@@ -57,14 +58,10 @@ def best_candidates(search: DataFrame, max_rank: int = 1) -> DataFrame:
 
 def best_per_metric(df: DataFrame) -> DataFrame:
     """Best model of every metric; the first name wins a tie."""
-    order = F.struct(F.col("score"), F.col("model"))
-    top = df.groupBy("metric").agg(F.max("score").alias("score"))
-    # max_by over (score, name) would prefer the last name, so the smallest name at the maximum
-    return (
-        df.join(top, ["metric", "score"])
-        .groupBy("metric", "score")
-        .agg(F.min(order).getField("model").alias("model"))
-        .select("metric", "model", "score")
+    best = F.min(F.struct((-F.col("score")).alias("negated"), F.col("model")))
+    top = df.groupBy("metric").agg(best.alias("best"))
+    return top.select(
+        "metric", F.col("best.model").alias("model"), (-F.col("best.negated")).alias("score")
     )
 
 

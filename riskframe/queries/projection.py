@@ -267,10 +267,10 @@ def sample_rows(spark, sf):
 
 @query(
     "percent_display",
-    with_scores("SELECT model, round(CASE WHEN probability > 1 THEN probability ELSE probability * 100 END, 6) AS shown FROM scores"),
+    with_scores("SELECT model, CASE WHEN probability > 1 THEN probability ELSE probability * 100 END AS shown FROM scores"),
 )
 def percent_display(spark, sf):
-    return scores(spark, sf).select("model", F.round(fx.percent_display("probability"), 6).alias("shown"))
+    return scores(spark, sf).select("model", fx.percent_display("probability").alias("shown"))
 
 
 @query(
