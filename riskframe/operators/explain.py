@@ -217,43 +217,52 @@ def _leaf_contributions(x: np.ndarray, leaf: dict) -> Iterator[tuple[int, np.nda
         yield feats[i], leaf["value"] * (hits[i] - shares[i]) * total
 
 
-def tree_contributions(model, df: DataFrame, id_col: str) -> tuple[DataFrame, float]:
-    """((id, feature, impact), base) of a tree ensemble, path-dependent (Lundberg et al. 2018).
+def tree_impacts(final) -> tuple[F.Column, float]:
+    """(expression over `features` giving one contribution per transformed feature, base).
 
-    The leaves travel to the tasks; rows are only mapped, never shuffled. Features a row's trees
-    never use have no entry.
+    Path-dependent contributions (Lundberg et al. 2018). The leaves travel to the tasks and rows are
+    only mapped, never shuffled.
     """
-    stages = getattr(model, "stages", [model])
-    final = stages[-1]
-    ready = PipelineModel(stages[:-1]).transform(df) if len(stages) > 1 else df
-    names = feature_names(model, final.numFeatures)
     leaves, base = tree_leaves(final)
-    used = sorted({f for leaf in leaves for f in leaf["path"]})
-    position = {f: i for i, f in enumerate(used)}
+    width = final.numFeatures
+
+    @F.pandas_udf("array<double>")
+    def impacts(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_numpy())
+        out = np.zeros((len(x), width))
+        for leaf in leaves:
+            for f, impact in _leaf_contributions(x, leaf):
+                out[:, f] += impact
+        return pd.Series(list(out))
+
+    return impacts(vector_to_array("features")), base
+
+
+def linear_impacts(final, ready_background: DataFrame) -> tuple[F.Column, float]:
+    """The same for a linear margin: coefficient * (x - background mean)."""
+    width = final.numFeatures
+    coef = [float(c) for c in final.coefficients]
+    x = vector_to_array("features")
+    row = ready_background.agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(width)]).first()
+    means = [row[f"m{i}"] for i in range(width)]
+    base = final.intercept + sum(c * m for c, m in zip(coef, means))
+    centred = F.zip_with(x, F.lit(means), lambda v, m: v - m)
+    return F.zip_with(centred, F.lit(coef), lambda v, c: v * c), base
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            out = np.zeros((len(x), len(used)))
-            for leaf in leaves:
-                for f, impact in _leaf_contributions(x, leaf):
-                    out[:, position[f]] += impact
-            yield pd.DataFrame({"id": pdf["id"], "impacts": list(out)})
-
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField("id", id_type), T.StructField("impacts", T.ArrayType(T.DoubleType()))]
-    )
-    rows = ready.select(F.col(id_col).alias("id"), vector_to_array("features").alias("x"))
-    labels = F.array(*[F.lit(names[f]) for f in used])
-    long = (
-        rows.mapInPandas(explain, schema)
-        .select(F.col("id").alias(id_col), F.posexplode("impacts").alias("pos", "impact"))
-        .select(id_col, F.element_at(labels, F.col("pos") + 1).alias("feature"), "impact")
-    )
-    return long, base
+
+def long_form(rows: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
+    """(id, feature, impact) from an `impacts` array in the order of `names`."""
+    labels = F.array(*[F.lit(n) for n in names])
+    exploded = rows.select(id_col, F.posexplode("impacts").alias("pos", "impact"))
+    return exploded.select(id_col, F.element_at(labels, F.col("pos") + 1).alias("feature"), "impact")
+
+
+def tree_contributions(model, df: DataFrame, id_col: str) -> tuple[DataFrame, float]:
+    """((id, feature, impact), base) of a tree ensemble."""
+    rows, names, base = row_impacts(model, df, None, id_col)
+    return long_form(rows, id_col, names), base
 
 
 def coalitions(n_features: int, nsamples: int, seed: int) -> np.ndarray:
@@ -297,7 +306,7 @@ def kernel_weights(masks: np.ndarray, sampled: bool) -> tuple[np.ndarray, np.nda
     return a, b
 
 
-def kernel_contributions(
+def kernel_impacts(
     score,
     df: DataFrame,
     background: DataFrame,
@@ -307,7 +316,9 @@ def kernel_contributions(
     nsamples: int = 100,
     seed: int = 42,
 ) -> tuple[DataFrame, float]:
-    """((id, feature, impact), base) of any model, by weighted coalitions (Lundberg & Lee 2017).
+    """((id, impacts in the order of `features`), base) of any model, by weighted coalitions.
+
+    After Lundberg & Lee (2017).
 
     `score` adds `probability` to a table of raw features. Every row meets every coalition and
     background row in one exploded table that is scored in one job and averaged per coalition; the
@@ -352,16 +363,18 @@ def kernel_contributions(
     weighted = values.select(
         id_col, "_v", F.posexplode(F.element_at(table, F.col("_c") + 1)).alias("_j", "_w")
     )
-    long = (
-        weighted.groupBy(id_col, "_j")
-        .agg(F.sum(F.col("_v") * F.col("_w")).alias("impact"))
-        .select(
-            id_col,
-            F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_j") + 1).alias("feature"),
-            "impact",
-        )
-    )
-    return long, base
+    sums = weighted.groupBy(id_col, "_j").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"))
+    ordered = F.array_sort(F.collect_list(F.struct("_j", "_s")))
+    rows = sums.groupBy(id_col).agg(F.transform(ordered, lambda e: e["_s"]).alias("impacts"))
+    return rows, base
+
+
+def kernel_contributions(
+    score, df: DataFrame, background: DataFrame, id_col: str, features: Sequence[str], **options
+) -> tuple[DataFrame, float]:
+    """((id, feature, impact), base) of any model."""
+    rows, base = kernel_impacts(score, df, background, id_col, features, **options)
+    return long_form(rows, id_col, features), base
 
 
 def base_value(scored_background: DataFrame, score: str = "probability") -> DataFrame:
@@ -380,32 +393,38 @@ def choose_explainer(model) -> str:
     return "kernel"
 
 
-def explain_rows(
-    model, df: DataFrame, background: DataFrame, id_col: str, features: Sequence[str], **options
-) -> tuple[DataFrame, float]:
-    """Contributions by the explainer that fits the model.
+def row_impacts(
+    model, df: DataFrame, background: DataFrame | None, id_col: str, features: Sequence[str] = (), **options
+) -> tuple[DataFrame, list[str], float]:
+    """(rows with an `impacts` array, the names of its entries, base) by the fitting explainer.
 
     Linear and boosted models are explained in margin units, forests and all others in probability.
+    Trees and linear models are mapped over the rows, which keep all columns of `df`; the kernel
+    method returns the id and the impacts.
     """
     kind = choose_explainer(model)
+    if kind == "kernel":
+        rows, base = kernel_impacts(
+            lambda t: predict(model, t), df, background, id_col, features, **options
+        )
+        return rows, list(features), base
+    stages = getattr(model, "stages", [model])
+    final, prepare = stages[-1], PipelineModel(list(stages[:-1]))
+    names = feature_names(model, final.numFeatures)
     if kind == "tree":
-        return tree_contributions(model, df, id_col)
-    if kind == "linear":
-        stages = model.stages
-        ready = PipelineModel(stages[:-1])
-        names = feature_names(model, stages[-1].numFeatures)
-        coef = dict(zip(names, (float(c) for c in stages[-1].coefficients)))
-
-        def columns(t):
-            x = vector_to_array("features")
-            return ready.transform(t).select(id_col, *[x[i].alias(n) for i, n in enumerate(names)])
-
-        means = column_means(columns(background), names)
-        base = stages[-1].intercept + sum(coef[n] * means[n] for n in names)
-        return linear_contributions(columns(df), id_col, coef, means), base
-    return kernel_contributions(
-        lambda t: predict(model, t), df, background, id_col, features, **options
-    )
+        impacts, base = tree_impacts(final)
+    else:
+        impacts, base = linear_impacts(final, prepare.transform(background))
+    rows = prepare.transform(df).withColumn("impacts", impacts)
+    return rows.select(*df.columns, "features", "impacts"), names, base
+
+
+def explain_rows(
+    model, df: DataFrame, background: DataFrame, id_col: str, features: Sequence[str], **options
+) -> tuple[DataFrame, float]:
+    """((id, feature, impact), base) by the explainer that fits the model."""
+    rows, names, base = row_impacts(model, df, background, id_col, features, **options)
+    return long_form(rows, id_col, names), base
 
 
 # ---- roll-ups and audits -----------------------------------------------------------------------
@@ -429,6 +448,22 @@ def top_contributions(aggregated: DataFrame, id_col: str, k: int = 8) -> DataFra
     )
 
 
+def roll_up(names: Sequence[str], raw_names: dict[str, str], impacts: str = "impacts"):
+    """Array of (feature, impact) per raw feature from an `impacts` array, within the row."""
+    positions: dict[str, list[int]] = {}
+    for i, n in enumerate(names):
+        positions.setdefault(raw_names.get(n, n), []).append(i)
+    return F.array(
+        *[
+            F.struct(
+                F.lit(raw).alias("feature"),
+                sum((F.col(impacts)[i] for i in at[1:]), F.col(impacts)[at[0]]).alias("impact"),
+            )
+            for raw, at in positions.items()
+        ]
+    )
+
+
 def global_summary(contributions: DataFrame) -> DataFrame:
     """Mean |impact| per feature, largest first."""
     return (
@@ -449,7 +484,8 @@ def beeswarm(contributions: DataFrame, encoded: DataFrame, id_col: str, k: int)
     values = encoded.select(id_col, F.explode(F.array(*entries)).alias("e")).select(
         id_col, "e.feature", "e.value"
     )
-    return contributions.join(values, [id_col, "feature"])
+    shown = contributions.filter(F.col("feature").isin(present))
+    return shown.join(values, [id_col, "feature"])
 
 
 def uncertain_samples(

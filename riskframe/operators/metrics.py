@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions import safe_ratio
 from riskframe.operators.ranking import dist_cumsum
+from riskframe.session import local_if_small
 
 
 def confusion_matrix(
@@ -112,7 +113,7 @@ def _with_totals(thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
     if not by:
         total = thresholds.agg(*sums).first()
         return thresholds.select("*", F.lit(total["_p"]).alias("_p"), F.lit(total["_n"]).alias("_n"))
-    totals = thresholds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*sums)
+    totals = local_if_small(thresholds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*sums))
     return thresholds.join(totals, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
 
 

@@ -30,7 +30,7 @@ from riskframe import functions as fx
 from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
-from riskframe.session import scratch_path
+from riskframe.session import scratch_path, spread
 from riskframe.spec import RANDOM_SEED, FeatureSpec
 
 TREE_MODELS = ("xgboost", "lightgbm", "catboost", "random_forest")
@@ -276,6 +276,8 @@ def fit_model(
         ready = grown.select("label", array_to_vector("x").alias("features"))
     else:
         ready = ready.select("label", "features")
+    if not resample:
+        ready = spread(ready)  # training passes over it many times
     ready = ready.persist()
     try:
         fitted = classifier.fit(ready)

@@ -93,9 +93,11 @@ def _close_pairs(q: np.ndarray, b: np.ndarray, k: int, p: int):
     return np.nonzero(rough <= kth + 2 * slack)
 
 
-def _k_nearest(queries: np.ndarray, points: np.ndarray, k: int, p: int, block: int = 256):
+def _k_nearest(queries: np.ndarray, points: np.ndarray, k: int, p: int):
     """Arrays (query row, base row, distance), k per query, nearest first, ties by base row."""
     k = min(k, len(points))
+    # even if all distances tie, a block's differences stay within 256 MB
+    block = max(1, min(256, 2**25 // points.size))
     parts = []
     for start in range(0, len(queries), block):
         q = queries[start : start + block]
@@ -114,7 +116,7 @@ def _nearest_in_chunk(k: int, p: int):
 
     def nearest(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
-            return pd.DataFrame({"qkey": [], "distance": [], "neighbor": []})
+            return pd.DataFrame({"qkey": [], "distance": [], "neighbor": [], "payload": []})
         base = base.sort_values("bid", kind="stable")
         qi, bi, dist = _k_nearest(
             np.stack(queries["qv"].to_numpy()), np.stack(base["bv"].to_numpy()), k, p
@@ -124,13 +126,14 @@ def _nearest_in_chunk(k: int, p: int):
                 "qkey": queries["qkey"].to_numpy()[qi],
                 "distance": dist,
                 "neighbor": base["bid"].to_numpy()[bi],
+                "payload": base["bp"].to_numpy()[bi],
             }
         )
 
     return nearest
 
 
-def _nearest_in_memory(ids: np.ndarray, points: np.ndarray, k: int, p: int):
+def _nearest_in_memory(ids: np.ndarray, points: np.ndarray, payload: np.ndarray, k: int, p: int):
     """Search a small base carried by the task itself; base rows in id order."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,6 +147,7 @@ def _nearest_in_memory(ids: np.ndarray, points: np.ndarray, k: int, p: int):
                     "qid": pdf["qid"].to_numpy(),
                     "distance": list(dist.reshape(-1, kk)),
                     "neighbor": list(ids[bi].reshape(-1, kk)),
+                    "payload": list(payload[bi].reshape(-1, kk)),
                 }
             )
 
@@ -167,8 +171,11 @@ def nearest_lists(
     exclude_self: bool = False,
     chunk_rows: int = CHUNK_ROWS,
     small_rows: int = 16_384,
+    payload: str | None = None,
 ) -> DataFrame:
-    """(query_id, neighbors): array of (distance, neighbor), nearest first, ties by smaller id.
+    """(query_id, neighbors): array of (distance, neighbor, payload), nearest first, ties by id.
+
+    `payload` is a number of the base row to bring along, such as its label.
 
     A base of at most `small_rows` rows (checked, and bounded in bytes) is searched in place by the
     query tasks; a larger one goes through cells and chunks.
@@ -180,7 +187,11 @@ def nearest_lists(
     # of equal base points only the kk smallest ids can be neighbours
     same = Window.partitionBy("bkey").orderBy("bid")
     b = (
-        base.select(F.col(base_id).alias("bid"), F.col(base_vec).cast(vec).alias("bv"))
+        base.select(
+            F.col(base_id).alias("bid"),
+            F.col(base_vec).cast(vec).alias("bv"),
+            (F.col(payload).cast("double") if payload else F.lit(0.0)).alias("bp"),
+        )
         .withColumn("bkey", F.md5(F.col("bv").cast("string")))
         .withColumn("rn", F.row_number().over(same))
         .filter(F.col("rn") <= kk)
@@ -188,7 +199,13 @@ def nearest_lists(
     )
     id_type = b.schema["bid"].dataType
     list_type = T.ArrayType(
-        T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("neighbor", id_type)])
+        T.StructType(
+            [
+                T.StructField("distance", T.DoubleType()),
+                T.StructField("neighbor", id_type),
+                T.StructField("payload", T.DoubleType()),
+            ]
+        )
     )
     spark = base.sparkSession
     parallel = max(
@@ -209,15 +226,16 @@ def nearest_lists(
                 T.StructField("qid", q.schema["qid"].dataType),
                 T.StructField("distance", T.ArrayType(T.DoubleType())),
                 T.StructField("neighbor", T.ArrayType(id_type)),
+                T.StructField("payload", T.ArrayType(T.DoubleType())),
             ]
         )
-        ids = some["bid"].to_numpy()
+        ids, carried = some["bid"].to_numpy(), some["bp"].to_numpy()
         points = np.array(some["bv"].to_pylist(), dtype=float)
         lists = (
             q.select("qid", "qv")
             .repartition(parallel, "qid")
-            .mapInPandas(_nearest_in_memory(ids, points, kk, p), schema)
-            .withColumn("found", F.arrays_zip("distance", "neighbor"))
+            .mapInPandas(_nearest_in_memory(ids, points, carried, kk, p), schema)
+            .withColumn("found", F.arrays_zip("distance", "neighbor", "payload"))
         )
         return lists.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
 
@@ -226,7 +244,7 @@ def nearest_lists(
     chosen = b.orderBy(F.md5(F.col("bid").cast("string")), "bid").limit(n_pivots)
     pivots = np.array([r["bv"] for r in chosen.collect()], dtype=float)
     assigned = stage_table(
-        b.withColumn("a", _assign(pivots, p)("bv")).select("bid", "bv", "a.cell", "a.d"), "knn-cells"
+        b.withColumn("a", _assign(pivots, p)("bv")).select("bid", "bv", "bp", "a.cell", "a.d"), "knn-cells"
     )
     by_distance = Window.partitionBy("cell").orderBy("d")
     kth = (
@@ -274,6 +292,7 @@ def nearest_lists(
             T.StructField("qkey", T.StringType()),
             T.StructField("distance", T.DoubleType()),
             T.StructField("neighbor", id_type),
+            T.StructField("payload", T.DoubleType()),
         ]
     )
     # chunk pairs are few bytes but much arithmetic, so their tasks are not left to size-based merging
@@ -282,7 +301,7 @@ def nearest_lists(
         left.select(*keys, "qkey", "qv")
         .repartition(tasks, *keys)
         .groupBy(*keys)
-        .cogroup(right.select(*keys, "bid", "bv").repartition(tasks, *keys).groupBy(*keys))
+        .cogroup(right.select(*keys, "bid", "bv", "bp").repartition(tasks, *keys).groupBy(*keys))
         .applyInPandas(_nearest_in_chunk(kk, p), schema)
     )
     best = Window.partitionBy("qkey").orderBy("distance", "neighbor")
@@ -290,7 +309,7 @@ def nearest_lists(
         partial.withColumn("rn", F.row_number().over(best))
         .filter(F.col("rn") <= kk)
         .groupBy("qkey")
-        .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "payload"))).alias("found"))
     )
     return (
         q.select("qid", "qkey")
@@ -320,15 +339,24 @@ def knn_vote(
 ) -> DataFrame:
     """(query_id, probability): share of positive neighbours, plain or weighted by 1/distance.
 
-    With distance weights, neighbours at distance 0 outvote all others.
+    With distance weights, neighbours at distance 0 outvote all others. The labels come along with
+    the neighbours, so the vote is arithmetic on the row's own list.
     """
-    query_id, base_id = columns["query_id"], columns["base_id"]
-    pairs = knn_join(queries, base, k, **columns)
-    labels = base.select(F.col(base_id).alias("neighbor"), F.col(label).cast("double").alias("_y"))
-    d = F.col("distance")
+    lists = nearest_lists(queries, base, k, payload=label, **columns)
+    n = F.col("neighbors")
+
+    def total(items, value):
+        return F.aggregate(items, F.lit(0.0), lambda acc, s: acc + value(s))
+
+    def share(items):
+        return F.try_divide(total(items, lambda s: s["payload"]), F.size(items).cast("double"))
+
     if weights == "uniform":
-        vote = F.avg("_y")
+        vote = share(n)
     else:
-        at_zero = F.avg(F.when(d == 0, F.col("_y")))
-        vote = F.coalesce(at_zero, F.sum(F.col("_y") / d) / F.sum(1.0 / d))
-    return pairs.join(labels, "neighbor").groupBy(query_id).agg(vote.alias("probability"))
+        exact = F.filter(n, lambda s: s["distance"] == 0)
+        near = total(n, lambda s: s["payload"] / s["distance"])
+        vote = F.when(F.size(exact) > 0, share(exact)).otherwise(
+            F.try_divide(near, total(n, lambda s: 1.0 / s["distance"]))
+        )
+    return lists.select(columns["query_id"], vote.alias("probability"))

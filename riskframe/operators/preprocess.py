@@ -1,8 +1,8 @@
 """Imputation with missing flags, scaling and one-hot encoding.
 
-`fit` reads the table three times: moments and null counts of all numeric columns in one aggregate,
-exact medians, and one count per (column, value) of the categorical columns that yields the mode, the
-flags and the category lists together. What it keeps is a few numbers per column. `transform` is a
+`fit` reads the table three times: moments, null counts and rank sketches of all numeric columns in
+one aggregate, exact medians, and one count per (column, value) of the categorical columns that
+yields the mode, the flags and the category lists together. What it keeps is a few numbers per column. `transform` is a
 single projection with those numbers as literals: no join, no shuffle, any table size.
 """
 
@@ -18,7 +18,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from riskframe.operators.ranking import exact_quantiles
+from riskframe.operators.ranking import exact_quantiles, sketch_aggregates
 from riskframe.session import collect_bounded
 
 # Categories become columns, so their number per table is bounded; beyond it use `one_hot_long`.
@@ -70,21 +70,17 @@ def fit_numeric(df: DataFrame, columns, approx: bool = False) -> list[dict]:
     columns = list(columns)
     if not columns:
         return []
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = [F.count(F.lit(1)).alias("rows"), *sketch_aggregates(columns)]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [
-            F.count(c).alias(f"n_{i}"),
-            F.avg(x).alias(f"mean_{i}"),
-            F.var_pop(x).alias(f"var_{i}"),
-        ]
+        aggs += [F.avg(x).alias(f"mean_{i}"), F.var_pop(x).alias(f"var_{i}")]
         if approx:
             aggs.append(F.percentile_approx(x, 0.5, 10_000).alias(f"med_{i}"))
     s = df.agg(*aggs).first()
     medians = (
         {c: s[f"med_{i}"] for i, c in enumerate(columns)}
         if approx
-        else {c: q[0] for c, q in exact_quantiles(df, columns).items()}
+        else {c: q[0] for c, q in exact_quantiles(df, columns, sketch=s).items()}
     )
     rows, out = s["rows"], []
     for i, c in enumerate(columns):

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskframe.session import stage_table
+from riskframe.session import local_if_small, stage_table
 
 # Below this many rows one window bucket is small enough for a single task.
 BUCKET_ROWS = 200_000
@@ -25,7 +25,10 @@ SKETCH_ACCURACY = 10_000
 
 
 def _with_offsets(df: DataFrame, by: Sequence[str], bucket: str, totals: dict[str, F.Column]):
-    """Join per (by, bucket) the sum of `totals` over all earlier buckets, as `_before_<name>`."""
+    """Join per (by, bucket) the sum of `totals` over all earlier buckets, as `_before_<name>`.
+
+    The sums are one row per group and bucket; only if groups are very many does the join shuffle.
+    """
     keys = [*by, bucket]
     renamed = [f"_k{i}" for i in range(len(keys))]
     per_bucket = df.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(
@@ -38,7 +41,7 @@ def _with_offsets(df: DataFrame, by: Sequence[str], bucket: str, totals: dict[st
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals],
     )
     on = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)]
-    return df.join(offsets, on).drop(*renamed)
+    return df.join(local_if_small(offsets), on).drop(*renamed)
 
 
 def dist_rank(df: DataFrame, key: str, rank_col: str, by: Sequence[str] = (), hex_digits: int = 3):
@@ -91,11 +94,27 @@ def dist_cumsum(
     )
 
 
+def _marks(probs: Sequence[float]) -> list[float]:
+    """Probabilities of the bracket ends, the ranks the sketch is asked for."""
+    return sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
+
+
+def sketch_aggregates(columns: Sequence[str], probs: Sequence[float] = (0.5,)) -> list:
+    """The aggregates behind `exact_quantiles`, for a caller that has a pass over the table anyway."""
+    marks = _marks(probs)
+    counts = [F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]
+    return counts + [
+        F.percentile_approx(F.col(c).cast("double"), marks, SKETCH_ACCURACY).alias(f"q_{i}")
+        for i, c in enumerate(columns)
+    ]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float] = (0.5,),
     small_rows: int = 2_000_000,
+    sketch=None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear between the two middle ranks) of many columns at once.
 
@@ -106,14 +125,8 @@ def exact_quantiles(
     columns, probs = list(columns), list(probs)
     if not columns:
         return {}
-    marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
-    sketch = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[
-            F.percentile_approx(F.col(c).cast("double"), marks, SKETCH_ACCURACY).alias(f"q_{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
+    marks = _marks(probs)
+    sketch = sketch or df.agg(*sketch_aggregates(columns, probs)).first()
     counts = [sketch[f"n_{i}"] for i in range(len(columns))]
     if max(counts) <= small_rows:
         row = df.agg(

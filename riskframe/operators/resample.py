@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskframe import functions as fx
 from riskframe.operators.neighbors import nearest_lists
-from riskframe.operators.split import _cut_keys
+from riskframe.operators.split import cut_keys
+from riskframe.session import stage_table
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +32,7 @@ def smote(
     drawn from the (seed, id, copy) hash.
     """
     array = T.ArrayType(T.DoubleType())
-    rows = df.select(id_col, label, F.col(vec).cast(array).alias(vec))
+    rows = stage_table(df.select(id_col, label, F.col(vec).cast(array).alias(vec)), "smote")
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
     if len(sizes) > max_classes:
         raise ValueError(f"{label} has more than {max_classes} classes")
@@ -53,7 +54,7 @@ def smote(
         copies = F.lit(base_copies)
         if extra:
             keyed = members.select(label, key.alias("_key"))
-            cut = _cut_keys(keyed, label, "_key", [str(extra)])[0]["cut_key"]
+            cut = cut_keys(keyed, label, "_key", [str(extra)])[0]["cut_key"]
             copies = copies + F.when(key <= cut, 1).otherwise(0)
         planned = (
             lists.withColumn("_copies", copies)

@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe import functions as fx
 from riskframe.operators.ranking import dist_rank
-from riskframe.session import collect_bounded
+from riskframe.session import local_if_small
 
 PREFIX_DIGITS = 4
 # More classes than this are no longer literals in a plan; they take the ranked join instead.
 MAX_CLASSES = 1_000
 
 
-def _cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list:
+def cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list | None:
     """Per class the md5 key at each of the given ranks (SQL over `n`, the class size).
 
-    Rank 0 means "before every row" and gives no row here.
+    Rank 0 means "before every row" and gives no row here. None if there are too many classes.
     """
     counts = df.groupBy(label, F.substring(key, 1, PREFIX_DIGITS).alias("prefix")).agg(
         F.count(F.lit(1)).alias("c")
@@ -48,11 +48,12 @@ def _cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list:
             (F.col("r.rank") - F.col("before")).alias("offset"),
         )
     )
-    bounded = df.sparkSession.createDataFrame(
-        collect_bounded(cuts, MAX_CLASSES * max(1, len(rank_sql))), cuts.schema
-    )
+    limit = MAX_CLASSES * max(1, len(rank_sql))
+    few = local_if_small(cuts, limit)
+    if few is cuts:
+        return None
     near = df.select(label, key).join(
-        bounded,
+        few,
         F.col(label).eqNullSafe(F.col("class")) & (F.substring(key, 1, PREFIX_DIGITS) == F.col("prefix")),
     )
     inside = Window.partitionBy("class", "cut").orderBy(key)
@@ -64,10 +65,6 @@ def _cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list:
     )
 
 
-def _many_classes(df: DataFrame, label: str) -> bool:
-    return df.select(label).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES
-
-
 def _position(df: DataFrame, label: str, id_col: str, seed) -> DataFrame:
     """`_rank` in hash order and `_n`, the class size, for any number of classes."""
     ranked = dist_rank(
@@ -81,15 +78,14 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add `is_test`: round(test_size * n) rows of every class, chosen by hash order."""
-    target = f"floor(n * {test_size} + 0.5D)"
-    if _many_classes(df, label):
-        p = _position(df, label, id_col, seed)
-        return p.withColumn(
-            "is_test", F.col("_rank") <= F.floor(F.col("_n") * test_size + 0.5)
-        ).drop("_rank", "_n")
     keyed = df.withColumn("_key", fx.hash_key(seed, id_col))
+    cuts = cut_keys(keyed, label, "_key", [f"floor(n * {test_size} + 0.5D)"])
+    if cuts is None:
+        p = _position(df, label, id_col, seed)
+        is_test = F.col("_rank") <= F.floor(F.col("_n") * test_size + 0.5)
+        return p.withColumn("is_test", is_test).drop("_rank", "_n")
     test = F.lit(False)
-    for r in _cut_keys(keyed, label, "_key", [target]):
+    for r in cuts:
         test = test | (F.col(label).eqNullSafe(F.lit(r["class"])) & (F.col("_key") <= r["cut_key"]))
     return keyed.withColumn("is_test", test).drop("_key")
 
@@ -108,14 +104,15 @@ def stratified_folds(
     df: DataFrame, label: str, id_col: str, k: int = 10, seed: int = 42, fold_col: str = "fold"
 ) -> DataFrame:
     """Add a fold 0..k-1; within a class the fold sizes differ by at most one row."""
-    if _many_classes(df, label):
+    keyed = df.withColumn("_key", fx.hash_key(seed, id_col))
+    # fold j starts after ceil(j * n / k) rows
+    found = cut_keys(keyed, label, "_key", [f"ceil(n * {j} / {k})" for j in range(1, k)])
+    if found is None:
         p = _position(df, label, id_col, seed)
         fold = F.floor((F.col("_rank") - 1) * k / F.col("_n")).cast("int")
         return p.withColumn(fold_col, fold).drop("_rank", "_n")
-    keyed = df.withColumn("_key", fx.hash_key(seed, id_col))
-    # fold j starts after ceil(j * n / k) rows
     cuts: dict = {}
-    for r in _cut_keys(keyed, label, "_key", [f"ceil(n * {j} / {k})" for j in range(1, k)]):
+    for r in found:
         cuts.setdefault(r["class"], []).append(r["cut_key"])
     fold = F.lit(None).cast("int")
     for value, keys in cuts.items():

@@ -9,16 +9,19 @@ from riskframe.sources.tables import read_many, write_csv
 from riskframe.spec import GENDER_CODES, HEART_SPEC, FeatureSpec
 
 
-def canonical(raw: DataFrame, spec: FeatureSpec = HEART_SPEC, start: int = 20000, extra=()) -> DataFrame:
+def canonical(
+    raw: DataFrame, spec: FeatureSpec = HEART_SPEC, start: int = 20000, extra=(), order=None
+) -> DataFrame:
     """Rename, binarise the label, keep the registry's columns, number the rows.
 
-    Codes become whole numbers. `extra` columns, such as the centre, are kept at the end.
+    Codes become whole numbers. `extra` columns, such as the centre, are kept at the end. `order`
+    names the columns that identify a row for numbering, where there are any.
     """
     df = P.binarize_label(P.rename_map(raw), spec.label)
     kept = [F.col(c).cast("double") for c in spec.numeric]
     kept += [F.col(c).cast("int") for c in spec.categorical]
     df = df.select(*kept, spec.label, *extra)
-    return P.add_surrogate_id(df, spec.id, start, if_absent=False)
+    return P.add_surrogate_id(df, spec.id, start, order, if_absent=False)
 
 
 def combine_registries(

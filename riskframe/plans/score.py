@@ -68,20 +68,25 @@ def explain_records(
     """Per record: prediction, probability, base value, contributions by transformed and by raw
     feature, and the strongest raw features."""
     records, background = normalize_records(records), normalize_records(background)
-    scored = predict(model, records.select(spec.id, *spec.features)).select(
-        spec.id, "prediction", "probability"
+    wanted = records.select(spec.id, *spec.features)
+    rows, names, base = X.row_impacts(
+        model, wanted, background, spec.id, spec.features, **options
     )
-    long, base = X.explain_rows(model, records, background, spec.id, spec.features, **options)
-    pairs = F.collect_list(F.struct("feature", "impact"))
-    by_name = long.groupBy(spec.id).agg(
-        F.map_from_entries(F.array_sort(pairs)).alias("contributions")
-    )
-    rolled = X.top_contributions(
-        X.aggregate_contributions(long, spec.id, raw_names(model)), spec.id, top_k
-    ).withColumnRenamed("contributions", "aggregated")
-    return (
-        scored.withColumn("base_value", F.lit(base))
-        .withColumn("risk", fx.risk_label("prediction"))
-        .join(by_name, spec.id, "left")
-        .join(rolled, spec.id, "left")
+    if "features" in rows.columns:
+        # trees and linear models: the classifier's own output on the same row, no join
+        scored = predict(model.stages[-1], rows).select(
+            spec.id, "impacts", "prediction", "probability"
+        )
+    else:
+        scored = predict(model, wanted).select(spec.id, "prediction", "probability").join(rows, spec.id)
+    labels = F.array(*[F.lit(n) for n in names])
+    return scored.withColumn("parts", X.roll_up(names, raw_names(model))).select(
+        spec.id,
+        "prediction",
+        "probability",
+        F.lit(base).alias("base_value"),
+        fx.risk_label("prediction").alias("risk"),
+        F.map_from_arrays(labels, "impacts").alias("contributions"),
+        F.map_from_entries("parts").alias("aggregated"),
+        fx.top_by_magnitude("parts", top_k).alias("top_features"),
     )

@@ -17,7 +17,7 @@ from riskframe.operators import explain as X, metrics as M, summaries as S
 from riskframe.operators.models import fit_model, make_classifier, predict
 from riskframe.operators.project import head
 from riskframe.operators.split import stratified_folds, stratified_split
-from riskframe.session import stage_table
+from riskframe.session import spread, stage_table
 from riskframe.sources.registry import save_model
 from riskframe.spec import CLINICAL_STANDARD, CV_METRICS, RANDOM_SEED, FeatureSpec
 
@@ -64,8 +64,10 @@ def cross_validate(
     if not candidates:
         raise ValueError("no candidates")
     folds = stage_table(
-        stratified_folds(
-            df.select(spec.id, *spec.features, spec.label), spec.label, spec.id, k, seed
+        spread(
+            stratified_folds(
+                df.select(spec.id, *spec.features, spec.label), spec.label, spec.id, k, seed
+            )
         ),
         "folds",
     )

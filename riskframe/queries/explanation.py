@@ -11,7 +11,7 @@ from riskframe.queries.modelling import RULE, RULE_SQL, SCORED, rule_model
 from riskframe.queries.preprocessing import IMPUTED, _z
 from riskframe.queries.registry import query
 from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, table, with_cases
-from riskframe.session import scratch_path, stage_table
+from riskframe.session import scratch_path, spread, stage_table
 from riskframe.sources.tables import write_contributions
 
 # ---- a linear margin over encoded features ----------------------------------------------------------
@@ -191,7 +191,7 @@ ADDITIVE = " UNION ALL ".join(
 @query("kernel_shap", with_cases("").rstrip() + f", background AS ({BACKGROUND}) {ADDITIVE}")
 def kernel_shap(spark, sf):
     """An additive rule, whose Shapley values are known in closed form."""
-    df = cases(spark, sf)
+    df = spread(cases(spark, sf))
     long, _ = X.kernel_contributions(
         lambda t: predict(rule_model(), t), df, df, "event_id", list(TERMS), max_background=10, nsamples=20
     )
@@ -209,7 +209,7 @@ def kernel_shap(spark, sf):
 )
 def explain_records_query(spark, sf):
     """Prediction, base value and the strongest features of every record, one row per feature."""
-    df = cases(spark, sf)
+    df = spread(cases(spark, sf))
     out = explain_records(rule_model(RULE), df, df, CASE_SPEC, max_background=10, nsamples=40)
     rows = out.select(
         "event_id", "prediction", "probability", "risk", "base_value", F.explode("top_features").alias("t")
@@ -256,7 +256,7 @@ def permutation_importance(spark, sf):
 
 
 def _boosted(spark, sf):
-    df = stage_table(cases(spark, sf), "cases")
+    df = stage_table(spread(cases(spark, sf)), "cases")
     return df, fit_model(df, CASE_SPEC, make_classifier("xgboost", maxIter=5, maxDepth=4))
 
 
@@ -274,7 +274,7 @@ def tree_shap(spark, sf):
 @query("tree_shap_adds_up", f"SELECT event_id, TRUE AS adds_up FROM ({CASES})")
 def tree_shap_adds_up(spark, sf):
     """Base value and contributions of a fitted forest sum to its probability on every row."""
-    df = stage_table(cases(spark, sf), "cases")
+    df = stage_table(spread(cases(spark, sf)), "cases")
     model = fit_model(df, CASE_SPEC, make_classifier("random_forest", numTrees=5, maxDepth=5))
     long, base = X.explain_rows(model, df, df, "event_id", CASE_SPEC.features)
     total = long.groupBy("event_id").agg((F.sum("impact") + F.lit(base)).alias("total"))

@@ -19,7 +19,7 @@ from riskframe.queries.evaluation import AP, AUC, BASIC, BASIC_NAMES, ROUNDED_BA
 from riskframe.queries.preprocessing import RANKED
 from riskframe.queries.registry import query
 from riskframe.queries.tables import CASE_SPEC, cases, rounded, with_cases
-from riskframe.session import scratch_path, stage_table
+from riskframe.session import scratch_path, spread, stage_table
 from riskframe.sources.registry import discover_models, load_model, save_model
 from riskframe.sources.tables import write_csv
 from riskframe.streaming.score_stream import read_record_stream, score_stream
@@ -29,7 +29,7 @@ from riskframe.streaming.score_stream import read_record_stream, score_stream
 
 def _fitted(name: str, encoding: str = "one_hot", resample: bool = False, **settings):
     def run(spark, sf):
-        df = stage_table(cases(spark, sf), "cases")
+        df = stage_table(spread(cases(spark, sf)), "cases")
         train, holdout = optional_split(df, "target", "event_id", 0.2)
         model = fit_model(train, CASE_SPEC, make_classifier(name, **settings), resample, encoding=encoding)
         return predict(model, holdout).select("event_id", "target", "prediction", "probability")
@@ -51,7 +51,7 @@ query("fit_logistic_with_smote")(_fitted("logistic", resample=True))
 @query("risk_model_holdout")
 def risk_model_holdout(spark, sf):
     """The smallest whole run: null profile, preprocessing, split, fit, score, one metrics row."""
-    df = stage_table(cases(spark, sf), "cases")
+    df = stage_table(spread(cases(spark, sf)), "cases")
     worst = Q.null_profile(df, CASE_SPEC.features).agg(F.max("null_pct")).first()[0]
     train, holdout = optional_split(df, "target", "event_id", 0.2)
     model = fit_model(train, CASE_SPEC, make_classifier("logistic"))
@@ -80,7 +80,7 @@ SMALL_SPACE = {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 5), "stepSize":
 
 
 def _searched(spark, sf):
-    df = stage_table(cases(spark, sf), "cases")
+    df = stage_table(spread(cases(spark, sf)), "cases")
     pool = V.sample_candidates("lightgbm", 2, space=SMALL_SPACE)
     return df, V.random_search(df, CASE_SPEC, pool, k=2)
 

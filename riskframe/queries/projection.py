@@ -344,5 +344,4 @@ def combine_registries_query(spark, sf):
     for part in (0, 1):
         IO.write_headerless(raw.filter(F.col("event_id") % 2 == part), f"{folder}/centre{part}.data")
     back = IO.read_many(spark, folder, ["centre0.data", "centre1.data"], schema)
-    out = canonical(back, spec, extra=["event_id"]).drop("patientid")
-    return P.add_surrogate_id(out, "patientid", 20000, order=["event_id"])
+    return canonical(back, spec, extra=["event_id"], order=["event_id"])

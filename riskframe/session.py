@@ -31,7 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/riskframe/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/riskframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application staged. Results that still read a staged table end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/riskframe/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -46,9 +55,28 @@ def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a table of fewer partitions than cores over all cores; larger tables stay as they are.
+
+    For plans without a shuffle of their own, ahead of work that is long per row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def collect_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
     """Collect a summary table, refusing one that outgrew its bound (never truncating it)."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"summary exceeds {limit} rows; it must stay a DataFrame")
     return rows
+
+
+def local_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """A summary as a local table when it has at most `limit` rows, else the summary itself.
+
+    Spark knows the size of a local table, so a join with it is broadcast; a summary that outgrew the
+    limit is joined by shuffle.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
