@@ -293,6 +293,8 @@ def kernel_weights(masks: np.ndarray, sampled: bool) -> tuple[np.ndarray, np.nda
     its matrix depends on the coalitions alone, so it is solved once and not per row.
     """
     n, m = masks.shape
+    if m == 1:  # a single feature takes everything
+        return np.zeros((1, 0)), np.ones(1)
     sizes = masks.sum(1)
     if sampled:
         w = np.ones(n)  # drawn in proportion to the kernel already
@@ -341,8 +343,14 @@ def kernel_impacts(
             for i, row in enumerate(every)
         ]
     )
+    # the rows are placed by id once, before they multiply; every grouping below is then local
+    spark = df.sparkSession
+    parallel = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     grid = (
         df.select(id_col, *features)
+        .repartition(parallel, id_col)
         .withColumn("_m", F.explode(mask_rows))
         .withColumn("_b", F.explode(filler))
     )
@@ -357,15 +365,20 @@ def kernel_impacts(
     base = score(sample).agg(F.avg("probability")).first()[0]
     values = score(mixed).groupBy(id_col, "_c").agg((F.avg("probability") - base).alias("_v"))
     a, b = kernel_weights(masks, sampled)
-    # one weight row per coalition; the last is the full coalition, the row's own output
+    # one column per coalition; the last is the full coalition, the row's own output
     weights = np.column_stack([a, b])
-    table = F.array(*[F.lit([float(x) for x in weights[:, c]]) for c in range(len(every))])
-    weighted = values.select(
-        id_col, "_v", F.posexplode(F.element_at(table, F.col("_c") + 1)).alias("_j", "_w")
+    per_row = values.groupBy(id_col).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_c", "_v"))), lambda e: e["_v"]
+        ).alias("_values")
     )
-    sums = weighted.groupBy(id_col, "_j").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"))
-    ordered = F.array_sort(F.collect_list(F.struct("_j", "_s")))
-    rows = sums.groupBy(id_col).agg(F.transform(ordered, lambda e: e["_s"]).alias("impacts"))
+    matrix = F.array(*[F.lit([float(x) for x in row]) for row in weights])
+
+    def dot(row):
+        products = F.zip_with(row, F.col("_values"), lambda w, v: w * v)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    rows = per_row.select(id_col, F.transform(matrix, dot).alias("impacts"))
     return rows, base
 
 

@@ -27,7 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe import functions as fx
-from riskframe.operators.neighbors import knn_vote
+from riskframe.operators.neighbors import SMALL_ROWS, in_memory_search, knn_vote, vote, zipped
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
 from riskframe.session import scratch_path, spread
@@ -158,20 +158,28 @@ class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     p = _p("p", "1 Manhattan, 2 Euclidean", TypeConverters.toInt)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        k, weights, p = (self.getOrDefault(n) for n in ("k", "weights", "p"))
         train = df.sparkSession.read.parquet(self.getOrDefault("trainPath"))
-        # equal feature vectors get equal votes, so the vector's hash is the join key
         x = vector_to_array("features")
-        keyed = df.withColumn("_key", F.md5(x.cast("string")))
-        queries = keyed.groupBy("_key").agg(F.any_value(x).alias("x"))
-        votes = knn_vote(
-            queries, train, "label", k=self.getOrDefault("k"), weights=self.getOrDefault("weights"),
-            query_id="_key", base_id="row", query_vec="x", base_vec="x", p=self.getOrDefault("p"),
-        ).withColumnRenamed("probability", "_vote")
+        base = train.select(F.col("row").alias("bid"), F.col("x").alias("bv"), F.col("label").alias("bp"))
+        search = in_memory_search(base, k, p, SMALL_ROWS)
+        if search is not None:
+            voted = df.withColumn("_s", search(x)).withColumn("_n", zipped("_s"))
+            voted = voted.withColumn("_vote", vote("_n", weights)).drop("_s", "_n")
+        else:
+            # equal feature vectors get equal votes, so the vector's hash is the join key
+            keyed = df.withColumn("_key", F.md5(x.cast("string")))
+            queries = keyed.groupBy("_key").agg(F.any_value(x).alias("x"))
+            votes = knn_vote(
+                queries, train, "label", k=k, weights=weights, p=p,
+                query_id="_key", base_id="row", query_vec="x", base_vec="x",
+            )
+            voted = keyed.join(votes.withColumnRenamed("probability", "_vote"), "_key").drop("_key")
+        probability = array_to_vector(F.array(1 - F.col("_vote"), F.col("_vote")))
         return (
-            keyed.join(votes, "_key")
-            .withColumn("probability", array_to_vector(F.array(1 - F.col("_vote"), F.col("_vote"))))
+            voted.withColumn("probability", probability)
             .withColumn("prediction", (F.col("_vote") > 0.5).cast("double"))
-            .drop("_key", "_vote")
+            .drop("_vote")
         )
 
 

@@ -1,11 +1,12 @@
 """Exact k-nearest-neighbour join without a cross join.
 
-Base points are assigned to their nearest pivot (a bounded sample). For a query, the pivots' radii
-and the triangle inequality give an upper bound of the k-th distance and so the cells that can hold a
-neighbour; every other cell is provably too far. Cells are hash-split into chunks of bounded size on
-both sides, each chunk pair keeps only its k best, and the partial lists are merged by window with a
-group limit. Equal points are collapsed before the search, so a point repeated a billion times costs
-k rows.
+Base points are assigned to the cell of their nearest pivot (a bounded sample). A query is searched
+in its own cell first; the k-th distance found there, the cells' radii and the planes between pivots
+then show which other cells can hold a nearer point, and only those are searched. Cells are hash-split
+into chunks of bounded size on both sides, each chunk pair keeps only its k best, and the partial lists
+are merged by a window with a group limit. Equal points are collapsed before the search, so a point
+repeated a billion times costs k rows. A base small enough to travel with the tasks is searched in
+place instead.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ CHUNK_ROWS = 4096
 MAX_PIVOTS = 2048
 # A base of at most this many numbers (32 MB) travels with the tasks instead of being shuffled.
 MEMORY_VALUES = 4_000_000
+SMALL_ROWS = 65_536
 # Slack on distance bounds, far above rounding error; pruning stays exact.
 SLACK = 1e-9
 
@@ -51,29 +53,40 @@ def _assign(pivots: np.ndarray, p: int):
     return assign
 
 
-def _candidates(pivots, p, k, cells, counts, radii, kth):
-    """Cells that can hold one of a query's k nearest, per Arrow batch."""
+def _other_cells(pivots, p, k, cells, counts, radii, kth):
+    """Cells other than the home cell that can hold a nearer neighbour, per Arrow batch.
+
+    `theta` is the k-th distance already found in the home cell, null if that cell has fewer points.
+    """
+    centres = pivots[cells]
+    apart = _distances(centres, centres, 2) if p == 2 else None
 
     @F.pandas_udf("array<int>")
-    def candidates(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in vectors:
-            if not len(v):
-                yield pd.Series([], dtype=object)
-                continue
-            dist = _distances(np.stack(v.to_numpy()), pivots[cells], p)
-            # k points lie within dist + kth of a cell that has k, or within the first cells' radii
-            bound = (dist + kth).min(1)
-            upper = dist + radii
-            order = upper.argsort(1)
+    def others(vectors: pd.Series, homes: pd.Series, theta: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        dist = _distances(np.stack(vectors.to_numpy()), centres, p)
+        # k points lie within dist + kth of a cell that has k, or within the radii of the first cells
+        bound = np.fmin(theta.to_numpy(dtype=float), (dist + kth).min(1))
+        upper = dist + radii
+        order = upper.argsort(1)
+        if counts.sum() >= k:
             enough = (counts[order].cumsum(1) >= k).argmax(1)
-            covered = counts.sum() >= k
-            if covered:
-                cover = np.take_along_axis(upper, order, 1)[np.arange(len(dist)), enough]
-                bound = np.minimum(bound, cover)
-            near = dist - radii <= bound[:, None] * (1 + SLACK) + SLACK
-            yield pd.Series([cells[row].astype("int32") for row in near])
-
-    return candidates
+            cover = np.take_along_axis(upper, order, 1)[np.arange(len(dist)), enough]
+            bound = np.fmin(bound, cover)
+        lower = dist - radii
+        home = np.searchsorted(cells, homes.to_numpy())
+        if apart is not None:
+            # points of a cell are on its pivot's side of the plane between two pivots
+            own = dist[np.arange(len(dist)), home][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (dist * dist - own * own) / (2 * apart[home])
+            lower = np.fmax(lower, plane)
+        near = lower <= bound[:, None] * (1 + SLACK) + SLACK
+        near[np.arange(len(near)), home] = False
+        return pd.Series([cells[row].astype("int32") for row in near])
+
+    return others
 
 
 def _close_pairs(q: np.ndarray, b: np.ndarray, k: int, p: int):
@@ -133,25 +146,101 @@ def _nearest_in_chunk(k: int, p: int):
     return nearest
 
 
-def _nearest_in_memory(ids: np.ndarray, points: np.ndarray, payload: np.ndarray, k: int, p: int):
-    """Search a small base carried by the task itself; base rows in id order."""
+def in_memory_search(base: DataFrame, k: int, p: int, small_rows: int):
+    """A search function for a base (bid, bv, bp) that is small enough to travel with the tasks.
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            qi, bi, dist = _k_nearest(np.stack(pdf["qv"].to_numpy()), points, k, p)
-            kk = min(k, len(points))
-            yield pd.DataFrame(
-                {
-                    "qid": pdf["qid"].to_numpy(),
-                    "distance": list(dist.reshape(-1, kk)),
-                    "neighbor": list(ids[bi].reshape(-1, kk)),
-                    "payload": list(payload[bi].reshape(-1, kk)),
-                }
-            )
+    It maps a vector column to a struct of arrays (distance, neighbor, payload). None if the base has
+    more rows, or more numbers, than a task may carry.
+    """
+    small_rows = max(1, min(small_rows, MEMORY_VALUES // max(1, _width(base, "bv"))))
+    rows = base.limit(small_rows + 1).toArrow()
+    if rows.num_rows > small_rows:
+        return None
+    rows = rows.sort_by("bid")
+    ids, payload = rows["bid"].to_numpy(), rows["bp"].to_numpy()
+    points = np.array(rows["bv"].to_pylist(), dtype=float)
+    id_type = base.schema["bid"].dataType.simpleString()
+    kk = min(k, len(points))
+
+    @F.pandas_udf(f"distance array<double>, neighbor array<{id_type}>, payload array<double>")
+    def search(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors) or not kk:
+            empty = [np.array([])] * len(vectors)
+            return pd.DataFrame({"distance": empty, "neighbor": empty, "payload": empty})
+        _, bi, dist = _k_nearest(np.stack(vectors.to_numpy()), points, kk, p)
+        return pd.DataFrame(
+            {
+                "distance": list(dist.reshape(-1, kk)),
+                "neighbor": list(ids[bi].reshape(-1, kk)),
+                "payload": list(payload[bi].reshape(-1, kk)),
+            }
+        )
 
-    return nearest
+    return search
+
+
+def zipped(found) -> F.Column:
+    """Array of (distance, neighbor, payload) from the struct of arrays of `in_memory_search`."""
+    column = F.col(found)
+    return F.arrays_zip(
+        column["distance"].alias("distance"),
+        column["neighbor"].alias("neighbor"),
+        column["payload"].alias("payload"),
+    )
+
+
+def _best(partial: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's partial results; the group limit also cuts before the shuffle."""
+    w = Window.partitionBy("qkey").orderBy("distance", "neighbor")
+    return partial.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+def _search_cells(
+    pairs: DataFrame,
+    assigned: DataFrame,
+    sizes: dict[int, int],
+    k: int,
+    p: int,
+    chunk_rows: int,
+    parallel: int,
+) -> DataFrame:
+    """Partial results of the given (query, cell) pairs: at most k per query and base chunk."""
+    wanted = {
+        r["cell"]: r["n"]
+        for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one per cell
+    }
+    base_chunks = {c: math.ceil(n / chunk_rows) for c, n in sizes.items()}
+    query_chunks = {c: math.ceil(wanted.get(c, 0) / chunk_rows) for c in sizes}
+
+    def lookup(table: dict[int, int]):
+        return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("cell"))
+
+    left = pairs.withColumn(
+        "qc", F.pmod(F.xxhash64("qkey"), lookup(query_chunks)).cast("int")
+    ).withColumn("bc", F.explode(F.sequence(F.lit(0), lookup(base_chunks) - 1)))
+    # cells nobody asks for are not read further
+    asked = assigned.filter(lookup(query_chunks) > 0)
+    right = asked.withColumn(
+        "bc", F.pmod(F.xxhash64("bid"), lookup(base_chunks)).cast("int")
+    ).withColumn("qc", F.explode(F.sequence(F.lit(0), lookup(query_chunks) - 1)))
+    keys = ["cell", "qc", "bc"]
+    schema = T.StructType(
+        [
+            T.StructField("qkey", T.StringType()),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("neighbor", assigned.schema["bid"].dataType),
+            T.StructField("payload", T.DoubleType()),
+        ]
+    )
+    # chunk pairs are few bytes but much arithmetic, so their tasks are not left to size-based merging
+    tasks = max(1, min(parallel, sum(base_chunks[c] * query_chunks[c] for c in sizes)))
+    return (
+        left.select(*keys, "qkey", "qv")
+        .repartition(tasks, *keys)
+        .groupBy(*keys)
+        .cogroup(right.select(*keys, "bid", "bv", "bp").repartition(tasks, *keys).groupBy(*keys))
+        .applyInPandas(_nearest_in_chunk(k, p), schema)
+    )
 
 
 def _width(df: DataFrame, vec: str) -> int:
@@ -170,7 +259,7 @@ def nearest_lists(
     p: int = 2,
     exclude_self: bool = False,
     chunk_rows: int = CHUNK_ROWS,
-    small_rows: int = 16_384,
+    small_rows: int = SMALL_ROWS,
     payload: str | None = None,
 ) -> DataFrame:
     """(query_id, neighbors): array of (distance, neighbor, payload), nearest first, ties by id.
@@ -211,32 +300,13 @@ def nearest_lists(
     parallel = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    # as many rows as a task may carry, and one more to see whether the base is larger
-    small_rows = max(1, min(small_rows, MEMORY_VALUES // max(1, _width(base, base_vec))))
-    some = b.limit(small_rows + 1).toArrow()
-    if some.num_rows == 0:
-        return q.select(F.col("qid").alias(query_id), F.array().cast(list_type).alias("neighbors"))
     found = F.col("found")
     if exclude_self:
         found = F.filter(found, lambda s: s["neighbor"] != F.col("qid"))
-    if some.num_rows <= small_rows:
-        some = some.sort_by("bid")
-        schema = T.StructType(
-            [
-                T.StructField("qid", q.schema["qid"].dataType),
-                T.StructField("distance", T.ArrayType(T.DoubleType())),
-                T.StructField("neighbor", T.ArrayType(id_type)),
-                T.StructField("payload", T.ArrayType(T.DoubleType())),
-            ]
-        )
-        ids, carried = some["bid"].to_numpy(), some["bp"].to_numpy()
-        points = np.array(some["bv"].to_pylist(), dtype=float)
-        lists = (
-            q.select("qid", "qv")
-            .repartition(parallel, "qid")
-            .mapInPandas(_nearest_in_memory(ids, points, carried, kk, p), schema)
-            .withColumn("found", F.arrays_zip("distance", "neighbor", "payload"))
-        )
+    search = in_memory_search(b, kk, p, small_rows)
+    if search is not None:
+        lists = q.select("qid", "qv").repartition(parallel, "qid").withColumn("_s", search("qv"))
+        lists = lists.select("qid", zipped("_s").cast(list_type).alias("found"))
         return lists.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
 
     n = base.count()
@@ -261,53 +331,35 @@ def nearest_lists(
     radii = np.array([r["radius"] for r in stats])
     kth_d = np.array([r["kth"] if r["rows"] >= kk else math.inf for r in stats])
 
-    # equal queries are searched once
+    # equal queries are searched once, first in their home cell, whose k-th distance then rules out
+    # most other cells
     distinct = q.groupBy("qkey").agg(F.any_value("qv").alias("qv"))
-    find = _candidates(pivots, p, kk, cells, counts, radii, kth_d)
-    searched = stage_table(distinct.withColumn("cells", find("qv")), "knn-queries")
-    per_cell = {
-        r["cell"]: r["n"]
-        for r in searched.select(F.explode("cells").alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    base_chunks = {int(c): math.ceil(m / chunk_rows) for c, m in zip(cells, counts)}
-    query_chunks = {int(c): math.ceil(per_cell.get(int(c), 1) / chunk_rows) for c in cells}
-
-    def lookup(table: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("cell"))
-
-    left = (
-        searched.select("qkey", "qv", F.explode("cells").alias("cell"))
-        .withColumn("qc", F.pmod(F.xxhash64("qkey"), lookup(query_chunks)).cast("int"))
-        .withColumn("bc", F.explode(F.sequence(F.lit(0), lookup(base_chunks) - 1)))
+    placed = stage_table(
+        distinct.withColumn("a", _assign(pivots, p)("qv")).select("qkey", "qv", F.col("a.cell").alias("home")),
+        "knn-queries",
     )
-    right = assigned.withColumn(
-        "bc", F.pmod(F.xxhash64("bid"), lookup(base_chunks)).cast("int")
-    ).withColumn("qc", F.explode(F.sequence(F.lit(0), lookup(query_chunks) - 1)))
-    keys = ["cell", "qc", "bc"]
-    schema = T.StructType(
-        [
-            T.StructField("qkey", T.StringType()),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("neighbor", id_type),
-            T.StructField("payload", T.DoubleType()),
-        ]
+    sizes = {int(c): int(m) for c, m in zip(cells, counts)}
+    options = dict(k=kk, p=p, chunk_rows=chunk_rows, parallel=parallel)
+    at_home = stage_table(
+        _best(_search_cells(placed.withColumnRenamed("home", "cell"), assigned, sizes, **options), kk),
+        "knn-home",
     )
-    # chunk pairs are few bytes but much arithmetic, so their tasks are not left to size-based merging
-    tasks = min(parallel, sum(base_chunks[c] * query_chunks[c] for c in base_chunks))
-    partial = (
-        left.select(*keys, "qkey", "qv")
-        .repartition(tasks, *keys)
-        .groupBy(*keys)
-        .cogroup(right.select(*keys, "bid", "bv", "bp").repartition(tasks, *keys).groupBy(*keys))
-        .applyInPandas(_nearest_in_chunk(kk, p), schema)
+    theta = at_home.groupBy("qkey").agg(
+        F.when(F.count(F.lit(1)) >= kk, F.max("distance")).alias("theta")
+    )
+    others = _other_cells(pivots, p, kk, cells, counts, radii, kth_d)
+    reach = stage_table(
+        placed.join(theta, "qkey", "left")
+        .withColumn("cells", others("qv", "home", "theta"))
+        .filter(F.size("cells") > 0)
+        .select("qkey", "qv", "cells"),
+        "knn-reach",
+    )
+    away = _search_cells(
+        reach.select("qkey", "qv", F.explode("cells").alias("cell")), assigned, sizes, **options
     )
-    best = Window.partitionBy("qkey").orderBy("distance", "neighbor")
     lists = (
-        partial.withColumn("rn", F.row_number().over(best))
-        .filter(F.col("rn") <= kk)
+        _best(at_home.unionByName(away), kk)
         .groupBy("qkey")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "payload"))).alias("found"))
     )
@@ -343,7 +395,12 @@ def knn_vote(
     the neighbours, so the vote is arithmetic on the row's own list.
     """
     lists = nearest_lists(queries, base, k, payload=label, **columns)
-    n = F.col("neighbors")
+    return lists.select(columns["query_id"], vote("neighbors", weights).alias("probability"))
+
+
+def vote(neighbors, weights: str) -> F.Column:
+    """Share of positive payloads in an array of (distance, neighbor, payload)."""
+    n = F.col(neighbors)
 
     def total(items, value):
         return F.aggregate(items, F.lit(0.0), lambda acc, s: acc + value(s))
@@ -352,11 +409,8 @@ def knn_vote(
         return F.try_divide(total(items, lambda s: s["payload"]), F.size(items).cast("double"))
 
     if weights == "uniform":
-        vote = share(n)
-    else:
-        exact = F.filter(n, lambda s: s["distance"] == 0)
-        near = total(n, lambda s: s["payload"] / s["distance"])
-        vote = F.when(F.size(exact) > 0, share(exact)).otherwise(
-            F.try_divide(near, total(n, lambda s: 1.0 / s["distance"]))
-        )
-    return lists.select(columns["query_id"], vote.alias("probability"))
+        return share(n)
+    exact = F.filter(n, lambda s: s["distance"] == 0)
+    near = total(n, lambda s: F.try_divide(s["payload"], s["distance"]))
+    mass = total(n, lambda s: F.try_divide(F.lit(1.0), s["distance"]))
+    return F.when(F.size(exact) > 0, share(exact)).otherwise(F.try_divide(near, mass))

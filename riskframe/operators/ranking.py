@@ -85,6 +85,7 @@ def dist_cumsum(
     cuts = sorted(set(signed.approxQuantile("_order", probs, 1 / (4 * buckets))))
     splits = [-math.inf, *cuts, math.inf]
     b = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(signed)
+    b = b.withColumn("_bucket", F.col("_bucket").cast("int"))
     b = _with_offsets(b, by, "_bucket", {c: F.sum(c) for c in columns})
     w = Window.partitionBy(*by, "_bucket").orderBy(direction)
     w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

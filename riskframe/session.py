@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Results that reach the driver are summaries; a summary above this many rows is refused.
 DRIVER_ROWS = 200_000
@@ -73,10 +73,12 @@ def collect_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
 
 
 def local_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """A summary as a local table when it has at most `limit` rows, else the summary itself.
+    """A summary as a broadcast local table when it has at most `limit` rows, else the summary itself.
 
-    Spark knows the size of a local table, so a join with it is broadcast; a summary that outgrew the
-    limit is joined by shuffle.
+    The row count is checked before the broadcast; a summary that outgrew the limit is joined by
+    shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -249,7 +249,7 @@ def test_distance_vote_prefers_exact_matches(spark):
     vote = knn_vote(query, base, "y", 3, "distance", query_id="q", base_id="id", query_vec="v", base_vec="v")
     out = {r["q"]: r["probability"] for r in vote.collect()}
     assert out[10] == 1.0
-    assert out[11] == pytest.approx(0.5 / 2.5)
+    assert out[11] == pytest.approx(0.5 / 2.5)  # distances 2, 1, 1
 
 
 def test_smote_balances_and_stays_on_segments(spark):

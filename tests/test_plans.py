@@ -27,13 +27,6 @@ def test_row_operators_do_not_shuffle(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, DATA))
 
 
-def test_no_cross_joins(spark):
-    fits = {n for n in QUERIES if n.startswith(("fit_", "cross_", "random_", "refit", "holdout_p", "risk", "tree", "model_i"))}
-    for name in sorted(set(QUERIES) - fits):
-        text = plan(QUERIES[name](spark, DATA))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-
-
 def test_scan_reads_only_the_columns_used(spark):
     text = plan(table(spark, DATA, "lineitem").transform(lambda d: M.basic_metrics(
         d.select((F.col("l_linestatus") == "O").cast("int").alias("label"), (F.col("l_tax") > 0.04).cast("int").alias("prediction"))
