@@ -30,7 +30,7 @@ from riskframe import functions as fx
 from riskframe.operators.neighbors import SMALL_ROWS, in_memory_search, knn_vote, vote, zipped
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
-from riskframe.session import scratch_path, spread
+from riskframe.session import scratch_path, sized_for_cores
 from riskframe.spec import RANDOM_SEED, FeatureSpec
 
 TREE_MODELS = ("xgboost", "lightgbm", "catboost", "random_forest")
@@ -284,13 +284,15 @@ def fit_model(
         ready = grown.select("label", array_to_vector("x").alias("features"))
     else:
         ready = ready.select("label", "features")
-    if not resample:
-        ready = spread(ready)  # training passes over it many times
-    ready = ready.persist()
+    first = ready.persist()
+    ready = sized_for_cores(first, first.count())
+    if ready is not first:
+        ready = ready.persist()
     try:
         fitted = classifier.fit(ready)
     finally:
         ready.unpersist()
+        first.unpersist()
     stages = list(prepare.stages) if isinstance(prepare, PipelineModel) else [prepare]
     stages += list(fitted.stages) if isinstance(fitted, PipelineModel) else [fitted]
     return PipelineModel(stages)

@@ -64,6 +64,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def sized_for_cores(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Give a small cached table one task per `rows_per_task` rows, at most one per core.
+
+    Iterative training runs a job per step, so on small tables the number of tasks is most of the cost.
+    Tables with enough rows and partitions for all cores stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    if rows >= rows_per_task * cores and have >= cores:
+        return df
+    want = max(1, min(cores, -(-rows // rows_per_task)))
+    return df.repartition(want) if want != have else df
+
+
 def collect_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
     """Collect a summary table, refusing one that outgrew its bound (never truncating it)."""
     rows = df.limit(limit + 1).collect()
