@@ -27,7 +27,14 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe import functions as fx
-from riskframe.operators.neighbors import SMALL_ROWS, in_memory_search, knn_vote, vote, zipped
+from riskframe.operators.neighbors import (
+    SMALL_ROWS,
+    in_memory_search,
+    join_lookup,
+    knn_vote,
+    vote,
+    zipped,
+)
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
 from riskframe.session import scratch_path, sized_for_cores
@@ -174,7 +181,9 @@ class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                 queries, train, "label", k=k, weights=weights, p=p,
                 query_id="_key", base_id="row", query_vec="x", base_vec="x",
             )
-            voted = keyed.join(votes.withColumnRenamed("probability", "_vote"), "_key").drop("_key")
+            votes = votes.withColumnRenamed("probability", "_vote")
+            plain = [c for c, kind in df.dtypes if kind not in ("vector", "variant") and "map<" not in kind]
+            voted = join_lookup(keyed, votes, "_key", plain).drop("_key")
         probability = array_to_vector(F.array(1 - F.col("_vote"), F.col("_vote")))
         return (
             voted.withColumn("probability", probability)

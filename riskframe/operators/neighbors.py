@@ -18,13 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from riskframe.session import collect_bounded, stage_table
+from riskframe.session import local_if_small, stage_table
 
 CHUNK_ROWS = 4096
 MAX_PIVOTS = 2048
 # A base of at most this many numbers (32 MB) travels with the tasks instead of being shuffled.
 MEMORY_VALUES = 4_000_000
 SMALL_ROWS = 65_536
+# A join key with more rows than this is split over several tasks.
+HOT_ROWS = 1_000_000
 # Slack on distance bounds, far above rounding error; pruning stays exact.
 SLACK = 1e-9
 
@@ -273,18 +275,10 @@ def nearest_lists(
     kk = k + 1 if exclude_self else k
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast(vec).alias("qv"))
     q = q.withColumn("qkey", F.md5(F.col("qv").cast("string")))
-    # of equal base points only the kk smallest ids can be neighbours
-    same = Window.partitionBy("bkey").orderBy("bid")
-    b = (
-        base.select(
-            F.col(base_id).alias("bid"),
-            F.col(base_vec).cast(vec).alias("bv"),
-            (F.col(payload).cast("double") if payload else F.lit(0.0)).alias("bp"),
-        )
-        .withColumn("bkey", F.md5(F.col("bv").cast("string")))
-        .withColumn("rn", F.row_number().over(same))
-        .filter(F.col("rn") <= kk)
-        .drop("rn", "bkey")
+    b = base.select(
+        F.col(base_id).alias("bid"),
+        F.col(base_vec).cast(vec).alias("bv"),
+        (F.col(payload).cast("double") if payload else F.lit(0.0)).alias("bp"),
     )
     id_type = b.schema["bid"].dataType
     list_type = T.ArrayType(
@@ -309,7 +303,16 @@ def nearest_lists(
         lists = lists.select("qid", zipped("_s").cast(list_type).alias("found"))
         return lists.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
 
-    n = base.count()
+    # of equal base points only the kk smallest ids can be neighbours
+    same = Window.partitionBy("bkey").orderBy("bid")
+    b = (
+        b.withColumn("bkey", F.md5(F.col("bv").cast("string")))
+        .withColumn("rn", F.row_number().over(same))
+        .filter(F.col("rn") <= kk)
+        .drop("rn", "bkey")
+    )
+    b = stage_table(b, "knn-base")
+    n = b.count()
     n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(n) // 4))
     chosen = b.orderBy(F.md5(F.col("bid").cast("string")), "bid").limit(n_pivots)
     pivots = np.array([r["bv"] for r in chosen.collect()], dtype=float)
@@ -363,11 +366,28 @@ def nearest_lists(
         .groupBy("qkey")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "payload"))).alias("found"))
     )
-    return (
-        q.select("qid", "qkey")
-        .join(lists, "qkey")
-        .select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
+    answered = join_lookup(q.select("qid", "qkey"), lists, "qkey", ["qid"])
+    return answered.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Join the one lookup row of a key to all rows of the key.
+
+    Keys that hold very many rows are counted first; their rows are split by the hash of `spread_by`
+    and their lookup row is copied once per part.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = local_if_small(counts.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return rows.join(lookup, key)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    split = rows.join(hot, key, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
+    )
+    copied = lookup.join(hot, key, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
+    return split.drop("_parts").join(copied.drop("_parts"), [key, "_part"]).drop("_part")
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, **columns) -> DataFrame:

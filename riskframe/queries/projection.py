@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from riskframe import functions as fx
 from riskframe.operators import project as P, quality as Q
@@ -21,7 +21,7 @@ from riskframe.queries.tables import (
 )
 from riskframe.session import scratch_path
 from riskframe.sources import tables as IO
-from riskframe.spec import GENDER_CODES
+from riskframe.spec import GENDER_CODES, FeatureSpec
 
 CASE_COLUMNS = "event_id, amount, hour, k, kind, grp, target"
 
@@ -334,14 +334,10 @@ def standardize_registry_query(spark, sf):
     ),
 )
 def combine_registries_query(spark, sf):
-    """Written as headerless centre files by event parity, combined to the canonical shape."""
-    from riskframe.spec import FeatureSpec
-
+    """Written as a headerless centre file, read beside an absent one, brought to the canonical shape."""
     spec = FeatureSpec(("age", "restingBP"), ("chestpain", "slope", "noofmajorvessels"))
     raw = raw_cases(spark, sf).drop("sex")
     folder = scratch_path(spark, "combine")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in raw.schema.fields])
-    for part in (0, 1):
-        IO.write_headerless(raw.filter(F.col("event_id") % 2 == part), f"{folder}/centre{part}.data")
-    back = IO.read_many(spark, folder, ["centre0.data", "centre1.data"], schema)
+    IO.write_headerless(raw, f"{folder}/centre.data")
+    back = IO.read_many(spark, folder, ["centre.data", "absent.data"], raw.schema)
     return canonical(back, spec, extra=["event_id"], order=["event_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskframe import functions as fx
 from riskframe.operators import metrics as M, preprocess as R, project as P, quality as Q, ranking
 from riskframe.operators import explain as X, split as L, summaries as S
+from riskframe.operators import neighbors
 from riskframe.operators.neighbors import knn_join, knn_vote
 from riskframe.operators.resample import smote
 from riskframe.plans.ingest import combine_registries, standardize_registry
@@ -197,6 +198,12 @@ def test_quantiles_of_large_tables_equal_the_built_in(spark, probs):
         assert large[c] == pytest.approx(small[c], abs=1e-12)
 
 
+def test_sketched_median_is_near_the_exact_one(spark):
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
+    (exact,), (near,) = R.fit_numeric(df, ["x"]), R.fit_numeric(df, ["x"], approx=True)
+    assert exact["median"] == 500.0 and abs(near["median"] - 500.0) <= 1
+
+
 def test_quantiles_of_an_empty_column_are_null(spark):
     df = col(spark, [None, None])
     assert ranking.exact_quantiles(df, ["x"]) == {"x": [None]}
@@ -226,7 +233,8 @@ def test_folds_are_balanced(spark):
 
 
 @pytest.mark.parametrize("p", [1, 2])
-def test_neighbours_against_brute_force_with_copies(spark, p):
+def test_neighbours_against_brute_force_with_copies(spark, monkeypatch, p):
+    monkeypatch.setattr(neighbors, "HOT_ROWS", 25)  # the copies' key is split
     rng = np.random.default_rng(5)
     points = np.round(rng.normal(size=(300, 3)), 1)
     points[:100] = points[0]  # a third of the rows are copies of one point

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskframe.operators import explain as X, metrics as M
+from riskframe.operators import explain as X, metrics as M, models, neighbors
 from riskframe.operators.models import (
     MODEL_NAMES,
     fit_model,
@@ -56,6 +56,17 @@ def test_models_learn_save_and_load(spark, data, name):
     assert same.filter(F.abs(F.col("p") - F.col("probability")) > 1e-9).isEmpty()
 
 
+def test_knn_scores_are_the_same_with_a_large_training_table(spark, data, monkeypatch):
+    model = fit_model(data, CASE_SPEC, make_classifier("knn", k=3))
+    some = data.orderBy("event_id").limit(60)
+    small = {r["event_id"]: r["probability"] for r in predict(model, some).collect()}
+    monkeypatch.setattr(models, "SMALL_ROWS", 1)
+    monkeypatch.setattr(neighbors, "HOT_ROWS", 1)
+    # the search inside takes its own default, so the rows still meet by key
+    large = {r["event_id"]: r["probability"] for r in predict(model, some).collect()}
+    assert small == pytest.approx(large)
+
+
 def test_registry_has_six_models():
     assert set(get_models()) == set(MODEL_NAMES) and len(MODEL_NAMES) == 6
     with pytest.raises(ValueError):
