@@ -14,24 +14,33 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskframe.session import local_if_small, stage_table
+from riskframe.session import collect_bounded, local_if_small, stage_table
 
 # Below this many rows one window bucket is small enough for a single task.
 BUCKET_ROWS = 200_000
 MAX_BUCKETS = 4096
+# A key with more copies than this is numbered in several parts.
+HOT_ROWS = 1_000_000
 # Half width of the rank bracket searched for an exact quantile, and the sketch accuracy behind it.
 BRACKET = 0.001
 SKETCH_ACCURACY = 10_000
 
 
-def _with_offsets(df: DataFrame, by: Sequence[str], bucket: str, totals: dict[str, F.Column]):
+def _with_offsets(
+    df: DataFrame,
+    by: Sequence[str],
+    bucket: str,
+    totals: dict[str, F.Column],
+    counted: DataFrame | None = None,
+):
     """Join per (by, bucket) the sum of `totals` over all earlier buckets, as `_before_<name>`.
 
     The sums are one row per group and bucket; only if groups are very many does the join shuffle.
     """
     keys = [*by, bucket]
     renamed = [f"_k{i}" for i in range(len(keys))]
-    per_bucket = df.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(
+    source = df if counted is None else counted
+    per_bucket = source.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(
         *[e.alias(f"_t_{n}") for n, e in totals.items()]
     )
     earlier = Window.partitionBy(*(renamed[:-1] or [F.lit(0)])).orderBy(renamed[-1])
@@ -48,10 +57,29 @@ def dist_rank(df: DataFrame, key: str, rank_col: str, by: Sequence[str] = (), he
     """Dense 1-based row number in the order of an md5 `key`, within `by`.
 
     md5 keys are uniform, so their first hex digits are equal-sized buckets and need no statistics.
+    Only copies, rows with the same key, can make a bucket large. They show in the bucket counts;
+    then the copies of such a key are numbered after all others, in parts of their own.
     """
     by = list(by)
     b = df.withColumn("_bucket", F.substring(key, 1, hex_digits))
-    b = _with_offsets(b, by, "_bucket", {"n": F.count(F.lit(1))})
+    counted = local_if_small(b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()  # 16^hex_digits at most
+    usual = sum(r["n"] for r in sizes) / 16**hex_digits
+    large = [r["_bucket"] for r in sizes if r["n"] > 4 * usual + HOT_ROWS]
+    copies = []
+    if large:
+        same = b.filter(F.col("_bucket").isin(large)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        copies = collect_bounded(same.filter(F.col("n") > HOT_ROWS))
+    if copies:
+        parts = math.ceil(max(r["n"] for r in copies) / HOT_ROWS)
+        # written once, so that a row keeps its part in every pass
+        b = stage_table(b.withColumn("_part", F.monotonically_increasing_id() % parts), "rank")
+        own = F.concat(F.lit("g"), F.col(key), F.lpad(F.col("_part").cast("string"), 12, "0"))
+        hot = F.col(key).isin([r[key] for r in copies])
+        b = b.withColumn("_bucket", F.when(hot, own).otherwise(F.col("_bucket"))).drop("_part")
+        b = _with_offsets(b, by, "_bucket", {"n": F.count(F.lit(1))})
+    else:
+        b = _with_offsets(b, by, "_bucket", {"n": F.sum("_n")}, counted)
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return b.withColumn(rank_col, F.row_number().over(inside) + F.col("_before_n")).drop(
         "_bucket", "_before_n"

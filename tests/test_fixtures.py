@@ -185,6 +185,16 @@ def test_rank_is_dense_within_groups(spark):
         assert g[1] == 1 and g[2] == g[3] == g[4]
 
 
+def test_ids_of_many_copies_are_dense_and_split(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HOT_ROWS", 50)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("v"))
+    out = P.add_surrogate_id(df, "pid", 1)
+    assert [tuple(r) for r in out.agg(F.min("pid"), F.max("pid"), F.countDistinct("pid")).collect()] == [(1, 3000, 3000)]
+    assert out.filter("v = -1").agg(F.min("pid")).first()[0] == 2001
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "lpad" in plan.lower()
+
+
 @pytest.mark.parametrize("probs", [[0.5], [0.0, 0.25, 0.9, 1.0]])
 def test_quantiles_of_large_tables_equal_the_built_in(spark, probs):
     rng = np.random.default_rng(3)
