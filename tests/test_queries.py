@@ -5,10 +5,9 @@ import math
 import pytest
 
 import __spark_entry__ as entry_points
+from riskframe.queries import ORACLE, QUERIES
 from tests.conftest import DATA
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
-
 
 def _plain(v):
     if isinstance(v, float):
@@ -37,7 +36,8 @@ def test_runs(name, spark):
 
 
 def test_every_twin_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
