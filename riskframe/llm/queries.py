@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from riskframe.llm.common import read_documents
 from riskframe.llm.language import language_table
 from riskframe.llm.line_dedup import line_table
 from riskframe.llm.mixing import mix_table
+from riskframe.llm.near_dups import near_duplicates
+from riskframe.llm.packing import pack
 from riskframe.llm.quality import judge
+from riskframe.llm.repeats import repeat_table
+from riskframe.llm.token_files import token_table
+from riskframe.llm.topk import search_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,11 +82,62 @@ def op1_mix_sources(spark, sf_dir):
     return mix_table(read_documents(spark, sf_dir))
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                             ELSE w END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT g, count(*) AS f FROM g GROUP BY g HAVING count(*) > 1),
+o AS (
+  SELECT g.doc_id, g.g, n.n, row_number() OVER (PARTITION BY g.doc_id ORDER BY f.f NULLS FIRST, g.g) AS pos
+  FROM g JOIN n USING (doc_id) LEFT JOIN f USING (g)),
+p AS (SELECT doc_id, g, n FROM o WHERE pos <= n - ceil(0.8 * n) + 1),
+c AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b USING (g)
+  WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (
+  SELECT a, b FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b AND x.g = y.g
+  GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS component FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op2_near_dups", NEAR_SQL)
+def op2_near_dups(spark, sf_dir):
+    return near_duplicates(read_documents(spark, sf_dir), size=2, percent=80).drop("own")
+
+
 @query("op3_language_id")
 def op3_language_id(spark, sf_dir):
     return language_table(read_documents(spark, sf_dir))
 
 
+TOP_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * v.c[i]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query("op4_top_k", TOP_SQL)
+def op4_top_k(spark, sf_dir):
+    return search_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark, sf_dir):
     judged = judge(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -87,6 +145,16 @@ def op5_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *counts, "base_failed", "kept", "rejected_by")
 
 
+@query("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return token_table(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return pack(read_documents(spark, sf_dir))
+
+
 LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -108,3 +176,8 @@ FROM k LEFT JOIN h USING (key) GROUP BY doc_id
 @query("op9_line_dedup", LINES_SQL)
 def op9_line_dedup(spark, sf_dir):
     return line_table(read_documents(spark, sf_dir))
+
+
+@query("op10_repeated_strings")
+def op10_repeated_strings(spark, sf_dir):
+    return repeat_table(read_documents(spark, sf_dir))
