@@ -6,6 +6,7 @@ import public_tokenizers
 
 from riskframe.llm.common import read_documents
 from riskframe.llm.language import language_table
+from riskframe.llm.language_model import score_table
 from riskframe.llm.line_dedup import line_table
 from riskframe.llm.mixing import mix_table
 from riskframe.llm.near_dups import near_duplicates
@@ -145,6 +146,11 @@ def op5_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *counts, "base_failed", "kept", "rejected_by")
 
 
+@query("op6_language_model")
+def op6_language_model(spark, sf_dir):
+    return score_table(read_documents(spark, sf_dir))
+
+
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return token_table(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
