@@ -170,7 +170,7 @@ def _shard(part: int, seq: int, kind: np.dtype, keys: list[int], nth: list[int],
     return pa.RecordBatch.from_arrays(arrays, names=list(row))
 
 
-def _write(path: str, end: int):
+def _write(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
         stop = encoder._bytes([end])
@@ -193,7 +193,7 @@ def _write(path: str, end: int):
                     nth.append(last[1])
                     runs.append(run + stop)
                     size += len(runs[-1]) // encoder.kind.itemsize
-                    if size >= SHARD_IDS:
+                    if size >= shard_ids:
                         yield _shard(part, seq, encoder.kind, keys, nth, runs)
                         keys, nth, runs, size, seq = [], [], [], 0, seq + 1
                 at = upto
@@ -203,12 +203,12 @@ def _write(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END) -> None:
+def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Write the shards of `docs` (doc_id, text) in ascending doc_id order to the folder `path`."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     t = t.repartitionByRange(*order).sortWithinPartitions(*order)
-    t.mapInArrow(_write(vocabulary, end), SCHEMA).write.option("compression", "zstd").parquet(path)
+    t.mapInArrow(_write(vocabulary, end, shard_ids), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
