@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from riskframe.spec import GENDER_FALSE, GENDER_TRUE, HIGH_RISK, LOW_RISK
 
@@ -32,15 +32,21 @@ def clean_text(c) -> Column:
 
 
 def normalize_gender(c) -> Column:
-    """Text or number to 1/0; another whole number is kept, anything else becomes null."""
+    """Text or number to 1/0; another whole number, also spelt 7.0, is kept, anything else becomes null."""
     g = clean_text(c)
     return (
         F.when(g.isin(*GENDER_TRUE), 1)
         .when(g.isin(*GENDER_FALSE), 0)
-        .otherwise(g.try_cast("int"))
+        .otherwise(whole_number(g))
     )
 
 
+def whole_number(c) -> Column:
+    """The whole number a text or number spells, with or without decimals, else null."""
+    d = as_col(c).try_cast("double")
+    return F.when(~F.isnan(d) & (d == F.floor(d)) & (F.abs(d) < 2**31), d.try_cast("int"))
+
+
 def gender_rejected(c) -> Column:
     return as_col(c).isNotNull() & normalize_gender(c).isNull()
 
@@ -52,8 +58,8 @@ def map_codes(c, codes: dict) -> Column:
 
 
 def binarize(c) -> Column:
-    """1 where the value is positive, else 0; null counts as 0."""
-    return F.when(as_col(c) > 0, 1).otherwise(0)
+    """1 where the value is positive, else 0; a missing value (null or NaN) counts as 0."""
+    return F.when(nan_to_null(as_col(c).cast("double")) > 0, 1).otherwise(0)
 
 
 def sigmoid(c) -> Column:
@@ -95,3 +101,9 @@ def top_by_magnitude(arr, k: int, field: str = "impact", tie: str = "feature") -
 
 def nan_to_null(c) -> Column:
     return F.when(~F.isnan(as_col(c)), as_col(c))
+
+
+def present(df, column: str) -> Column:
+    """The column with NaN as null, the one meaning of missing; other types are unchanged."""
+    real = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return nan_to_null(column) if real else F.col(column)

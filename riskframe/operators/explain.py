@@ -265,41 +265,59 @@ def tree_contributions(model, df: DataFrame, id_col: str) -> tuple[DataFrame, fl
     return long_form(rows, id_col, names), base
 
 
-def coalitions(n_features: int, nsamples: int, seed: int) -> np.ndarray:
-    """0/1 rows: all proper coalitions if they fit in `nsamples`, else a seeded paired sample."""
-    if n_features <= 1:
-        return np.zeros((0, n_features), dtype=int)
-    if 2**n_features - 2 <= nsamples:
-        every = itertools.product((0, 1), repeat=n_features)
-        return np.array([c for c in every if 0 < sum(c) < n_features])
-    rng = np.random.default_rng(seed)
-    sizes = np.arange(1, n_features)
-    mass = (n_features - 1) / (sizes * (n_features - sizes))
-    rows: dict[tuple, None] = {}
-    while len(rows) < nsamples:
-        size = rng.choice(sizes, p=mass / mass.sum())
-        row = np.zeros(n_features, dtype=int)
-        row[rng.choice(n_features, size, replace=False)] = 1
-        rows[tuple(row)] = None
-        if len(rows) < nsamples:
-            rows[tuple(1 - row)] = None
-    return np.array(list(rows))
-
-
-def kernel_weights(masks: np.ndarray, sampled: bool) -> tuple[np.ndarray, np.ndarray]:
+def coalitions(n_features: int, nsamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 rows and their weights in the least squares fit, at most `nsamples` rows.
+
+    Sizes are taken from the outside in (one feature or all but one first), where the kernel puts most of
+    its weight: while all coalitions of the next pair of sizes fit, they enter with their exact weight.
+    The other sizes are drawn with replacement, a coalition with its complement, in proportion to the
+    kernel; a coalition shares their remaining weight by the number of times it was drawn.
+    """
+    m = n_features
+    if m <= 1:
+        return np.zeros((0, m), dtype=int), np.zeros(0)
+    weight = {s: (m - 1) / (s * (m - s)) for s in range(1, m)}
+    rows: list[np.ndarray] = []
+    weights: list[float] = []
+    open_sizes = list(range(1, m))
+    for s in range(1, m // 2 + 1):
+        pair = sorted({s, m - s})
+        if len(rows) + len(pair) * math.comb(m, s) > nsamples:
+            break
+        for size in pair:
+            for chosen in itertools.combinations(range(m), size):
+                row = np.zeros(m, dtype=int)
+                row[list(chosen)] = 1
+                rows.append(row)
+                weights.append(weight[size] / math.comb(m, size))
+            open_sizes.remove(size)
+    left = nsamples - len(rows)
+    if open_sizes and left > 1:
+        rng = np.random.default_rng(seed)
+        mass = np.array([weight[s] for s in open_sizes])
+        drawn: dict[tuple, int] = {}
+        total = 0
+        # as many draws as rows are left; a repeated draw adds to its row's weight
+        for _ in range(left // 2):
+            row = np.zeros(m, dtype=int)
+            row[rng.choice(m, rng.choice(open_sizes, p=mass / mass.sum()), replace=False)] = 1
+            for r in (tuple(row), tuple(1 - row)):
+                drawn[r] = drawn.get(r, 0) + 1
+                total += 1
+        rows += [np.array(r) for r in drawn]
+        weights += [mass.sum() * n / total for n in drawn.values()]
+    return np.array(rows).reshape(-1, m), np.array(weights)
+
+
+def kernel_weights(masks: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linear map from coalition values to contributions: phi = a @ (v - v0) + b * (v1 - v0).
 
-    The kernel-weighted least squares fit constrained to sum to v1 - v0 is linear in the values and
-    its matrix depends on the coalitions alone, so it is solved once and not per row.
+    The weighted least squares fit constrained to sum to v1 - v0 is linear in the values and its matrix
+    depends on the coalitions alone, so it is solved once and not per row.
     """
-    n, m = masks.shape
+    m = masks.shape[1]
     if m == 1:  # a single feature takes everything
         return np.zeros((1, 0)), np.ones(1)
-    sizes = masks.sum(1)
-    if sampled:
-        w = np.ones(n)  # drawn in proportion to the kernel already
-    else:
-        w = np.array([(m - 1) / (math.comb(m, s) * s * (m - s)) for s in sizes])
     z = masks[:, :-1] - masks[:, -1:]
     solve = np.linalg.pinv(z.T @ (w[:, None] * z)) @ (z.T * w)
     a = np.vstack([solve, -solve.sum(0)])
@@ -334,8 +352,7 @@ def kernel_impacts(
     filler = F.array(
         *[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in held]
     )
-    masks = coalitions(len(features), nsamples, seed)
-    sampled = len(masks) != 2 ** len(features) - 2
+    masks, kernel = coalitions(len(features), nsamples, seed)
     every = np.vstack([masks, np.ones((1, len(features)), dtype=int)])
     mask_rows = F.array(
         *[
@@ -364,7 +381,7 @@ def kernel_impacts(
     )
     base = score(sample).agg(F.avg("probability")).first()[0]
     values = score(mixed).groupBy(id_col, "_c").agg((F.avg("probability") - base).alias("_v"))
-    a, b = kernel_weights(masks, sampled)
+    a, b = kernel_weights(masks, kernel)
     # one column per coalition; the last is the full coalition, the row's own output
     weights = np.column_stack([a, b])
     per_row = values.groupBy(id_col).agg(

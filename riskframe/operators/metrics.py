@@ -11,19 +11,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.functions import safe_ratio
+from riskframe.functions import nan_to_null, safe_ratio
 from riskframe.operators.ranking import dist_cumsum
 from riskframe.session import local_if_small
 
 
+def _class(column: str):
+    """The class in a label or prediction column; a missing one (null or NaN) is an error in every metric."""
+    known = nan_to_null(F.col(column).cast("double")).cast("int")
+    return F.coalesce(known, F.raise_error(F.lit(f"{column} is missing in a row")).cast("int"))
+
+
 def confusion_matrix(
     df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
     """(actual, predicted, n) over the sorted union of the labels, absent cells as 0."""
     by = list(by)
-    cells = df.groupBy(
-        *by, F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(*by, _class(label).alias("actual"), _class(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     # the labels of a group, few by nature, spread into all ordered pairs of its cells
     labels = cells.groupBy(*by).agg(
         F.array_sort(
@@ -42,7 +46,7 @@ def confusion_matrix(
 
 
 def _counts(label: str, prediction: str):
-    y, p = F.col(label) == 1, F.col(prediction) == 1
+    y, p = _class(label) == 1, _class(prediction) == 1
     count = lambda c: F.count(F.when(c, 1))
     return {
         "tp": count(y & p),
@@ -58,7 +62,7 @@ def basic_metrics(
     """accuracy, precision, recall, f1 of the positive class and n; 0 where undefined."""
     c = df.groupBy(*by).agg(
         *[e.alias(n) for n, e in _counts(label, prediction).items()],
-        F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
+        F.avg((_class(label) == _class(prediction)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n_samples"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -79,11 +83,14 @@ def threshold_table(
     by: Sequence[str] = (),
     bucket_rows: int | None = None,
 ) -> DataFrame:
-    """One row per (keys, distinct score): pos, neg and their running totals by falling score."""
-    y = F.col(label).cast("int")
-    s = F.col(score).cast("double") + 0.0  # -0.0 and 0.0 are one threshold
+    """One row per (keys, distinct score): pos, neg and their running totals by falling score.
+
+    Rows without a score (null or NaN) have no rank and are left out, whatever the size of the table.
+    """
+    y = _class(label)
+    s = nan_to_null(F.col(score).cast("double")) + 0.0  # -0.0 and 0.0 are one threshold
     distinct = (
-        df.filter(F.col(score).isNotNull())
+        df.filter(s.isNotNull())
         .groupBy(*by, s.alias("threshold"))
         .agg(
             F.count(F.when(y == 1, 1)).alias("pos"),
@@ -157,9 +164,9 @@ def classification_report(
 ) -> DataFrame:
     """Rows per class, then accuracy, macro avg and weighted avg; everything from the cell counts."""
     by = list(by)
-    cells = df.groupBy(
-        *by, F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(*by, _class(label).alias("y"), _class(prediction).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     sides = cells.select(
         *by,
         F.explode(

@@ -13,22 +13,25 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from riskframe.functions import nan_to_null, present
 from riskframe.operators.ranking import exact_quantiles, sketch_aggregates
-from riskframe.session import collect_bounded
+from riskframe.session import stage_table
 
-# Categories become columns, so their number per table is bounded; beyond it use `one_hot_long`.
-MAX_CATEGORIES = 5_000
+# Up to this many categories become one expression each; a wider column is looked up by index and becomes
+# a sparse block of the feature vector.
+WIDE = 1_000
 
 
 def value_counts(df: DataFrame, columns) -> DataFrame:
     """(feature, value, n) for all columns in one pass; values as text, nulls included."""
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("feature"), present(df, c).cast("string").alias("value"))
+        for c in columns
     ]
     return (
         df.select(F.explode(F.array(*entries)).alias("e"))
@@ -40,7 +43,8 @@ def value_counts(df: DataFrame, columns) -> DataFrame:
 def one_hot_long(df: DataFrame, id_col: str, columns) -> DataFrame:
     """Sparse form of the encoding for very wide domains: one (id, feature, category) row per cell."""
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns
+        F.struct(F.lit(c).alias("feature"), present(df, c).cast("string").alias("category"))
+        for c in columns
     ]
     return (
         df.select(id_col, F.explode(F.array(*entries)).alias("e"))
@@ -70,6 +74,7 @@ def fit_numeric(df: DataFrame, columns, approx: bool = False) -> list[dict]:
     columns = list(columns)
     if not columns:
         return []
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     aggs = [F.count(F.lit(1)).alias("rows"), *sketch_aggregates(columns)]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
@@ -109,42 +114,66 @@ def fit_numeric(df: DataFrame, columns, approx: bool = False) -> list[dict]:
 
 
 def fit_categorical(df: DataFrame, columns) -> list[dict]:
-    """Mode (smallest on a tie), missing flag and the sorted categories, per categorical column."""
+    """Mode (smallest on a tie), missing flag and the sorted categories, per categorical column.
+
+    Modes and flags come from the counts, which stay distributed. The categories reach the driver because
+    the model holds them: a column with more than WIDE of them is marked `wide` and encoded by index.
+    """
     columns = list(columns)
     if not columns:
         return []
-    counts: dict[str, dict] = {c: {} for c in columns}
-    for r in collect_bounded(value_counts(df, columns), MAX_CATEGORIES * 2):
-        counts[r["feature"]][r["value"]] = r["n"]
+    counts = stage_table(value_counts(df, columns), "categories")
+    present_ = counts.filter("value is not null")
+    number = F.col("value").try_cast("double")
+    most = present_.groupBy("feature").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("width"))
+    tied = present_.join(F.broadcast(most), "feature").filter("n = most")  # one row per column
+    modes = {
+        r["feature"]: r
+        for r in tied.groupBy("feature").agg(
+            F.min("value").alias("text"), F.min_by("value", number).alias("number"), F.first("width").alias("width")
+        ).collect()
+    }
+    flags = {r["feature"] for r in counts.filter("value is null").select("feature").collect()}
+    values: dict[str, list] = {c: [] for c in columns}
+    for r in present_.select("feature", "value").toLocalIterator():
+        values[r["feature"]].append(r["value"])
     out = []
     for c in columns:
         dtype = df.schema[c].dataType
-        flag = None in counts[c]
-        values = {_typed(v, dtype): n for v, n in counts[c].items() if v is not None}
-        if not values:
+        if c not in modes:
             continue
-        categories = sorted(values)
+        numeric = isinstance(dtype, T.NumericType)
+        mode = modes[c]["number"] if numeric else modes[c]["text"]
+        wide = modes[c]["width"] > WIDE
         out.append(
             {
                 "column": c,
-                "mode": min(categories, key=lambda v: (-values[v], v)),
-                "categories": categories,
-                "flag": flag,
+                "mode": _typed(mode, dtype),
+                "categories": sorted(values[c]) if wide else sorted(_typed(v, dtype) for v in values[c]),
+                "wide": wide,
+                "flag": c in flags,
+                "real": isinstance(dtype, (T.DoubleType, T.FloatType)),
             }
         )
     return out
 
 
 def impute_numeric(f: dict) -> Column:
-    return F.coalesce(F.col(f["column"]).cast("double"), F.lit(f["median"]))
+    return F.coalesce(nan_to_null(F.col(f["column"]).cast("double")), F.lit(f["median"]))
+
+
+def _category(f: dict) -> Column:
+    return nan_to_null(f["column"]) if f.get("real") else F.col(f["column"])
 
 
 def impute_categorical(f: dict) -> Column:
-    return F.coalesce(F.col(f["column"]), F.lit(f["mode"]))
+    return F.coalesce(_category(f), F.lit(f["mode"]))
 
 
-def is_missing(column: str) -> Column:
-    return F.col(column).isNull().cast("double")
+def is_missing(f: dict) -> Column:
+    """1.0 where the fitted column has no value: null, or NaN in a number."""
+    c = nan_to_null(F.col(f["column"]).cast("double")) if "median" in f else _category(f)
+    return c.isNull().cast("double")
 
 
 def encoded_columns(numeric: list[dict], categorical: list[dict]) -> list[tuple[str, str, Column]]:
@@ -155,16 +184,18 @@ def encoded_columns(numeric: list[dict], categorical: list[dict]) -> list[tuple[
         out.append((f"num__{f['column']}", f["column"], scaled))
     for f in numeric:
         if f["flag"]:
-            scaled = (is_missing(f["column"]) - F.lit(f["flag_mean"])) / F.lit(f["flag_std"])
+            scaled = (is_missing(f) - F.lit(f["flag_mean"])) / F.lit(f["flag_std"])
             out.append((f"num__missingindicator_{f['column']}", f["column"], scaled))
     for f in categorical:
+        if f.get("wide"):
+            raise ValueError(f"{f['column']} has too many categories for columns; use transform or one_hot_long")
         for v in f["categories"]:
             hit = (impute_categorical(f) == F.lit(v)).cast("double")
             out.append((f"cat__{f['column']}_{_category_name(v)}", f["column"], hit))
     for f in categorical:
         if f["flag"]:
             for v in (0, 1):
-                hit = (is_missing(f["column"]) == v).cast("double")
+                hit = (is_missing(f) == v).cast("double")
                 out.append((f"cat__missingindicator_{f['column']}_{v}", f["column"], hit))
     return out
 
@@ -204,24 +235,61 @@ class TabularPreprocessorModel(
         s = self.stats
         return encoded_columns(s["numeric"], s["categorical"])
 
+    def _blocks(self) -> list[tuple[str, list[tuple[str, str, Column]] | dict]]:
+        """The feature vector's parts in order: runs of single columns, and wide columns."""
+        s = self.stats
+        narrow = [f for f in s["categorical"] if not f.get("wide")]
+        flags = [{**f, "categories": [], "wide": False} for f in s["categorical"]]
+        blocks: list = [("columns", encoded_columns(s["numeric"], []))]
+        for f in s["categorical"]:
+            if f in narrow:
+                blocks.append(("columns", encoded_columns([], [{**f, "flag": False}])))
+            else:
+                blocks.append(("wide", f))
+        return [*blocks, ("columns", encoded_columns([], flags))]
+
+    def _names(self):
+        for kind, block in self._blocks():
+            if kind == "columns":
+                yield from ((name, raw) for name, raw, _ in block)
+            else:
+                yield from ((f"cat__{block['column']}_{v}", block["column"]) for v in block["categories"])
+
     @property
     def feature_names(self) -> list[str]:
-        return [name for name, _, _ in self._encoded()]
+        return [name for name, _ in self._names()]
 
     @property
     def raw_names(self) -> dict[str, str]:
         """Transformed name to raw feature; flags belong to the feature they flag."""
-        return {name: raw for name, raw, _ in self._encoded()}
+        return dict(self._names())
 
     def encode(self, df: DataFrame, *keep: str) -> DataFrame:
         return df.select(*keep, *[e.alias(name) for name, _, e in self._encoded()])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        encoded = self._encoded()
-        safe = [f"__f{i}" for i in range(len(encoded))]
-        wide = df.select("*", *[e.alias(s) for s, (_, _, e) in zip(safe, encoded)])
-        out = VectorAssembler(inputCols=safe, outputCol=self.getOrDefault("outputCol"))
-        return out.transform(wide).drop(*safe)
+        parts, scalars, wide = [], [], []
+        for i, (kind, block) in enumerate(self._blocks()):
+            if kind == "columns":
+                scalars += [(f"__f{i}_{j}", e) for j, (_, _, e) in enumerate(block)]
+                parts += [f"__f{i}_{j}" for j in range(len(block))]
+            else:
+                scalars.append((f"__v{i}", impute_categorical(block).cast("string")))
+                wide.append((i, block))
+                parts.append(f"__w{i}")
+        out = df.select("*", *[e.alias(s) for s, e in scalars])
+        for i, f in wide:
+            # "keep" gives unknown values an index of their own, whose column the encoder drops
+            index = StringIndexerModel.from_labels(
+                f["categories"], inputCol=f"__v{i}", outputCol=f"__i{i}", handleInvalid="keep"
+            )
+            out = index.transform(out)
+            # the width is in the column's metadata: fitting reads no rows
+            one_hot = OneHotEncoder(inputCols=[f"__i{i}"], outputCols=[f"__w{i}"], dropLast=True)
+            out = one_hot.fit(out).transform(out)
+        assembler = VectorAssembler(inputCols=parts, outputCol=self.getOrDefault("outputCol"))
+        helpers = [s for s, _ in scalars] + [f"__{k}{i}" for i, _ in wide for k in "iw"]
+        return assembler.transform(out).drop(*helpers)
 
 
 class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):

@@ -26,9 +26,9 @@ def copy_column(df: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def binarize_label(df: DataFrame, column: str, reject_null: bool = False) -> DataFrame:
-    """1 where positive, else 0. Null counts as 0 unless such rows are to be rejected."""
+    """1 where positive, else 0. A missing value counts as 0 unless such rows are to be rejected."""
     if reject_null:
-        df = df.filter(F.col(column).isNotNull())
+        df = df.filter(fx.nan_to_null(F.col(column).cast("double")).isNotNull())
     return df.withColumn(column, fx.binarize(column))
 
 

@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskframe.functions import present
 from riskframe.spec import OFFSET_COLUMNS, RANGE_RULES
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of nulls in percent per column, only columns that have any. One pass."""
+    """Share of missing values (null or NaN) in percent per column, only columns that have any. One pass."""
     columns = list(columns or df.columns)
     rates = df.agg(
-        *[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in columns]
+        *[(F.avg(present(df, c).isNull().cast("double")) * 100).alias(c) for c in columns]
     )
     return (
         rates.unpivot([], columns, "feature", "null_pct")

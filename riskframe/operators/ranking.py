@@ -18,7 +18,6 @@ from riskframe.session import collect_bounded, local_if_small, stage_table
 
 # Below this many rows one window bucket is small enough for a single task.
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 4096
 # A key with more copies than this is numbered in several parts.
 HOT_ROWS = 1_000_000
 # Half width of the rank bracket searched for an exact quantile, and the sketch accuracy behind it.
@@ -107,8 +106,11 @@ def dist_cumsum(
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(direction)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return t.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in columns])
-    buckets = min(MAX_BUCKETS, math.ceil(n / bucket_rows) + 1)
-    signed = t.withColumn("_order", (-F.col(order) if descending else F.col(order)).cast("double"))
+    buckets = math.ceil(n / bucket_rows) + 1
+    value = F.col(order).cast("double")
+    # NaN sorts above every number, as in the window below
+    value = F.when(F.isnan(value), F.lit(math.inf)).otherwise(value)
+    signed = t.withColumn("_order", -value if descending else value)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(signed.approxQuantile("_order", probs, 1 / (4 * buckets))))
     splits = [-math.inf, *cuts, math.inf]

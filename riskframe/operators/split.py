@@ -7,13 +7,16 @@ itself is then a comparison with literals: the table is never shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe import functions as fx
 from riskframe.operators.ranking import dist_rank
 from riskframe.session import local_if_small
 
-PREFIX_DIGITS = 4
+# Rows of a class that share a cut's prefix and are sorted in one task, on average.
+SORTED_ROWS = 20_000
 # More classes than this are no longer literals in a plan; they take the ranked join instead.
 MAX_CLASSES = 1_000
 
@@ -23,10 +26,11 @@ def cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list |
 
     Rank 0 means "before every row" and gives no row here. None if there are too many classes.
     """
-    counts = df.groupBy(label, F.substring(key, 1, PREFIX_DIGITS).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    # at most 16^PREFIX_DIGITS rows per class
+    largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    digits = max(2, math.ceil(math.log(max(1, largest / SORTED_ROWS), 16)))
+    prefix = F.substring(key, 1, digits)
+    counts = df.groupBy(label, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("c"))
+    # a row per SORTED_ROWS rows of a class, and 256 at least
     w = Window.partitionBy(label).orderBy("prefix")
     cum = counts.select(
         label,
@@ -54,7 +58,7 @@ def cut_keys(df: DataFrame, label: str, key: str, rank_sql: list[str]) -> list |
         return None
     near = df.select(label, key).join(
         few,
-        F.col(label).eqNullSafe(F.col("class")) & (F.substring(key, 1, PREFIX_DIGITS) == F.col("prefix")),
+        F.col(label).eqNullSafe(F.col("class")) & (prefix == F.col("prefix")),
     )
     inside = Window.partitionBy("class", "cut").orderBy(key)
     return (

@@ -218,6 +218,32 @@ def explain_records_query(spark, sf):
     return rounded(flat, "probability", "base_value", "impact")
 
 
+ORDER_PARTS = {
+    "price": ("o_totalprice", 0.0004), "customer": ("o_custkey", -0.003), "number": ("o_orderkey % 1000", 0.02),
+    "year": ("year(o_orderdate)", 1.5), "month": ("month(o_orderdate)", -2.0), "day": ("day(o_orderdate)", 0.7),
+    "urgent": ("CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END", 12.0), "done": ("CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END", -8.0),
+}
+ORDER_ROWS = "SELECT o_orderkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, (e, _) in ORDER_PARTS.items()) + " FROM orders"
+
+
+@query(
+    "kernel_shap_sampled",
+    f"""WITH parts AS ({ORDER_ROWS}),
+      background AS (SELECT * FROM parts ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)) LIMIT 20) """
+    + " UNION ALL ".join(
+        f"SELECT o_orderkey, '{n}' AS feature, round({c} * ({n} - (SELECT avg({n}) FROM background)), 5) + 0.0 AS impact FROM parts"
+        for n, (_, c) in ORDER_PARTS.items()
+    ),
+)
+def kernel_shap_sampled(spark, sf):
+    """Eight features and 100 of their 254 coalitions: the inner sizes are sampled, an additive rule stays exact."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", *[f"CAST({e} AS DOUBLE) AS {n}" for n, (e, _) in ORDER_PARTS.items()])
+    rule = sum(F.col(n) * c for n, (_, c) in ORDER_PARTS.items())
+    score = lambda t: t.withColumn("probability", rule)
+    long, _ = X.kernel_contributions(score, df, df, "o_orderkey", list(ORDER_PARTS))
+    return rounded(long, "impact", digits=5)
+
+
 PERMUTED_RULE = "coalesce(amount, 35.0::DOUBLE) * (1 + coalesce(grp, 1)) > 90"
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskframe.operators import preprocess as R, split as L
 from riskframe.operators.neighbors import knn_join, knn_vote
 from riskframe.operators.resample import class_distribution, smote
 from riskframe.queries.registry import query
-from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, table, with_cases
+from riskframe.queries.tables import CASE_SPEC, CASES, cases, cases_with_nan, rounded, table, with_cases
 
 MEDIANS = "(SELECT median(amount) AS amount, median(hour) AS hour, median(k) AS k FROM cases)"
 
@@ -21,7 +23,7 @@ MEDIANS = "(SELECT median(amount) AS amount, median(hour) AS hour, median(k) AS
     ),
 )
 def median_impute(spark, sf):
-    df = cases(spark, sf)
+    df = cases_with_nan(spark, sf)
     fits = R.fit_numeric(df, ["amount", "hour"])
     return df.select("event_id", *[R.impute_numeric(f).alias(f["column"]) for f in fits])
 
@@ -36,7 +38,7 @@ MODES = """(SELECT
     with_cases(f"SELECT event_id, coalesce(c.kind, m.kind) AS kind, coalesce(c.grp, m.grp) AS grp FROM cases c CROSS JOIN {MODES} m"),
 )
 def mode_impute(spark, sf):
-    df = cases(spark, sf)
+    df = cases_with_nan(spark, sf)
     fits = R.fit_categorical(df, ["kind", "grp"])
     return df.select("event_id", *[R.impute_categorical(f).alias(f["column"]) for f in fits])
 
@@ -51,10 +53,10 @@ def mode_impute(spark, sf):
     ),
 )
 def missing_indicator(spark, sf):
-    df = cases(spark, sf)
+    df = cases_with_nan(spark, sf)
     fits = R.fit_numeric(df, CASE_SPEC.numeric) + R.fit_categorical(df, CASE_SPEC.categorical)
-    flagged = [f["column"] for f in fits if f["flag"]]
-    return df.select("event_id", *[R.is_missing(c).alias(f"missing_{c}") for c in flagged])
+    flagged = [f for f in fits if f["flag"]]
+    return df.select("event_id", *[R.is_missing(f).alias(f"missing_{f['column']}") for f in flagged])
 
 
 IMPUTED = f"""(SELECT event_id, coalesce(c.amount, m.amount) AS amount, coalesce(CAST(c.hour AS DOUBLE), m.hour) AS hour,
@@ -73,7 +75,7 @@ def _z(c: str) -> str:
     with_cases(f"SELECT event_id, {_z('amount')} AS amount, {_z('hour')} AS hour, {_z('k')} AS k FROM {IMPUTED}"),
 )
 def standard_scale(spark, sf):
-    df = cases(spark, sf)
+    df = cases_with_nan(spark, sf)
     model = R.preprocessor(CASE_SPEC).fit(df)
     named = model.encode(df, "event_id")
     out = named.select("event_id", *[F.col(f"num__{c}").alias(c) for c in CASE_SPEC.numeric])
@@ -139,6 +141,26 @@ def one_hot_long(spark, sf):
     return R.one_hot_long(cases(spark, sf), "event_id", CASE_SPEC.categorical)
 
 
+@query(
+    "one_hot_wide",
+    """WITH parts AS (SELECT CASE WHEN p_partkey % 13 <> 0 THEN printf('part %07d', p_partkey) END AS name FROM part),
+      counts AS (SELECT name, count(*) AS n FROM parts WHERE name IS NOT NULL GROUP BY name),
+      filled AS (SELECT coalesce(name, (SELECT name FROM counts ORDER BY n DESC, name LIMIT 1)) AS name FROM parts)
+      SELECT 'cat__name_' || name AS feature, CAST(count(*) AS DOUBLE) AS n FROM filled GROUP BY name
+      UNION ALL SELECT 'cat__missingindicator_name_' || CAST(CAST(name IS NULL AS INTEGER) AS VARCHAR), CAST(count(*) AS DOUBLE)
+      FROM parts GROUP BY name IS NULL""",
+)
+def one_hot_wide(spark, sf):
+    """A column with thousands of categories as a sparse block: the column sums of the encoded table."""
+    name = F.when(F.col("p_partkey") % 13 != 0, F.format_string("part %07d", "p_partkey"))
+    df = table(spark, sf, "part").select("p_partkey", name.alias("name"))
+    model = R.TabularPreprocessor(numericCols=[], categoricalCols=["name"]).fit(df)
+    total = model.transform(df).agg(Summarizer.sum(F.col("features")).alias("s"))
+    names = spark.createDataFrame(list(enumerate(model.feature_names)), "pos int, feature string")
+    sums = total.select(F.posexplode(vector_to_array("s")).alias("pos", "n"))
+    return sums.join(names, "pos").select("feature", "n")
+
+
 RANKED = f"""SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('42:' || CAST(event_id AS VARCHAR))) AS rn,
   count(*) OVER (PARTITION BY target) AS n FROM ({CASES})"""
 

@@ -11,6 +11,7 @@ from riskframe.queries.registry import query
 from riskframe.queries.tables import (
     CASE_SPEC,
     cases,
+    cases_with_nan,
     raw_cases,
     rounded,
     scores,
@@ -149,7 +150,8 @@ def map_codes(spark, sf):
 
 GENDER_TEXT = """
 SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' Male ' WHEN 1 THEN 'F' WHEN 2 THEN 'YES' WHEN 3 THEN '0'
-  WHEN 4 THEN 'x' WHEN 5 THEN '2' WHEN 6 THEN 'female' END AS gender FROM events
+  WHEN 4 THEN 'x' WHEN 5 THEN '2' WHEN 6 THEN 'female'
+  WHEN 7 THEN CASE event_id % 3 WHEN 0 THEN '1.0' WHEN 1 THEN '0.0' END END AS gender FROM events
 """
 
 
@@ -157,13 +159,16 @@ SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' Male ' WHEN 1 THEN 'F' WHEN 2 T
     "normalize_gender",
     f"""SELECT event_id, CASE WHEN lower(trim(gender)) IN ('m','male','1','true','yes') THEN 1
           WHEN lower(trim(gender)) IN ('f','female','0','false','no') THEN 0
-          ELSE TRY_CAST(gender AS INTEGER) END AS gender,
+          ELSE CAST(TRY_CAST(gender AS DOUBLE) AS INTEGER) END AS gender,
           gender IS NOT NULL AND gender = 'x' AS rejected FROM ({GENDER_TEXT})""",
 )
 def normalize_gender(spark, sf):
     texts = {0: " Male ", 1: "F", 2: "YES", 3: "0", 4: "x", 5: "2", 6: "female"}
     df = table(spark, sf, "events").select(
-        "event_id", fx.map_codes(F.col("event_id") % 8, texts).alias("gender")
+        "event_id",
+        F.coalesce(
+            fx.map_codes(F.col("event_id") % 8, texts), fx.map_codes(F.col("event_id") % 3, {0: "1.0", 1: "0.0"})
+        ).alias("gender"),
     )
     return P.normalize_gender(df, "gender", "rejected")
 
@@ -181,7 +186,7 @@ def normalize_gender(spark, sf):
     ),
 )
 def null_profile(spark, sf):
-    return rounded(Q.null_profile(cases(spark, sf), CASE_SPEC.features), "null_pct")
+    return rounded(Q.null_profile(cases_with_nan(spark, sf), CASE_SPEC.features), "null_pct")
 
 
 ROW_RULES = (("amount", 1, 100, False), ("hour", 6, 20, True), ("k", 0, 89, True))

@@ -43,6 +43,12 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cases_with_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """`cases` where a part of the missing amounts is NaN instead of null; the SQL twins see null."""
+    nan = F.col("amount").isNull() & (F.col("event_id") % 2 == 0)
+    return cases(spark, sf).withColumn("amount", F.when(nan, F.lit(float("nan"))).otherwise(F.col("amount")))
+
+
 def with_cases(body: str) -> str:
     return f"WITH cases AS ({CASES}) {body}"
 

@@ -107,15 +107,18 @@ def read_search_results(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame(
             [], "algorithm string, rank int, mean_score double, std_score double"
         )
-    # the file is a JSON array or one object per line, as one file or as a folder of parts
-    text = spark.read.option("multiLine", True).schema(_SEARCH_SCHEMA).json(pattern)
-    lines = spark.read.schema(_SEARCH_SCHEMA).json(pattern)
-    first = spark.read.text(pattern).filter("trim(value) <> ''").first()
-    rows = text if first and first[0].lstrip().startswith("[") else lines
+    # every file decides for itself: a JSON array, one object, or one object per line
+    text = spark.read.option("wholetext", True).text(pattern)
+    many = T.ArrayType(_SEARCH_SCHEMA)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    each = F.transform(lines, lambda x: F.from_json(x, _SEARCH_SCHEMA))
+    per_line = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+    found = F.when(per_line, each).otherwise(F.from_json("value", many))
     algorithm = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/top_k_models\.json", 1)
+    rows = text.select(algorithm.alias("algorithm"), F.explode(found).alias("r"))
     return rows.select(
-        algorithm.alias("algorithm"),
-        "rank",
-        F.col("mean_test_score").alias("mean_score"),
-        F.coalesce("std_test_score", F.lit(0.0)).alias("std_score"),
+        "algorithm",
+        "r.rank",
+        F.col("r.mean_test_score").alias("mean_score"),
+        F.coalesce("r.std_test_score", F.lit(0.0)).alias("std_score"),
     )

@@ -29,7 +29,20 @@ def test_median_impute_takes_mean_of_middle_two(spark):
     (fit,) = R.fit_numeric(df, ["x"])
     assert fit["median"] == 6.0 and fit["flag"]
     assert values(df.select("id", R.impute_numeric(fit).alias("x")))[-1] == 6.0
-    assert values(df.select("id", R.is_missing("x").alias("x"))) == [0, 0, 0, 0, 1]
+    assert values(df.select("id", R.is_missing(fit).alias("x"))) == [0, 0, 0, 0, 1]
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = col(spark, [1.0, float("nan"), 3.0, None])
+    (fit,) = R.fit_numeric(df, ["x"])
+    assert (fit["median"], fit["mean"], fit["std"], fit["flag"], fit["flag_mean"]) == (2.0, 2.0, math.sqrt(0.5), True, 0.5)
+    assert values(df.select("id", R.impute_numeric(fit).alias("x"))) == [1, 2, 3, 2]
+    assert values(df.select("id", R.is_missing(fit).alias("x"))) == [0, 1, 0, 1]
+    assert Q.null_profile(df, ["x"]).first()["null_pct"] == 50.0
+    (fit,) = R.fit_categorical(df, ["x"])
+    assert fit["categories"] == [1.0, 3.0] and fit["flag"]
+    assert values(df.select("id", R.impute_categorical(fit).alias("x"))) == [1, 1, 3, 1]
+    assert values(P.binarize_label(df, "x")) == [1, 0, 1, 0]
 
 
 def test_mode_impute_takes_smallest_on_tie(spark):
@@ -74,10 +87,25 @@ def test_one_hot_of_an_unseen_category_is_all_zero(spark):
     assert [row[n] for n in model.feature_names] == [0, 0, 0]
 
 
-def test_too_many_categories_are_refused_not_cut(spark):
-    df = spark.range(R.MAX_CATEGORIES * 2 + 1).select("id", F.col("id").alias("x"))
-    with pytest.raises(ValueError):
-        R.fit_categorical(df, ["x"])
+def test_wide_columns_become_a_sparse_block(spark):
+    n = R.WIDE * 3
+    df = spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 10 != 0, F.format_string("v%05d", "id")).alias("w"),
+        (F.col("id") % 3).alias("d"),
+        F.col("id").cast("double").alias("x"),
+    )
+    model = R.TabularPreprocessor(numericCols=["x"], categoricalCols=["w", "d"]).fit(df)
+    names = model.feature_names
+    assert len(names) == 1 + n * 9 // 10 + 3 + 2 and names[1] == "cat__w_v00001" and names[-5:-2] == ["cat__d_0", "cat__d_1", "cat__d_2"]
+    other = spark.createDataFrame([(1, "v00077", 1, 0.0), (2, None, 2, 0.0), (3, "unseen", 0, 0.0)], "id long, w string, d long, x double")
+    for r in model.transform(other).collect():
+        hits = [names[i] for i in r["features"].indices if i]
+        if r["id"] == 3:
+            assert hits == ["cat__d_0", "cat__missingindicator_w_0"]
+        else:
+            mode = {1: "v00077", 2: "v00001"}[r["id"]]
+            assert hits == [f"cat__w_{mode}", f"cat__d_{r['d']}", f"cat__missingindicator_w_{int(r['w'] is None)}"]
 
 
 def test_preprocessor_keeps_roles_and_order(spark):
@@ -99,10 +127,10 @@ def test_offset(spark, codes, shifted):
 
 
 def test_gender(spark):
-    df = col(spark, [" Male ", "F", "yes", "0", "x", "7", None], "string")
+    df = col(spark, [" Male ", "F", "yes", "0", "x", "7", None, "1.0", "0.0", "2.5", "nan", "3e0"], "string")
     out = P.normalize_gender(df, "x", "rejected").orderBy("id").collect()
-    assert [r["x"] for r in out] == [1, 0, 1, 0, None, 7, None]
-    assert [r["rejected"] for r in out] == [False, False, False, False, True, False, False]
+    assert [r["x"] for r in out] == [1, 0, 1, 0, None, 7, None, 1, 0, None, None, 3]
+    assert [r["id"] for r in out if r["rejected"]] == [4, 9, 10]
 
 
 def test_label(spark):
@@ -309,29 +337,67 @@ def test_uncertain_rows(spark):
     assert values(X.uncertain_samples(df, "id", 2, ids=[0]), "probability") == [0.9]
 
 
-def test_kernel_weights_recover_a_game_with_interactions():
+def _shapley_of(m, worth):
+    """Exact Shapley values of a game given as a function of a 0/1 tuple."""
     import itertools
 
-    m, rng = 4, np.random.default_rng(4)
-    worth = {c: rng.random() for c in itertools.product((0, 1), repeat=m)}
-    masks = X.coalitions(m, 100, 0)
-    a, b = X.kernel_weights(masks, sampled=False)
-    v0, v1 = worth[(0,) * m], worth[(1,) * m]
-    phi = a @ np.array([worth[tuple(r)] - v0 for r in masks]) + b * (v1 - v0)
-    for j in range(m):
-        exact = 0.0
-        for s in itertools.product((0, 1), repeat=m):
+    exact = [0.0] * m
+    for s in itertools.product((0, 1), repeat=m):
+        for j in range(m):
             if not s[j]:
                 with_j = tuple(1 if i == j else x for i, x in enumerate(s))
                 w = math.factorial(sum(s)) * math.factorial(m - sum(s) - 1) / math.factorial(m)
-                exact += w * (worth[with_j] - worth[s])
-        assert phi[j] == pytest.approx(exact)
+                exact[j] += w * (worth(with_j) - worth(s))
+    return np.array(exact)
+
 
+def _estimated(m, worth, nsamples, seed):
+    masks, weights = X.coalitions(m, nsamples, seed)
+    assert len(masks) <= nsamples
+    a, b = X.kernel_weights(masks, weights)
+    v0, v1 = worth((0,) * m), worth((1,) * m)
+    return a @ np.array([worth(tuple(r)) - v0 for r in masks]) + b * (v1 - v0)
 
-def test_sampled_coalitions_still_add_up():
-    masks = X.coalitions(12, 60, 1)
-    a, b = X.kernel_weights(masks, sampled=True)
-    assert len(masks) == 60 and a.sum(0) == pytest.approx(0) and b.sum() == pytest.approx(1)
+
+def test_kernel_weights_recover_a_game_with_interactions():
+    rng = np.random.default_rng(4)
+    table = {i: rng.random() for i in range(16)}
+    worth = lambda c: table[sum(x << i for i, x in enumerate(c))]
+    assert _estimated(4, worth, 100, 0) == pytest.approx(_shapley_of(4, worth))
+
+
+def test_sampled_coalitions_converge_on_an_interacting_game():
+    m, rng = 12, np.random.default_rng(8)
+    single, pairs, triple = rng.normal(size=m), rng.normal(size=(m, m)), rng.normal(size=(m, m, m))
+
+    def worth(c):
+        x = np.array(c, float)
+        return float(single @ x + x @ pairs @ x + np.einsum("ijk,i,j,k->", triple, x, x, x) / 4)
+
+    exact = _shapley_of(m, worth)
+    error = [np.mean([np.abs(_estimated(m, worth, n, s) - exact).max() for s in range(5)]) for n in (60, 400, 2000)]
+    assert error[0] > error[1] > error[2] and error[2] < 0.35 * error[0]
+    assert _estimated(m, worth, 2**m, 0) == pytest.approx(exact)
+    assert _estimated(m, worth, 60, 1).sum() == pytest.approx(worth((1,) * m) - worth((0,) * m))
+
+
+def test_missing_scores_are_left_out_at_every_size(spark):
+    rows = [(i, float(i % 7), i % 2) for i in range(40)] + [(50, float("nan"), 1), (51, None, 0)]
+    df = spark.createDataFrame(rows, "id long, probability double, label int")
+    auc = [M.ranking_metrics(M.threshold_table(df, bucket_rows=b)).first() for b in (None, 2)]
+    assert auc[0] == auc[1] and M.threshold_table(df).count() == 7
+    keys = df.select("id", F.coalesce("probability", F.lit(0.5)).alias("k"), F.lit(1).alias("n")).dropDuplicates(["k"])
+    for down in (False, True):
+        a, b = (sorted(map(str, ranking.dist_cumsum(keys, "k", ["n"], descending=down, bucket_rows=r).select("id", "cum_n").collect())) for r in (100, 2))
+        assert a == b
+
+
+@pytest.mark.parametrize("metric", [M.confusion_matrix, M.basic_metrics, M.classification_report])
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_labels_are_an_error_in_every_metric(spark, metric, bad):
+    df = spark.createDataFrame([(1.0, 1.0), (bad, 0.0)], "label double, prediction double")
+    with pytest.raises(Exception, match="label is missing"):
+        metric(df).collect()
 
 
 def test_pick_metric_takes_the_first_present(spark):

@@ -245,12 +245,15 @@ def test_search_reports_as_one_json_array(spark, tmp_path):
     for name, text in {
         "a": '[{"rank": 1, "mean_test_score": 0.9, "std_test_score": 0.1, "params": {"k": 1}},\n {"rank": 2, "mean_test_score": 0.8}]',
         "b": '[{"rank": 1, "mean_test_score": 0.7, "params": {}}]',
+        "c": '{"rank": 1, "mean_test_score": 0.6, "params": {}}\n\n{"rank": 2, "mean_test_score": 0.5}\n',
+        "d": '{\n  "rank": 1,\n  "mean_test_score": 0.4\n}',
     }.items():
         (tmp_path / name).mkdir()
         (tmp_path / name / "top_k_models.json").write_text(text)
     rows = IO.read_search_results(spark, f"file://{tmp_path}").orderBy("algorithm", "rank").collect()
     assert [(r["algorithm"], r["rank"], r["mean_score"], r["std_score"]) for r in rows] == [
         ("a", 1, 0.9, 0.1), ("a", 2, 0.8, 0.0), ("b", 1, 0.7, 0.0),
+        ("c", 1, 0.6, 0.0), ("c", 2, 0.5, 0.0), ("d", 1, 0.4, 0.0),
     ]
     assert IO.read_search_results(spark, f"file://{tmp_path}/none").isEmpty()
 
