@@ -27,14 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe import functions as fx
-from riskframe.operators.neighbors import (
-    SMALL_ROWS,
-    in_memory_search,
-    join_lookup,
-    knn_vote,
-    vote,
-    zipped,
-)
+from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
 from riskframe.session import scratch_path, sized_for_cores
@@ -169,21 +162,15 @@ class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         train = df.sparkSession.read.parquet(self.getOrDefault("trainPath"))
         x = vector_to_array("features")
         base = train.select(F.col("row").alias("bid"), F.col("x").alias("bv"), F.col("label").alias("bp"))
-        search = in_memory_search(base, k, p, SMALL_ROWS)
-        if search is not None:
-            voted = df.withColumn("_s", search(x)).withColumn("_n", zipped("_s"))
-            voted = voted.withColumn("_vote", vote("_n", weights)).drop("_s", "_n")
-        else:
-            # equal feature vectors get equal votes, so the vector's hash is the join key
-            keyed = df.withColumn("_key", F.md5(x.cast("string")))
-            queries = keyed.groupBy("_key").agg(F.any_value(x).alias("x"))
-            votes = knn_vote(
-                queries, train, "label", k=k, weights=weights, p=p,
-                query_id="_key", base_id="row", query_vec="x", base_vec="x",
-            )
-            votes = votes.withColumnRenamed("probability", "_vote")
-            plain = [c for c, kind in df.dtypes if kind not in ("vector", "variant") and "map<" not in kind]
-            voted = join_lookup(keyed, votes, "_key", plain).drop("_key")
+        # equal feature vectors get equal votes, so the vector's hash is the join key; rows that share it
+        # are many on their own side only, which Spark splits at runtime
+        keyed = df.withColumn("_key", F.md5(x.cast("string")))
+        queries = keyed.groupBy("_key").agg(F.any_value(x).alias("x"))
+        votes = knn_vote(
+            queries, base, "bp", k=k, weights=weights, p=p,
+            query_id="_key", base_id="bid", query_vec="x", base_vec="bv",
+        )
+        voted = keyed.join(votes.withColumnRenamed("probability", "_vote"), "_key").drop("_key")
         probability = array_to_vector(F.array(1 - F.col("_vote"), F.col("_vote")))
         return (
             voted.withColumn("probability", probability)

@@ -1,34 +1,31 @@
-"""Exact k-nearest-neighbour join without a cross join.
-
-Base points are assigned to the cell of their nearest pivot (a bounded sample). A query is searched
-in its own cell first; the k-th distance found there, the cells' radii and the planes between pivots
-then show which other cells can hold a nearer point, and only those are searched. Cells are hash-split
-into chunks of bounded size on both sides, each chunk pair keeps only its k best, and the partial lists
-are merged by a window with a group limit. Equal points are collapsed before the search, so a point
-repeated a billion times costs k rows. A base small enough to travel with the tasks is searched in
-place instead.
+"""Exact k-nearest-neighbour join on a block grid, and an approximate variant.
+
+Queries and base points are hash-dealt into blocks of bounded bytes, and every query block meets every
+base block of its group in one cell: a query is copied once per base block, a base point once per query block,
+which is the least that an exact search in bounded memory needs. A cell takes its distances as a matrix product
+and keeps the k best of each query; the partial lists are merged by a window with a group limit, which also
+cuts before the shuffle. Equal queries are searched once, and of equal base points only k take part, so a
+point repeated a billion times costs k rows. Neither side passes the driver or is broadcast.
+
+`probes` turns on the approximate search: base points belong to the nearest of a bounded sample of pivots, and
+a query meets only the cells of its `probes` nearest pivots. It is off by default.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from riskframe.session import local_if_small, stage_table
+from riskframe.session import stage_table
 
-CHUNK_ROWS = 4096
-MAX_PIVOTS = 2048
-# A base of at most this many numbers (32 MB) travels with the tasks instead of being shuffled.
-MEMORY_VALUES = 4_000_000
-SMALL_ROWS = 65_536
-# A join key with more rows than this is split over several tasks.
-HOT_ROWS = 1_000_000
-# Slack on distance bounds, far above rounding error; pruning stays exact.
-SLACK = 1e-9
+# Bytes of points on one side of a cell.
+BLOCK_BYTES = 16 << 20
+# Queries per cell below which more cells than tasks do not pay.
+LEAST_QUERIES = 256
+MAX_PIVOTS = 1024
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray, p: int) -> np.ndarray:
@@ -39,56 +36,17 @@ def _distances(points: np.ndarray, pivots: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def _assign(pivots: np.ndarray, p: int):
-    """(cell, distance) of the nearest pivot, per Arrow batch."""
-
-    @F.pandas_udf("cell int, d double")
-    def assign(vectors: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for v in vectors:
-            if not len(v):
-                yield pd.DataFrame({"cell": pd.Series([], dtype="int32"), "d": pd.Series([], dtype=float)})
-                continue
-            dist = _distances(np.stack(v.to_numpy()), pivots, p)
-            cell = dist.argmin(1)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "d": dist[np.arange(len(dist)), cell]})
-
-    return assign
-
-
-def _other_cells(pivots, p, k, cells, counts, radii, kth):
-    """Cells other than the home cell that can hold a nearer neighbour, per Arrow batch.
-
-    `theta` is the k-th distance already found in the home cell, null if that cell has fewer points.
-    """
-    centres = pivots[cells]
-    apart = _distances(centres, centres, 2) if p == 2 else None
+def _nearest_pivots(pivots: np.ndarray, p: int, n: int):
+    """The n nearest pivots of each vector, nearest first."""
 
-    @F.pandas_udf("array<int>")
-    def others(vectors: pd.Series, homes: pd.Series, theta: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        dist = _distances(np.stack(vectors.to_numpy()), centres, p)
-        # k points lie within dist + kth of a cell that has k, or within the radii of the first cells
-        bound = np.fmin(theta.to_numpy(dtype=float), (dist + kth).min(1))
-        upper = dist + radii
-        order = upper.argsort(1)
-        if counts.sum() >= k:
-            enough = (counts[order].cumsum(1) >= k).argmax(1)
-            cover = np.take_along_axis(upper, order, 1)[np.arange(len(dist)), enough]
-            bound = np.fmin(bound, cover)
-        lower = dist - radii
-        home = np.searchsorted(cells, homes.to_numpy())
-        if apart is not None:
-            # points of a cell are on its pivot's side of the plane between two pivots
-            own = dist[np.arange(len(dist)), home][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (dist * dist - own * own) / (2 * apart[home])
-            lower = np.fmax(lower, plane)
-        near = lower <= bound[:, None] * (1 + SLACK) + SLACK
-        near[np.arange(len(near)), home] = False
-        return pd.Series([cells[row].astype("int32") for row in near])
-
-    return others
+        dist = _distances(np.stack(vectors.to_numpy()), pivots, p)
+        return pd.Series(list(dist.argsort(1, kind="stable")[:, :n].astype("int32")))
+
+    return nearest
 
 
 def _close_pairs(q: np.ndarray, b: np.ndarray, k: int, p: int):
@@ -126,18 +84,19 @@ def _k_nearest(queries: np.ndarray, points: np.ndarray, k: int, p: int):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _nearest_in_chunk(k: int, p: int):
-    """k best of one (query chunk, base chunk) pair, ties by smaller id."""
+def _nearest_in_cell(k: int, p: int):
+    """k best of one (query block, base block) cell, ties by smaller id."""
 
     def nearest(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
-            return pd.DataFrame({"qkey": [], "distance": [], "neighbor": [], "payload": []})
+            return pd.DataFrame({"grp": [], "qkey": [], "distance": [], "neighbor": [], "payload": []})
         base = base.sort_values("bid", kind="stable")
         qi, bi, dist = _k_nearest(
             np.stack(queries["qv"].to_numpy()), np.stack(base["bv"].to_numpy()), k, p
         )
         return pd.DataFrame(
             {
+                "grp": queries["own"].to_numpy()[qi],
                 "qkey": queries["qkey"].to_numpy()[qi],
                 "distance": dist,
                 "neighbor": base["bid"].to_numpy()[bi],
@@ -148,106 +107,15 @@ def _nearest_in_chunk(k: int, p: int):
     return nearest
 
 
-def in_memory_search(base: DataFrame, k: int, p: int, small_rows: int):
-    """A search function for a base (bid, bv, bp) that is small enough to travel with the tasks.
-
-    It maps a vector column to a struct of arrays (distance, neighbor, payload). None if the base has
-    more rows, or more numbers, than a task may carry.
-    """
-    small_rows = max(1, min(small_rows, MEMORY_VALUES // max(1, _width(base, "bv"))))
-    rows = base.limit(small_rows + 1).toArrow()
-    if rows.num_rows > small_rows:
-        return None
-    rows = rows.sort_by("bid")
-    ids, payload = rows["bid"].to_numpy(), rows["bp"].to_numpy()
-    points = np.array(rows["bv"].to_pylist(), dtype=float)
-    id_type = base.schema["bid"].dataType.simpleString()
-    kk = min(k, len(points))
-
-    @F.pandas_udf(f"distance array<double>, neighbor array<{id_type}>, payload array<double>")
-    def search(vectors: pd.Series) -> pd.DataFrame:
-        if not len(vectors) or not kk:
-            empty = [np.array([])] * len(vectors)
-            return pd.DataFrame({"distance": empty, "neighbor": empty, "payload": empty})
-        _, bi, dist = _k_nearest(np.stack(vectors.to_numpy()), points, kk, p)
-        return pd.DataFrame(
-            {
-                "distance": list(dist.reshape(-1, kk)),
-                "neighbor": list(ids[bi].reshape(-1, kk)),
-                "payload": list(payload[bi].reshape(-1, kk)),
-            }
-        )
-
-    return search
-
-
-def zipped(found) -> F.Column:
-    """Array of (distance, neighbor, payload) from the struct of arrays of `in_memory_search`."""
-    column = F.col(found)
-    return F.arrays_zip(
-        column["distance"].alias("distance"),
-        column["neighbor"].alias("neighbor"),
-        column["payload"].alias("payload"),
-    )
-
-
 def _best(partial: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query's partial results; the group limit also cuts before the shuffle."""
-    w = Window.partitionBy("qkey").orderBy("distance", "neighbor")
+    w = Window.partitionBy("grp", "qkey").orderBy("distance", "neighbor")
     return partial.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def _search_cells(
-    pairs: DataFrame,
-    assigned: DataFrame,
-    sizes: dict[int, int],
-    k: int,
-    p: int,
-    chunk_rows: int,
-    parallel: int,
-) -> DataFrame:
-    """Partial results of the given (query, cell) pairs: at most k per query and base chunk."""
-    wanted = {
-        r["cell"]: r["n"]
-        for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one per cell
-    }
-    base_chunks = {c: math.ceil(n / chunk_rows) for c, n in sizes.items()}
-    query_chunks = {c: math.ceil(wanted.get(c, 0) / chunk_rows) for c in sizes}
-
-    def lookup(table: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("cell"))
-
-    left = pairs.withColumn(
-        "qc", F.pmod(F.xxhash64("qkey"), lookup(query_chunks)).cast("int")
-    ).withColumn("bc", F.explode(F.sequence(F.lit(0), lookup(base_chunks) - 1)))
-    # cells nobody asks for are not read further
-    asked = assigned.filter(lookup(query_chunks) > 0)
-    right = asked.withColumn(
-        "bc", F.pmod(F.xxhash64("bid"), lookup(base_chunks)).cast("int")
-    ).withColumn("qc", F.explode(F.sequence(F.lit(0), lookup(query_chunks) - 1)))
-    keys = ["cell", "qc", "bc"]
-    schema = T.StructType(
-        [
-            T.StructField("qkey", T.StringType()),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("neighbor", assigned.schema["bid"].dataType),
-            T.StructField("payload", T.DoubleType()),
-        ]
-    )
-    # chunk pairs are few bytes but much arithmetic, so their tasks are not left to size-based merging
-    tasks = max(1, min(parallel, sum(base_chunks[c] * query_chunks[c] for c in sizes)))
-    return (
-        left.select(*keys, "qkey", "qv")
-        .repartition(tasks, *keys)
-        .groupBy(*keys)
-        .cogroup(right.select(*keys, "bid", "bv", "bp").repartition(tasks, *keys).groupBy(*keys))
-        .applyInPandas(_nearest_in_chunk(k, p), schema)
-    )
-
-
 def _width(df: DataFrame, vec: str) -> int:
     row = df.select(F.size(vec).alias("n")).first()
-    return row["n"] if row else 0
+    return max(1, row["n"]) if row else 1
 
 
 def nearest_lists(
@@ -260,134 +128,88 @@ def nearest_lists(
     base_vec: str,
     p: int = 2,
     exclude_self: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
-    small_rows: int = SMALL_ROWS,
+    by: str | None = None,
     payload: str | None = None,
+    probes: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, neighbors): array of (distance, neighbor, payload), nearest first, ties by id.
 
-    `payload` is a number of the base row to bring along, such as its label.
-
-    A base of at most `small_rows` rows (checked, and bounded in bytes) is searched in place by the
-    query tasks; a larger one goes through cells and chunks.
+    `payload` is a column of the base row to bring along, such as its label or its vector. With `by`, a
+    column of both tables, neighbours are looked for among rows of the same value only. A query without
+    any base point has an empty list.
     """
     vec = T.ArrayType(T.DoubleType())
     kk = k + 1 if exclude_self else k
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast(vec).alias("qv"))
+    group = F.md5(F.concat_ws(":", F.lit("g"), F.col(by).cast("string"))) if by else F.lit("g")
+    q = queries.select(F.col(query_id).alias("qid"), group.alias("grp"), F.col(query_vec).cast(vec).alias("qv"))
     q = q.withColumn("qkey", F.md5(F.col("qv").cast("string")))
-    b = base.select(
-        F.col(base_id).alias("bid"),
-        F.col(base_vec).cast(vec).alias("bv"),
-        (F.col(payload).cast("double") if payload else F.lit(0.0)).alias("bp"),
-    )
-    id_type = b.schema["bid"].dataType
-    list_type = T.ArrayType(
-        T.StructType(
-            [
-                T.StructField("distance", T.DoubleType()),
-                T.StructField("neighbor", id_type),
-                T.StructField("payload", T.DoubleType()),
-            ]
-        )
-    )
+    bp = F.col(payload) if payload else F.lit(0.0)
+    b = base.select(F.col(base_id).alias("bid"), group.alias("grp"), F.col(base_vec).cast(vec).alias("bv"), bp.alias("bp"))
     spark = base.sparkSession
     parallel = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    found = F.col("found")
-    if exclude_self:
-        found = F.filter(found, lambda s: s["neighbor"] != F.col("qid"))
-    search = in_memory_search(b, kk, p, small_rows)
-    if search is not None:
-        lists = q.select("qid", "qv").repartition(parallel, "qid").withColumn("_s", search("qv"))
-        lists = lists.select("qid", zipped("_s").cast(list_type).alias("found"))
-        return lists.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
-
     # of equal base points only the kk smallest ids can be neighbours
-    same = Window.partitionBy("bkey").orderBy("bid")
-    b = (
-        b.withColumn("bkey", F.md5(F.col("bv").cast("string")))
-        .withColumn("rn", F.row_number().over(same))
-        .filter(F.col("rn") <= kk)
-        .drop("rn", "bkey")
-    )
-    b = stage_table(b, "knn-base")
-    n = b.count()
-    n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(n) // 4))
-    chosen = b.orderBy(F.md5(F.col("bid").cast("string")), "bid").limit(n_pivots)
-    pivots = np.array([r["bv"] for r in chosen.collect()], dtype=float)
-    assigned = stage_table(
-        b.withColumn("a", _assign(pivots, p)("bv")).select("bid", "bv", "bp", "a.cell", "a.d"), "knn-cells"
-    )
-    by_distance = Window.partitionBy("cell").orderBy("d")
-    kth = (
-        assigned.select("cell", "d")
-        .withColumn("rn", F.row_number().over(by_distance))
-        .filter(F.col("rn") <= kk)
-        .groupBy("cell")
-        .agg(F.max("d").alias("kth"), F.max("rn").alias("rows"))
-    )
-    size = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
-    stats = sorted(size.join(kth, "cell").collect(), key=lambda r: r["cell"])  # at most MAX_PIVOTS
-    cells = np.array([r["cell"] for r in stats])
-    counts = np.array([r["n"] for r in stats])
-    radii = np.array([r["radius"] for r in stats])
-    kth_d = np.array([r["kth"] if r["rows"] >= kk else math.inf for r in stats])
-
-    # equal queries are searched once, first in their home cell, whose k-th distance then rules out
-    # most other cells
-    distinct = q.groupBy("qkey").agg(F.any_value("qv").alias("qv"))
-    placed = stage_table(
-        distinct.withColumn("a", _assign(pivots, p)("qv")).select("qkey", "qv", F.col("a.cell").alias("home")),
-        "knn-queries",
-    )
-    sizes = {int(c): int(m) for c, m in zip(cells, counts)}
-    options = dict(k=kk, p=p, chunk_rows=chunk_rows, parallel=parallel)
-    at_home = stage_table(
-        _best(_search_cells(placed.withColumnRenamed("home", "cell"), assigned, sizes, **options), kk),
-        "knn-home",
-    )
-    theta = at_home.groupBy("qkey").agg(
-        F.when(F.count(F.lit(1)) >= kk, F.max("distance")).alias("theta")
-    )
-    others = _other_cells(pivots, p, kk, cells, counts, radii, kth_d)
-    reach = stage_table(
-        placed.join(theta, "qkey", "left")
-        .withColumn("cells", others("qv", "home", "theta"))
-        .filter(F.size("cells") > 0)
-        .select("qkey", "qv", "cells"),
-        "knn-reach",
+    same = Window.partitionBy("grp", "bkey").orderBy("bid")
+    b = b.withColumn("bkey", F.md5(F.col("bv").cast("string"))).withColumn("rn", F.row_number().over(same))
+    b = b.filter(F.col("rn") <= kk).drop("rn", "bkey")
+    distinct = q.groupBy("grp", "qkey").agg(F.any_value("qv").alias("qv")).withColumn("own", F.col("grp"))
+    if probes:
+        pivots = _pivots(b)
+        nearest = lambda n: _nearest_pivots(pivots, p, n)
+        cell = lambda c: F.concat_ws(":", F.col("grp"), c.cast("string"))
+        b = b.withColumn("grp", cell(nearest(1)("bv")[0]))
+        distinct = distinct.withColumn("c", F.explode(nearest(probes)("qv"))).withColumn("grp", cell(F.col("c"))).drop("c")
+    b, distinct = stage_table(b, "knn-base"), stage_table(distinct, "knn-queries")
+    rows = max(1, block_bytes // (8 * _width(b, "bv")))
+    count = lambda df, name: df.groupBy("grp").agg(F.count(F.lit(1)).alias(name))
+    grid = count(b, "n").join(count(distinct, "m"), "grp")
+    nb, nq = F.ceil(F.col("n") / rows), F.ceil(F.col("m") / rows)
+    # small tables: enough query blocks for all tasks
+    nq = F.greatest(nq, F.least(F.ceil(F.col("m") / LEAST_QUERIES), F.ceil(F.lit(parallel) / nb)))
+    grid = stage_table(grid.select("grp", nb.alias("nb"), nq.alias("nq")), "knn-grid")
+    zero = F.lit(0).cast("long")
+    left = distinct.join(grid, "grp").withColumn("qc", F.pmod(F.xxhash64("qkey"), F.col("nq")))
+    left = left.withColumn("bc", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    right = b.join(grid, "grp").withColumn("bc", F.pmod(F.xxhash64("bid"), F.col("nb")))
+    right = right.withColumn("qc", F.explode(F.sequence(zero, F.col("nq") - 1)))
+    keys = ["grp", "qc", "bc"]
+    schema = T.StructType(
+        [
+            T.StructField("grp", T.StringType()),
+            T.StructField("qkey", T.StringType()),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("neighbor", b.schema["bid"].dataType),
+            T.StructField("payload", b.schema["bp"].dataType),
+        ]
     )
-    away = _search_cells(
-        reach.select("qkey", "qv", F.explode("cells").alias("cell")), assigned, sizes, **options
+    # cells are few bytes but much arithmetic, so their tasks are not left to size-based merging
+    partial = (
+        left.select(*keys, "own", "qkey", "qv")
+        .repartition(parallel, *keys)
+        .groupBy(*keys)
+        .cogroup(right.select(*keys, "bid", "bv", "bp").repartition(parallel, *keys).groupBy(*keys))
+        .applyInPandas(_nearest_in_cell(kk, p), schema)
     )
     lists = (
-        _best(at_home.unionByName(away), kk)
-        .groupBy("qkey")
+        _best(partial, kk)
+        .groupBy("grp", "qkey")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "payload"))).alias("found"))
     )
-    answered = join_lookup(q.select("qid", "qkey"), lists, "qkey", ["qid"])
+    # many rows may share a vector: the join is skewed on the row side only, which Spark splits at runtime
+    answered = q.select("qid", "grp", "qkey").join(lists, ["grp", "qkey"], "left")
+    found = F.coalesce(F.col("found"), F.array().cast(lists.schema["found"].dataType))
+    if exclude_self:
+        found = F.filter(found, lambda s: s["neighbor"] != F.col("qid"))
     return answered.select(F.col("qid").alias(query_id), F.slice(found, 1, k).alias("neighbors"))
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """Join the one lookup row of a key to all rows of the key.
-
-    Keys that hold very many rows are counted first; their rows are split by the hash of `spread_by`
-    and their lookup row is copied once per part.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
-    hot = local_if_small(counts.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts")))
-    if hot.isEmpty():
-        return rows.join(lookup, key)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    split = rows.join(hot, key, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
-    )
-    copied = lookup.join(hot, key, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    return split.drop("_parts").join(copied.drop("_parts"), [key, "_part"]).drop("_part")
+def _pivots(b: DataFrame) -> np.ndarray:
+    """A hash sample of at most MAX_PIVOTS base points."""
+    n = max(1, min(MAX_PIVOTS, math.isqrt(b.count())))
+    chosen = b.orderBy(F.md5(F.col("bid").cast("string")), "bid").limit(n)
+    return np.array([r["bv"] for r in chosen.collect()], dtype=float).reshape(-1, _width(b, "bv"))
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, **columns) -> DataFrame:
@@ -414,6 +236,7 @@ def knn_vote(
     With distance weights, neighbours at distance 0 outvote all others. The labels come along with
     the neighbours, so the vote is arithmetic on the row's own list.
     """
+    base = base.withColumn(label, F.col(label).cast("double"))
     lists = nearest_lists(queries, base, k, payload=label, **columns)
     return lists.select(columns["query_id"], vote("neighbors", weights).alias("probability"))
 

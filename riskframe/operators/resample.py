@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskframe import functions as fx
 from riskframe.operators.neighbors import nearest_lists
-from riskframe.operators.split import cut_keys
+from riskframe.operators.ranking import dist_rank
 from riskframe.session import stage_table
 
 
@@ -21,7 +21,6 @@ def smote(
     vec: str,
     k: int = 5,
     seed: int = 42,
-    max_classes: int = 1000,
 ) -> DataFrame:
     """Grow every class to the size of the largest.
 
@@ -29,58 +28,38 @@ def smote(
     each x + u * (neighbour - x) for one of the k nearest rows of its class. The deficit is spread
     evenly: every row gets deficit div n copies and the rows first in hash order one more, so no
     row is picked by a random index and nothing has to be ranked. u and the choice of neighbour are
-    drawn from the (seed, id, copy) hash.
+    drawn from the (seed, id, copy) hash. All classes are searched together, and neighbours bring their
+    vectors along, so no row is looked up again.
     """
     array = T.ArrayType(T.DoubleType())
     rows = stage_table(df.select(id_col, label, F.col(vec).cast(array).alias(vec)), "smote")
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
-    if len(sizes) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes")
-    biggest = max((r["n"] for r in sizes), default=0)
-    parts = [rows.withColumn("copy", F.lit(0))]
-    for r in sizes:
-        n, deficit = r["n"], biggest - r["n"]
-        if not deficit:
-            continue
-        if n <= k:
-            raise ValueError(f"class {r[label]!r} has {n} rows, needs more than k={k}")
-        members = rows.filter(F.col(label).eqNullSafe(F.lit(r[label])))
-        lists = nearest_lists(
-            members, members, k, query_id=id_col, base_id=id_col, query_vec=vec, base_vec=vec,
-            exclude_self=True,
-        )
-        base_copies, extra = divmod(deficit, n)
-        key = fx.hash_key(seed, id_col)
-        copies = F.lit(base_copies)
-        if extra:
-            keyed = members.select(label, key.alias("_key"))
-            cut = cut_keys(keyed, label, "_key", [str(extra)])[0]["cut_key"]
-            copies = copies + F.when(key <= cut, 1).otherwise(0)
-        planned = (
-            lists.withColumn("_copies", copies)
-            .filter("_copies > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        )
-        pick = F.pmod(fx.hash_int(fx.hash_key(f"{seed}:pick", id_col, "copy")), F.lit(k)) + 1
-        planned = planned.select(
-            id_col,
-            "copy",
-            F.element_at("neighbors", pick.cast("int"))["neighbor"].alias("_neighbor"),
-            fx.hash_uniform(f"{seed}:u", id_col, "copy").alias("_u"),
-        )
-        other = members.select(F.col(id_col).alias("_neighbor"), F.col(vec).alias("_to"))
-        grown = (
-            planned.join(members.select(id_col, label, F.col(vec).alias("_from")), id_col)
-            .join(other, "_neighbor")
-            .select(
-                id_col,
-                label,
-                F.zip_with("_from", "_to", lambda a, b: a + F.col("_u") * (b - a)).alias(vec),
-                "copy",
-            )
-        )
-        parts.append(grown)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(id_col, "copy", label, vec)
+    sizes = rows.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+    small = sizes.filter(F.col("_n") < biggest)
+    short = small.filter(F.col("_n") <= k).first()
+    if short:
+        raise ValueError(f"class {short['_class']!r} has {short['_n']} rows, needs more than k={k}")
+    small = stage_table(small.withColumn("_deficit", biggest - F.col("_n")), "small-classes")
+    members = rows.join(small, F.col(label).eqNullSafe(F.col("_class")))
+    key = fx.hash_key(seed, id_col)
+    # rows of a class in hash order; the first get one copy more
+    ranked = dist_rank(members.withColumn("_key", key), "_key", "_rank", by=["_class"])
+    extra = F.when(F.col("_rank") <= F.col("_deficit") % F.col("_n"), 1).otherwise(0)
+    ranked = ranked.withColumn("_copies", F.floor(F.col("_deficit") / F.col("_n")) + extra)
+    ranked = stage_table(ranked.select(id_col, label, vec, "_copies"), "smote-members")
+    lists = nearest_lists(
+        ranked, ranked, k, query_id=id_col, base_id=id_col, query_vec=vec, base_vec=vec,
+        exclude_self=True, by=label, payload=vec,
+    )
+    planned = (
+        ranked.filter("_copies > 0")
+        .join(lists, id_col)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    )
+    pick = F.pmod(fx.hash_int(fx.hash_key(f"{seed}:pick", id_col, "copy")), F.lit(k)) + 1
+    to = F.element_at("neighbors", pick.cast("int"))["payload"]
+    u = fx.hash_uniform(f"{seed}:u", id_col, "copy")
+    grown = planned.select(id_col, label, "copy", F.col(vec).alias("_from"), to.alias("_to"), u.alias("_u"))
+    moved = F.zip_with("_from", "_to", lambda x, y: x + F.col("_u") * (y - x))
+    grown = grown.select(id_col, "copy", label, moved.alias(vec))
+    return rows.select(id_col, F.lit(0).alias("copy"), label, vec).unionByName(grown)

@@ -221,9 +221,9 @@ def knn_join_query(spark, sf):
     " round(distance, 6) AS distance FROM d WHERE rank <= 3",
 )
 def knn_join_cells(spark, sf):
-    """The same join by the path of large bases: pivots, cells and chunk pairs."""
+    """The same join with blocks of a few rows, so that many cells meet and are merged."""
     v = _vectors(spark, sf)
-    return rounded(knn_join(v, v, 3, **SELF, small_rows=1, chunk_rows=256), "distance")
+    return rounded(knn_join(v, v, 3, **SELF, block_bytes=256 * 64 * 8), "distance")
 
 
 @query(

@@ -271,8 +271,7 @@ def test_folds_are_balanced(spark):
 
 
 @pytest.mark.parametrize("p", [1, 2])
-def test_neighbours_against_brute_force_with_copies(spark, monkeypatch, p):
-    monkeypatch.setattr(neighbors, "HOT_ROWS", 25)  # the copies' key is split
+def test_neighbours_against_brute_force_with_copies(spark, p):
     rng = np.random.default_rng(5)
     points = np.round(rng.normal(size=(300, 3)), 1)
     points[:100] = points[0]  # a third of the rows are copies of one point
@@ -282,13 +281,37 @@ def test_neighbours_against_brute_force_with_copies(spark, monkeypatch, p):
     for i, v in enumerate(points):
         d = np.abs(points - v).sum(1) if p == 1 else np.sqrt(((points - v) ** 2).sum(1))
         expected[i] = [int(j) for j in np.lexsort((np.arange(300), d)) if j != i][:4]
-    for options in ({}, {"small_rows": 1, "chunk_rows": 40}):
+    for options in ({}, {"block_bytes": 40 * 24}):
         found = {}
         for r in knn_join(df, df, 4, **columns, **options).orderBy("id", "rank").collect():
             found.setdefault(r["id"], []).append(r["neighbor"])
         assert found == expected
 
 
+def test_approximate_neighbours_reach_their_recall(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 8)) * 3
+    points = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, v array<double>")
+    columns = dict(query_id="id", base_id="id", query_vec="v", base_vec="v", exclude_self=True)
+    found = {(r["id"], r["neighbor"]) for r in knn_join(df, df, 5, **columns, probes=12).collect()}
+    exact = {(r["id"], r["neighbor"]) for r in knn_join(df, df, 5, **columns).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_neighbours_within_groups_and_cell_copies(spark):
+    """Neighbours by class, payload vectors, and each row copied once per block of the other side."""
+    rng = np.random.default_rng(13)
+    rows = [(i, "abc"[i % 3] if i % 5 else None, [float(x) for x in rng.normal(size=2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, c string, v array<double>")
+    lists = neighbors.nearest_lists(df, df, 3, "id", "id", "v", "v", exclude_self=True, by="c", payload="v", block_bytes=16 * 20)
+    for r in lists.collect():
+        i, mine = r["id"], np.array(rows[r["id"]][2])
+        near = sorted((float(np.sqrt(((mine - np.array(v)) ** 2).sum())), j) for j, c, v in rows if c == rows[i][1] and j != i)[:3]
+        assert [n["neighbor"] for n in r["neighbors"]] == [j for _, j in near]
+        assert all(n["payload"] == rows[n["neighbor"]][2] for n in r["neighbors"])
+
+
 def test_distance_vote_prefers_exact_matches(spark):
     base = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 0), (3, [3.0], 0)], "id int, v array<double>, y int")
     query = spark.createDataFrame([(10, [0.0]), (11, [2.0])], "q int, v array<double>")

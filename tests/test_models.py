@@ -56,14 +56,12 @@ def test_models_learn_save_and_load(spark, data, name):
     assert same.filter(F.abs(F.col("p") - F.col("probability")) > 1e-9).isEmpty()
 
 
-def test_knn_scores_are_the_same_with_a_large_training_table(spark, data, monkeypatch):
+def test_knn_scores_are_the_same_in_small_blocks(spark, data, monkeypatch):
     model = fit_model(data, CASE_SPEC, make_classifier("knn", k=3))
     some = data.orderBy("event_id").limit(60)
     small = {r["event_id"]: r["probability"] for r in predict(model, some).collect()}
-    monkeypatch.setattr(models, "SMALL_ROWS", 1)
-    monkeypatch.setattr(neighbors, "HOT_ROWS", 1)
-    # the search inside takes its own default, so the rows still meet by key
-    large = {r["event_id"]: r["probability"] for r in predict(model, some).collect()}
+    monkeypatch.setattr(neighbors.nearest_lists, "__defaults__", (*neighbors.nearest_lists.__defaults__[:-1], 1000))
+    large = {r["event_id"]: r["probability"] for r in predict(model, some.unionByName(some)).collect()}
     assert small == pytest.approx(large)
 
 
