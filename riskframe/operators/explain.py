@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,9 +23,6 @@ from riskframe.operators.project import sample_rows
 from riskframe.operators.ranking import dist_rank
 from riskframe.session import scratch_path
 
-# A forest is carried to the tasks; its leaves are bounded by its own parameters and checked here.
-MAX_LEAVES = 2_000_000
-
 
 # ---- importances -------------------------------------------------------------------------------
 
@@ -118,17 +115,27 @@ def linear_contributions(
     )
 
 
+def linear_rows(
+    encoded: DataFrame, id_col: str, coefficients: dict[str, float], means: dict[str, float]
+) -> DataFrame:
+    """The same within the row: (id, impacts, encoded values), arrays in the order of `coefficients`."""
+    impacts = [F.lit(c) * (F.col(f"`{f}`") - F.lit(means[f])) for f, c in coefficients.items()]
+    values = [F.col(f"`{f}`").cast("double") for f in coefficients]
+    return encoded.select(id_col, F.array(*impacts).alias("impacts"), F.array(*values).alias("encoded"))
+
+
 def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     row = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
 
-def tree_leaves(model) -> tuple[list[dict], float]:
+def tree_leaves(model) -> tuple[list[dict[str, np.ndarray]], float]:
     """Leaves of a fitted Spark tree ensemble, and the expected output over the training cover.
 
-    Read from the model's own saved node table. Each leaf holds, per feature on its path, the value
-    interval, the categories allowed and the share of cover that follows the path at that feature's
-    splits. Boosted trees are in margin units, forests in units of the positive probability.
+    Read from the model's own saved node table. The leaves come as one group of arrays per number of features
+    on their paths: per leaf and feature the value interval, the bits of the categories allowed, and the
+    share of cover that follows the path at that feature's splits. Boosted trees are in margin units, forests in
+    units of the positive probability.
     """
     from pyspark.sql import SparkSession
 
@@ -139,26 +146,24 @@ def tree_leaves(model) -> tuple[list[dict], float]:
     nodes = spark.read.parquet(f"{path}/data").select(*columns)
     if "nodeData" in nodes.columns:
         nodes = nodes.select("treeID", "nodeData.*")
-    count = nodes.count()
-    if count > 2 * MAX_LEAVES:
-        raise ValueError(f"{count} nodes are too many to carry to the tasks")
     weights = list(getattr(model, "treeWeights", [1.0]))
     forest = "GBT" not in type(model).__name__
     trees: dict[int, dict[int, object]] = {}
-    for r in nodes.collect():
+    for r in nodes.collect():  # the model itself, which the driver holds anyway
         trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves, base = [], 0.0
+    groups: dict[int, list[tuple]] = {}
+    base = 0.0
+    free = (-math.inf, math.inf, -1, 1.0)
     for t, table in trees.items():
         scale = weights[t] / sum(weights) if forest else weights[t]
         stack = [(table[0], {})]
         while stack:
-            node, path_parts = stack.pop()
+            node, parts = stack.pop()
             if node["leftChild"] < 0:
                 stats = node["impurityStats"]
-                value = stats[1] / sum(stats) if forest else node["prediction"]
-                share = math.prod(p["share"] for p in path_parts.values())
-                leaves.append({"value": scale * value, "path": path_parts})
-                base += scale * value * share
+                value = scale * (stats[1] / sum(stats) if forest else node["prediction"])
+                base += value * math.prod(p[3] for p in parts.values())
+                groups.setdefault(len(parts), []).append((value, list(parts), list(parts.values())))
                 continue
             left, right = table[node["leftChild"]], table[node["rightChild"]]
             f = node["split"]["featureIndex"]
@@ -166,76 +171,95 @@ def tree_leaves(model) -> tuple[list[dict], float]:
             categorical = node["split"]["numCategories"] > -1
             cover = left["rawCount"] + right["rawCount"]
             for child, goes_left in ((left, True), (right, False)):
-                part = dict(
-                    path_parts.get(
-                        f, {"low": -math.inf, "high": math.inf, "in": None, "out": (), "share": 1.0}
-                    )
-                )
-                part["share"] *= child["rawCount"] / cover
+                low, high, bits, share = parts.get(f, free)
                 if categorical:
-                    if goes_left:
-                        part["in"] = set(values) & (part["in"] if part["in"] is not None else set(values))
-                    else:
-                        part["out"] = (*part["out"], *values)
+                    chosen = sum(1 << int(v) for v in values)
+                    bits &= chosen if goes_left else ~chosen
                 elif goes_left:
-                    part["high"] = min(part["high"], values[0])
+                    high = min(high, values[0])
                 else:
-                    part["low"] = max(part["low"], values[0])
-                stack.append((child, {**path_parts, f: part}))
-    return leaves, base
+                    low = max(low, values[0])
+                stack.append((child, {**parts, f: (low, high, bits, share * child["rawCount"] / cover)}))
+    arrays = []
+    for d, leaves in sorted(groups.items()):
+        if not d:
+            continue  # a tree without a split moves the base only
+        parts = np.array([[p[:2] + p[3:] for p in leaf[2]] for leaf in leaves], dtype=float)
+        bits = [[p[2] for p in leaf[2]] for leaf in leaves]
+        arrays.append(
+            {
+                "value": np.array([leaf[0] for leaf in leaves]),
+                "feature": np.array([leaf[1] for leaf in leaves]),
+                "low": parts[:, :, 0],
+                "high": parts[:, :, 1],
+                "share": parts[:, :, 2],
+                # most models split numbers only
+                "bits": np.array(bits, dtype=object) if any(x != -1 for row in bits for x in row) else None,
+            }
+        )
+    return arrays, base
+
 
+# Numbers held at a time while leaves meet rows.
+LEAF_CELLS = 4_000_000
 
-def _leaf_contributions(x: np.ndarray, leaf: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """(feature, contribution of one leaf) for a batch of rows.
 
-    A leaf is a product over its path's features: 1 or 0 when the feature is known, its cover share
-    when not. The Shapley value of such a product needs, per feature, the sums over subsets of the
-    others by size, which are the coefficients of prod(share + hit * z).
+def leaf_impacts(x: np.ndarray, group: dict[str, np.ndarray], out: np.ndarray) -> None:
+    """Add the contributions of a group of leaves to `out` (features x rows), leaves and rows at once.
+
+    A leaf is a product over its path's features: 1 or 0 when the feature is known, its cover share when
+    not. The Shapley value of feature i in such a product is (hit_i - share_i) times the integral over t in
+    [0, 1] of the product over the others of share (1 - t) + hit t. That is a polynomial of degree d - 1, so
+    Gauss-Legendre quadrature with d / 2 nodes is exact.
     """
-    feats = list(leaf["path"])
-    d = len(feats)
-    hits = np.empty((d, len(x)))
-    shares = np.empty(d)
-    for i, f in enumerate(feats):
-        p, col = leaf["path"][f], x[:, f]
-        ok = (col > p["low"]) & (col <= p["high"])
-        if p["in"] is not None:
-            ok &= np.isin(col, list(p["in"]))
-        if p["out"]:
-            ok &= ~np.isin(col, list(p["out"]))
-        hits[i], shares[i] = ok, p["share"]
-    weight = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
-    for i in range(d):
-        poly = np.zeros((d, len(x)))
-        poly[0] = 1.0
+    n, d = len(x), group["feature"].shape[1]
+    at, weight = np.polynomial.legendre.leggauss((d + 1) // 2)
+    at, weight = (at + 1) / 2, weight / 2
+    step = max(1, LEAF_CELLS // (n * d))
+    columns = np.ascontiguousarray(x.T)
+    for start in range(0, len(group["value"]), step):
+        part = slice(start, start + step)
+        feature = group["feature"][part]
+        v = columns[feature]
+        hit = (v > group["low"][part][:, :, None]) & (v <= group["high"][part][:, :, None])
+        if group["bits"] is not None:
+            for i, j in zip(*np.nonzero(group["bits"][part] != -1)):
+                bits = group["bits"][part][i, j]
+                known = np.unique(v[i, j])
+                allowed = known[[bool(bits >> int(c) & 1) for c in known]]
+                hit[i, j] &= np.isin(v[i, j], allowed)
+        hit = hit.astype(float)
+        share = group["share"][part][:, :, None]
+        total = np.zeros_like(hit)
+        for t, w in zip(at, weight):
+            factor = share * (1 - t) + hit * t
+            total += w * factor.prod(axis=1, keepdims=True) / factor
+        total *= (hit - share) * group["value"][part][:, None, None]
         for j in range(d):
-            if j != i:
-                raised = np.roll(poly, 1, axis=0)
-                raised[0] = 0.0
-                poly = poly * shares[j] + raised * hits[j]
-        total = sum(w * poly[s] for s, w in enumerate(weight))
-        yield feats[i], leaf["value"] * (hits[i] - shares[i]) * total
+            np.add.at(out, feature[:, j], total[:, j])
 
 
 def tree_impacts(final) -> tuple[F.Column, float]:
     """(expression over `features` giving one contribution per transformed feature, base).
 
-    Path-dependent contributions (Lundberg et al. 2018). The leaves travel to the tasks and rows are
-    only mapped, never shuffled.
+    Path-dependent contributions (Lundberg et al. 2018). The leaves travel to the tasks as flat arrays, as
+    large as the model, and rows are only mapped, never shuffled.
     """
+    from pyspark.sql import SparkSession
+
     leaves, base = tree_leaves(final)
     width = final.numFeatures
+    model = SparkSession.active().sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")
     def impacts(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
         x = np.stack(vectors.to_numpy())
-        out = np.zeros((len(x), width))
-        for leaf in leaves:
-            for f, impact in _leaf_contributions(x, leaf):
-                out[:, f] += impact
-        return pd.Series(list(out))
+        out = np.zeros((width, len(x)))
+        for group in model.value:
+            leaf_impacts(x, group, out)
+        return pd.Series(list(np.ascontiguousarray(out.T)))
 
     return impacts(vector_to_array("features")), base
 
@@ -503,19 +527,20 @@ def global_summary(contributions: DataFrame) -> DataFrame:
     )
 
 
-def beeswarm(contributions: DataFrame, encoded: DataFrame, id_col: str, k: int) -> DataFrame:
-    """(id, feature, impact, value) for the k features with the largest mean |impact|."""
-    top = [r["feature"] for r in global_summary(contributions).limit(k).collect()]
-    present = [c for c in top if c in encoded.columns]
+def beeswarm(rows: DataFrame, names: Sequence[str], id_col: str, k: int) -> DataFrame:
+    """(id, feature, impact, value) for the k features with the largest mean |impact|.
+
+    `rows` has the arrays `impacts` and `encoded` in the order of `names`; impact and value of a feature leave
+    the row together. Ties in the mean go by name.
+    """
+    means = rows.agg(*[F.avg(F.abs(F.col("impacts")[i])).alias(f"m{i}") for i in range(len(names))]).first()
+    size = lambda i: round(means[f"m{i}"] or 0.0, 9)
+    top = sorted(range(len(names)), key=lambda i: (-size(i), names[i]))[:k]
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"))
-        for c in present
+        F.struct(F.lit(names[i]).alias("feature"), F.col("impacts")[i].alias("impact"), F.col("encoded")[i].alias("value"))
+        for i in top
     ]
-    values = encoded.select(id_col, F.explode(F.array(*entries)).alias("e")).select(
-        id_col, "e.feature", "e.value"
-    )
-    shown = contributions.filter(F.col("feature").isin(present))
-    return shown.join(values, [id_col, "feature"])
+    return rows.select(id_col, F.explode(F.array(*entries)).alias("e")).select(id_col, "e.*")
 
 
 def uncertain_samples(
@@ -549,3 +574,19 @@ def waterfall(contributions: DataFrame, id_col: str, base: float) -> DataFrame:
         (F.lit(base) + F.sum("impact").over(running)).alias("running_total"),
     )
 
+
+def waterfall_steps(parts, base: float) -> F.Column:
+    """The same within the row: array of (step, feature, impact, base_value, running_total) from (feature, impact)."""
+    ordered = fx.top_by_magnitude(parts, 2**31 - 1)
+
+    def steps(found):
+        def step(x, i):
+            upto = F.aggregate(F.slice(found, 1, i + 1), F.lit(float(base)), lambda a, y: a + y["impact"])
+            return F.struct(
+                (i + 1).alias("step"), x["feature"].alias("feature"), x["impact"].alias("impact"),
+                F.lit(float(base)).alias("base_value"), upto.alias("running_total"),
+            )
+
+        return F.transform(found, step)
+
+    return F.element_at(F.transform(F.array(ordered), steps), 1)

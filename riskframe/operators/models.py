@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PolynomialExpansion, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -27,6 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe import functions as fx
+from riskframe.operators.metrics import score_to_probability
 from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
@@ -74,6 +75,29 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
         return df.withColumn(self.getOrDefault("outputCol"), mapped)
 
 
+class RandomMaclaurinFeatures(RandomFourierFeatures):
+    """Products of random signs' projections, whose inner products estimate (gamma x.y)^3 (Kar & Karnick 2012).
+
+    The width is `dim` for any number of features.
+    """
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        dim, gamma = self.getOrDefault("dim"), self.getOrDefault("gamma")
+        seed = self.getOrDefault("seed")
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            points = np.stack(x.to_numpy()) * math.sqrt(gamma)
+            rng = np.random.default_rng(seed)  # the same projection in every task
+            signs = rng.choice([-1.0, 1.0], size=(3, points.shape[1], dim))
+            return pd.Series(list((points @ signs[0]) * (points @ signs[1]) * (points @ signs[2]) / math.sqrt(dim)))
+
+        mapped = array_to_vector(project(vector_to_array(self.getOrDefault("inputCol"))))
+        return df.withColumn(self.getOrDefault("outputCol"), mapped)
+
+
 def _kernel_width(df: DataFrame, gamma) -> float:
     """Resolve 'scale' (1 / (features * variance over all entries)) and 'auto' (1 / features)."""
     if not isinstance(gamma, str):
@@ -91,7 +115,8 @@ def _kernel_width(df: DataFrame, gamma) -> float:
 class KernelSvmClassifier(Estimator):
     """Linear SVM on a kernel feature map, with Platt probabilities from held-out margins.
 
-    The RBF kernel is approximated by random Fourier features; the polynomial one is expanded.
+    The RBF kernel is approximated by random Fourier features, the polynomial one of degree 3 by random
+    Maclaurin features; both take `gamma` and have `dim` columns whatever the number of features.
     The class is the sign of the margin; the probability is a logistic fit to margins of rows the
     margin model did not see.
     """
@@ -119,17 +144,13 @@ class KernelSvmClassifier(Estimator):
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         seed, folds = self.getOrDefault("seed"), self.getOrDefault("folds")
-        if self.kernel == "rbf":
-            mapper = RandomFourierFeatures(
-                outputCol="kernel_features",
-                dim=self.getOrDefault("dim"),
-                gamma=_kernel_width(df, self.gamma),
-                seed=seed,
-            )
-        else:
-            mapper = PolynomialExpansion(
-                degree=3, inputCol="features", outputCol="kernel_features"
-            )
+        kind = RandomFourierFeatures if self.kernel == "rbf" else RandomMaclaurinFeatures
+        mapper = kind(
+            outputCol="kernel_features",
+            dim=self.getOrDefault("dim"),
+            gamma=_kernel_width(df, self.gamma),
+            seed=seed,
+        )
         part = F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features")), F.lit(folds))
         mapped = mapper.transform(df).select("label", "kernel_features", part.alias("_part")).persist()
         try:
@@ -223,7 +244,9 @@ def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
     if name == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="label", **options)
     tree = RandomForestClassifier if name == "random_forest" else GBTClassifier
-    return tree(featuresCol="features", labelCol="label", seed=seed, **options)
+    made = tree(featuresCol="features", labelCol="label", seed=seed, **options)
+    made.encoding = "target" if name == "catboost" else "one_hot"
+    return made
 
 
 def get_models(seed: int = RANDOM_SEED) -> dict:
@@ -254,24 +277,38 @@ def target_encoder(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
     return PipelineModel([numeric, index, encode, assemble])
 
 
+def out_of_fold_encoded(df: DataFrame, spec: FeatureSpec, folds: int = 5, seed: int = RANDOM_SEED) -> DataFrame:
+    """Training rows with `features`, their categories encoded by the labels of the other folds only."""
+    parted = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), spec.id), F.lit(folds)))
+    out = None
+    for j in range(folds):
+        rest, own = (parted.filter(F.col("_fold") != j), parted.filter(F.col("_fold") == j))
+        part = target_encoder(rest, spec).transform(own).select("label", "features", spec.id)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fit_model(
     train: DataFrame,
     spec: FeatureSpec,
     classifier,
     resample: bool = False,
     seed: int = RANDOM_SEED,
-    encoding: str = "one_hot",
+    encoding: str | None = None,
 ) -> PipelineModel:
     """Preprocessing and classifier fitted on the training rows only.
 
-    Oversampling happens between the two and only here, so it never touches rows that are scored.
+    Oversampling happens between the two and only here, so it never touches rows that are scored. With target
+    encoding, which the third boosting preset has by default, training rows are encoded out of fold and
+    scored rows by all training rows.
     """
+    encoding = encoding or getattr(classifier, "encoding", "one_hot")
     rows = train.withColumn("label", F.col(spec.label).cast("double"))
     if encoding == "target":
         prepare = target_encoder(rows, spec)
     else:
         prepare = preprocessor(spec).fit(rows)
-    ready = prepare.transform(rows)
+    ready = out_of_fold_encoded(rows, spec, seed=seed) if encoding == "target" else prepare.transform(rows)
     if resample:
         grown = smote(
             ready.select(spec.id, "label", vector_to_array("features").alias("x")),
@@ -294,14 +331,18 @@ def fit_model(
     return PipelineModel(stages)
 
 
-def predict(model, df: DataFrame) -> DataFrame:
-    """The given columns plus `prediction` (int) and `probability` of the positive class."""
+def predict(model, df: DataFrame, margin: str = "sigmoid") -> DataFrame:
+    """The given columns plus `prediction` (int) and `probability` of the positive class.
+
+    A model with a bare margin gets its sigmoid, or with `margin="minmax"` the margin scaled over the batch.
+    """
     scored = model.transform(df)
     if "probability" in scored.columns:
         plain = scored.schema["probability"].dataType.typeName() == "double"
         probability = F.col("probability") if plain else vector_to_array("probability")[1]
     elif "rawPrediction" in scored.columns:
-        probability = fx.sigmoid(vector_to_array("rawPrediction")[1])
+        bare = scored.withColumn("_margin", vector_to_array("rawPrediction")[1])
+        scored, probability = score_to_probability(bare, "_margin", margin), F.col("probability")
     else:
         probability = F.lit(0.0)
     return scored.select(

@@ -30,7 +30,7 @@ class Candidate:
     model: str
     settings: dict = field(default_factory=dict)
     resample: bool = False
-    encoding: str = "one_hot"
+    encoding: str | None = None
 
     def estimator(self, seed: int):
         return make_classifier(self.model, seed, **self.settings)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe import functions as fx
 from riskframe.operators import explain as X, preprocess as R
 from riskframe.operators.models import fit_model, make_classifier, predict
 from riskframe.plans.score import explain_records
@@ -72,6 +73,19 @@ def _contributions(spark, sf):
     return X.linear_contributions(encoded, "event_id", COEFFICIENTS, means), model
 
 
+def _rows(spark, sf):
+    """The same contributions as arrays within the row."""
+    encoded, model = _encoded(spark, sf)
+    means = X.column_means(encoded, list(COEFFICIENTS))
+    return X.linear_rows(encoded, "event_id", COEFFICIENTS, means), model
+
+
+def _rolled(spark, sf):
+    """(rows, expression giving their (feature, impact) per raw feature)."""
+    rows, model = _rows(spark, sf)
+    return rows, X.roll_up(list(COEFFICIENTS), model.raw_names)
+
+
 @query("linear_shap", _with_contributions("SELECT event_id, feature, round(impact, 6) + 0.0 AS impact FROM contributions"))
 def linear_shap(spark, sf):
     return rounded(_contributions(spark, sf)[0], "impact")
@@ -89,8 +103,8 @@ def write_contributions_query(spark, sf):
     _with_contributions("SELECT event_id, raw AS feature, round(sum(impact), 6) + 0.0 AS impact FROM contributions GROUP BY event_id, raw"),
 )
 def aggregate_contributions(spark, sf):
-    long, model = _contributions(spark, sf)
-    return rounded(X.aggregate_contributions(long, "event_id", model.raw_names), "impact")
+    rows, parts = _rolled(spark, sf)
+    return rounded(rows.select("event_id", F.explode(parts).alias("p")).select("event_id", "p.*"), "impact")
 
 
 @query(
@@ -102,12 +116,9 @@ def aggregate_contributions(spark, sf):
     ),
 )
 def top_contributions(spark, sf):
-    long, model = _contributions(spark, sf)
-    rolled = X.aggregate_contributions(long, "event_id", model.raw_names)
-    top = X.top_contributions(rolled, "event_id", 3)
-    rows = top.select("event_id", F.posexplode("top_features").alias("p", "t"))
-    named = rows.select("event_id", (F.col("p") + 1).alias("rank"), "t.feature", "t.impact")
-    return rounded(named, "impact")
+    rows, parts = _rolled(spark, sf)
+    top = rows.select("event_id", F.posexplode(fx.top_by_magnitude(parts, 3)).alias("p", "t"))
+    return rounded(top.select("event_id", (F.col("p") + 1).alias("rank"), "t.feature", "t.impact"), "impact")
 
 
 @query(
@@ -126,10 +137,7 @@ def global_shap_summary(spark, sf):
     ),
 )
 def beeswarm_data(spark, sf):
-    long, _ = _contributions(spark, sf)
-    encoded, _ = _encoded(spark, sf)
-    out = X.beeswarm(stage_table(long, "contributions"), encoded, "event_id", 4)
-    return rounded(out, "impact", "value")
+    return rounded(X.beeswarm(_rows(spark, sf)[0], list(COEFFICIENTS), "event_id", 4), "impact", "value")
 
 
 @query(
@@ -142,9 +150,9 @@ def beeswarm_data(spark, sf):
     ),
 )
 def waterfall_table(spark, sf):
-    long, model = _contributions(spark, sf)
-    rolled = X.aggregate_contributions(long, "event_id", model.raw_names)
-    return rounded(X.waterfall(rolled, "event_id", 0.25), "impact", "running_total")
+    rows, parts = _rolled(spark, sf)
+    steps = rows.select("event_id", F.explode(X.waterfall_steps(parts, 0.25)).alias("s"))
+    return rounded(steps.select("event_id", "s.*"), "impact", "running_total")
 
 
 # ---- a rule model over raw columns ------------------------------------------------------------------

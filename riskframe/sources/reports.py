@@ -62,7 +62,7 @@ def write_document(doc: DataFrame, path: str) -> None:
 
 
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", schema).alias("doc"))
 
 
@@ -108,7 +108,7 @@ def read_search_results(spark: SparkSession, folder: str) -> DataFrame:
             [], "algorithm string, rank int, mean_score double, std_score double"
         )
     # every file decides for itself: a JSON array, one object, or one object per line
-    text = spark.read.option("wholetext", True).text(pattern)
+    text = spark.read.text(pattern, wholetext=True)
     many = T.ArrayType(_SEARCH_SCHEMA)
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     each = F.transform(lines, lambda x: F.from_json(x, _SEARCH_SCHEMA))

@@ -19,6 +19,7 @@ MAPS = [
     "project_features", "binarize_label", "normalize_gender", "align_offset", "validate_rows_rejected",
     "median_impute", "mode_impute", "encode_features", "stratified_split", "stratified_folds",
     "predict_rows", "score_records", "linear_shap", "risk_label",
+    "aggregate_contributions", "top_contributions", "waterfall_table", "beeswarm_data",
 ]
 
 
