@@ -40,8 +40,8 @@ HEADLINE = [
     "leaderboard_with_stability",
     # models
     "fit_logistic",
-    "fit_xgboost_preset",
-    "fit_random_forest",
+    "fit_xgboost_10_rounds",
+    "fit_random_forest_20_trees",
     "risk_model_holdout",
     # scoring and explanation
     "score_records",

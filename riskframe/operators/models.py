@@ -31,7 +31,7 @@ from riskframe.operators.metrics import score_to_probability
 from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
-from riskframe.session import scratch_path, sized_for_cores
+from riskframe.session import scratch_path, sized
 from riskframe.spec import RANDOM_SEED, FeatureSpec
 
 TREE_MODELS = ("xgboost", "lightgbm", "catboost", "random_forest")
@@ -295,18 +295,21 @@ def fit_model(
     resample: bool = False,
     seed: int = RANDOM_SEED,
     encoding: str | None = None,
+    prepare=None,
 ) -> PipelineModel:
     """Preprocessing and classifier fitted on the training rows only.
 
     Oversampling happens between the two and only here, so it never touches rows that are scored. With target
     encoding, which the third boosting preset has by default, training rows are encoded out of fold and
     scored rows by all training rows.
+
+    `prepare`, a preprocessor fitted on these rows, saves fitting it again.
     """
     encoding = encoding or getattr(classifier, "encoding", "one_hot")
     rows = train.withColumn("label", F.col(spec.label).cast("double"))
     if encoding == "target":
         prepare = target_encoder(rows, spec)
-    else:
+    elif prepare is None:
         prepare = preprocessor(spec).fit(rows)
     ready = out_of_fold_encoded(rows, spec, seed=seed) if encoding == "target" else prepare.transform(rows)
     if resample:
@@ -318,9 +321,7 @@ def fit_model(
     else:
         ready = ready.select("label", "features")
     first = ready.persist()
-    ready = sized_for_cores(first, first.count())
-    if ready is not first:
-        ready = ready.persist()
+    ready = sized(first, first.count()).persist()
     try:
         fitted = classifier.fit(ready)
     finally:
@@ -350,10 +351,3 @@ def predict(model, df: DataFrame, margin: str = "sigmoid") -> DataFrame:
         F.col("prediction").cast("int").alias("prediction"),
         probability.alias("probability"),
     )
-
-
-def model_settings(classifier) -> str:
-    """Settings of an estimator as JSON, for reports."""
-    return json.dumps(
-        {p.name: v for p, v in classifier.extractParamMap().items()}, default=str, sort_keys=True
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from hashlib import md5
@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.operators import explain as X, metrics as M, summaries as S
 from riskframe.operators.models import fit_model, make_classifier, predict
+from riskframe.operators.preprocess import preprocessor
 from riskframe.operators.project import head
 from riskframe.operators.split import stratified_folds, stratified_split
-from riskframe.session import spread, stage_table
+from riskframe.plans.report import certification_report, write_certification
+from riskframe.session import scratch_path, spread, stage_table
 from riskframe.sources.registry import save_model
+from riskframe.sources.reports import nested_fold_report, nested_report, write_document
 from riskframe.spec import CLINICAL_STANDARD, CV_METRICS, RANDOM_SEED, FeatureSpec
 
 
@@ -35,8 +38,8 @@ class Candidate:
     def estimator(self, seed: int):
         return make_classifier(self.model, seed, **self.settings)
 
-    def fit(self, df: DataFrame, spec: FeatureSpec, seed: int):
-        return fit_model(df, spec, self.estimator(seed), self.resample, seed, self.encoding)
+    def fit(self, df: DataFrame, spec: FeatureSpec, seed: int, prepare=None):
+        return fit_model(df, spec, self.estimator(seed), self.resample, seed, self.encoding, prepare)
 
 
 def _run(spark: SparkSession, tasks, parallelism: int) -> list:
@@ -59,44 +62,42 @@ def cross_validate(
 
     Scores are long, (model, fold, id, label, prediction, probability), one row per model and
     training row. Preprocessing and oversampling are fitted on the training folds only. Folds are
-    filters on one written table, never copies of it.
+    file-pruning filters on one written table, and all scores are one dataset.
     """
     if not candidates:
         raise ValueError("no candidates")
-    folds = stage_table(
-        spread(
-            stratified_folds(
-                df.select(spec.id, *spec.features, spec.label), spec.label, spec.id, k, seed
-            )
-        ),
-        "folds",
-    )
+    spark = df.sparkSession
+    parted = stratified_folds(df.select(spec.id, *spec.features, spec.label), spec.label, spec.id, k, seed)
+    folds = stage_table(spread(parted), "folds", by="fold")
+    train = [folds.filter(F.col("fold") != j) for j in range(k)]
+    # preprocessing depends on the fold alone, so the candidates share it
+    shared = any(isinstance(c, Candidate) for c in candidates)
+    prepared = _run(spark, [lambda t=t: preprocessor(spec).fit(t) for t in train], parallelism) if shared else [None] * k
+    paths = []
+
+    def task(c, j: int):
+        path = scratch_path(spark, "fold-scores")
+        paths.append(path)
 
-    def task(c: Candidate, j: int):
         def run():
             t0 = time.time()
-            model = c.fit(folds.filter(F.col("fold") != j), spec, seed)
+            model = c.fit(train[j], spec, seed, prepared[j])
             t1 = time.time()
-            scored = predict(model, folds.filter(F.col("fold") == j)).select(
+            predict(model, folds.filter(F.col("fold") == j)).select(
                 F.lit(c.name).alias("model"),
                 (F.col("fold") + 1).alias("fold"),
                 F.col(spec.id).alias("id"),
                 F.col(spec.label).cast("int").alias("label"),
                 "prediction",
                 "probability",
-            )
-            scored = stage_table(scored, "fold-scores")
-            return scored, (c.name, j + 1, t1 - t0, time.time() - t1)
+            ).write.parquet(path)
+            return c.name, j + 1, t1 - t0, time.time() - t1
 
         return run
 
-    done = _run(df.sparkSession, [task(c, j) for c in candidates for j in range(k)], parallelism)
-    scores = done[0][0]
-    for s, _ in done[1:]:
-        scores = scores.unionByName(s)
-    timings = df.sparkSession.createDataFrame(
-        [t for _, t in done], "model string, fold int, fit_time double, score_time double"
-    )
+    done = _run(spark, [task(c, j) for c in candidates for j in range(k)], parallelism)
+    scores = spark.read.parquet(*paths)
+    timings = spark.createDataFrame(done, "model string, fold int, fit_time double, score_time double")
     return scores, timings
 
 
@@ -269,6 +270,24 @@ def refit_top_k(
     return spark.createDataFrame(saved, "algorithm string, rank int, path string")
 
 
+class Evaluation(Mapping):
+    """Tables of an evaluation by name, each built when it is first asked for."""
+
+    def __init__(self, builders: dict):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name](self)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 def evaluate_holdout(
     spark: SparkSession,
     model,
@@ -276,44 +295,44 @@ def evaluate_holdout(
     spec: FeatureSpec,
     n_repeats: int = 10,
     seed: int = RANDOM_SEED,
-) -> dict[str, DataFrame]:
-    """Score without refitting; metrics, report, confusion, curves and importances as tables."""
-    scores = stage_table(
-        predict(model, holdout.select(spec.id, *spec.features, spec.label)).select(
-            spec.id, F.col(spec.label).cast("int").alias("label"), "prediction", "probability"
-        ),
-        "holdout-scores",
-    )
-    thresholds = M.threshold_table(scores)
-    ranks = M.ranking_metrics(thresholds).first()
-    metrics = M.basic_metrics(scores).select(
-        "accuracy",
-        "precision",
-        "recall",
-        "f1",
-        F.lit(ranks["roc_auc"]).cast("double").alias("roc_auc"),
-        F.col("n_samples").alias("n_test"),
+    margin: str = "minmax",
+) -> Evaluation:
+    """Score without refitting; metrics, report, confusion, curves and importances as tables.
+
+    A model with a bare margin is scaled over the batch. The rows are scored once and written; everything
+    else is built on demand.
+    """
+    rows = holdout.select(spec.id, *spec.features, spec.label)
+
+    def scores(_):
+        label = F.col(spec.label).cast("int").alias("label")
+        return stage_table(predict(model, rows, margin).select(spec.id, label, "prediction", "probability"), "holdout-scores")
+
+    def metrics(e):
+        ranks = M.ranking_metrics(e["thresholds"]).first()
+        basic = M.basic_metrics(e["scores"]).withColumn("roc_auc", F.lit(ranks["roc_auc"]).cast("double"))
+        return basic.select("accuracy", "precision", "recall", "f1", "roc_auc", F.col("n_samples").alias("n_test"))
+
+    def importance(_):
+        found = X.model_importance(spark, model)
+        if found is None:
+            score = lambda t: predict(model, t)
+            found = X.permutation_importance(score, rows, spec.label, spec.id, spec.features, n_repeats, seed)
+            found = found.drop("importance_std")
+        return found
+
+    return Evaluation(
+        {
+            "scores": scores,
+            "thresholds": lambda e: stage_table(M.threshold_table(e["scores"]), "thresholds"),
+            "metrics": metrics,
+            "classification_report": lambda e: M.classification_report(e["scores"]),
+            "confusion_matrix": lambda e: M.confusion_matrix(e["scores"]),
+            "roc_curve": lambda e: M.roc_curve(e["thresholds"]),
+            "pr_curve": lambda e: M.pr_curve(e["thresholds"]),
+            "importance": importance,
+        }
     )
-    importance = X.model_importance(spark, model)
-    if importance is None:
-        importance = X.permutation_importance(
-            lambda t: predict(model, t),
-            holdout.select(spec.id, *spec.features, spec.label),
-            spec.label,
-            spec.id,
-            spec.features,
-            n_repeats,
-            seed,
-        ).drop("importance_std")
-    return {
-        "scores": scores,
-        "metrics": metrics,
-        "classification_report": M.classification_report(scores),
-        "confusion_matrix": M.confusion_matrix(scores),
-        "roc_curve": M.roc_curve(thresholds),
-        "pr_curve": M.pr_curve(thresholds),
-        "importance": importance,
-    }
 
 
 def evaluate_saved_models(
@@ -347,7 +366,10 @@ def holdout_protocol(
 ) -> dict:
     """Tune and cross-validate on the development rows, judge once on rows never seen, then refit.
 
-    Unlike a refit-then-evaluate order, the hold-out score is taken before the final fit on all rows.
+    Every candidate is judged on the hold-out rows; the winner is chosen by cross-validation alone. Unlike a
+    refit-then-evaluate order, the hold-out score is taken before the final fit on all rows. With `output`, the
+    final model is written there with its metadata, and beside it the CV report, the fold metrics and the
+    certification.
     """
     spark = df.sparkSession
     rows = stage_table(
@@ -365,10 +387,16 @@ def holdout_protocol(
     summary = S.cv_summary(folds)
     best = S.best_model(folds).first()["model"]
     winner = next(c for c in candidates if c.name == best)
-    judged = evaluate_holdout(spark, winner.fit(dev, spec, seed), gold, spec, seed=seed)
+    judged = {c.name: evaluate_holdout(spark, c.fit(dev, spec, seed), gold, spec, seed=seed) for c in candidates}
+    sizes = dev.count(), gold.count()
     final = winner.fit(rows.drop("is_test"), spec, seed)
     background = [r.asDict() for r in head(dev.select(spec.id, *spec.features), 20, spec.id).collect()]
     if output:
+        report = certification_report(summary, best, *sizes, seed)
+        write_certification(report, output)
+        write_document(nested_report(summary), f"{output.rstrip('/')}/cv_report.json")
+        write_document(nested_fold_report(folds), f"{output.rstrip('/')}/fold_metrics.json")
+        cv_results = json.loads(nested_report(summary).first()[0])
         save_model(
             spark,
             final,
@@ -379,6 +407,7 @@ def holdout_protocol(
                 "categorical_features": list(spec.categorical),
                 "target": spec.label,
                 "model_name": best,
+                "cv_results": cv_results,
                 "clinical_standard": CLINICAL_STANDARD,
                 "background_data": background,
             },
@@ -390,8 +419,9 @@ def holdout_protocol(
         "fold_metrics": folds,
         "timings": timings,
         "search": search,
-        "holdout": judged,
-        "dev_samples": dev.count(),
-        "gold_samples": gold.count(),
+        "holdout": judged[best],
+        "judged": judged,
+        "dev_samples": sizes[0],
+        "gold_samples": sizes[1],
         "seed": seed,
     }

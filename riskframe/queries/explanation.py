@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskframe import functions as fx
 from riskframe.operators import explain as X, preprocess as R
 from riskframe.operators.models import fit_model, make_classifier, predict
+from riskframe.plans.jobs import interpret_job
 from riskframe.plans.score import explain_records
 from riskframe.queries.modelling import RULE, RULE_SQL, SCORED, rule_model
 from riskframe.queries.preprocessing import IMPUTED, _z
 from riskframe.queries.registry import query
 from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, table, with_cases
 from riskframe.session import scratch_path, spread, stage_table
+from riskframe.sources.registry import save_model
 from riskframe.sources.tables import write_contributions
 
 # ---- a linear margin over encoded features ----------------------------------------------------------
@@ -183,7 +186,7 @@ def chosen_samples(spark, sf):
     return X.uncertain_samples(scored, "event_id", 25, ids=ids).drop("probability")
 
 
-BACKGROUND = "SELECT * FROM cases ORDER BY md5('42:' || CAST(event_id AS VARCHAR)) LIMIT 10"
+BACKGROUND = "SELECT * FROM cases ORDER BY md5('42:' || CAST(event_id AS VARCHAR)) LIMIT 20"
 TERMS = {
     "amount": ("0.002", "coalesce(amount, 35.0::DOUBLE)"),
     "hour": ("0.01", "coalesce(hour, 12)"),
@@ -201,7 +204,7 @@ def kernel_shap(spark, sf):
     """An additive rule, whose Shapley values are known in closed form."""
     df = spread(cases(spark, sf))
     long, _ = X.kernel_contributions(
-        lambda t: predict(rule_model(), t), df, df, "event_id", list(TERMS), max_background=10, nsamples=20
+        lambda t: predict(rule_model(), t), df, df, "event_id", list(TERMS)
     )
     return rounded(long, "impact")
 
@@ -218,7 +221,7 @@ def kernel_shap(spark, sf):
 def explain_records_query(spark, sf):
     """Prediction, base value and the strongest features of every record, one row per feature."""
     df = spread(cases(spark, sf))
-    out = explain_records(rule_model(RULE), df, df, CASE_SPEC, max_background=10, nsamples=40)
+    out = explain_records(rule_model(RULE), df, df, CASE_SPEC)
     rows = out.select(
         "event_id", "prediction", "probability", "risk", "base_value", F.explode("top_features").alias("t")
     )
@@ -226,6 +229,24 @@ def explain_records_query(spark, sf):
     return rounded(flat, "probability", "base_value", "impact")
 
 
+@query(
+    "interpret_job",
+    with_cases("").rstrip()
+    + f""", background AS ({BACKGROUND}), parts AS ({ADDITIVE}),
+    zero AS (SELECT event_id, 'kind' AS feature, 0.0::DOUBLE AS impact FROM cases),
+    shown AS (SELECT event_id FROM ({SCORED}) ORDER BY abs(probability - 0.5), event_id LIMIT 5)
+    SELECT p.event_id, p.feature, p.impact, CAST(row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.impact) DESC, p.feature) AS INTEGER) AS step
+    FROM (SELECT * FROM parts UNION ALL SELECT * FROM zero) p JOIN shown USING (event_id)""",
+)
+def interpret_job_query(spark, sf):
+    """A saved rule explained over the whole table; the waterfalls of the uncertain rows are read back."""
+    path = save_model(spark, rule_model(RULE), scratch_path(spark, "model"), {})
+    folder = scratch_path(spark, "interpretation")
+    interpret_job(spark, path, spread(cases(spark, sf)), CASE_SPEC, folder)
+    steps = spark.read.parquet(f"{folder}/waterfalls").select("event_id", "feature", "impact", "step")
+    return rounded(steps, "impact")
+
+
 ORDER_PARTS = {
     "price": ("o_totalprice", 0.0004), "customer": ("o_custkey", -0.003), "number": ("o_orderkey % 1000", 0.02),
     "year": ("year(o_orderdate)", 1.5), "month": ("month(o_orderdate)", -2.0), "day": ("day(o_orderdate)", 0.7),
@@ -257,7 +278,7 @@ PERMUTED_RULE = "coalesce(amount, 35.0::DOUBLE) * (1 + coalesce(grp, 1)) > 90"
 
 def _permuted_sql() -> str:
     keys = "'42:{s}:' || CAST(r.repeat AS VARCHAR) || ':' || CAST(event_id AS VARCHAR)"
-    numbered = "SELECT c.*, r.repeat, row_number() OVER (PARTITION BY r.repeat ORDER BY md5({k})) AS rn FROM cases c CROSS JOIN (VALUES (0), (1), (2)) r(repeat)"
+    numbered = "SELECT c.*, r.repeat, row_number() OVER (PARTITION BY r.repeat ORDER BY md5({k})) AS rn FROM cases c CROSS JOIN range(10) r(repeat)"
     here = numbered.format(k=keys.format(s="a"))
     there = numbered.format(k=keys.format(s="b"))
     rule = lambda f: PERMUTED_RULE.replace(f"coalesce({f}", f"coalesce(d.{f}").replace(
@@ -281,7 +302,7 @@ def permutation_importance(spark, sf):
     score = lambda t: t.withColumn("prediction", F.when(F.expr(rule), 1).otherwise(0))
     out = X.permutation_importance(
         score, cases(spark, sf).select("event_id", "amount", "grp", "k", "target"), "target", "event_id",
-        ["amount", "grp", "k"], n_repeats=3,
+        ["amount", "grp", "k"],
     )
     return rounded(out, "importance", "importance_std")
 
@@ -314,3 +335,26 @@ def tree_shap_adds_up(spark, sf):
     total = long.groupBy("event_id").agg((F.sum("impact") + F.lit(base)).alias("total"))
     scored = predict(model, df).select("event_id", "probability").join(total, "event_id")
     return scored.select("event_id", (F.abs(F.col("total") - F.col("probability")) < 1e-9).alias("adds_up"))
+
+
+@query("boosted_shap_adds_up", f"SELECT event_id, TRUE AS adds_up FROM ({CASES})")
+def boosted_shap_adds_up(spark, sf):
+    """The same for the margin of fitted boosted trees."""
+    df, model = _boosted(spark, sf)
+    long, base = X.tree_contributions(model, df, "event_id")
+    total = long.groupBy("event_id").agg((F.sum("impact") + F.lit(base)).alias("total"))
+    final, prepare = model.stages[-1], PipelineModel(model.stages[:-1])
+    # the classifier's probability is the logistic of twice its margin
+    scored = predict(final, prepare.transform(df)).select("event_id", "probability").join(total, "event_id")
+    return scored.select("event_id", (F.abs(1 / (1 + F.exp(-2 * F.col("total"))) - F.col("probability")) < 1e-9).alias("adds_up"))
+
+
+@query("importances_sum_to_one", "SELECT model, TRUE AS sums_to_one FROM (VALUES ('boosted'), ('forest')) v(model)" f" WHERE (SELECT count(*) FROM ({CASES})) > 0")
+def importances_sum_to_one(spark, sf):
+    df, boosted = _boosted(spark, sf)
+    forest = fit_model(df, CASE_SPEC, make_classifier("random_forest", numTrees=5, maxDepth=5))
+    rows = []
+    for name, model in (("boosted", boosted), ("forest", forest)):
+        total, least = X.model_importance(spark, model).agg(F.sum("importance"), F.min("importance")).first()
+        rows.append((name, abs(total - 1) < 1e-9 and least >= 0))
+    return spark.createDataFrame(rows, "model string, sums_to_one boolean")

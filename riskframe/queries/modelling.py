@@ -6,28 +6,35 @@ rule model, a pipeline stage whose score SQL can state.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import metrics as M, quality as Q
+from riskframe.operators.explain import feature_names
 from riskframe.operators.models import fit_model, make_classifier, predict
 from riskframe.operators.split import optional_split
 from riskframe.plans import validate as V
+from riskframe.plans.jobs import compare_job, evaluate_job
 from riskframe.plans.score import score_files, score_records
 from riskframe.queries.evaluation import AP, AUC, BASIC, BASIC_NAMES, ROUNDED_BASIC
 from riskframe.queries.preprocessing import RANKED
 from riskframe.queries.registry import query
-from riskframe.queries.tables import CASE_SPEC, cases, rounded, with_cases
+from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, with_cases
 from riskframe.session import scratch_path, spread, stage_table
-from riskframe.sources.registry import discover_models, load_model, save_model
+from riskframe.sources import reports as IO
+from riskframe.sources.registry import load_model, save_model
 from riskframe.sources.tables import write_csv
+from riskframe.spec import CV_METRICS
 from riskframe.streaming.score_stream import read_record_stream, score_stream
 
 # ---- fitted models ---------------------------------------------------------------------------------
 
 
-def _fitted(name: str, encoding: str = "one_hot", resample: bool = False, **settings):
+def _fitted(name: str, encoding: str | None = None, resample: bool = False, **settings):
     def run(spark, sf):
         df = stage_table(spread(cases(spark, sf)), "cases")
         train, holdout = optional_split(df, "target", "event_id", 0.2)
@@ -37,17 +44,42 @@ def _fitted(name: str, encoding: str = "one_hot", resample: bool = False, **sett
     return run
 
 
-query("fit_xgboost_preset")(_fitted("xgboost", maxIter=10))
-query("fit_lightgbm_preset")(_fitted("lightgbm", maxIter=10))
-query("fit_catboost_target_encoded")(_fitted("catboost", "target", maxIter=10))
-query("fit_random_forest")(_fitted("random_forest", numTrees=20, maxDepth=8))
-query("fit_svm_rbf")(_fitted("svm", maxIter=20))
-query("fit_svm_poly")(_fitted("svm", maxIter=20, kernel="poly"))
+query("fit_xgboost_preset")(_fitted("xgboost"))
+query("fit_lightgbm_preset")(_fitted("lightgbm"))
+query("fit_catboost_target_encoded")(_fitted("catboost"))
+query("fit_random_forest")(_fitted("random_forest"))
+query("fit_svm_rbf")(_fitted("svm"))
+query("fit_svm_poly")(_fitted("svm", kernel="poly"))
+# smaller runs, named for what they are
+query("fit_xgboost_10_rounds")(_fitted("xgboost", maxIter=10))
+query("fit_random_forest_20_trees")(_fitted("random_forest", numTrees=20, maxDepth=8))
 query("fit_knn")(_fitted("knn"))
 query("fit_logistic")(_fitted("logistic"))
 query("fit_logistic_with_smote")(_fitted("logistic", resample=True))
 
 
+@query(
+    "fit_logistic_optimum",
+    with_cases(
+        """SELECT 'num__' || f AS feature, TRUE AS at_optimum FROM (VALUES ('amount'), ('hour'), ('k'), ('missingindicator_amount'), ('missingindicator_hour')) v(f)
+        UNION ALL SELECT DISTINCT 'cat__kind_' || kind, TRUE FROM cases WHERE kind IS NOT NULL
+        UNION ALL SELECT DISTINCT 'cat__grp_' || CAST(grp AS VARCHAR), TRUE FROM cases WHERE grp IS NOT NULL
+        UNION ALL SELECT 'cat__missingindicator_' || f || '_' || b, TRUE FROM (VALUES ('kind'), ('grp')) v(f), (VALUES ('0'), ('1')) w(b)"""
+    ),
+)
+def fit_logistic_optimum(spark, sf):
+    """At the fitted coefficients the slope of the loss is zero in every feature."""
+    df = stage_table(spread(cases(spark, sf)), "cases")
+    model = fit_model(df, CASE_SPEC, make_classifier("logistic", maxIter=500, tol=1e-10))
+    ready = PipelineModel(model.stages[:-1]).transform(df)
+    scored = predict(model.stages[-1], ready).withColumn("x", vector_to_array("features"))
+    error = F.col("probability") - F.col("target")
+    names = feature_names(model)
+    slopes = scored.agg(*[F.avg(error * F.col("x")[i]).alias(f"s{i}") for i in range(len(names))]).first()
+    rows = [(n, abs(slopes[f"s{i}"]) < 1e-4) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "feature string, at_optimum boolean")
+
+
 @query("risk_model_holdout")
 def risk_model_holdout(spark, sf):
     """The smallest whole run: null profile, preprocessing, split, fit, score, one metrics row."""
@@ -65,14 +97,14 @@ BOOSTED = V.Candidate("xgboost", "xgboost", {"maxIter": 5, "maxDepth": 4})
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    scores, _ = V.cross_validate(cases(spark, sf), CASE_SPEC, [LINEAR, BOOSTED], k=3)
+    scores, _ = V.cross_validate(cases(spark, sf), CASE_SPEC, [LINEAR, BOOSTED])
     return V.fold_metrics(scores)
 
 
 @query("cross_validate_out_of_fold", with_cases("SELECT event_id AS id, target AS label, 1::BIGINT AS times FROM cases"))
 def cross_validate_out_of_fold(spark, sf):
     """Every row is scored once, in the fold that did not train on it."""
-    scores, _ = V.cross_validate(cases(spark, sf), CASE_SPEC, [LINEAR], k=3)
+    scores, _ = V.cross_validate(cases(spark, sf), CASE_SPEC, [LINEAR])
     return scores.groupBy("id", "label").agg(F.count("probability").alias("times"))
 
 
@@ -82,7 +114,7 @@ SMALL_SPACE = {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 5), "stepSize":
 def _searched(spark, sf):
     df = stage_table(spread(cases(spark, sf)), "cases")
     pool = V.sample_candidates("lightgbm", 2, space=SMALL_SPACE)
-    return df, V.random_search(df, CASE_SPEC, pool, k=2)
+    return df, V.random_search(df, CASE_SPEC, pool)
 
 
 @query("random_search")
@@ -103,7 +135,9 @@ def refit_top_k(spark, sf):
 
 @query("holdout_protocol")
 def holdout_protocol(spark, sf):
-    out = V.holdout_protocol(cases(spark, sf), CASE_SPEC, [LINEAR, BOOSTED], k=2)
+    """Tuning over a small space, three folds, every model judged. The default folds run in `train_job_rules`."""
+    tune = {"xgboost": V.sample_candidates("xgboost", 2, space=SMALL_SPACE)}
+    out = V.holdout_protocol(cases(spark, sf), CASE_SPEC, [LINEAR, BOOSTED], k=3, tune=tune)
     return out["holdout"]["metrics"].withColumn("best_model", F.lit(out["best_model"]))
 
 
@@ -149,6 +183,107 @@ def model_save_load(spark, sf):
     return rounded(scored.select("event_id", "prediction", "probability", "model_name"), "probability")
 
 
+@dataclass(frozen=True)
+class RuleCandidate:
+    """A configuration whose fit is a stated rule, so that SQL can state every score it gives."""
+
+    name: str
+    rule: str
+    resample: bool = False
+
+    @property
+    def settings(self) -> dict:
+        return {"rule": self.rule}
+
+    def fit(self, df, spec, seed, prepare=None):
+        return rule_model(self.rule)
+
+
+RULES = {"hours": "coalesce(hour, 12) / 24", "numbers": "k / 100", "groups": "coalesce(grp, 1) / 3"}
+
+
+def _rule_scores(rows: str) -> str:
+    """Scores of all rules over `rows`, which carry a fold."""
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS model, fold, target AS label, {r} AS probability, CASE WHEN {r} >= 0.5 THEN 1 ELSE 0 END AS prediction FROM {rows}"
+        for n, r in RULES.items()
+    )
+
+
+def _fold_sql(rows: str, k: int, body: str) -> str:
+    """`m`: the five metrics per model and fold of `rows`, cut into k folds by hash order within the class."""
+    folded = f"""SELECT *, CAST(((place - 1) * {k}) // size AS INTEGER) + 1 AS fold FROM (SELECT *,
+      row_number() OVER (PARTITION BY target ORDER BY md5('42:' || CAST(event_id AS VARCHAR))) AS place,
+      count(*) OVER (PARTITION BY target) AS size FROM ({rows}))"""
+    return f"""WITH folded AS ({folded}), scores AS ({_rule_scores('folded')}),
+      t AS (SELECT model, fold, probability, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY ALL),
+      c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY model, fold) AS p,
+        sum(neg) OVER (PARTITION BY model, fold) AS n FROM t WINDOW w AS (PARTITION BY model, fold ORDER BY probability DESC)),
+      b AS (SELECT model, fold, {BASIC} FROM scores GROUP BY model, fold),
+      a AS (SELECT model, fold, {AUC} AS roc_auc FROM c GROUP BY model, fold),
+      m AS (SELECT * FROM b JOIN a USING (model, fold)) {body}"""
+
+
+@query(
+    "cross_validate_rules",
+    _fold_sql(CASES, 10, " UNION ALL ".join(f"SELECT model, fold, '{m}' AS metric, round({m}, 6) AS score FROM m" for m in CV_METRICS)),
+)
+def cross_validate_rules(spark, sf):
+    """All five metrics of every model in every one of ten folds."""
+    scores, _ = V.cross_validate(cases(spark, sf), CASE_SPEC, [RuleCandidate(n, r) for n, r in RULES.items()])
+    return rounded(V.fold_metrics(scores), "score")
+
+
+@query(
+    "random_search_rules",
+    _fold_sql(
+        CASES, 4,
+        """SELECT model AS candidate, model AS algorithm, CAST(1 AS INTEGER) AS rank, round(avg(roc_auc), 6) AS mean_test_score,
+        round(stddev_pop(roc_auc), 6) AS std_test_score FROM m GROUP BY model""",
+    ),
+)
+def random_search_rules(spark, sf):
+    """The search over four folds; every algorithm has one candidate here."""
+    out = V.random_search(cases(spark, sf), CASE_SPEC, [RuleCandidate(n, r) for n, r in RULES.items()])
+    return rounded(out, "mean_test_score", "std_test_score").drop("params")
+
+
+DEV = f"SELECT * EXCLUDE (rn, n) FROM ({RANKED}) WHERE rn > floor(n * 0.2 + 0.5)"
+GOLD = f"(SELECT *, 0 AS fold FROM ({RANKED}) WHERE rn <= floor(n * 0.2 + 0.5))"
+
+
+@query(
+    "train_job_rules",
+    _fold_sql(
+        DEV, 10,
+        f""", cv AS (SELECT model, avg(roc_auc) AS roc_auc FROM m GROUP BY model),
+        best AS (SELECT model FROM cv ORDER BY roc_auc DESC, model LIMIT 1),
+        gold AS ({_rule_scores(GOLD)}),
+        gt AS (SELECT model, probability, sum(label) AS pos, sum(1 - label) AS neg FROM gold GROUP BY ALL),
+        gc AS (SELECT *, sum(pos) OVER w AS cp, sum(pos) OVER (PARTITION BY model) AS p, sum(neg) OVER (PARTITION BY model) AS n
+          FROM gt WINDOW w AS (PARTITION BY model ORDER BY probability DESC)),
+        g AS (SELECT model, {AUC} AS gold_auc FROM gc GROUP BY model)
+        SELECT cv.model, round(cv.roc_auc, 6) AS cv_auc, round(g.gold_auc, 6) AS gold_auc, (SELECT model FROM best) AS best_model,
+          (SELECT count(*) FROM folded) AS dev_samples, (SELECT count(*) FROM {GOLD}) AS gold_samples, 10::BIGINT AS folds
+        FROM cv JOIN g USING (model)""",
+    ),
+)
+def train_job_rules(spark, sf):
+    """The training job on its default folds: CV report, certification and fold metrics read back, all models judged."""
+    folder = scratch_path(spark, "train-job")
+    out = V.holdout_protocol(cases(spark, sf), CASE_SPEC, [RuleCandidate(n, r) for n, r in RULES.items()], output=folder)
+    _, metadata = load_model(spark, folder)
+    report = IO.read_cv_report(spark, f"{folder}/cv_report.json").select("model", F.col("roc_auc").alias("cv_auc"))
+    counted = IO.read_fold_metrics(spark, f"{folder}/fold_metrics.json").groupBy("model").agg(F.count("roc_auc").alias("folds"))
+    certified = spark.read.json(f"{folder}/research_certification.json").select("best_model", "dev_samples", "gold_samples")
+    gold = [(name, e["metrics"].first()["roc_auc"]) for name, e in out["judged"].items()]
+    judged = spark.createDataFrame(gold, "model string, gold_auc double")
+    row = certified.first()
+    assert row["best_model"] == metadata["model_name"] and set(metadata["cv_results"]) == set(RULES)
+    joined = report.join(judged, "model").join(counted, "model")
+    return rounded(joined, "cv_auc", "gold_auc").withColumns({c: F.lit(row[c]) for c in certified.columns})
+
+
 def _comparison_sql(pool: str) -> str:
     return with_cases(
         f"""SELECT b.model, {ROUNDED_BASIC}, round(a.roc_auc, 6) AS roc_auc, round(a.avg_precision, 6) AS avg_precision, n_samples
@@ -173,18 +308,18 @@ TWO_MODELS = """SELECT 'hours' AS model, target AS label, coalesce(hour, 12) / 2
 
 @query("compare_saved_models", _comparison_sql(TWO_MODELS))
 def compare_saved_models(spark, sf):
-    """Two saved models found by pattern, loaded, applied to the same rows and compared."""
+    """Saved models found by pattern and compared on the same rows; one that lacks a feature and one that cannot
+    be loaded are skipped."""
     folder = scratch_path(spark, "models")
-    rules = {"hours": "coalesce(hour, 12) / 24", "numbers": "k / 100"}
-    for name, rule in rules.items():
-        save_model(spark, rule_model(rule), f"{folder}/{name}", {"features": list(CASE_SPEC.features)})
-    df = cases(spark, sf)
-    found = discover_models(spark, [f"{folder}/*", f"{folder}/hours"])
-    scored = {}
-    for r in found.collect():  # the saved models, a handful
-        scored[r["model"]] = predict(load_model(spark, r["path"])[0], df)
-    compared = V.evaluate_saved_models(scored, "target", "event_id")
-    return rounded(compared, *BASIC_NAMES, "roc_auc", "avg_precision")
+    features = list(CASE_SPEC.features)
+    for name in ("hours", "numbers"):
+        save_model(spark, rule_model(RULES[name]), f"{folder}/{name}", {"features": features})
+    save_model(spark, rule_model("z"), f"{folder}/lacking", {"features": [*features, "z"]})
+    IO.write_document(spark.createDataFrame([("no model",)], "value string"), f"{folder}/broken")
+    patterns = [f"{folder}/*", f"{folder}/hours"]
+    table, skipped = compare_job(spark, patterns, cases(spark, sf), "target", "event_id", scratch_path(spark, "comparison"))
+    assert sorted(name for name, _ in skipped) == ["broken", "lacking"]
+    return rounded(table, *BASIC_NAMES, "roc_auc", "avg_precision")
 
 
 @query(
@@ -194,13 +329,17 @@ def compare_saved_models(spark, sf):
     t AS (SELECT probability AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY probability),
     c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER () AS p, sum(neg) OVER () AS n
       FROM t WINDOW w AS (ORDER BY threshold DESC))
-    SELECT {ROUNDED_BASIC}, n_samples AS n_test, round((SELECT {AUC} FROM c), 6) AS roc_auc FROM (SELECT {BASIC} FROM scores)""",
+    SELECT {ROUNDED_BASIC}, n_samples, n_samples AS n_test, round((SELECT {AUC} FROM c), 6) AS roc_auc FROM (SELECT {BASIC} FROM scores)""",
 )
 def evaluate_holdout(spark, sf):
-    """Score the held-out rows without refitting."""
+    """The evaluation job on a saved model and held-out rows, its metrics read back."""
+    path = save_model(spark, rule_model("k / 100"), scratch_path(spark, "model"), {"features": list(CASE_SPEC.features)})
     _, holdout = optional_split(cases(spark, sf), "target", "event_id", 0.2)
-    out = V.evaluate_holdout(spark, rule_model("k / 100"), holdout, CASE_SPEC, n_repeats=1)
-    return rounded(out["metrics"], *BASIC_NAMES, "roc_auc")
+    folder = scratch_path(spark, "evaluation")
+    evaluate_job(spark, path, holdout, CASE_SPEC, folder)
+    schema = "accuracy double, precision double, recall double, f1 double, roc_auc double, n_test long"
+    metrics = spark.read.schema(schema).json(f"{folder}/metrics.json").withColumn("n_samples", F.col("n_test"))
+    return rounded(metrics.drop("n_test"), *BASIC_NAMES, "roc_auc").withColumn("n_test", F.col("n_samples"))
 
 
 GENDERED = f"""SELECT c.*, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 0 END AS gender FROM ({SCORED}) c"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from riskframe import functions as fx
@@ -346,3 +348,19 @@ def combine_registries_query(spark, sf):
     IO.write_headerless(raw, f"{folder}/centre.data")
     back = IO.read_many(spark, folder, ["centre.data", "absent.data"], raw.schema)
     return canonical(back, spec, extra=["event_id"], order=["event_id"])
+
+
+@query(
+    "require_columns",
+    with_cases("SELECT c AS missing, (SELECT count(*) FROM cases) AS kept_rows FROM (VALUES ('absent'), ('gone')) v(c)"),
+)
+def require_columns(spark, sf):
+    """The columns a table is refused for, and the rows of the same table when nothing is missing."""
+    df = cases(spark, sf)
+    kept = P.require_columns(df, CASE_SPEC.features)
+    try:
+        P.require_columns(df, [*CASE_SPEC.features, "absent", "gone"])
+    except ValueError as e:
+        named = re.findall(r"'(\w+)'", str(e))
+    missing = F.explode(F.array(*[F.lit(c) for c in named]))
+    return kept.agg(F.count(F.lit(1)).alias("kept_rows")).select(missing.alias("missing"), "kept_rows")

@@ -43,39 +43,40 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage_table(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 
     Used where an intermediate is read by several jobs: the source is scanned once, lineage is cut,
-    and a lost executor costs a re-read instead of a recomputation.
+    and a lost executor costs a re-read instead of a recomputation. With `by`, the table is laid out by a column
+    of few values, so that a filter on it reads its own files only.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a table of fewer partitions than cores over all cores; larger tables stay as they are.
+# Tables above this many tasks of their own are not dealt anew.
+ENOUGH_TASKS = 256
 
-    For plans without a shuffle of their own, ahead of work that is long per row.
+
+def spread(df: DataFrame, rows_per_task: int = 2_500) -> DataFrame:
+    """Split a small table into tasks of `rows_per_task` rows, ahead of work that is long per row.
+
+    The number of tasks depends on the rows alone, never on the machine, so fits that draw per partition
+    repeat anywhere. Larger tables stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return sized(df, df.count(), rows_per_task)
 
 
-def sized_for_cores(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
-    """Give a small cached table one task per `rows_per_task` rows, at most one per core.
+def sized(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Give a table of known size one task per `rows_per_task` rows; larger tables stay as they are.
 
     Iterative training runs a job per step, so on small tables the number of tasks is most of the cost.
-    Tables with enough rows and partitions for all cores stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if rows >= rows_per_task * cores and have >= cores:
-        return df
-    want = max(1, min(cores, -(-rows // rows_per_task)))
-    return df.repartition(want) if want != have else df
+    tasks = max(1, -(-rows // rows_per_task))
+    return df.repartition(tasks) if tasks <= ENOUGH_TASKS else df
 
 
 def collect_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
@@ -86,13 +87,15 @@ def collect_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
     return rows
 
 
+LOCAL_BYTES = 8 << 20
+
+
 def local_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """A summary as a broadcast local table when it has at most `limit` rows, else the summary itself.
+    """A summary as a broadcast local table when it is small in rows and bytes, else the summary itself.
 
-    The row count is checked before the broadcast; a summary that outgrew the limit is joined by
-    shuffle.
+    Both are checked before the broadcast; a summary that outgrew them is joined by shuffle.
     """
     rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if rows.num_rows > limit or rows.nbytes > LOCAL_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
