@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,17 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+# Folders of the jobs that run, the innermost last.
+_jobs: list[str] = []
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/riskframe/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/riskframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return "/".join([_root(spark), *_jobs, f"{name}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete what this application staged. Results that still read a staged table end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/riskframe/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _root(spark))
+
+
+@contextmanager
+def job_scratch(spark: SparkSession):
+    """Stage inside a folder of the job's own, deleted when the job ends; its results must be written by then."""
+    _jobs.append(f"job-{uuid.uuid4().hex}")
+    folder = "/".join([_root(spark), *_jobs])
+    try:
+        yield
+    finally:
+        _jobs.pop()
+        _delete(spark, folder)
 
 
 def stage_table(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:

@@ -17,12 +17,13 @@ from riskframe.operators.models import (
     predict,
 )
 from riskframe.plans import report as RP, validate as V
+from riskframe.plans.jobs import compare_job, evaluate_job, interpret_job
 from riskframe.plans.score import explain_records, score_files
 from riskframe.queries.tables import CASE_SPEC, cases
 from riskframe.session import scratch_path, shared_dir, stage_table
 from riskframe.sources import reports as IO
 from riskframe.sources.registry import discover_models, load_model, save_model
-from riskframe.sources.tables import write_csv
+from riskframe.sources.tables import list_paths, write_csv
 from tests.conftest import DATA
 
 
@@ -268,3 +269,18 @@ def test_svm_probability_follows_the_margin(spark, data):
     rows = model.transform(data).select(vector_to_array("margin")[1].alias("m"), vector_to_array("probability")[1].alias("p")).collect()
     m, p = np.array([r["m"] for r in rows]), np.array([r["p"] for r in rows])
     assert (np.diff(p[m.argsort()]) >= -1e-9).all()
+
+
+def test_jobs_delete_what_they_staged(spark, data, tmp_path):
+    """A job's results are in its folder; its intermediates are gone when it ends."""
+    model = fit_model(data, CASE_SPEC, make_classifier("logistic"))
+    path = save_model(spark, model, f"file://{tmp_path}/model", {"features": list(CASE_SPEC.features)})
+    before = set(list_paths(spark, f"{scratch_path(spark, 'x').rsplit('/', 1)[0]}/*"))
+    evaluated = evaluate_job(spark, path, data, CASE_SPEC, f"file://{tmp_path}/evaluation")
+    assert evaluated["metrics"].first()["n_test"] == data.count() == evaluated["scores"].count()
+    assert evaluated["roc_curve"].count() > 10 and evaluated["importance"].count() == len(model.stages[0].feature_names)
+    explained = interpret_job(spark, path, data, CASE_SPEC, f"file://{tmp_path}/interpretation", uncertain=3)
+    assert explained["waterfalls"].select("event_id").distinct().count() == 3
+    table, skipped = compare_job(spark, [f"file://{tmp_path}/model"], data, "target", "event_id", f"file://{tmp_path}/comparison")
+    assert table.first()["model"] == "model" and not skipped
+    assert set(list_paths(spark, f"{scratch_path(spark, 'x').rsplit('/', 1)[0]}/*")) <= before
