@@ -35,6 +35,20 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage_text(df: DataFrame, name: str, rows: int = 500) -> DataFrame:
+    """`stage_table` for work that hands texts to Python, in batches of at most `rows` rows to bound its memory."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        return stage_table(df, name)
+    finally:
+        conf.set(BATCH_ROWS, before)
+
+
 def same(left: DataFrame, right: DataFrame, keys) -> Column:
     """Join condition that treats nulls as equal."""
     on = F.lit(True)

@@ -21,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.llm.common import stage_text
 from riskframe.session import collect_bounded
 
 PER_LANGUAGE = 10_000
@@ -34,7 +35,7 @@ BUCKETS = 1 << 16
 STEPS = 30
 TOLERANCE = 1e-4
 #: Bytes of text handled at a time inside a task.
-CHUNK = 4_000_000
+CHUNK = 500_000
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
 # letters are a-z and all bytes of longer characters; everything else is a break
@@ -59,11 +60,11 @@ def _trigrams(texts: list[str]):
     return key, starts, np.searchsorted(starts, letters_before)
 
 
-def _chunks(values: list) -> Iterator[tuple[int, list[str]]]:
+def _chunks(values: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about CHUNK characters: first index and texts; nulls are empty."""
     first, held, size = 0, [], 0
     for i, v in enumerate(values):
-        held.append(v or "")
+        held.append(v.as_py() or "")
         size += len(held[-1])
         if size >= CHUNK:
             yield first, held
@@ -75,9 +76,8 @@ def _chunks(values: list) -> Iterator[tuple[int, list[str]]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        table = pd.DataFrame({"lang": batch.column(0).to_pylist(), "text": batch.column(1).to_pylist()})
-        for lang, texts in table.groupby("lang")["text"]:
-            for _, part in _chunks(texts.tolist()):
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            for _, part in _chunks(batch.column(1).filter(pc.equal(batch.column(0), lang))):
                 counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))[:] += np.bincount(_trigrams(part)[0], minlength=BUCKETS)
     for lang, c in counts.items():
         at = np.flatnonzero(c)
@@ -143,7 +143,7 @@ def infer(likelihood: np.ndarray) -> tuple[int, float]:
     return int(kept[at]), float(min(1.0, share[at]))
 
 
-def _predict(texts: list, names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+def _predict(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for _, part in _chunks(texts):
         key, starts, first = _trigrams(part)
@@ -165,12 +165,10 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[st
     """`keep` columns of `docs` with lang_pred and score."""
     model = docs.sparkSession.sparkContext.broadcast((names, table))  # at most MAX_LANGUAGES x BUCKETS floats
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names, table = model.value
-        for t in texts:
-            langs, scores = _predict(t.tolist(), names, table)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        langs, scores = _predict(texts, *model.value)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     d = docs.select(*keep, predict("text").alias("_p"))
     return d.select(*keep, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
@@ -188,7 +186,14 @@ def language_table(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose language is undefined; the columns stay."""
+    """`docs` without the documents whose language is undefined; the columns stay.
+
+    Only the rejected documents' keys are written; the rows themselves do not pass through Python.
+    """
     names, table = learn(docs.filter(~held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return identify(rows, names, table, ["row"]).filter(F.col("lang_pred") != UND).select("row.*")
+    own = F.xxhash64("text")
+    keyed = docs.select(F.col("doc_id").alias("id"), own.alias("own"), "text")
+    gone = identify(keyed, names, table, ["id", "own"]).filter(F.col("lang_pred") == UND).select("id", "own").distinct()
+    gone = stage_text(gone, "rejected")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), own.alias("hash"))
+    return rows.join(gone, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")), "left_anti").select("row.*")

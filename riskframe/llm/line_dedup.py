@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskframe.llm.common import stage_text
 from riskframe.session import stage_table
 
 MIN_CHARS = 40
@@ -159,7 +160,7 @@ def _table(parts: list[tuple]) -> pa.RecordBatch:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per line to drop: doc, own (hash of the document's text) and pos (0-based)."""
     entry = "high long, low long, doc long, own long, pos int"
-    t = stage_table(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text").mapInArrow(_entries(min_chars), entry), "lines")
+    t = stage_text(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text").mapInArrow(_entries(min_chars), entry), "lines")
     order = [F.col("high"), F.col("low"), F.col("doc").desc(), F.col("own"), F.col("pos")]
     t = t.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = "kind int, high long, low long, doc long, own long, pos int, docs long"

@@ -8,14 +8,18 @@ register with a probability close to their Jaccard similarity.
 
 1. One pass over the texts gives each row its set's digest, size and registers. Equal sets become one class, led
    by the smallest doc_id; the copies never meet again.
-2. Bands of `ROWS` registers are bucket keys. In a bucket every class is paired with the bucket's leader only.
-   A pair of similarity 0.8 misses all bands with probability below 2e-9.
-3. For each pair the similarity is estimated jointly from both register vectors by maximum likelihood, given
-   the exact set sizes; pairs estimated six standard errors below the threshold are dropped.
-4. Survivors are verified on their full sets, computed from the whole texts: first one pair per class, then
-   those that still join different components.
-5. The exact rest: in a bucket that still holds several components, every class outside the bucket's largest
-   component meets every class of another component, in blocks of bounded size; survivors are verified.
+2. Bands of `ROWS` registers are bucket keys. The first `FIRST` bands alone bring most groups together: in a bucket
+   every class is paired with the bucket's leader only, and keeps the leader it shares most bands with. The pair's
+   similarity is estimated jointly from both register vectors by maximum likelihood, given the exact set sizes;
+   pairs estimated more than four standard errors below the threshold are dropped, the others verified on the
+   full sets, computed from the whole texts. That gives components, and exact distances to leaders.
+3. All bands follow; a pair of similarity 0.8 misses them all with probability below 2e-9. Only buckets that hold
+   several components are opened: a bucket of one component, however large, has nothing to add. First the classes
+   outside a bucket's largest component meet one class of it, then components are recomputed.
+4. The exact rest: in a bucket that still holds several components, every class outside the bucket's largest
+   component meets every class of another component, in blocks of bounded size. Pairs whose distances to a
+   common leader differ by more than the threshold allows cannot be similar (Jaccard distance is a metric);
+   a pair is judged in the first band it shares; survivors of the estimate are verified.
    So a group of many copies costs a row per member, and no link between different sets is lost.
 
 Components come from alternating star contractions on DataFrames, written out round by round.
@@ -32,9 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskframe.llm.common import stage_text
 from riskframe.session import stage_table
 
 REGISTERS = 256
@@ -42,8 +48,12 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 BASE = 1.001
 OFFSET = 8192
-#: Six standard errors of the estimate at similarity 0.8.
-MARGIN = 0.15
+#: Bands of the first round.
+FIRST = 6
+#: More than four standard errors of the estimate at similarity 0.8.
+MARGIN = 0.11
+#: Up to this many classes are looked up in the texts by a table that travels with the tasks.
+NEEDED_ROWS = 500_000
 #: Classes that meet in one cell, per side.
 BLOCK = 512
 #: Bytes of text handled at a time inside a task.
@@ -77,14 +87,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(start, np.r_[0, ends])
     if not len(start):
         return np.zeros(0, np.uint64), first
-    at = np.flatnonzero(~blank)
-    length = stop - start
-    offset = at - np.repeat(start, length)
+    return span_hashes(data, start, stop - start), first
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans of `data`; none may be empty."""
+    begin = np.cumsum(length) - length
+    offset = np.arange(int(length.sum())) - np.repeat(begin, length)
     # weights repeat after 4096 bytes; a second round number keeps the rounds apart
-    weight = _WEIGHTS[offset & 4095] + (offset >> 12).astype(np.uint64) * _GOLDEN
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * weight
-    word_at = np.r_[0, np.cumsum(length)[:-1]]
-    return mixed(np.add.reduceat(value, word_at) + length.astype(np.uint64) * _GOLDEN), first
+    weight = _WEIGHTS[offset & 4095]
+    if len(offset) and offset.max() > 4095:
+        weight = weight + (offset >> 12).astype(np.uint64) * _GOLDEN
+    weight *= data[offset + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)
+    return mixed(np.add.reduceat(weight, begin) + length.astype(np.uint64) * _GOLDEN)
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -159,10 +174,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(j)), value.argmax(axis=1)]
 
 
-def _chunks(values: list) -> Iterator[tuple[int, list[str]]]:
+def _chunks(values: pa.Array) -> Iterator[tuple[int, list[str]]]:
     first, held, size = 0, [], 0
     for i, v in enumerate(values):
-        held.append(v or "")
+        held.append(v.as_py() or "")
         size += len(held[-1])
         if size >= CHUNK:
             yield first, held
@@ -174,7 +189,7 @@ def _chunks(values: list) -> Iterator[tuple[int, list[str]]]:
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _chunks(batch.column(2).to_pylist()):
+            for first, texts in _chunks(batch.column(2)):
                 sets = shingle_sets(texts, size)
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets])
                 rows = registers(sets)
@@ -192,21 +207,26 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return t.mapInArrow(_sketch(size), "doc_id long, own long, n long, high long, low long, regs binary")
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
-        keys = band_keys(k).reshape(-1)
-        doc, high = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(doc), pa.array(high)], names=["key", "doc", "high"])
+def _bands(first: int, last: int):
+    """(doc, high, lab, regs) to one row per band: key, doc, high, lab."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
+            keys = band_keys(k)[:, first:last].reshape(-1)
+            columns = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), last - first) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, columns)], names=["key", "doc", "high", "lab"])
+
+    return run
 
 
 NODE = "struct<doc:long,high:long>"
 
 
 def _similar(threshold: float):
-    """Rows with regs_a, regs_b, n_a, n_b: keep those whose estimate may reach the threshold."""
+    """Rows with regs_a, regs_b, n_a, n_b: those whose estimate may reach the threshold, with the estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,26 +234,30 @@ def _similar(threshold: float):
                 part = batch.slice(at, 2000)
                 a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(part.num_rows, REGISTERS) for i in (2, 3))
                 n_a, n_b = (part.column(i).to_numpy(zero_copy_only=False).astype("f8") for i in (4, 5))
-                keep = estimate(a, b, n_a, n_b) >= threshold - MARGIN
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+                near = estimate(a, b, n_a, n_b)
+                out = pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(near)], names=["a", "b", "near"])
+                yield out.filter(pa.array(near >= threshold - MARGIN))
 
     return run
 
 
 def _verified(size: int, percent: int):
-    """Pairs with both texts: keep those whose full sets are similar enough."""
+    """Pairs with both texts: whether their full sets are similar enough, and their exact distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            sizes = pc.add(pc.coalesce(pc.binary_length(batch.column(2)), 0), pc.coalesce(pc.binary_length(batch.column(3)), 0)).to_numpy(zero_copy_only=False)
+            # about CHUNK bytes of text at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+                part = batch.slice(int(a), int(b - a))
                 left = shingle_sets([t or "" for t in part.column(2).to_pylist()], size)
                 right = shingle_sets([t or "" for t in part.column(3).to_pylist()], size)
-                for i, (x, y) in enumerate(zip(left, right)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+                union = [len(x) + len(y) - n for x, y, n in zip(left, right, both)]
+                keep = pa.array([100 * n >= percent * u for n, u in zip(both, union)], pa.bool_())
+                apart = pa.array([1 - n / u for n, u in zip(both, union)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], keep, apart], names=["a", "b", "similar", "apart"])
 
     return run
 
@@ -241,13 +265,16 @@ def _verified(size: int, percent: int):
 def connected(edges: DataFrame) -> DataFrame:
     """Components of the edges (a, b) of ordered nodes: node and its component's smallest node, `label`.
 
-    Alternating large-star and small-star contractions; every round is written out, and ends as a star
-    per component.
+    Alternating large-star and small-star contractions; every round is written out, until each component is a
+    star around its smallest node.
     """
-    spark = edges.sparkSession
     e = stage_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    mark = None
     while True:
+        # stars, when no class hangs on two others and none that hangs on another is a centre itself
+        rows = e.select(F.col("v").alias("node"), F.lit(1).alias("hangs")).unionByName(e.select(F.col("u").alias("node"), F.lit(0).alias("hangs")).distinct())
+        odd = rows.groupBy("node").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("least")).filter("n > 1 or n = 1 and least = 0")
+        if odd.isEmpty():
+            return e.select(F.col("v").alias("node"), F.col("u").alias("label"))
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
         large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
@@ -256,26 +283,27 @@ def connected(edges: DataFrame) -> DataFrame:
         hung = large.join(least, "v")
         small = hung.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         e = stage_table(small.filter("u <> v").distinct(), "small_star")
-        sums = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(sums):
-            return spark.createDataFrame([], f"node {NODE}, label {NODE}") if not sums[0] else e.select(F.col("v").alias("node"), F.col("u").alias("label"))
-        mark = tuple(sums)
 
 
 def _cells(threshold: float):
     """One cell of a bucket: its block of classes against its block of the rest."""
 
     def run(table: pa.Table) -> pa.Table:
-        rest = table["rest"].to_numpy()
+        rest, key = table["rest"].to_numpy(), table["key"][0].as_py()
         k = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(table), REGISTERS)
-        label, n = np.array(table["label_id"].to_pylist()), table["n"].to_numpy().astype("f8")
+        label, n = table["lab"].to_numpy(), table["n"].to_numpy().astype("f8")
+        leader, apart = table["leader"].to_numpy(), table["apart"].to_numpy()
+        bands = k[:, : BANDS * ROWS].reshape(len(k), BANDS, ROWS)
+        mine = int(np.flatnonzero(band_keys(k[:1])[0] == key)[0])
         at = np.arange(len(table))
-        ours, theirs = at[rest], at[~rest]
+        theirs = at[~rest]
         left, right = [], []
-        for i in ours.tolist():
-            other = theirs[label[theirs] != label[i]]
-            # the share of equal registers bounds the estimate's worth
-            other = other[(k[other] == k[i]).mean(axis=1) >= threshold - 2 * MARGIN]
+        for i in at[rest].tolist():
+            # distances to a common leader bound the distance between the two
+            far = (leader[theirs] == leader[i]) & (np.abs(apart[theirs] - apart[i]) > 1 - threshold + 1e-9)
+            other = theirs[(label[theirs] != label[i]) & ~far]
+            # a pair that shares an earlier band is judged there
+            other = other[~(bands[other, :mine] == bands[i, :mine]).all(axis=2).any(axis=1)]
             if len(other):
                 near = estimate(k[other], np.broadcast_to(k[i], (len(other), REGISTERS)), n[other], np.full(len(other), n[i]))
                 other = other[near >= threshold - MARGIN]
@@ -296,24 +324,37 @@ class _Links:
         self.threshold = percent / 100
 
     def likely(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, near) of the pairs whose estimate may reach the threshold."""
         c = self.classes.select("node", "n", "regs")
         p = pairs.join(c.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "a")
         p = p.join(c.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b")
-        return p.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_similar(self.threshold), f"a {NODE}, b {NODE}")
+        p = p.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_similar(self.threshold), f"a {NODE}, b {NODE}, near double")
+        return stage_table(p, "likely")
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """The texts of the classes in `pairs`, written once: node, text."""
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         need = stage_table(need.join(self.classes.select("node", "own"), "node"), "needed")
+        if need.count() <= NEEDED_ROWS:
+            need = F.broadcast(need)
         d = self.docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_own"), "text")
         found = d.join(need, (F.col("_doc") == F.col("node.doc")) & (F.col("_own") == F.col("own")))
-        return stage_table(found.select("node", "text").dropDuplicates(["node"]), "texts")
+        return stage_table(found.select("node", "text"), "texts")
 
-    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def judged(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similar, apart) of every pair, from the full sets."""
+        texts = self.texts(pairs)
         p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         p = p.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         run = _verified(self.size, self.percent)
-        return stage_table(p.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {NODE}, b {NODE}"), "links")
+        types = f"a {NODE}, b {NODE}, similar boolean, apart double"
+        return stage_text(p.select("a", "b", "text_a", "text_b").mapInArrow(run, types), "judged")
+
+    def judged_best(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each class's leader with the most shared bands, the smallest on a tie: these pairs, and their judgement."""
+        best = F.min(F.struct((-F.col("shared")).alias("fewest"), F.col("a")))
+        best = stage_table(pairs.groupBy("b").agg(best.alias("best")).select(F.col("best.a").alias("a"), "b"), "best")
+        return best, self.judged(self.likely(best))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
@@ -321,46 +362,71 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> Data
     return rows.join(t, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+def _open_members(entries: DataFrame) -> DataFrame:
+    """The rows (key, node, lab) of buckets that hold several labels."""
+    spread = entries.groupBy("key").agg(F.min("lab").alias("low"), F.max("lab").alias("high_"))
+    return entries.join(spread.filter("low <> high_").select("key"), "key")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect the classes of similar sets."""
     find = _Links(docs, classes, size, percent)
-    entries = classes.filter("n > 0").select("node.doc", "node.high", "regs").mapInArrow(_bands, "key long, doc long, high long")
-    entries = entries.select("key", F.struct("doc", "high").alias("node"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = stage_table(entries.join(buckets, "key"), "members")
-    star = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    star = stage_table(star, "star")
-    likely = stage_table(find.likely(star.select("a", "b")).join(star, ["a", "b"]), "likely")
-    texts = find.texts(likely)
-    # one pair per class first: most groups are whole after it
-    first = likely.groupBy("b").agg(F.max(F.struct(F.col("shared"), F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = find.verified(first, texts)
-    labels = connected(links)
-    later = _labelled(_labelled(likely.join(first, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
-    links = links.unionByName(find.verified(later.select("a", "b"), texts))
+    rows = classes.select("node", "node.doc", "node.high", "regs")
+    types = "key long, doc long, high long, lab long"
+
+    # the first bands
+    few = rows.select("doc", "high", F.lit(0).cast("long").alias("lab"), "regs").mapInArrow(_bands(0, FIRST), types)
+    few = few.select("key", F.struct("doc", "high").alias("node"), "lab")
+    lead = few.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    pairs = few.join(lead, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    tried, first = find.judged_best(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+    links = first.filter("similar").select("a", "b")
+    # all bands, where buckets hold several components
+    lab = F.xxhash64("label.doc", "label.high").alias("lab")
+    named = _labelled(rows, connected(links), "node", "label").select("doc", "high", lab, "regs")
+    entries = named.mapInArrow(_bands(0, BANDS), types).select("key", F.struct("doc", "high").alias("node"), "lab")
+    members = stage_table(_open_members(entries), "members")
+    # classes outside a bucket's largest component meet the smallest class of that component
+    groups = members.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    main = groups.groupBy("key").agg(F.max(F.struct("n", "lab", "leader")).alias("m"), (F.sum("n") == 2).alias("two"))
+    pairs = members.join(main, "key").filter("lab <> m.lab")
+    pairs = pairs.select(F.least("m.leader", "node").alias("a"), F.greatest("m.leader", "node").alias("b"), "two")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("two").alias("two")).join(tried, ["a", "b"], "left_anti")
+    pairs = stage_table(pairs, "pairs")
+    best, second = find.judged_best(pairs)
+    tried = tried.unionByName(best)
+    links = links.unionByName(second.filter("similar").select("a", "b"))
     labels = connected(links)
     # the rest: buckets that still hold several components
-    inside = _labelled(members.select("key", "node", "members"), labels, "node", "label")
-    spread = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    spread = spread.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    # two members are a leader and its pair, already judged
-    open_keys = stage_table(spread.filter("parts > 1 and all > 2"), "open")
-    m = inside.drop("members").join(open_keys, "key")
-    m = m.join(classes.select("node", "n", "regs"), "node")
+    inside = _labelled(members.select("key", "node"), labels, "node", "label").select("key", "node", lab)
+    inside = stage_table(_open_members(inside), "rest")
+    spread = inside.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
+    spread = spread.groupBy("key").agg(F.max_by("lab", F.struct("n", "lab")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    # the only pair of a bucket of two is among `pairs`; larger buckets are gone through cell by cell
+    open_keys = stage_table(spread.filter("all > 2"), "open")
+    leaders = first.unionByName(second).groupBy(F.col("b").alias("node")).agg(F.min(F.struct("apart", "a")).alias("l"))
+    leaders = leaders.select("node", F.xxhash64("l.a.doc", "l.a.high").alias("leader"), F.col("l.apart").alias("apart"))
+    known = inside.select("node").distinct().join(classes.select("node", "n", "regs"), "node").join(leaders, "node", "left")
+    own = F.xxhash64("node.doc", "node.high")
+    known = known.select("node", "n", "regs", F.coalesce("leader", own).alias("leader"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
+    m = inside.join(open_keys, "key").join(stage_table(known, "known"), "node")
     blocks, rest_blocks = F.ceil(F.col("all") / BLOCK), F.ceil((F.col("all") - F.col("most")) / BLOCK)
-    h = F.xxhash64("node.doc", "node.high")
-    as_member = m.withColumn("i", F.pmod(h, blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), rest_blocks - 1))).withColumn("rest", F.lit(False))
-    as_rest = m.filter("label <> main").withColumn("j", F.pmod(h, rest_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("rest", F.lit(True))
-    cells = as_member.unionByName(as_rest).select("key", "i", "j", "node", F.xxhash64("label.doc", "label.high").alias("label_id"), "n", "regs", "rest")
+    zero = F.lit(0).cast("long")
+    as_member = m.withColumn("i", F.pmod(own, blocks)).withColumn("j", F.explode(F.sequence(zero, rest_blocks - 1))).withColumn("rest", F.lit(False))
+    as_rest = m.filter("lab <> main").withColumn("j", F.pmod(own, rest_blocks)).withColumn("i", F.explode(F.sequence(zero, blocks - 1))).withColumn("rest", F.lit(True))
+    cells = as_member.unionByName(as_rest).select("key", "i", "j", "node", "lab", "n", "regs", "leader", "apart", "rest")
     more = cells.groupBy("key", "i", "j").applyInArrow(_cells(percent / 100), f"a {NODE}, b {NODE}")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    more = stage_table(more, "more")
-    return links.unionByName(find.verified(more, find.texts(more)))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = pairs.filter("two").select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = _labelled(_labelled(apart, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
+    apart = find.likely(apart).select("a", "b")
+    more = stage_table(more.unionByName(apart).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    return links.unionByName(find.judged(more).filter("similar").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, own (text hash), n_shingles, component_id, kept."""
-    t = stage_table(sketches(docs, size), "sketches")
+    t = stage_text(sketches(docs, size), "sketches")
     classes = t.filter("doc_id is not null and n > 0").groupBy("high", "low").agg(F.min(F.struct("doc_id", "own", "n", "regs")).alias("c"))
     node = F.struct(F.col("c.doc_id").alias("doc"), F.col("high"))
     classes = stage_table(classes.select(node.alias("node"), "high", "low", "c.own", "c.n", "c.regs"), "classes")
