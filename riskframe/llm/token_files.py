@@ -8,10 +8,10 @@ hash over the shard's keys: levels of bit arrays, each key set at the first leve
 other; the rank of its bit is its slot. A slot holds the key's fingerprint, offset and length, so a lookup
 takes constant time and a key that is not in the shard is recognised by its fingerprint.
 
-Encoding goes through the tokenizers library. The byte-level pre-tokenizer always breaks before a blank that
-follows a non-blank and precedes a letter, so such pieces encode alike alone and in their text; pieces are
-encoded once per worker and remembered, in a table of bounded size. Texts that hold the text of a special
-token are encoded whole.
+Encoding goes through the tokenizers library. Texts of ASCII and Latin letters are cut where the byte-level
+pre-tokenizer cuts, and every distinct piece is encoded by the library once per worker and remembered by its
+64-bit hash in a table of bounded size. All other texts, and those that hold the text of a special token, are
+encoded whole.
 
 Defined results: a null text is empty and has only the end id; null ids come first; rows that repeat an id are
 further occurrences of its key, ordered by text hash; an empty table gives no rows; extra columns are ignored.
@@ -29,57 +29,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from riskframe.llm.near_dups import mixed
+from riskframe.llm.near_dups import mixed, span_hashes
 from riskframe.session import scratch_path, stage_table
 
 SHARD_IDS = 1 << 21
 END = 0
 #: Pieces remembered per worker.
-PIECES = 400_000
+PIECES = 2_000_000
 GAMMA = 2.0
 MAX_LEVELS = 48
 NULL_ID = -(2**63)
 CHUNK = 1_000_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-# a blank at the start, after a blank, or not before a letter
-_UNSAFE = re.compile(rf"(?:^|\s) | (?![{_LETTERS}])")
-_CUT = re.compile(rf"(?<=\S)(?= [{_LETTERS}])")
+# texts of these characters take the fast path, unless they hold contractions or long runs of blanks
+_USUAL = re.compile(rf"[\x20-\x7e\n{_LETTERS}]*")
+# classes of bytes: 0 between texts, 1 letters (all bytes of longer characters here), 2 digits, 3 blank, 4 others
+_CLASS = np.full(256, 4, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[32] = 3
+_CLASS[0] = 0
 
 
 class Encoder:
-    """Texts to bytes of ids, piece by piece."""
+    """Texts to bytes of ids, every distinct piece encoded once.
+
+    The byte-level pre-tokenizer cuts where the class of characters changes, a blank going with what follows it;
+    the pieces are encoded independently. Known pieces are kept as arrays: hash, place in the pool, length.
+    """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+    def _forget(self):
+        self.hash = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 16, self.kind)
+        self.used = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = []
-        for t in texts:
-            if any(s in t for s in self.special):
-                pieces.append(None)
-            elif _UNSAFE.search(t):
-                pieces.append(_CUT.split(t))
-            else:
-                first, *more = t.split(" ")
-                pieces.append([first, *[" " + w for w in more]])
-        new = {p for row in pieces if row for p in row}.difference(self.known)
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = {p for row in pieces if row for p in row}
-        fresh = list(new)
-        for a in range(0, len(fresh), 10_000):
-            part = fresh[a : a + 10_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = self._bytes(e.ids)
-        get = self.known.__getitem__
-        whole = lambda t: self._bytes(self.tok.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if row is None else b"".join(map(get, row)) for t, row in zip(texts, pieces)]
+        usual = [i for i, t in enumerate(texts) if t and _USUAL.fullmatch(t) and "'" not in t and not any(s in t for s in self.special)]
+        raws = [texts[i].encode() for i in usual]
+        data = np.frombuffer(b"\0".join(raws) + b"\0\0\0", np.uint8)
+        # three blanks in a row, or two at the end of a text, are not cut one by one
+        blank = (data == 32) | (data == 10)
+        runs = np.flatnonzero(blank[:-2] & blank[1:-1] & (blank[2:] | (data[2:] == 0)))
+        if len(runs):
+            odd = set(np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), runs, side="right").tolist())
+            usual = [i for k, i in enumerate(usual) if k not in odd]
+            raws = [r for k, r in enumerate(raws) if k not in odd]
+            data = np.frombuffer(b"\0".join(raws) + b"\0\0\0", np.uint8)
+        out: list = [None] * len(texts)
+        if usual:
+            for i, ids in zip(usual, self._pieces(raws, data[:-2])):
+                out[i] = ids.tobytes()
+        whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+        return [whole(t) if ids is None else ids for t, ids in zip(texts, out)]
+
+    def _pieces(self, raws: list[bytes], data: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text; `data` holds the texts, a zero byte after each."""
+        cls = _CLASS[data]
+        before = np.r_[np.uint8(0), cls[:-1]]
+        # a newline stands alone; what follows a blank goes with it
+        begin = ((cls != before) & (before != 3)) | (cls == 3) | (data == 10) | (np.r_[np.uint8(0), data[:-1]] == 10) | (cls == 0)
+        start = np.flatnonzero(begin)
+        length = np.diff(np.r_[start, len(data)])
+        kept = cls[start] != 0
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        start, length = start[kept], length[kept]
+        found, first, inverse = np.unique(span_hashes(data, start, length), return_index=True, return_inverse=True)
+        if len(self.hash) + len(found) > PIECES:
+            self._forget()
+        where = np.searchsorted(self.hash, found)
+        new = np.flatnonzero(np.append(self.hash, np.uint64(0))[where] != found if len(self.hash) else np.ones(len(found), bool))
+        if len(new):
+            whole = data.tobytes()
+            spans = zip(start[first[new]].tolist(), length[first[new]].tolist())
+            self._learn(found[new], where[new], [whole[a : a + n].decode() for a, n in spans])
+            where = np.searchsorted(self.hash, found)
+        size = self.length[where][inverse]
+        upto = np.cumsum(size)
+        place = np.repeat(self.at[where][inverse] - (upto - size), size) + np.arange(int(upto[-1]))
+        ids = self.pool[place]
+        cuts = np.r_[0, upto][np.searchsorted(start, ends)]
+        return np.split(ids, cuts[:-1])
+
+    def _learn(self, hashes: np.ndarray, where: np.ndarray, pieces: list[str]) -> None:
+        parts, sizes = [], []
+        for a in range(0, len(pieces), 20_000):
+            part = pieces[a : a + 20_000]
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            parts.append(np.array(e.ids, self.kind))
+            sizes.append(np.bincount(np.array(e.word_ids), minlength=len(part)))
+        ids, size = np.concatenate(parts), np.concatenate(sizes)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.hash = np.insert(self.hash, where, hashes)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
+        self.length = np.insert(self.length, where, size)
+        self.used += len(ids)
+
+
+#: One encoder per worker process and vocabulary, so its pieces outlive a task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def hashed(keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -172,21 +235,22 @@ def _shard(part: int, seq: int, kind: np.dtype, keys: list[int], nth: list[int],
 
 def _write(path: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
-        stop = encoder._bytes([end])
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
+        stop = np.array([end], encoder.kind).tobytes()
         keys: list[int] = []
         nth: list[int] = []
         runs: list[bytes] = []
         size, last = 0, (None, -1)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
             while at < len(texts):
-                upto, held = at, 0
+                upto, held, part_texts = at, 0, []
                 while upto < len(texts) and held < CHUNK:
-                    held += len(texts[upto])
+                    part_texts.append(texts[upto].as_py() or "")
+                    held += len(part_texts[-1])
                     upto += 1
-                for doc, run in zip(ids[at:upto], encoder.encode(texts[at:upto])):
+                for doc, run in zip(ids[at:upto], encoder.encode(part_texts)):
                     doc = NULL_ID if doc is None else doc
                     last = (doc, last[1] + 1 if last[0] == doc else 0)
                     keys.append(doc)

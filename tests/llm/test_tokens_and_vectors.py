@@ -25,12 +25,17 @@ def test_pieces_encode_like_whole_texts(tok):
     texts = [
         "", " ", "a", " a", "a ", "a  b", "a \n b", "x\x1c y\x85 z\xa0 w", "it's  we'll 'd x'y", "1 2 a1 b 2c", "Éa é ß ñandú",
         "end<|endoftext|> of text", "tab\t word \tword", "a | b | c", "日本 語 word", "emoji 🙂 word 🙂word", "word  word　 word",
-        "\n\n a\n\n", "THE!! END!! of %%% it###", "a b c", "x ǅ y ʰz w",
+        "\n\n a\n\n", "\n", "a\n", "a \nb", "a\n b", "a\n\nb", "a\n\n\nb", "a  ", "  a", "a:b,c 1a2 3.5", "a\x00b", "É.É", "x" * 9000 + " y", "THE!! END!! of %%% it###", "a b c", "x ǅ y ʰz w",
     ]
     e = token_files.Encoder(VOCABULARY)
     for _ in range(2):  # from the tokenizer, then from memory
         got = [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)]
-        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        for t, ids in zip(texts, got):
+            assert ids == tok.encode(t, add_special_tokens=False).ids, t
+    rng = np.random.default_rng(7)
+    noise = ["".join(rng.choice(list("ab  \n\n.,!1é's"), int(rng.integers(0, 40)))) for _ in range(3000)]
+    for t, b in zip(noise, e.encode(noise)):
+        assert np.frombuffer(b, e.kind).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_files_round_trip_on_odd_rows(spark, odd_rows, tok):
