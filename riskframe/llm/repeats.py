@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskframe.llm.common import stage_text
 from riskframe.session import stage_table
 
 WIDTH = 400
@@ -372,7 +373,7 @@ def spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     d = docs.select(doc, F.xxhash64("text").alias("own"), "text")
     t = d.mapInArrow(_cut(width), "hash long, w1 long, w2 long, doc long, own long, a int, s0 int, s1 int")
-    t = stage_table(t, "segments")
+    t = stage_text(t, "segments")
     place = F.struct("doc", "own", "a", "s0", "s1")
     classes = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"))
     parts = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("rows")).filter("rows > 1")
@@ -385,7 +386,7 @@ def spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     spots = spots.groupBy("doc", "own").agg(F.collect_list("s").alias("spots"))
     texts = d.join(spots, ["doc", "own"])
     members = texts.select("text", "spots").mapInArrow(_members(width), "hash long, w1 long, w2 long, part binary, lead int")
-    members = stage_table(members, "members")
+    members = stage_text(members, "members", rows=100)
     large = stage_table(many.filter(F.col("classes") > group).select("hash").distinct(), "large")
     usual = members.join(large, "hash", "left_anti").select(*KEYS, "part", "lead")
     usual = usual.repartition("hash").sortWithinPartitions(*KEYS).mapInArrow(_sorted_groups(width), "hash long, w1 long, w2 long, l0 int, l1 int")
@@ -398,7 +399,9 @@ def spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     again = windows.groupBy("hash", "l0", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = windows.join(again, ["hash", "l0", "window"], "left_semi").select(*KEYS, "l0", F.col("l0").alias("l1"))
     runs = stage_table(usual.unionByName(single), "offsets")
-    some = t.join(classes.filter("classes > 1 and copies = 1").select(*KEYS), KEYS, "left_semi").join(runs, KEYS)
+    # one join on the large side, which Spark can split where a class is large
+    runs = runs.join(classes.filter("classes > 1 and copies = 1").select(*KEYS), KEYS, "left_semi")
+    some = t.join(stage_table(runs, "single"), KEYS)
     some = some.select("doc", "own", (F.col("a") - F.col("l1")).alias("start"), (F.col("a") - F.col("l0") + width).alias("stop"))
     return found.unionByName(some)
 
