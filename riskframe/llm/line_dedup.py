@@ -192,22 +192,22 @@ def _bitmap(positions: pd.Series) -> pd.Series:
     return positions.map(lambda p: pack(np.sort(np.asarray(p))))
 
 
-@F.pandas_udf(APPLIED)
-def _apply(texts: pd.Series, bitmaps: pd.Series) -> pd.DataFrame:
+def _apply(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
+    """Texts without the lines set in their bitmaps; a null bitmap gives null."""
     kept, lines, dropped = [], [], []
     for text, bits in zip(texts, bitmaps):
-        text = text or ""
-        n = text.count("\n") + 1
-        gone = 0
-        if bits is not None:
-            mask = np.unpackbits(np.frombuffer(zlib.decompress(bits), dtype="u1"))
-            parts = text.split("\n")
-            stays = [x for i, x in enumerate(parts) if i >= len(mask) or not mask[i]]
-            gone, text = n - len(stays), "\n".join(stays)
-        kept.append(text)
-        lines.append(n)
-        dropped.append(gone)
-    return pd.DataFrame({"kept": kept, "n_lines": lines, "n_dropped": dropped})
+        bits = bits.as_py()
+        if bits is None:
+            kept.append(None), lines.append(None), dropped.append(None)
+            continue
+        mask = np.unpackbits(np.frombuffer(zlib.decompress(bits), dtype="u1"))
+        parts = (text.as_py() or "").split("\n")
+        stays = [x for i, x in enumerate(parts) if i >= len(mask) or not mask[i]]
+        kept.append("\n".join(stays))
+        lines.append(len(parts))
+        dropped.append(len(parts) - len(stays))
+    columns = [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+    return pa.StructArray.from_arrays(columns, ["kept", "n_lines", "n_dropped"])
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -221,8 +221,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     bits = stage_table(keep_bitmaps(docs, min_chars, min_docs), "bitmaps")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     d = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), F.xxhash64("text").alias("own"))
-    d = d.join(bits, ["doc", "own"], "left").select("row", _apply("row.text", "bits").alias("r"))
-    return d.select("row", "r.kept", "r.n_lines", "r.n_dropped")
+    # only documents that lose lines go through Python, and once: a filter must not repeat the call
+    apply = F.arrow_udf(_apply, APPLIED).asNondeterministic()
+    d = d.join(bits, ["doc", "own"], "left")
+    d = d.select("row", "bits", apply(F.when(F.col("bits").isNotNull(), F.col("row.text")), F.col("bits")).alias("r"))
+    whole = F.coalesce("row.text", F.lit(""))
+    cut = F.col("bits").isNotNull()
+    return d.select(
+        "row",
+        F.when(cut, F.col("r.kept")).otherwise(whole).alias("kept"),
+        F.when(cut, F.col("r.n_lines")).otherwise(F.size(F.split(whole, "\n"))).cast("long").alias("n_lines"),
+        F.when(cut, F.col("r.n_dropped")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def line_table(docs: DataFrame) -> DataFrame:
