@@ -390,9 +390,10 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     groups = members.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
     main = groups.groupBy("key").agg(F.max(F.struct("n", "lab", "leader")).alias("m"), (F.sum("n") == 2).alias("two"))
     pairs = members.join(main, "key").filter("lab <> m.lab")
-    pairs = pairs.select(F.least("m.leader", "node").alias("a"), F.greatest("m.leader", "node").alias("b"), "two")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("two").alias("two")).join(tried, ["a", "b"], "left_anti")
-    pairs = stage_table(pairs, "pairs")
+    pairs = pairs.select(F.least("m.leader", "node").alias("a"), F.greatest("m.leader", "node").alias("b"), "two", F.lit(1).alias("new"))
+    pairs = pairs.unionByName(tried.select("a", "b", F.lit(False).alias("two"), F.lit(0).alias("new")))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("new").alias("shared"), F.max("two").alias("two"), F.min("new").alias("untried"))
+    pairs = stage_table(pairs.filter("untried = 1").drop("untried"), "pairs")
     best, second = find.judged_best(pairs)
     tried = tried.unionByName(best)
     links = links.unionByName(second.filter("similar").select("a", "b"))
