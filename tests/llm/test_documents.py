@@ -366,6 +366,19 @@ def test_language_model_counts_and_held_out_gain(spark, odd_rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 50, 4))) for i in range(2600)]
+    fitted = []
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "SHARD_DOCUMENTS", 200)
+    monkeypatch.setattr(language_model, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    got = language_model.score_table(make_docs(spark, rows, clashes=False)).first()
+    assert fitted[0][1] == got["train_tokens"] > 11_000
+    assert language_model.vocabulary_size(10**8, 10**6) == 10_000
+    assert language_model.vocabulary_size(10**6, 10**6) == language_model.VOCABULARY - 2
+
+
 # --- mixing and packing -----------------------------------------------------------------------------
 
 
