@@ -4,7 +4,8 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 result is written as Parquet and read again as the next stage's docs. All stages but the last return the
 columns of documents.
 
-1. language: documents whose language is undefined (no text, or no letter) go.
+1. language: documents without a text or a letter go, and those far less likely in every learned language than the
+   labelled documents are.
 2. lines: lines of 40 characters or more found in five documents or more go, but for the last document that
    has them; n_chars follows the text. Documents that are left without a word go.
 3. near_dups: one document, the smallest doc_id, stays of each group of similar documents (five-word

@@ -11,8 +11,13 @@ Learning: counts come from labelled documents. At most about `per_language` docu
 used, a hash sample by id; texts of others are not read for learning. Scoring reads every text, whole.
 The model has languages x 65,536 numbers; more than `MAX_LANGUAGES` learned values are refused.
 
+`accepted` rejects what is `und` for its text, and texts that fit no learned language. A text's fit is the mean log
+probability of its trigrams, each word in the language that suits it best. A language with `LEAST_LABELLED` labelled
+documents or more has a bound: as far below the fit that one in a thousand of them misses as that is below their
+median. A text predicted as the language is rejected below it; languages with fewer labels reject no text.
+
 Defined results: a null text, or one without a letter, is `und` with score 0; without any learned language
-every document is `und`; ties go to the smaller language name; null ids are scored but never learned from;
+every document is `und`, and `accepted` rejects only the texts without a letter; ties go to the smaller language name; null ids are scored but never learned from;
 repeated rows get equal predictions; extra columns are ignored.
 """
 
@@ -32,6 +37,7 @@ from riskframe.session import collect_bounded
 PER_LANGUAGE = 10_000
 MAX_LANGUAGES = 512
 BUCKETS = 1 << 16
+LEAST_LABELLED = 1_000
 STEPS = 30
 TOLERANCE = 1e-4
 #: Bytes of text handled at a time inside a task.
@@ -143,8 +149,8 @@ def infer(likelihood: np.ndarray) -> tuple[int, float]:
     return int(kept[at]), float(min(1.0, share[at]))
 
 
-def _predict(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
-    langs, scores = [], []
+def _predict(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[float | None]]:
+    langs, scores, fits = [], [], []
     for _, part in _chunks(texts):
         key, starts, first = _trigrams(part)
         words = np.stack([np.add.reduceat(row[key], starts) for row in table], axis=1).astype("f8") if len(starts) and names else None
@@ -153,25 +159,29 @@ def _predict(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list
             if words is None or not LETTER.search(text):
                 langs.append(UND)
                 scores.append(0.0)
+                fits.append(None)
                 continue
             # letters outside the model's classes give no word: nothing speaks for any language
             at, score = infer(words[a:b]) if b > a else (0, 1 / len(names))
             langs.append(names[at])
             scores.append(score)
-    return langs, scores
+            end = starts[b] if b < len(starts) else len(key)
+            fits.append(float(words[a:b].max(axis=1).sum() / (end - starts[a])) if b > a else None)
+    return langs, scores, fits
 
 
 def identify(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep` columns of `docs` with lang_pred and score."""
+    """`keep` columns of `docs` with lang_pred, score and fit."""
     model = docs.sparkSession.sparkContext.broadcast((names, table))  # at most MAX_LANGUAGES x BUCKETS floats
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, fit double")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, scores = _predict(texts, *model.value)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        langs, scores, fits = _predict(texts, *model.value)
+        arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
+        return pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "fit"])
 
     d = docs.select(*keep, predict("text").alias("_p"))
-    return d.select(*keep, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return d.select(*keep, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"), F.col("_p.fit").alias("fit"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -186,14 +196,22 @@ def language_table(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose language is undefined; the columns stay.
+    """`docs` without the texts that have no letter or fit no learned language; the columns stay.
 
-    Only the rejected documents' keys are written; the rows themselves do not pass through Python.
+    Only the documents' keys and fits are written; the rows themselves do not pass through Python.
     """
     names, table = learn(docs.filter(~held_out()))
+    docs = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    if not names:
+        return docs
     own = F.xxhash64("text")
-    keyed = docs.select(F.col("doc_id").alias("id"), own.alias("own"), "text")
-    gone = identify(keyed, names, table, ["id", "own"]).filter(F.col("lang_pred") == UND).select("id", "own").distinct()
-    gone = stage_text(gone, "rejected")
+    label = F.when(~held_out() & F.col("doc_id").isNotNull(), F.col("lang"))
+    keyed = docs.select(F.col("doc_id").alias("id"), own.alias("own"), label.alias("label"), "text")
+    told = stage_text(identify(keyed, names, table, ["id", "own", "label"]).drop("score"), "told")
+    low, middle = (F.percentile_approx("fit", q, 100_000) for q in (0.001, 0.5))
+    bounds = told.filter("label is not null and fit is not null").groupBy("label")
+    bounds = bounds.agg((2 * low - middle).alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_LABELLED)
+    bounds = F.broadcast(bounds.select(F.col("label").alias("lang_pred"), "bound"))  # MAX_LANGUAGES rows at most
+    gone = told.join(bounds, "lang_pred").filter("fit < bound").select("id", "own").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), own.alias("hash"))
     return rows.join(gone, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")), "left_anti").select("row.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -289,6 +290,17 @@ def test_language_on_odd_rows(spark, odd_rows):
     assert [r["lang_pred"] for r in language.language_table(nothing).collect()] == ["und"]
 
 
+def test_accepted_without_labels_and_with_texts_of_no_language(spark):
+    rnd = random.Random(3)
+    vocab = ["river", "stone", "winter", "garden", "market", "letter", "silver", "window", "morning", "shadow"]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    odd = [(9001, "qxzjv kqwxz vvjqk " * 9), (9002, "12 ..."), (9003, None)]
+    ids = lambda rows: {r["doc_id"] for r in language.accepted(make_docs(spark, rows)).collect()}
+    rows = [(i, prose(20)) for i in range(1600)]
+    assert ids([(*r, "en") for r in rows] + [(*r, None) for r in odd]) == set(range(1600))
+    assert ids([(*r, None) for r in rows[:9] + odd]) == {*range(9), 9001}
+
+
 def test_mixture_finds_both_languages():
     rng = np.random.default_rng(8)
     words_ = np.full((300, 3), -9.0)
