@@ -14,7 +14,7 @@ columns of documents.
 5. pack: every document's words are placed in bins of fixed length; one row per piece.
 
 Defined results: an empty table passes through as an empty table; nulls in columns other than the text are
-kept; a repeated row is a document like any other until stage 3, which keeps rows of one id and text together.
+kept; a repeated row is a document like any other until stage 3, which lets one of them through.
 """
 
 from __future__ import annotations

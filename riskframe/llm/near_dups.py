@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskframe.llm.common import stage_text
+from riskframe.llm.common import numbered, stage_text
 from riskframe.session import stage_table
 
 REGISTERS = 256
@@ -443,8 +443,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group; the columns stay."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("own"))
-    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own"))
-    return rows.join(kept, on, "left_semi").select("row.*")
+    """`docs` with one row of each group; the columns stay.
+
+    Here a document is an id, null included, with a text: documents are numbered by both, null ids last, and
+    linked by number. The smallest of a group stays, once however often its row is repeated.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    named = rows.groupBy(F.col("id").alias("of"), F.col("own").alias("hash")).agg(F.count(F.lit(1)).alias("copies"))
+    named = stage_table(numbered(named, [F.col("of").asc_nulls_last(), F.col("hash")], "nr"), "named")
+    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("hash"))
+    texts = stage_table(rows.join(named, on).select(F.col("nr").cast("long").alias("doc_id"), F.col("row.text").alias("text")), "texts")
+    kept = near_duplicates(texts, size, percent).filter("kept").select(F.col("doc_id").alias("nr")).distinct()
+    found = rows.join(stage_table(named.join(kept, "nr"), "kept"), on)
+    several = found.filter("copies > 1").groupBy("id", "own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return found.filter("copies = 1").select("row.*").unionByName(several.select("row.*"))

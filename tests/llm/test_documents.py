@@ -504,6 +504,13 @@ def test_packing_on_odd_rows(spark, odd_rows):
 # --- all --------------------------------------------------------------------------------------------
 
 
+def test_kept_documents_leave_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, a), (None, b), (None, b), (3, c), (3, b + " end")]
+    got = sorted((r["doc_id"], r["text"][0]) for r in near_dups.kept_documents(make_docs(spark, rows)).collect())
+    assert got == [(1, "a"), (3, "b"), (3, "c")]
+
+
 @pytest.mark.parametrize(
     "run",
     [
