@@ -57,13 +57,14 @@ def same(left: DataFrame, right: DataFrame, keys) -> Column:
     return on
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, bounds: list[Column] | None = None) -> DataFrame:
     """Add `name`, the 0-based position in `order`, without a window over the whole table.
 
     Rows are range-partitioned, numbered inside their partition, and shifted by the sizes of the
-    partitions before it. The partitions are written once, so every pass sees the same ones.
+    partitions before it. The partitions are written once, so every pass sees the same ones. `bounds` cut the
+    partitions where the order itself holds long texts: expressions that never fall as the order rises.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*(bounds or order)).sortWithinPartitions(*order)
     ranged = ranged.withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(*order)
     t = stage_table(ranged.withColumn("_at", F.row_number().over(inside) - 1), name)
