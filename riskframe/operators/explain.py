@@ -130,26 +130,30 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def tree_leaves(model) -> tuple[list[dict[str, np.ndarray]], float]:
-    """Leaves of a fitted Spark tree ensemble, and the expected output over the training cover.
+    """Leaves of a fitted tree ensemble, and the expected output over the training cover.
 
-    Read from the model's own saved node table. The leaves come as one group of arrays per number of features
+    Read from the model's own saved node table, or from a model that gives its nodes in that form. The leaves come as one group of arrays per number of features
     on their paths: per leaf and feature the value interval, the bits of the categories allowed, and the
     share of cover that follows the path at that feature's splits. Boosted trees are in margin units, forests in
     units of the positive probability.
     """
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.active()
-    path = scratch_path(spark, "trees")
-    model.write().save(path)
-    columns = ["treeID", "nodeData"] if hasattr(model, "treeWeights") else [F.lit(0).alias("treeID"), "*"]
-    nodes = spark.read.parquet(f"{path}/data").select(*columns)
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
+    if hasattr(model, "node_rows"):
+        nodes = model.node_rows()
+    else:
+        spark = SparkSession.active()
+        path = scratch_path(spark, "trees")
+        model.write().save(path)
+        columns = ["treeID", "nodeData"] if hasattr(model, "treeWeights") else [F.lit(0).alias("treeID"), "*"]
+        nodes = spark.read.parquet(f"{path}/data").select(*columns)
+        if "nodeData" in nodes.columns:
+            nodes = nodes.select("treeID", "nodeData.*")
+        nodes = nodes.collect()  # the model itself, which the driver holds anyway
     weights = list(getattr(model, "treeWeights", [1.0]))
     forest = "GBT" not in type(model).__name__
     trees: dict[int, dict[int, object]] = {}
-    for r in nodes.collect():  # the model itself, which the driver holds anyway
+    for r in nodes:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
     groups: dict[int, list[tuple]] = {}
     base = 0.0
@@ -163,7 +167,8 @@ def tree_leaves(model) -> tuple[list[dict[str, np.ndarray]], float]:
                 stats = node["impurityStats"]
                 value = scale * (stats[1] / sum(stats) if forest else node["prediction"])
                 base += value * math.prod(p[3] for p in parts.values())
-                groups.setdefault(len(parts), []).append((value, list(parts), list(parts.values())))
+                if value:  # a leaf of nothing moves nothing, and may have no cover
+                    groups.setdefault(len(parts), []).append((value, list(parts), list(parts.values())))
                 continue
             left, right = table[node["leftChild"]], table[node["rightChild"]]
             f = node["split"]["featureIndex"]

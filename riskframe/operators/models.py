@@ -1,4 +1,4 @@
-"""Classifiers: presets over Spark ML, a kernel-approximating SVM and a nearest-neighbour model.
+"""Classifiers: boosted trees on histograms, presets over Spark ML, a kernel-approximating SVM and nearest neighbours.
 
 All of them are Estimators on a feature vector and add `prediction` and a two-class `probability`
 vector, so the same fit, score and evaluate code serves every entry of the registry.
@@ -19,18 +19,19 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe import functions as fx
+from riskframe.operators.boosting import HistogramGBTClassifier
 from riskframe.operators.metrics import score_to_probability
 from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
 from riskframe.operators.resample import smote
+from riskframe.operators.target_stats import fit_target_statistics, ordered_statistics
 from riskframe.session import scratch_path, sized
 from riskframe.spec import RANDOM_SEED, FeatureSpec
 
@@ -173,6 +174,7 @@ class KernelSvmClassifier(Estimator):
 class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     """Votes of the k nearest training rows; the training table stays a written table."""
 
+    stored = ("trainPath",)
     trainPath = _p("trainPath", "written training rows", TypeConverters.toString)
     k = _p("k", "", TypeConverters.toInt)
     weights = _p("weights", "uniform or distance", TypeConverters.toString)
@@ -221,14 +223,16 @@ class KnnClassifier(Estimator):
 def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
     """Registry entry as an Estimator; `settings` override the preset.
 
-    The boosting presets take the public defaults of the three usual boosting libraries where Spark's
-    trees have the same knob.
+    The boosting presets take the public defaults of the three usual boosting libraries: trees grown by depth, by
+    leaf, and symmetric ones over ordered label statistics. `gbt` is Spark's own boosting.
     """
     presets = {
-        "xgboost": dict(maxIter=100, maxDepth=6, stepSize=0.3),
-        # 31 leaves are a depth of 5
-        "lightgbm": dict(maxIter=100, maxDepth=5, stepSize=0.1, minInstancesPerNode=20),
-        "catboost": dict(maxIter=200, maxDepth=6, stepSize=0.05),
+        "xgboost": dict(growth="depth", maxIter=100, maxDepth=6, stepSize=0.3, regLambda=1.0, minChildWeight=1.0),
+        "lightgbm": dict(
+            growth="leaf", maxIter=100, maxLeaves=31, maxDepth=0, stepSize=0.1, regLambda=0.0, minChildWeight=1e-3, minInstancesPerNode=20
+        ),
+        "catboost": dict(growth="symmetric", maxIter=200, maxDepth=6, stepSize=0.05, regLambda=3.0, minChildWeight=0.0),
+        "gbt": dict(maxIter=100, maxDepth=6, stepSize=0.3),
         "random_forest": dict(numTrees=100, maxDepth=15, featureSubsetStrategy="sqrt"),
         "svm": dict(C=1.0, gamma="scale", kernel="rbf"),
         "knn": dict(k=5, weights="uniform", p=2),
@@ -243,9 +247,11 @@ def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
         return KernelSvmClassifier(seed=seed, **options)
     if name == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="label", **options)
-    tree = RandomForestClassifier if name == "random_forest" else GBTClassifier
-    made = tree(featuresCol="features", labelCol="label", seed=seed, **options)
-    made.encoding = "target" if name == "catboost" else "one_hot"
+    if name in ("random_forest", "gbt"):
+        tree = RandomForestClassifier if name == "random_forest" else GBTClassifier
+        return tree(featuresCol="features", labelCol="label", seed=seed, **options)
+    made = HistogramGBTClassifier(seed=seed, **options)
+    made.encoding = "ordered" if name == "catboost" else "one_hot"
     return made
 
 
@@ -253,39 +259,24 @@ def get_models(seed: int = RANDOM_SEED) -> dict:
     return {name: make_classifier(name, seed) for name in MODEL_NAMES}
 
 
-def target_encoder(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
-    """Fitted stages that replace each category by its smoothed label mean, beside the scaled numbers.
+def ordered_encoder(df: DataFrame, spec: FeatureSpec, seed: int = RANDOM_SEED) -> tuple[PipelineModel, DataFrame]:
+    """Fitted stages that replace each category by its smoothed label mean, beside the scaled numbers, and the
+    training rows' own features.
 
-    The categorical treatment of the third boosting preset, in place of one-hot columns.
+    The categorical treatment of the third boosting preset, in place of one-hot columns. A training row's
+    categories are encoded by the labels of the rows before it in a hash order, scored rows by all training rows.
     """
     numeric = TabularPreprocessorModel.of(fit_numeric(df, spec.numeric), [], "numeric_features")
     cats = list(spec.categorical)
-    index = StringIndexer(
-        inputCols=cats, outputCols=[f"{c}__index" for c in cats], handleInvalid="keep"
-    ).fit(df)
-    encode = TargetEncoder(
-        inputCols=[f"{c}__index" for c in cats],
-        outputCols=[f"{c}__target" for c in cats],
-        labelCol="label",
-        targetType="binary",
-        handleInvalid="keep",
-        smoothing=1.0,
-    ).fit(index.transform(df))
+    n, positive = df.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    prior = positive / n if n else 0.5
+    means = fit_target_statistics(df, cats, "label", prior, n)
     assemble = VectorAssembler(
         inputCols=["numeric_features", *[f"{c}__target" for c in cats]], outputCol="features"
     )
-    return PipelineModel([numeric, index, encode, assemble])
-
-
-def out_of_fold_encoded(df: DataFrame, spec: FeatureSpec, folds: int = 5, seed: int = RANDOM_SEED) -> DataFrame:
-    """Training rows with `features`, their categories encoded by the labels of the other folds only."""
-    parted = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), spec.id), F.lit(folds)))
-    out = None
-    for j in range(folds):
-        rest, own = (parted.filter(F.col("_fold") != j), parted.filter(F.col("_fold") == j))
-        part = target_encoder(rest, spec).transform(own).select("label", "features", spec.id)
-        out = part if out is None else out.unionByName(part)
-    return out
+    ordered = ordered_statistics(df, cats, "label", spec.id, prior, seed=seed, rows=n)
+    ready = assemble.transform(numeric.transform(ordered))
+    return PipelineModel([numeric, means, assemble]), ready
 
 
 def fit_model(
@@ -299,19 +290,18 @@ def fit_model(
 ) -> PipelineModel:
     """Preprocessing and classifier fitted on the training rows only.
 
-    Oversampling happens between the two and only here, so it never touches rows that are scored. With target
-    encoding, which the third boosting preset has by default, training rows are encoded out of fold and
-    scored rows by all training rows.
+    Oversampling happens between the two and only here, so it never touches rows that are scored. With ordered
+    encoding, which the third boosting preset has by default, see `ordered_encoder`.
 
     `prepare`, a preprocessor fitted on these rows, saves fitting it again.
     """
     encoding = encoding or getattr(classifier, "encoding", "one_hot")
     rows = train.withColumn("label", F.col(spec.label).cast("double"))
-    if encoding == "target":
-        prepare = target_encoder(rows, spec)
-    elif prepare is None:
-        prepare = preprocessor(spec).fit(rows)
-    ready = out_of_fold_encoded(rows, spec, seed=seed) if encoding == "target" else prepare.transform(rows)
+    if encoding == "ordered":
+        prepare, ready = ordered_encoder(rows, spec, seed)
+    else:
+        prepare = prepare or preprocessor(spec).fit(rows)
+        ready = prepare.transform(rows)
     if resample:
         grown = smote(
             ready.select(spec.id, "label", vector_to_array("features").alias("x")),

@@ -110,7 +110,7 @@ def fold_metrics(scores: DataFrame) -> DataFrame:
     return wide.unpivot(by, list(CV_METRICS), "metric", "score")
 
 
-# The tuning space per model, in the knobs Spark's learners have.
+# The tuning space per model, in the learners' own knobs.
 # ("int", low, high) excludes high; ("uniform", low, width); ("log", low, high); ("choice", values)
 SEARCH_SPACES = {
     "xgboost": {
@@ -118,12 +118,17 @@ SEARCH_SPACES = {
         "maxDepth": ("int", 3, 15),
         "stepSize": ("uniform", 0.005, 0.3),
         "subsamplingRate": ("uniform", 0.5, 0.5),
+        "featureFraction": ("uniform", 0.4, 0.6),
         "minInfoGain": ("uniform", 0.0, 5.0),
+        "regAlpha": ("log", 1e-3, 10.0),
+        "regLambda": ("log", 1e-3, 10.0),
     },
     "lightgbm": {
         "maxIter": ("int", 100, 700),
-        "maxDepth": ("int", 4, 8),
+        "maxLeaves": ("int", 20, 200),
+        "maxDepth": ("int", -1, 15),
         "stepSize": ("uniform", 0.005, 0.3),
+        "featureFraction": ("uniform", 0.4, 0.6),
         "subsamplingRate": ("uniform", 0.4, 0.6),
         "minInstancesPerNode": ("int", 5, 50),
     },
@@ -131,7 +136,7 @@ SEARCH_SPACES = {
         "maxIter": ("int", 200, 800),
         "maxDepth": ("int", 4, 10),
         "stepSize": ("uniform", 0.01, 0.2),
-        "subsamplingRate": ("uniform", 0.5, 0.5),
+        "regLambda": ("uniform", 1, 20),
     },
     "random_forest": {
         "numTrees": ("int", 100, 800),

@@ -10,20 +10,21 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import metrics as M, quality as Q
 from riskframe.operators.explain import feature_names
 from riskframe.operators.models import fit_model, make_classifier, predict
 from riskframe.operators.split import optional_split
+from riskframe.operators.target_stats import category_means, ordered_statistics
 from riskframe.plans import validate as V
 from riskframe.plans.jobs import compare_job, evaluate_job
 from riskframe.plans.score import score_files, score_records
 from riskframe.queries.evaluation import AP, AUC, BASIC, BASIC_NAMES, ROUNDED_BASIC
 from riskframe.queries.preprocessing import RANKED
 from riskframe.queries.registry import query
-from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, with_cases
+from riskframe.queries.tables import CASE_SPEC, CASES, cases, rounded, table, with_cases
 from riskframe.session import scratch_path, spread, stage_table
 from riskframe.sources import reports as IO
 from riskframe.sources.registry import load_model, save_model
@@ -47,6 +48,7 @@ def _fitted(name: str, encoding: str | None = None, resample: bool = False, **se
 query("fit_xgboost_preset")(_fitted("xgboost"))
 query("fit_lightgbm_preset")(_fitted("lightgbm"))
 query("fit_catboost_target_encoded")(_fitted("catboost"))
+query("fit_gbt_spark")(_fitted("gbt", maxIter=20))
 query("fit_random_forest")(_fitted("random_forest"))
 query("fit_svm_rbf")(_fitted("svm"))
 query("fit_svm_poly")(_fitted("svm", kernel="poly"))
@@ -80,6 +82,129 @@ def fit_logistic_optimum(spark, sf):
     return spark.createDataFrame(rows, "feature string, at_optimum boolean")
 
 
+# equal rows of the SQL twin: gradients p - y and Hessians p (1 - p) of the base rate p, by value of each feature
+SPLITS = """
+WITH rows AS (
+  SELECT l_quantity AS q, l_discount AS d, l_tax AS t, CASE WHEN l_extendedprice * (1 - l_discount) > 1000 * (10 + l_tax * 100) THEN 1 ELSE 0 END AS y
+  FROM lineitem),
+base AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS pos FROM rows),
+long AS (
+  SELECT y, q, d, t, feature, value FROM rows, LATERAL (VALUES (0, q::DOUBLE), (1, d::DOUBLE), (2, t::DOUBLE)) v(feature, value)),
+{steps}
+SELECT * FROM root UNION ALL SELECT * FROM low UNION ALL SELECT * FROM high
+"""
+
+
+def _split_sql(name: str, where: str) -> str:
+    """The best split of the rows that `where` selects, with the sizes and Newton steps of its sides."""
+    return f"""
+{name}_cells AS (SELECT feature, value, count(*) AS n, sum(y) AS pos FROM long, base WHERE {where} GROUP BY ALL),
+{name}_left AS (
+  SELECT feature, value, sum(n) OVER w AS n_left, sum(pos) OVER w AS pos_left,
+         sum(n) OVER (PARTITION BY feature) AS n_all, sum(pos) OVER (PARTITION BY feature) AS pos_all
+  FROM {name}_cells WINDOW w AS (PARTITION BY feature ORDER BY value)),
+{name}_sides AS (
+  SELECT *, n_left * p - pos_left AS gl, n_left * p * (1 - p) AS hl, (n_all - n_left) * p - (pos_all - pos_left) AS gr,
+         (n_all - n_left) * p * (1 - p) AS hr FROM {name}_left, base WHERE n_left < n_all),
+{name}_best AS (
+  SELECT *, 0.5 * (gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1)) AS gain
+  FROM {name}_sides WHERE hl >= 1 AND hr >= 1 ORDER BY gain DESC, feature, value LIMIT 1),
+{name} AS (
+  SELECT '{name}' AS node, feature, value AS threshold, round(gain, 4) AS gain, n_left::BIGINT AS n_left, (n_all - n_left)::BIGINT AS n_right,
+         round(-0.3 * gl / (hl + 1), 6) AS weight_left, round(-0.3 * gr / (hr + 1), 6) AS weight_right FROM {name}_best)"""
+
+
+_SIDE = "(SELECT CASE feature WHEN 0 THEN long.q WHEN 1 THEN long.d ELSE long.t END {} value FROM root_best)"
+FIRST_SPLITS = SPLITS.format(
+    steps=",".join([_split_sql("root", "true"), _split_sql("low", _SIDE.format("<=")), _split_sql("high", _SIDE.format(">"))])
+)
+
+
+@query("boosting_first_splits", FIRST_SPLITS)
+def boosting_first_splits(spark, sf):
+    """The first boosted tree down to depth two: tests, gains, sizes and leaf weights, as SQL finds them."""
+    t = table(spark, sf, "lineitem")
+    y = (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 1000 * (10 + F.col("l_tax") * 100)).cast("double")
+    rows = t.select(y.alias("label"), array_to_vector(F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])).alias("features"))
+    (tree,) = make_classifier("xgboost", maxIter=1, maxDepth=2).fit(rows).trees
+    out = []
+    for name, n in (("root", 0), ("low", tree["left"][0]), ("high", tree["right"][0])):
+        left, right = tree["left"][n], tree["right"][n]
+        sizes = (tree["rows"][left], tree["rows"][right])
+        out.append((name, tree["feature"][n], tree["threshold"][n], tree["gain"][n], *sizes, tree["value"][left], tree["value"][right]))
+    schema = "node string, feature int, threshold double, gain double, n_left long, n_right long, weight_left double, weight_right double"
+    found = spark.createDataFrame(out, schema)
+    return rounded(rounded(found, "gain", digits=4), "weight_left", "weight_right")
+
+
+@query(
+    "boosting_not_below_spark_trees",
+    "SELECT * FROM (VALUES ('xgboost', TRUE, TRUE), ('lightgbm', TRUE, TRUE), ('catboost', TRUE, TRUE)) v(model, within_limits, not_below)",
+)
+def boosting_not_below_spark_trees(spark, sf):
+    """Hold-out ROC-AUC of each preset's growth against Spark's boosting at as many rounds, and the sizes of its trees."""
+    df = stage_table(spread(cases(spark, sf)), "cases")
+    train, holdout = optional_split(df, "target", "event_id", 0.2)
+
+    def fitted(name, **settings):
+        model = fit_model(train, CASE_SPEC, make_classifier(name, maxIter=10, stepSize=0.3, **settings))
+        scored = predict(model, holdout).select("event_id", F.col("target").alias("label"), "prediction", "probability")
+        return model.stages[-1], M.ranking_metrics(M.threshold_table(stage_table(scored, "scored"))).first()["roc_auc"]
+
+    least = fitted("gbt", maxDepth=5)[1]
+    rows = []
+    for name, leaves in (("xgboost", 64), ("lightgbm", 31), ("catboost", 64)):
+        model, auc = fitted(name)
+        widest = max((len(t["feature"]) + 1) // 2 for t in model.trees)
+        rows.append((name, widest <= leaves, auc >= least - 0.005))
+    return spark.createDataFrame(rows, "model string, within_limits boolean, not_below boolean")
+
+
+def _ordered_sql(*columns: str, rows: str = "cases") -> str:
+    earlier = ", ".join(
+        f"round((coalesce(sum(target) OVER {c}_w, 0) + prior) / (count(*) OVER {c}_w + 1), 6) AS {c}__target" for c in columns
+    )
+    windows = ", ".join(f"{c}_w AS (PARTITION BY {c} ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in columns)
+    base = f"SELECT *, avg(target) OVER () AS prior, md5('42:ordered:' || event_id) AS o FROM {rows}"
+    return f"SELECT event_id, {earlier} FROM ({base}) WINDOW {windows}"
+
+
+def _ordered(df, *columns, **options):
+    prior = df.agg(F.avg("target")).first()[0]
+    out = ordered_statistics(df, columns, "target", "event_id", prior, **options)
+    names = [f"{c}__target" for c in columns]
+    return rounded(out.select("event_id", *names), *names)
+
+
+@query("ordered_target_statistics", with_cases(_ordered_sql("kind", "grp")))
+def ordered_target_statistics(spark, sf):
+    """Every training row's categories by the labels of earlier rows only."""
+    return _ordered(cases(spark, sf), "kind", "grp")
+
+
+HALF = "CASE WHEN event_id % 2 = 0 THEN 'most' ELSE kind END"
+
+
+@query("ordered_target_statistics_hot", with_cases(_ordered_sql("half", rows=f"(SELECT *, {HALF} AS half FROM cases)")))
+def ordered_target_statistics_hot(spark, sf):
+    """One category holds half of the rows; its running sums are cut into many buckets."""
+    return _ordered(cases(spark, sf).withColumn("half", F.expr(HALF)), "half", bucket_rows=500)
+
+
+@query(
+    "category_target_means",
+    with_cases(
+        """SELECT feature, coalesce(value, chr(0) || 'missing') AS value, count(*) AS n,
+        round((sum(target) + (SELECT avg(target) FROM cases)) / (count(*) + 1), 6) AS mean
+        FROM (SELECT 'kind' AS feature, kind AS value, target FROM cases UNION ALL SELECT 'grp', grp::VARCHAR, target FROM cases) GROUP BY ALL"""
+    ),
+)
+def category_target_means(spark, sf):
+    """What rows scored later take: the smoothed label mean of each category over all rows."""
+    df = cases(spark, sf)
+    return rounded(category_means(df, ["kind", "grp"], "target", df.agg(F.avg("target")).first()[0]), "mean")
+
+
 @query("risk_model_holdout")
 def risk_model_holdout(spark, sf):
     """The smallest whole run: null profile, preprocessing, split, fit, score, one metrics row."""

@@ -7,21 +7,23 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.operators.models import KnnModel
 from riskframe.sources.tables import list_paths, path_exists
 
 
 def save_model(spark: SparkSession, model: PipelineModel, path: str, metadata: dict | None = None) -> str:
     """Write the pipeline and its metadata under `path`.
 
-    A nearest-neighbour stage takes its training rows along, so the saved model stands alone.
+    Stages that read written tables (the `stored` parameters hold their paths) take them along, so the saved
+    model stands alone.
     """
     path = path.rstrip("/")
-    for stage in model.stages:
-        if isinstance(stage, KnnModel):
-            rows = spark.read.parquet(stage.getOrDefault("trainPath"))
-            rows.write.mode("overwrite").parquet(f"{path}/train_rows")
-            stage._set(trainPath=f"{path}/train_rows")
+    for i, stage in enumerate(model.stages):
+        for name in getattr(stage, "stored", ()):
+            if not stage.isDefined(name):
+                continue
+            rows = spark.read.parquet(stage.getOrDefault(name))
+            rows.write.mode("overwrite").parquet(f"{path}/tables/{i}_{name}")
+            stage._set(**{name: f"{path}/tables/{i}_{name}"})
     model.write().overwrite().save(f"{path}/model")
     doc = spark.createDataFrame([(json.dumps(metadata or {}, default=str),)], "value string")
     doc.write.mode("overwrite").text(f"{path}/metadata")

@@ -35,7 +35,8 @@ def data(spark):
 SMALL = {
     "xgboost": {"maxIter": 4, "maxDepth": 3},
     "lightgbm": {"maxIter": 4},
-    "catboost": {"maxIter": 4},
+    "catboost": {"maxIter": 4, "stepSize": 0.3},
+    "gbt": {"maxIter": 4, "maxDepth": 3},
     "random_forest": {"numTrees": 5, "maxDepth": 5},
     "svm": {"maxIter": 10, "dim": 64},
     "knn": {},
@@ -45,8 +46,7 @@ SMALL = {
 
 @pytest.mark.parametrize("name", sorted(SMALL))
 def test_models_learn_save_and_load(spark, data, name):
-    encoding = "target" if name == "catboost" else "one_hot"
-    model = fit_model(data, CASE_SPEC, make_classifier(name, **SMALL[name]), encoding=encoding)
+    model = fit_model(data, CASE_SPEC, make_classifier(name, **SMALL[name]))
     scored = predict(model, data).select("event_id", F.col("target").alias("label"), "prediction", "probability")
     auc = M.ranking_metrics(M.threshold_table(scored)).first()["roc_auc"]
     assert auc > 0.8
@@ -66,7 +66,7 @@ def test_knn_scores_are_the_same_in_small_blocks(spark, data, monkeypatch):
     assert small == pytest.approx(large)
 
 
-def test_registry_has_six_models():
+def test_registry_has_six_models(spark):
     assert set(get_models()) == set(MODEL_NAMES) and len(MODEL_NAMES) == 6
     with pytest.raises(ValueError):
         make_classifier("nope")
@@ -98,12 +98,16 @@ def _cover_value(node, x, known):
     return sum(_cover_value(c, x, known) * c["cover"] / n for c in (node["left"], node["right"]))
 
 
-def test_tree_contributions_against_brute_force(spark, data):
-    model = fit_model(data, CASE_SPEC, make_classifier("xgboost", maxIter=2, maxDepth=3))
+@pytest.mark.parametrize("name", ["gbt", "xgboost"])
+def test_tree_contributions_against_brute_force(spark, data, name):
+    model = fit_model(data, CASE_SPEC, make_classifier(name, maxIter=2, maxDepth=3))
     final = model.stages[-1]
-    path = scratch_path(spark, "nodes")
-    final.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    if name == "gbt":
+        path = scratch_path(spark, "nodes")
+        final.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    else:
+        nodes = final.node_rows()
 
     def build(tree, i):
         n = next(r for r in nodes if r["treeID"] == tree and r["id"] == i)
@@ -136,13 +140,13 @@ def test_tree_contributions_against_brute_force(spark, data):
             assert found[r["event_id"], names[used[j]]] == pytest.approx(exact, abs=1e-12)
 
 
-@pytest.mark.parametrize("name", ["xgboost", "random_forest", "logistic", "knn"])
+@pytest.mark.parametrize("name", ["xgboost", "lightgbm", "catboost", "gbt", "random_forest", "logistic", "knn"])
 def test_contributions_add_up_to_the_output(spark, data, name):
     model = fit_model(data, CASE_SPEC, make_classifier(name, **SMALL[name]))
     some = data.orderBy("event_id").limit(15)
     options = {} if X.choose_explainer(model) != "kernel" else dict(max_background=4, nsamples=40)
     long, base = X.explain_rows(model, some, data, "event_id", CASE_SPEC.features, **options)
-    margin = name in ("xgboost", "logistic")
+    margin = name not in ("random_forest", "knn")
     output = vector_to_array("rawPrediction" if margin else "probability")[1]
     real = model.transform(some).select("event_id", output.alias("o"))
     total = long.groupBy("event_id").agg((F.sum("impact") + base).alias("t")).join(real, "event_id").collect()
