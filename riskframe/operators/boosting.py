@@ -1,8 +1,8 @@
 """Gradient-boosted trees on histograms: depth-wise, leaf-wise and symmetric growth, second-order gains.
 
-Features become quantile bins once; a row is then a few bytes, its label and a number. Growing a tree takes one pass
-over the rows for each depth: every task adds up gradients, Hessians and counts per (node, feature, bin), the
-partial sums are merged by an aggregate, and the driver, which sees nodes x features x bins however many rows
+Features become quantile bins once; a row is then a few bytes, its label and a number, and rows are packed in blocks.
+Growing a tree takes one pass over the blocks for each depth: every task adds up gradients, Hessians and counts per
+(node, feature, bin), the partial sums are merged in a tree of tasks, and the driver, which sees nodes x features x bins however many rows
 there are, picks the splits. Only the smaller child of a split is counted; its sibling is the parent minus it.
 
 Leaf-wise growth takes the leaf of largest gain next, up to `maxLeaves`. A pass counts all children that the queue can
@@ -25,13 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.session import sized, stage_table
 from riskframe.spec import RANDOM_SEED
@@ -61,28 +61,38 @@ def cut_points(features: DataFrame, width: int, bins: int) -> list[list[float]]:
     return cuts
 
 
+BLOCK = "first long, n int, label binary, margin binary, bins binary"
+
+
 def binned(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
-    """(row, label, margin, bins): bin b of a feature holds the values above cut b - 1 and up to cut b."""
+    """Blocks of rows: numbers from `first` on, labels, margins and bins as packed arrays.
+
+    Bin b of a feature holds the values above cut b - 1 and up to cut b.
+    """
     width = len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [np.array(c) for c in cuts]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column(3), width)
             bins = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(ends)], axis=1).astype(np.uint8)
-            packed = pa.array([r.tobytes() for r in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["row", "label", "margin", "bins"])
+            label, margin = (batch.column(i).to_numpy().tobytes() for i in (1, 2))
+            yield _block(batch.column(0)[0].as_py(), batch.num_rows, label, margin, bins.tobytes())
 
+    # numbers rise by one within a partition, and batches are cut from it in order
     source = rows.select("row", "label", "margin", vector_to_array("features").alias("x"))
-    return source.mapInArrow(run, "row long, label double, margin double, bins binary")
+    return source.mapInArrow(run, BLOCK)
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+def _block(*values) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["first", "n", "label", "margin", "bins"])
 
 
-def _bytes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
 class Tree:
@@ -138,49 +148,40 @@ def _uniform(numbers: np.ndarray, seed: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _margins(batch: pa.RecordBatch, x: np.ndarray, since: list[dict]) -> np.ndarray:
-    margin = batch.column(2).to_numpy().copy()
+def _margins(packed: bytes, x: np.ndarray, since: list[dict]) -> np.ndarray:
+    margin = np.frombuffer(packed).copy()
     for tree in since:
         margin += tree["value"][reached(tree, x)]
     return margin
 
 
 def histograms(
-    state: DataFrame, tasks: int, width: int, bins: int, since: list[dict], tree: dict, wanted: list[int], draw: tuple[float, int]
+    state: RDD, tasks: int, width: int, bins: int, since: list[dict], tree: dict, wanted: list[int], draw: tuple[float, int]
 ) -> np.ndarray:
     """(wanted node, feature, bin) sums of gradient, Hessian and count, in whole units; one pass."""
     place = np.full(len(tree["feature"]), -1)
     place[wanted] = np.arange(len(wanted))
     fraction, seed = draw
+    cells = len(wanted) * width * bins
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, len(wanted) * width * bins), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _bytes(batch.column(3), width)
-            label = batch.column(1).to_numpy()
+    def run(blocks):
+        total = np.zeros((3, cells), dtype=np.int64)
+        for first, n, label, margin, packed in blocks:
+            x = np.frombuffer(packed, dtype=np.uint8).reshape(n, width)
             slot = place[reached(tree, x)]
             own = slot >= 0
             if fraction < 1:
-                own &= _uniform(batch.column(0).to_numpy(), seed) < fraction
-            p = 1 / (1 + np.exp(-_margins(batch, x, since)[own]))
+                own &= _uniform(first + np.arange(n), seed) < fraction
+            p = 1 / (1 + np.exp(-_margins(margin, x, since)[own]))
             keys = ((slot[own, None] * width + np.arange(width)) * bins + x[own]).ravel()
-            parts = np.rint((p - label[own]) * UNIT), np.rint(p * (1 - p) * UNIT), np.ones(len(p))
+            parts = np.rint((p - np.frombuffer(label)[own]) * UNIT), np.rint(p * (1 - p) * UNIT), np.ones(len(p))
             for i, part in enumerate(parts):  # whole numbers below 2^53: exact in any order
-                total[i] += np.bincount(keys, np.repeat(part, width), total.shape[1]).astype(np.int64)
-        at = np.flatnonzero(total[2])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["at", "g", "h", "n"])
+                total[i] += np.bincount(keys, np.repeat(part, width), cells).astype(np.int64)
+        yield total
 
-    parts = state.mapInArrow(run, "at long, g long, h long, n long")
-    if tasks > FEW_TASKS:  # the parts of a few tasks are added up as they arrive
-        parts = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in "ghn"])
-    merged = parts.toArrow()
-    out = np.zeros((3, len(wanted) * width * bins), dtype=np.int64)
-    at = merged["at"].to_numpy()
-    for i, c in enumerate("ghn"):
-        np.add.at(out[i], at, merged[c].to_numpy())
-    return out.reshape(3, len(wanted), width, bins)
+    parts = state.mapPartitions(run)
+    total = parts.treeReduce(np.add) if tasks > FEW_TASKS else sum(parts.collect())
+    return total.reshape(3, len(wanted), width, bins)
 
 
 def split_gains(hist: np.ndarray, options: dict) -> np.ndarray:
@@ -448,9 +449,10 @@ class HistogramGBTClassifier(Estimator):
         return draws <= np.sort(draws)[max(1, math.ceil(fraction * width)) - 1]
 
     @staticmethod
-    def _staged(rows: DataFrame) -> tuple[DataFrame, int]:
-        state = stage_table(rows, "boosting").persist()
-        return state, state.rdd.getNumPartitions()
+    def _staged(blocks: DataFrame) -> tuple[RDD, int]:
+        """The blocks, written once and held; every pass reads them as they are."""
+        state = stage_table(blocks, "boosting").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+        return state, state.getNumPartitions()
 
     def _fit(self, df: DataFrame) -> HistogramGBTModel:
         options = self.options
@@ -482,7 +484,7 @@ class HistogramGBTClassifier(Estimator):
                 since.append(tree.arrays())
                 if len(since) == STAGED_TREES and i + 1 < options["maxIter"]:
                     before = state
-                    state, tasks = self._staged(_advanced(state, width, since))
+                    state, tasks = self._staged(_advanced(df.sparkSession, state, width, since))
                     before.unpersist()
                     since = []
         finally:
@@ -490,15 +492,15 @@ class HistogramGBTClassifier(Estimator):
         return HistogramGBTModel.of(width, base, trees)
 
 
-def _advanced(state: DataFrame, width: int, since: list[dict]) -> DataFrame:
-    """The rows with the given trees added to their margins."""
+def _advanced(spark: SparkSession, state: RDD, width: int, since: list[dict]) -> DataFrame:
+    """The blocks with the given trees added to their margins."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = _margins(batch, _bytes(batch.column(3), width), since)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(margin), batch.column(3)], names=["row", "label", "margin", "bins"])
+    def run(block):
+        first, n, label, margin, packed = block
+        x = np.frombuffer(packed, dtype=np.uint8).reshape(n, width)
+        return first, n, label, bytearray(_margins(margin, x, since).tobytes()), packed
 
-    return state.mapInArrow(run, state.schema)
+    return spark.createDataFrame(state.map(run), BLOCK)
 
 
 def _plain(tree: Tree, cuts: list[list[float]]) -> dict:

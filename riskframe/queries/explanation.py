@@ -344,9 +344,8 @@ def boosted_shap_adds_up(spark, sf):
     long, base = X.tree_contributions(model, df, "event_id")
     total = long.groupBy("event_id").agg((F.sum("impact") + F.lit(base)).alias("total"))
     final, prepare = model.stages[-1], PipelineModel(model.stages[:-1])
-    # the classifier's probability is the logistic of twice its margin
     scored = predict(final, prepare.transform(df)).select("event_id", "probability").join(total, "event_id")
-    return scored.select("event_id", (F.abs(1 / (1 + F.exp(-2 * F.col("total"))) - F.col("probability")) < 1e-9).alias("adds_up"))
+    return scored.select("event_id", (F.abs(1 / (1 + F.exp(-F.col("total"))) - F.col("probability")) < 1e-9).alias("adds_up"))
 
 
 @query("importances_sum_to_one", "SELECT model, TRUE AS sums_to_one FROM (VALUES ('boosted'), ('forest')) v(model)" f" WHERE (SELECT count(*) FROM ({CASES})) > 0")
