@@ -2,10 +2,11 @@
 
 Vectors become integers, floor(scale * x) by component. Every dimension is a query term whose posting list
 in a shard holds each row's contribution above the shard's least one, so contributions are never negative and
-the term's score bound is the largest. For a query, terms are sorted by bound; the longest run of small
-bounds that cannot lift a row to the current k-th score is non-essential. Essential postings are summed for
-all rows of a block; the other terms are probed in falling order of bound, only for rows whose sum plus the
-remaining bounds can still compete. Block by block the k-th score rises. Shards are merged by a window
+the term's score bound is the largest. Queries go in batches with one order of terms, by their summed bounds. For each
+query the longest run of small bounds that cannot lift a row to its current k-th score is non-essential; a batch
+traverses the terms that are essential for any of its queries, as one product of matrices over a block of rows. The
+other terms are probed in falling order of bound, only for pairs of query and row whose sum plus the
+remaining bounds can still compete. Block by block the k-th scores rise. Shards are merged by a window
 over at most k rows per query and shard.
 
 The query set and the rows are dealt into blocks and shards of bounded size and meet cell by cell; neither
@@ -28,7 +29,11 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 2048
 #: Rows scored before the threshold is raised.
 BLOCK = 1024
+#: Queries that share their essential terms.
+BATCH = 256
 PROBES = 8
+#: Pairs are probed one by one when they are fewer than one in this many.
+DENSE = 64
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -51,6 +56,11 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _best(ids: np.ndarray, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.lexsort((ids[at], -score))[:k]
+    return at[first], score[first]
+
+
 def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
     """MaxScore over one shard: per query, positions of the k best rows other than its own, and their scores."""
     limit = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
@@ -58,41 +68,58 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     kind = np.float64 if limit < 2.0**52 else np.int64
     postings = np.ascontiguousarray(rows.T, dtype=kind)
     top, bottom = postings.max(axis=1), postings.min(axis=1)
-    blocks = [(a, np.ascontiguousarray(postings[:, a : a + BLOCK])) for a in range(0, len(rows), BLOCK)]
-    for q, me in zip(queries.astype(kind), own):
-        base = np.minimum(q * top, q * bottom)
-        bound = np.maximum(q * top, q * bottom) - base
-        order = np.argsort(bound, kind="stable")
-        rest = np.r_[0, np.cumsum(bound[order])]  # rest[i]: what the i smallest terms can add at most
-        floor = base[order]
-        below = np.r_[0, np.cumsum(floor)]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0, kind)
-        need = None
-        for a, block in blocks:
-            # terms that cannot lift a row to `need` on their own are non-essential
-            split = 0 if need is None else max(0, int(np.searchsorted(rest, need - base.sum(), side="left")) - 1)
-            split = min(split, len(order) - 1)
-            essential = order[split:]
-            score = q[essential] @ block[essential]
-            at = np.arange(block.shape[1])
-            if need is not None:
-                keep = score + rest[split] + below[split] >= need
-                at, score = at[keep], score[keep]
-            while split and len(at):
-                step = order[max(0, split - PROBES) : split]
-                split = max(0, split - PROBES)
-                score = score + q[step] @ block[np.ix_(step, at)]
-                if need is not None:
-                    keep = score + rest[split] + below[split] >= need
-                    at, score = at[keep], score[keep]
-            other = ids[a + at] != me
-            best_at, best = np.r_[best_at, a + at[other]], np.r_[best, score[other]]
-            if len(best) > k:
-                first = np.lexsort((ids[best_at], -best))[:k]
-                best_at, best = best_at[first], best[first]
-            if len(best) == k:
-                need = best.min()
-        yield best_at, best.astype(np.int64)
+    for start in range(0, len(queries), BATCH):
+        q = queries[start : start + BATCH].astype(kind)
+        yield from _search_batch(postings, top, bottom, ids, q, own[start : start + BATCH], k)
+
+
+def _search_batch(postings, top, bottom, ids, queries, own, k: int):
+    floor = np.minimum(queries * top, queries * bottom)
+    bound = np.maximum(queries * top, queries * bottom) - floor
+    order = np.argsort(bound.sum(axis=0), kind="stable")
+    q, n = np.ascontiguousarray(queries[:, order]), len(queries)
+    zero = np.zeros((n, 1), q.dtype)
+    # rest[:, i]: what the i first terms can add at most; lifted[:, i]: that with all other terms at their least
+    rest = np.concatenate([zero, np.cumsum((floor + bound)[:, order], axis=1)], axis=1)
+    lifted = rest + floor.sum(axis=1, keepdims=True) - np.concatenate([zero, np.cumsum(floor[:, order], axis=1)], axis=1)
+    best = [(np.zeros(0, np.int64), np.zeros(0, q.dtype))] * n
+    least = -np.inf if q.dtype == np.float64 else np.iinfo(np.int64).min
+    need = np.full(n, least, dtype=q.dtype)
+    for a in range(0, postings.shape[1], BLOCK):
+        block = postings[order, a : a + BLOCK]
+        ready = bool((need > least).all())
+        # the first terms that cannot lift a row to the k-th score are non-essential, here for all queries of the batch
+        split = int((lifted < need[:, None]).sum(axis=1).min()) - 1 if ready else 0
+        split = min(max(split, 0), len(order) - 1)
+        score = q[:, split:] @ block[split:]
+        compete = score >= (need - rest[:, split])[:, None] if ready else np.ones(score.shape, dtype=bool)
+        who, at = np.nonzero(compete)
+        score = score[who, at]
+        by_row = np.ascontiguousarray(block[:split].T)
+        while split and len(at):
+            # a few pairs are probed some terms at a time; where many compete, all of them at once
+            step = slice(max(0, split - PROBES) if DENSE * len(at) < compete.size else 0, split)
+            split = step.start
+            if split or DENSE * len(at) < compete.size:
+                score = score + np.einsum("ij,ij->i", q[:, step][who], by_row[:, step][at])
+            else:
+                score = score + (q[:, step] @ block[step])[who, at]
+            keep = score >= (need - rest[:, split])[who]
+            who, at, score = who[keep], at[keep], score[keep]
+        other = ids[a + at] != own[who]
+        who, at, score = who[other], a + at[other], score[other]
+        cuts = np.searchsorted(who, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[i], cuts[i + 1])
+            more, s = at[part], score[part]
+            if len(s) > 4 * k:  # only what reaches the k-th score is sorted, ties included
+                reach = s >= np.partition(s, len(s) - k)[len(s) - k]
+                more, s = more[reach], s[reach]
+            best[i] = _best(ids, np.concatenate([best[i][0], more]), np.concatenate([best[i][1], s]), k)
+            if len(best[i][1]) == k:
+                need[i] = best[i][1][-1]
+    for at, score in best:
+        yield at, score.astype(np.int64)
 
 
 def _cell(k: int):
