@@ -36,6 +36,7 @@ SHARD_IDS = 1 << 21
 END = 0
 #: Pieces remembered per worker.
 PIECES = 2_000_000
+NEAR_BITS = 20
 GAMMA = 2.0
 MAX_LEVELS = 48
 NULL_ID = -(2**63)
@@ -51,11 +52,21 @@ _CLASS[32] = 3
 _CLASS[0] = 0
 
 
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+
+
 class Encoder:
     """Texts to bytes of ids, every distinct piece encoded once.
 
     The byte-level pre-tokenizer cuts where the class of characters changes, a blank going with what follows it;
-    the pieces are encoded independently. Known pieces are kept as arrays: hash, place in the pool, length.
+    the pieces are encoded independently, by the model alone. Known pieces are kept as arrays: hash, place in the pool, length.
     """
 
     def __init__(self, path: str):
@@ -65,9 +76,13 @@ class Encoder:
         self._forget()
 
     def _forget(self):
+        # pieces in the order they were met: hash, place in the pool, length
         self.hash = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int32)
+        # their numbers by leading bits of the hash, the first that came, and all of them sorted by hash
+        self.near = np.zeros(1 << NEAR_BITS, np.int32)
+        self.order = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, self.kind)
         self.used = 0
 
@@ -101,37 +116,47 @@ class Encoder:
         kept = cls[start] != 0
         ends = np.cumsum([len(r) + 1 for r in raws])
         start, length = start[kept], length[kept]
-        found, first, inverse = np.unique(span_hashes(data, start, length), return_index=True, return_inverse=True)
-        if len(self.hash) + len(found) > PIECES:
+        h = span_hashes(data, start, length)
+        if len(self.hash) + len(h) > PIECES and len(self.hash) + len(np.unique(h)) > PIECES:
             self._forget()
-        where = np.searchsorted(self.hash, found)
-        new = np.flatnonzero(np.append(self.hash, np.uint64(0))[where] != found if len(self.hash) else np.ones(len(found), bool))
-        if len(new):
-            whole = data.tobytes()
-            spans = zip(start[first[new]].tolist(), length[first[new]].tolist())
-            self._learn(found[new], where[new], [whole[a : a + n].decode() for a, n in spans])
-            where = np.searchsorted(self.hash, found)
-        size = self.length[where][inverse]
+        piece = self.near[h >> np.uint64(64 - NEAR_BITS)]
+        far = np.flatnonzero(self.hash[piece] != h) if len(self.hash) else np.arange(len(h))
+        if len(far):
+            found, first, inverse = np.unique(h[far], return_index=True, return_inverse=True)
+            where = np.searchsorted(self.hash[self.order], found)
+            at = np.append(self.order, 0)[where] if len(self.hash) else np.zeros(len(found), np.int64)
+            new = np.flatnonzero(self.hash[at] != found) if len(self.hash) else np.arange(len(found))
+            new = np.union1d(new, np.flatnonzero(where == len(self.hash)))
+            if len(new):
+                whole = data.tobytes()
+                at[new] = len(self.hash) + np.arange(len(new))
+                spans = zip(start[far[first[new]]].tolist(), length[far[first[new]]].tolist())
+                self._learn(found[new], where[new], [whole[a : a + n] for a, n in spans])
+            piece[far] = at[inverse]
+        size = self.length[piece]
         upto = np.cumsum(size)
-        place = np.repeat(self.at[where][inverse] - (upto - size), size) + np.arange(int(upto[-1]))
+        place = np.repeat(self.at[piece] - (upto - size), size) + np.arange(int(upto[-1]))
         ids = self.pool[place]
         cuts = np.r_[0, upto][np.searchsorted(start, ends)]
         return np.split(ids, cuts[:-1])
 
-    def _learn(self, hashes: np.ndarray, where: np.ndarray, pieces: list[str]) -> None:
-        parts, sizes = [], []
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            parts.append(np.array(e.ids, self.kind))
-            sizes.append(np.bincount(np.array(e.word_ids), minlength=len(part)))
-        ids, size = np.concatenate(parts), np.concatenate(sizes)
+    def _learn(self, hashes: np.ndarray, where: np.ndarray, pieces: list[bytes]) -> None:
+        """Ids of new pieces, by the tokenizer's own model on the byte-level characters."""
+        model = self.tok.model
+        found = [[t.id for t in model.tokenize(p.decode("latin-1").translate(_BYTES))] for p in pieces]
+        size = np.array([len(f) for f in found])
+        ids = np.array([i for f in found for i in f], self.kind)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.hash = np.insert(self.hash, where, hashes)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.length = np.insert(self.length, where, size)
+        numbers = len(self.hash) + np.arange(len(hashes))
+        slots = (hashes >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
+        taken = (self.hash[self.near[slots]] >> np.uint64(64 - NEAR_BITS)) == slots.astype(np.uint64) if len(self.hash) else np.zeros(len(slots), bool)
+        self.near[slots[~taken]] = numbers[~taken]
+        self.order = np.insert(self.order, where, numbers)
+        self.hash = np.concatenate([self.hash, hashes])
+        self.at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
+        self.length = np.concatenate([self.length, size.astype(np.int32)])
         self.used += len(ids)
 
 
