@@ -81,7 +81,7 @@ def threshold_table(
     label: str = "label",
     score: str = "probability",
     by: Sequence[str] = (),
-    bucket_rows: int | None = None,
+    runs: int | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct score): pos, neg and their running totals by falling score.
 
@@ -97,8 +97,7 @@ def threshold_table(
             F.count(F.when(y != 1, 1)).alias("neg"),
         )
     )
-    options = {"bucket_rows": bucket_rows} if bucket_rows else {}
-    return dist_cumsum(distinct, "threshold", ["pos", "neg"], by=by, descending=True, **options)
+    return dist_cumsum(distinct, "threshold", ["pos", "neg"], by=by, descending=True, runs=runs)
 
 
 def ranking_metrics(thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,8 +2,9 @@
 
 `fit` reads the table three times: moments, null counts and rank sketches of all numeric columns in
 one aggregate, exact medians, and one count per (column, value) of the categorical columns that
-yields the mode, the flags and the category lists together. What it keeps is a few numbers per column. `transform` is a
-single projection with those numbers as literals: no join, no shuffle, any table size.
+yields the mode, the flags and the category lists together. What it keeps is a few numbers per column, and for a column
+of very many categories a written table. `transform` is a single projection with those numbers as literals: no join, no
+shuffle, any table size; only wide columns are joined to their tables.
 """
 
 from __future__ import annotations
@@ -11,18 +12,22 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.functions import nan_to_null, present
-from riskframe.operators.ranking import exact_quantiles, sketch_aggregates
-from riskframe.session import stage_table
+from riskframe.operators.lookup import looked_up
+from riskframe.operators.ranking import dist_position, exact_quantiles, sketch_aggregates
+from riskframe.session import collect_bounded, scratch_path, stage_table
 
-# Up to this many categories become one expression each; a wider column is looked up by index and becomes
+# Up to this many categories become one expression each; a wider column is looked up in a written index and becomes
 # a sparse block of the feature vector.
 WIDE = 1_000
 
@@ -116,48 +121,85 @@ def fit_numeric(df: DataFrame, columns, approx: bool = False) -> list[dict]:
 def fit_categorical(df: DataFrame, columns) -> list[dict]:
     """Mode (smallest on a tie), missing flag and the sorted categories, per categorical column.
 
-    Modes and flags come from the counts, which stay distributed. The categories reach the driver because
-    the model holds them: a column with more than WIDE of them is marked `wide` and encoded by index.
+    One aggregate counts the values of all columns. Where every column has at most WIDE of them, the counts are few rows
+    and give everything. A wider column keeps its mode and flag from the distributed counts; its sorted values and their
+    indexes are a written table (`table`), and the model holds only their number.
     """
     columns = list(columns)
     if not columns:
         return []
-    counts = stage_table(value_counts(df, columns), "categories")
-    present_ = counts.filter("value is not null")
-    number = F.col("value").try_cast("double")
-    most = present_.groupBy("feature").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("width"))
-    tied = present_.join(F.broadcast(most), "feature").filter("n = most")  # one row per column
-    modes = {
-        r["feature"]: r
-        for r in tied.groupBy("feature").agg(
-            F.min("value").alias("text"), F.min_by("value", number).alias("number"), F.first("width").alias("width")
-        ).collect()
-    }
-    flags = {r["feature"] for r in counts.filter("value is null").select("feature").collect()}
+    counts = value_counts(df, columns)
+    bound = len(columns) * (WIDE + 1)
+    few = counts.limit(bound + 1).toArrow()
+    if few.num_rows > bound:
+        counts = stage_table(counts, "categories")
+        summary = _summaries(df, counts, columns)
+        narrow = [c for c in columns if summary[c]["width"] <= WIDE]
+        rows = counts.filter(F.col("feature").isin(narrow)).collect() if narrow else []
+    else:
+        rows = few.to_pylist()
+        summary = _summed(df, rows, columns)
     values: dict[str, list] = {c: [] for c in columns}
-    for r in present_.select("feature", "value").toLocalIterator():
-        values[r["feature"]].append(r["value"])
+    for r in rows:
+        if r["value"] is not None:
+            values[r["feature"]].append(r["value"])
     out = []
     for c in columns:
-        dtype = df.schema[c].dataType
-        if c not in modes:
+        dtype, found = df.schema[c].dataType, summary[c]
+        if not found["width"]:
             continue
-        numeric = isinstance(dtype, T.NumericType)
-        mode = modes[c]["number"] if numeric else modes[c]["text"]
-        wide = modes[c]["width"] > WIDE
-        out.append(
-            {
-                "column": c,
-                "mode": _typed(mode, dtype),
-                "categories": sorted(values[c]) if wide else sorted(_typed(v, dtype) for v in values[c]),
-                "wide": wide,
-                "flag": c in flags,
-                "real": isinstance(dtype, (T.DoubleType, T.FloatType)),
-            }
-        )
+        wide = found["width"] > WIDE
+        fit = {
+            "column": c,
+            "mode": _typed(found["mode"], dtype),
+            "categories": [] if wide else sorted(_typed(v, dtype) for v in values[c]),
+            "wide": wide,
+            "flag": found["flag"],
+            "real": isinstance(dtype, (T.DoubleType, T.FloatType)),
+        }
+        if wide:
+            source = counts if few.num_rows > bound else df.sparkSession.createDataFrame(few)
+            fit.update(_indexed(source, c), rows=found["rows"])
+        out.append(fit)
+    return out
+
+
+def _order(df: DataFrame, column: str, value):
+    """Numbers sort as numbers, anything else as text."""
+    return float(value) if isinstance(df.schema[column].dataType, T.NumericType) else value
+
+
+def _summed(df: DataFrame, rows: list[dict], columns) -> dict[str, dict]:
+    """Mode, width, flag and rows per column from its collected counts."""
+    out = {}
+    for c in columns:
+        found = [r for r in rows if r["feature"] == c]
+        have = [r for r in found if r["value"] is not None]
+        mode = min(have, key=lambda r: (-r["n"], _order(df, c, r["value"])), default=None)
+        out[c] = {"mode": mode and mode["value"], "width": len(have), "flag": len(have) < len(found), "rows": sum(r["n"] for r in found)}
     return out
 
 
+def _summaries(df: DataFrame, counts: DataFrame, columns) -> dict[str, dict]:
+    """The same from counts that stay distributed: one aggregate, one row a column."""
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    number = F.when(F.col("feature").isin(numeric), F.col("value").try_cast("double"))
+    first = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), number.alias("number"), "value")))
+    found = counts.groupBy("feature").agg(
+        first["value"].alias("mode"), F.count("value").alias("width"), F.bool_or(F.col("value").isNull()).alias("flag"), F.sum("n").alias("rows")
+    )
+    empty = {"mode": None, "width": 0, "flag": False, "rows": 0}
+    return {c: empty for c in columns} | {r["feature"]: r.asDict() for r in found.collect()}
+
+
+def _indexed(counts: DataFrame, column: str) -> dict:
+    """Written (value, n, index) of a wide column, in the order of the values, and their number."""
+    own = counts.filter((F.col("feature") == column) & F.col("value").isNotNull()).select("value", "n")
+    path = scratch_path(counts.sparkSession, "category-index")
+    dist_position(own, "value", "index").write.parquet(path)
+    return {"table": path, "width": counts.sparkSession.read.parquet(path).count()}
+
+
 def impute_numeric(f: dict) -> Column:
     return F.coalesce(nan_to_null(F.col(f["column"]).cast("double")), F.lit(f["median"]))
 
@@ -207,6 +249,7 @@ class _FittedParams(Params):
     outputCol = Param(
         Params._dummy(), "outputCol", "name of the feature vector", TypeConverters.toString
     )
+    tables = Param(Params._dummy(), "tables", "written index tables of wide columns as JSON", TypeConverters.toString)
 
 
 class TabularPreprocessorModel(
@@ -214,6 +257,8 @@ class TabularPreprocessorModel(
 ):
     """Fitted preprocessing: adds the feature vector. `encode` gives the named scalar columns."""
 
+    stored = ("tables",)
+
     def __init__(self):
         super().__init__()
         self._setDefault(outputCol="features")
@@ -224,6 +269,7 @@ class TabularPreprocessorModel(
         model._set(
             fitted=json.dumps({"numeric": numeric, "categorical": categorical}),
             outputCol=output_col,
+            tables=json.dumps({f["column"]: f["table"] for f in categorical if f.get("wide")}),
         )
         return model
 
@@ -248,12 +294,18 @@ class TabularPreprocessorModel(
                 blocks.append(("wide", f))
         return [*blocks, ("columns", encoded_columns([], flags))]
 
+    def _index_table(self, f: dict) -> DataFrame:
+        return SparkSession.active().read.parquet(json.loads(self.getOrDefault("tables"))[f["column"]])
+
     def _names(self):
+        """(transformed name, raw feature); the names of a wide column are read from its table, within a bound."""
         for kind, block in self._blocks():
             if kind == "columns":
                 yield from ((name, raw) for name, raw, _ in block)
             else:
-                yield from ((f"cat__{block['column']}_{v}", block["column"]) for v in block["categories"])
+                values = collect_bounded(self._index_table(block).select("value", "index"))
+                for r in sorted(values, key=lambda r: r["index"]):
+                    yield f"cat__{block['column']}_{r['value']}", block["column"]
 
     @property
     def feature_names(self) -> list[str]:
@@ -268,28 +320,53 @@ class TabularPreprocessorModel(
         return df.select(*keep, *[e.alias(name) for name, _, e in self._encoded()])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        parts, scalars, wide = [], [], []
-        for i, (kind, block) in enumerate(self._blocks()):
+        blocks, output = self._blocks(), self.getOrDefault("outputCol")
+        if not any(kind == "wide" for kind, _ in blocks):
+            scalars = [(f"__f{i}", e) for i, e in enumerate(e for _, block in blocks for _, _, e in block)]
+            out = df.select("*", *[e.alias(s) for s, e in scalars])
+            return VectorAssembler(inputCols=[s for s, _ in scalars], outputCol=output).transform(out).drop(*[s for s, _ in scalars])
+        # wide columns are looked up by index; the vector is put together sparse, so no column metadata grows with it
+        scalars, places, lookups, begins, at = [], [], [], [], 0
+        for i, (kind, block) in enumerate(blocks):
             if kind == "columns":
-                scalars += [(f"__f{i}_{j}", e) for j, (_, _, e) in enumerate(block)]
-                parts += [f"__f{i}_{j}" for j in range(len(block))]
+                scalars += [e for _, _, e in block]
+                places += range(at, at + len(block))
+                at += len(block)
             else:
-                scalars.append((f"__v{i}", impute_categorical(block).cast("string")))
-                wide.append((i, block))
-                parts.append(f"__w{i}")
-        out = df.select("*", *[e.alias(s) for s, e in scalars])
-        for i, f in wide:
-            # "keep" gives unknown values an index of their own, whose column the encoder drops
-            index = StringIndexerModel.from_labels(
-                f["categories"], inputCol=f"__v{i}", outputCol=f"__i{i}", handleInvalid="keep"
-            )
-            out = index.transform(out)
-            # the width is in the column's metadata: fitting reads no rows
-            one_hot = OneHotEncoder(inputCols=[f"__i{i}"], outputCols=[f"__w{i}"], dropLast=True)
-            out = one_hot.fit(out).transform(out)
-        assembler = VectorAssembler(inputCols=parts, outputCol=self.getOrDefault("outputCol"))
-        helpers = [s for s, _ in scalars] + [f"__{k}{i}" for i, _ in wide for k in "iw"]
-        return assembler.transform(out).drop(*helpers)
+                lookups.append((f"__i{i}", block))
+                begins.append(at)
+                at += block["width"]
+        out = df
+        for name, f in lookups:
+            value = impute_categorical(f).cast("string")
+            out = looked_up(out, value, self._index_table(f).select("value", "n", F.col("index").alias(name)), f["rows"])
+        sparse = F.arrow_udf(_sparse(places, begins, at), VectorUDT())
+        vector = sparse(F.array(*scalars) if scalars else F.array().cast("array<double>"), F.array(*[F.col(name) for name, _ in lookups]))
+        return out.withColumn(output, vector).drop(*[name for name, _ in lookups])
+
+
+def _sparse(places: list[int], begins: list[int], width: int):
+    """Function from the scalar columns' values and the wide columns' indexes to sparse vectors, zeros and unknown values left out."""
+    order = np.argsort(np.array([*places, *begins]), kind="stable")
+
+    def build(scalars: pa.Array, indexes: pa.Array) -> pa.Array:
+        n = len(indexes)
+        values = scalars.flatten().to_numpy(zero_copy_only=False).reshape(n, len(places))
+        index = indexes.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, len(begins))
+        known = ~np.isnan(index)
+        cells = np.concatenate([values, known.astype(float)], axis=1)[:, order]
+        at = np.concatenate([np.tile(np.array(places, dtype=float), (n, 1)), np.where(known, index, 0) + np.array(begins)], axis=1)[:, order]
+        kept = cells != 0
+        offsets = pa.array(np.r_[0, np.cumsum(kept.sum(axis=1))], pa.int32())
+        parts = [
+            pa.array(np.zeros(n), pa.int8()),
+            pa.array(np.full(n, width), pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(at[kept], pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(cells[kept])),
+        ]
+        return pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+
+    return build
 
 
 class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):

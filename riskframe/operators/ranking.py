@@ -3,7 +3,8 @@
 A window over a whole table (or over one huge group) runs in one task. These helpers cut the order
 into buckets, run the window inside (group, bucket), and add what lies in earlier buckets from the
 bucket totals. Bucket totals are aggregated map-side, so a group that holds most rows is spread over
-all buckets.
+all buckets. For hash keys the buckets are leading digits, as many as the rows ask for; for other orders
+they are the parts of a range partitioning, written once, so nothing on the driver grows with the rows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.session import collect_bounded, local_if_small, stage_table
 
@@ -56,15 +56,25 @@ def dist_rank(df: DataFrame, key: str, rank_col: str, by: Sequence[str] = (), he
     """Dense 1-based row number in the order of an md5 `key`, within `by`.
 
     md5 keys are uniform, so their first hex digits are equal-sized buckets and need no statistics.
+    `hex_digits` suit tables of up to 16^hex_digits * BUCKET_ROWS rows; larger ones take more, by their count.
     Only copies, rows with the same key, can make a bucket large. They show in the bucket counts;
     then the copies of such a key are numbered after all others, in parts of their own.
     """
     by = list(by)
-    b = df.withColumn("_bucket", F.substring(key, 1, hex_digits))
-    counted = local_if_small(b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("n")).collect()  # 16^hex_digits at most
-    usual = sum(r["n"] for r in sizes) / 16**hex_digits
-    large = [r["_bucket"] for r in sizes if r["n"] > 4 * usual + HOT_ROWS]
+
+    def bucketed(digits: int):
+        b = df.withColumn("_bucket", F.substring(key, 1, digits))
+        return b, local_if_small(b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+
+    b, counted = bucketed(hex_digits)
+    rows = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if rows > BUCKET_ROWS * 16**hex_digits:
+        hex_digits = math.ceil(math.log(rows / BUCKET_ROWS, 16))
+        b, counted = bucketed(hex_digits)
+    usual = rows / 16**hex_digits
+    sizes = counted.groupBy("_bucket").agg(F.sum("_n").alias("n"))
+    sizes = sizes.filter(F.col("n") > 4 * usual + HOT_ROWS).collect()  # few: each holds a million rows more than usual
+    large = [r["_bucket"] for r in sizes]
     copies = []
     if large:
         same = b.filter(F.col("_bucket").isin(large)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -85,42 +95,51 @@ def dist_rank(df: DataFrame, key: str, rank_col: str, by: Sequence[str] = (), he
     )
 
 
+def ranged_runs(df: DataFrame, order: Sequence[Column], name: str, runs: int | None = None) -> DataFrame:
+    """The rows range-partitioned in `order` and written, with their partition as `_run`: runs follow each other.
+
+    There are as many as the session's shuffles have partitions, or `runs`.
+    """
+    ranged = df.repartitionByRange(runs, *order) if runs else df.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
+    return stage_table(ranged.withColumn("_run", F.spark_partition_id()), name)
+
+
+def dist_position(df: DataFrame, order: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """0-based position `name` in the order of any column, within `by`; repeated values are numbered as they fall."""
+    by = list(by)
+    b = ranged_runs(df, [F.col(c) for c in (*by, order)], "positions")
+    b = _with_offsets(b, by, "_run", {"n": F.count(F.lit(1))})
+    inside = Window.partitionBy(*by, "_run").orderBy(order)
+    return b.select(*df.columns, (F.row_number().over(inside) - 1 + F.col("_before_n")).alias(name))
+
+
 def dist_cumsum(
     df: DataFrame,
     order: str,
     columns: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    bucket_rows: int = BUCKET_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """Running totals `cum_<column>` in the order of a numeric column, within `by`.
 
-    `order` must be unique within `by` (collapse ties first). The input is written once; its row
-    count decides the number of buckets and its quantiles, pooled over the groups, the cut points.
+    `order` must be unique within `by` (collapse ties first). The rows are range-partitioned by group and
+    order and written once; a partition is a run, and its sums per group shift the runs after it.
     """
     by = list(by)
-    t = stage_table(df, "cumsum")
-    n = t.count()
     direction = F.col(order).desc() if descending else F.col(order)
-    if n <= bucket_rows:
+    b = ranged_runs(df, [*[F.col(c) for c in by], direction], "cumsum", runs)
+    first, last = b.agg(F.min("_run"), F.max("_run")).first()
+    if first == last:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(direction)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return t.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in columns])
-    buckets = math.ceil(n / bucket_rows) + 1
-    value = F.col(order).cast("double")
-    # NaN sorts above every number, as in the window below
-    value = F.when(F.isnan(value), F.lit(math.inf)).otherwise(value)
-    signed = t.withColumn("_order", -value if descending else value)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(signed.approxQuantile("_order", probs, 1 / (4 * buckets))))
-    splits = [-math.inf, *cuts, math.inf]
-    b = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(signed)
-    b = b.withColumn("_bucket", F.col("_bucket").cast("int"))
-    b = _with_offsets(b, by, "_bucket", {c: F.sum(c) for c in columns})
-    w = Window.partitionBy(*by, "_bucket").orderBy(direction)
+        return b.select(*df.columns, *[F.sum(c).over(w).alias(f"cum_{c}") for c in columns])
+    b = _with_offsets(b, by, "_run", {c: F.sum(c) for c in columns})
+    w = Window.partitionBy(*by, "_run").orderBy(direction)
     w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return b.select(
-        *t.columns,
+        *df.columns,
         *[(F.sum(c).over(w) + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in columns],
     )
 

@@ -136,7 +136,7 @@ def roc_curve(spark, sf):
 )
 def roc_curve_bucketed(spark, sf):
     """The same curve by the path of large tables: quantile buckets and carried totals."""
-    t = M.threshold_table(scores(spark, sf), by=MODEL, bucket_rows=2000)
+    t = M.threshold_table(scores(spark, sf), by=MODEL, runs=12)
     return M.roc_curve(t, MODEL)
 
 

@@ -13,17 +13,20 @@ from riskframe.sources.tables import list_paths, path_exists
 def save_model(spark: SparkSession, model: PipelineModel, path: str, metadata: dict | None = None) -> str:
     """Write the pipeline and its metadata under `path`.
 
-    Stages that read written tables (the `stored` parameters hold their paths) take them along, so the saved
-    model stands alone.
+    Stages that read written tables (the `stored` parameters hold a path, or paths by column as JSON) take them along,
+    so the saved model stands alone.
     """
     path = path.rstrip("/")
     for i, stage in enumerate(model.stages):
         for name in getattr(stage, "stored", ()):
             if not stage.isDefined(name):
                 continue
-            rows = spark.read.parquet(stage.getOrDefault(name))
-            rows.write.mode("overwrite").parquet(f"{path}/tables/{i}_{name}")
-            stage._set(**{name: f"{path}/tables/{i}_{name}"})
+            value = stage.getOrDefault(name)
+            own = json.loads(value) if value.startswith("{") else {"": value}
+            for key, source in own.items():
+                own[key] = f"{path}/tables/{i}_{name}_{list(own).index(key)}"
+                spark.read.parquet(source).write.mode("overwrite").parquet(own[key])
+            stage._set(**{name: json.dumps(own) if value.startswith("{") else own[""]})
     model.write().overwrite().save(f"{path}/model")
     doc = spark.createDataFrame([(json.dumps(metadata or {}, default=str),)], "value string")
     doc.write.mode("overwrite").text(f"{path}/metadata")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskframe.operators import boosting, target_stats
+from riskframe.operators import boosting, lookup, target_stats
 from riskframe.operators.boosting import HistogramGBTClassifier
 
 OPTIONS = HistogramGBTClassifier.DEFAULTS
@@ -191,5 +191,5 @@ def test_stored_means_are_looked_up_like_the_models_own(spark, monkeypatch):
     monkeypatch.setattr(target_stats, "WIDE", 2)
     wide = target_stats.fit_target_statistics(df, ["value", "n"], "label", 0.5, 3000)
     assert sorted(map(tuple, wide.transform(new).select(narrow.transform(new).columns).collect())) == want
-    monkeypatch.setattr(target_stats, "local_if_small", lambda t: t)
+    monkeypatch.setattr(lookup, "local_if_small", lambda t: t)
     assert sorted(map(tuple, wide.transform(new).select(narrow.transform(new).columns).collect())) == want

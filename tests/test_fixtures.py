@@ -4,15 +4,19 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskframe import functions as fx
 from riskframe.operators import metrics as M, preprocess as R, project as P, quality as Q, ranking
 from riskframe.operators import explain as X, split as L, summaries as S
-from riskframe.operators import neighbors
+from riskframe.operators import lookup, neighbors
 from riskframe.operators.neighbors import knn_join, knn_vote
 from riskframe.operators.resample import smote
 from riskframe.plans.ingest import combine_registries, standardize_registry
+from riskframe.session import scratch_path
+from riskframe.sources.registry import load_model, save_model
 from riskframe.spec import CENTRE_FILE_COLUMNS, HEART_SPEC
 
 
@@ -202,7 +206,7 @@ def test_bucketed_running_totals_equal_the_plain_window(spark):
     df = spark.createDataFrame(rows, "g int, x double, n long")
     for descending in (False, True):
         plain = ranking.dist_cumsum(df, "x", ["n"], ["g"], descending)
-        cut = ranking.dist_cumsum(df, "x", ["n"], ["g"], descending, bucket_rows=100)
+        cut = ranking.dist_cumsum(df, "x", ["n"], ["g"], descending, runs=9)
         assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
 
 
@@ -407,11 +411,11 @@ def test_sampled_coalitions_converge_on_an_interacting_game():
 def test_missing_scores_are_left_out_at_every_size(spark):
     rows = [(i, float(i % 7), i % 2) for i in range(40)] + [(50, float("nan"), 1), (51, None, 0)]
     df = spark.createDataFrame(rows, "id long, probability double, label int")
-    auc = [M.ranking_metrics(M.threshold_table(df, bucket_rows=b)).first() for b in (None, 2)]
+    auc = [M.ranking_metrics(M.threshold_table(df, runs=b)).first() for b in (None, 3)]
     assert auc[0] == auc[1] and M.threshold_table(df).count() == 7
     keys = df.select("id", F.coalesce("probability", F.lit(0.5)).alias("k"), F.lit(1).alias("n")).dropDuplicates(["k"])
     for down in (False, True):
-        a, b = (sorted(map(str, ranking.dist_cumsum(keys, "k", ["n"], descending=down, bucket_rows=r).select("id", "cum_n").collect())) for r in (100, 2))
+        a, b = (sorted(map(str, ranking.dist_cumsum(keys, "k", ["n"], descending=down, runs=r).select("id", "cum_n").collect())) for r in (1, 4))
         assert a == b
 
 
@@ -494,3 +498,34 @@ def test_standardize_registry(spark):
 def test_surrogate_id_without_shuffle_is_unique(spark):
     out = P.add_surrogate_id(spark.range(100).toDF("v"), "pid", 7, dense=False)
     assert out.select("pid").distinct().count() == 100 and out.agg(F.min("pid")).first()[0] == 7
+
+
+def test_wide_columns_hold_nothing_per_category(spark):
+    """Wide and narrow columns together, by both ways of counting; the model's own text stays small."""
+    n = 120_000
+    df = spark.range(n).select(
+        "id", F.format_string("v%06d", "id").alias("w"), F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("d"), F.lit(None).cast("string").alias("none")
+    )
+    counted = R.fit_categorical(df, ["w", "d", "none"])
+    assert [f["column"] for f in counted] == ["w", "d"] and counted[0]["width"] == n and counted[0]["categories"] == []
+    assert counted[0]["mode"] == "v000000" and counted[1]["mode"] == 0 and counted[1]["flag"] and counted[1]["categories"] == [0, 1, 2]
+    model = R.TabularPreprocessor(numericCols=[], categoricalCols=["w", "d", "none"]).fit(df)
+    assert len(model.getOrDefault("fitted")) + len(model.getOrDefault("tables")) < 2_000
+    total = model.transform(df).select(F.explode(F.array(F.lit(1))).alias("one"), "features")
+    sums = total.agg(Summarizer.sum(F.col("features")).alias("s")).first()["s"].toArray()
+    assert len(sums) == n + 3 + 2 and sums[:n].tolist() == [1.0] * n and sums[n:].tolist() == [56_000.0, 32_000.0, 32_000.0, 96_000.0, 24_000.0]
+
+
+def test_wide_columns_travel_with_the_saved_model(spark, monkeypatch):
+    monkeypatch.setattr(R, "WIDE", 3)
+    rows = [(i, None if i % 11 == 0 else f"v{i % 9}", i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, c string, b int")
+    model = PipelineModel([R.TabularPreprocessor(numericCols=[], categoricalCols=["c", "b"]).fit(df)])
+    want = [r["features"].toArray().tolist() for r in model.transform(df).orderBy("id").collect()]
+    again, _ = load_model(spark, save_model(spark, model, scratch_path(spark, "wide")))
+    assert [r["features"].toArray().tolist() for r in again.transform(df).orderBy("id").collect()] == want
+    monkeypatch.setattr(lookup, "local_if_small", lambda t: t)  # joined by shuffle, hot values apart
+    assert [r["features"].toArray().tolist() for r in again.transform(df).orderBy("id").collect()] == want
+    monkeypatch.setattr(R, "WIDE", 1000)
+    plain = R.TabularPreprocessor(numericCols=[], categoricalCols=["c", "b"]).fit(df)
+    assert [r["features"].toArray().tolist() for r in plain.transform(df).orderBy("id").collect()] == want

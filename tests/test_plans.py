@@ -48,9 +48,9 @@ def test_ranking_windows_are_partitioned(spark):
 
 def test_running_totals_are_partitioned_by_bucket(spark):
     df = scores(spark, DATA).groupBy("probability").agg(F.count("*").alias("n"))
-    text = plan(dist_cumsum(df, "probability", ["n"], bucket_rows=100))
+    text = plan(dist_cumsum(df, "probability", ["n"], runs=8))
     windows = [line for line in text.split("\n") if "Window [" in line and "cum" in line or "sum(n" in line and "Window" in line]
-    assert any("_bucket" in line for line in windows)
+    assert any("_run" in line for line in windows)
 
 
 def test_confusion_counts_before_the_shuffle(spark):
