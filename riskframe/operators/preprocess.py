@@ -316,6 +316,10 @@ class TabularPreprocessorModel(
         """Transformed name to raw feature; flags belong to the feature they flag."""
         return dict(self._names())
 
+    def encoded(self) -> list[tuple[str, str, Column]]:
+        """(transformed name, raw feature, expression) of every column of the feature vector; none may be wide."""
+        return self._encoded()
+
     def encode(self, df: DataFrame, *keep: str) -> DataFrame:
         return df.select(*keep, *[e.alias(name) for name, _, e in self._encoded()])
 
