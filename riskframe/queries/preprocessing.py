@@ -7,10 +7,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskframe.operators import preprocess as R, split as L
+from riskframe.operators.neighbor_graph import neighbor_graph, nodes_of
 from riskframe.operators.neighbors import knn_join, knn_vote
 from riskframe.operators.resample import class_distribution, smote
 from riskframe.queries.registry import query
 from riskframe.queries.tables import CASE_SPEC, CASES, cases, cases_with_nan, rounded, table, with_cases
+from riskframe.session import stage_table
 
 MEDIANS = "(SELECT median(amount) AS amount, median(hour) AS hour, median(k) AS k FROM cases)"
 
@@ -226,6 +228,22 @@ def knn_join_cells(spark, sf):
     return rounded(knn_join(v, v, 3, **SELF, block_bytes=256 * 64 * 8), "distance")
 
 
+@query(
+    "knn_graph_by_descent",
+    f"WITH vectors AS ({VECTORS}), nodes AS (SELECT count(DISTINCT v) AS n FROM vectors) SELECT n AS nodes, 10 * n AS links, TRUE AS recall_ok FROM nodes",
+)
+def knn_graph_by_descent(spark, sf):
+    """The approximate graph of all embeddings; its recall is measured against the exact join over the same nodes."""
+    v = _vectors(spark, sf)
+    graph = stage_table(neighbor_graph(v, 10, "vec_id", "v"), "graph")
+    nodes = nodes_of(v, "vec_id", "v").select(F.col("id").alias("vec_id"), "v")
+    exact = knn_join(nodes, nodes, 10, **SELF).select(F.col("vec_id").alias("id"), "neighbor", F.lit(1).alias("hit"))
+    found = graph.join(exact, ["id", "neighbor"], "left").agg(
+        F.count_distinct("id").alias("nodes"), F.count(F.lit(1)).alias("links"), F.count("hit").alias("hits")
+    )
+    return found.select("nodes", "links", (F.col("hits") >= 0.9 * F.col("links")).alias("recall_ok"))
+
+
 @query(
     "knn_vote_uniform",
     f"WITH vectors AS ({VECTORS}), d AS ({NEIGHBOURS}) SELECT vec_id, round(avg(CAST(other AS DOUBLE)), 6) AS probability"
