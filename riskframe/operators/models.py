@@ -27,6 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators.boosting import HistogramGBTClassifier
+from riskframe.operators.forest import PureForestClassifier
 from riskframe.operators.metrics import score_to_probability
 from riskframe.operators.neighbors import knn_vote
 from riskframe.operators.preprocess import fit_numeric, preprocessor, TabularPreprocessorModel
@@ -37,6 +38,7 @@ from riskframe.spec import RANDOM_SEED, FeatureSpec
 
 TREE_MODELS = ("xgboost", "lightgbm", "catboost", "random_forest")
 MODEL_NAMES = (*TREE_MODELS, "svm", "knn")
+SPARK_DEPTH = 30  # of Spark's own trees at most
 
 
 def _p(name: str, doc: str, converter) -> Param:
@@ -224,7 +226,8 @@ def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
     """Registry entry as an Estimator; `settings` override the preset.
 
     The boosting presets take the public defaults of the three usual boosting libraries: trees grown by depth, by
-    leaf, and symmetric ones over ordered label statistics. `gbt` is Spark's own boosting.
+    leaf, and symmetric ones over ordered label statistics. `gbt` is Spark's own boosting. The forest grows until its leaves
+    are pure; with a `maxDepth` up to 30 and no `minRowsToSplit` it is Spark's.
     """
     presets = {
         "xgboost": dict(growth="depth", maxIter=100, maxDepth=6, stepSize=0.3, regLambda=1.0, minChildWeight=1.0),
@@ -233,7 +236,7 @@ def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
         ),
         "catboost": dict(growth="symmetric", maxIter=200, maxDepth=6, stepSize=0.05, regLambda=3.0, minChildWeight=0.0),
         "gbt": dict(maxIter=100, maxDepth=6, stepSize=0.3),
-        "random_forest": dict(numTrees=100, maxDepth=15, featureSubsetStrategy="sqrt"),
+        "random_forest": dict(numTrees=100, maxDepth=None, featureSubsetStrategy="sqrt"),
         "svm": dict(C=1.0, gamma="scale", kernel="rbf"),
         "knn": dict(k=5, weights="uniform", p=2),
         "logistic": dict(maxIter=100, regParam=0.0, elasticNetParam=0.0),
@@ -247,6 +250,8 @@ def make_classifier(name: str, seed: int = RANDOM_SEED, **settings):
         return KernelSvmClassifier(seed=seed, **options)
     if name == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="label", **options)
+    if name == "random_forest" and (options["maxDepth"] is None or options["maxDepth"] > SPARK_DEPTH or "minRowsToSplit" in options):
+        return PureForestClassifier(seed=seed, **options)
     if name in ("random_forest", "gbt"):
         tree = RandomForestClassifier if name == "random_forest" else GBTClassifier
         return tree(featuresCol="features", labelCol="label", seed=seed, **options)

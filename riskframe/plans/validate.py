@@ -164,7 +164,8 @@ SEARCH_SPACES = {
     },
     "random_forest": {
         "numTrees": ("int", 100, 800),
-        "maxDepth": ("int", 5, 30),
+        "maxDepth": ("int", 5, 40),
+        "minRowsToSplit": ("int", 2, 20),
         "minInstancesPerNode": ("int", 1, 10),
         "featureSubsetStrategy": ("choice", ["sqrt", "log2", "all"]),
         "bootstrap": ("choice", [True, False]),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import metrics as M, quality as Q
 from riskframe.operators.explain import feature_names
+from riskframe.operators.forest import PureForestClassifier
 from riskframe.operators.models import fit_model, make_classifier, predict
 from riskframe.operators.preprocess import preprocessor
 from riskframe.operators.split import optional_split, stratified_folds
@@ -162,6 +163,38 @@ def boosting_not_below_spark_trees(spark, sf):
     return spark.createDataFrame(rows, "model string, within_limits boolean, not_below boolean")
 
 
+@query(
+    "forest_fits_training_rows",
+    """SELECT l_orderkey, l_linenumber, round(avg(y) OVER (PARTITION BY l_quantity, l_discount, l_tax), 6) AS probability FROM (
+      SELECT *, CASE WHEN l_extendedprice * (1 - l_discount) > 1000 * (10 + l_tax * 100) THEN 1 ELSE 0 END AS y FROM lineitem)""",
+)
+def forest_fits_training_rows(spark, sf):
+    """Unlimited trees over all rows, without bagging: every row gets the mean label of the rows equal to it in all features."""
+    t = table(spark, sf, "lineitem")
+    y = (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 1000 * (10 + F.col("l_tax") * 100)).cast("double")
+    x = array_to_vector(F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")]))
+    rows = stage_table(t.select("l_orderkey", "l_linenumber", y.alias("label"), x.alias("features")), "rows")
+    model = PureForestClassifier(numTrees=2, bootstrap=False, finish_rows=3_000).fit(rows)
+    return rounded(predict(model, rows).select("l_orderkey", "l_linenumber", "probability"), "probability")
+
+
+@query("forest_not_below_spark_forest", "SELECT 'random_forest' AS model, TRUE AS deeper, TRUE AS not_below")
+def forest_not_below_spark_forest(spark, sf):
+    """Hold-out ROC-AUC of the forest to pure leaves against Spark's of depth 8 with as many trees, and its depth."""
+    df = stage_table(spread(cases(spark, sf)), "cases")
+    train, holdout = optional_split(df, "target", "event_id", 0.2)
+
+    def fitted(**settings):
+        model = fit_model(train, CASE_SPEC, make_classifier("random_forest", numTrees=50, **settings))
+        scored = predict(model, holdout).select("event_id", F.col("target").alias("label"), "prediction", "probability")
+        return model.stages[-1], M.ranking_metrics(M.threshold_table(stage_table(scored, "scored"))).first()["roc_auc"]
+
+    least = fitted(maxDepth=8)[1]
+    model, auc = fitted()
+    deepest = model.subtrees(spark).agg(F.max("depth")).first()[0]
+    return spark.createDataFrame([("random_forest", deepest > 8, auc >= least - 0.02)], "model string, deeper boolean, not_below boolean")
+
+
 def _ordered_sql(*columns: str, rows: str = "cases") -> str:
     earlier = ", ".join(
         f"round((coalesce(sum(target) OVER {c}_w, 0) + prior) / (count(*) OVER {c}_w + 1), 6) AS {c}__target" for c in columns
