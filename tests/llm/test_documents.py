@@ -253,6 +253,49 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert all(r["kept"] == bool(truth[r["doc_id"]]) for r in judged)
 
 
+def test_quality_levels_against_brute_force(spark):
+    """Paths of joint cutoffs, certified levels and rejections, recomputed with plain loops."""
+    from math import comb
+
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    for i in range(3000):
+        lang = ["en", "de", None, "rare"][i % 4 if i % 50 else 3] if i % 4 != 3 or i % 60 == 3 else "en"
+        good = rng.random() < 0.8
+        marks, caps = int(rng.poisson(1 if good else 4)), int(rng.poisson(2 if good else 7))
+        text = " ".join(("T" if k < caps else "t") + f"{i}u{k}" + ("#" if k < marks else "") + ("!" if k % 7 == 0 and not good else "") for k in range(30))
+        rows.append((i, text, lang))
+        labels += [(i, int(good), 0)] * int(rng.integers(0, 3))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stats = quality.stage_table(quality.statistics(make_docs(spark, rows)), "s")
+    got = {r["stratum"]: (list(r["cuts"]), r["n_good"], r["good_rejected"], r["bad_rejected"]) for r in quality.cutoffs(stats, lab).collect()}
+    bins = {r["doc_id"]: (r["stratum"], r["b"]) for r in stats.filter("not base_failed").selectExpr("*").withColumn("b", quality.F.array(*quality.bins())).collect()}
+    truth = {d: q for d, q, _ in labels}
+    strata = {s for s, _ in bins.values()}
+    n_good = {s: sum(truth.get(d) == 1 for d, (t, _) in bins.items() if t == s) for s in strata}
+    able = sorted((s for s in strata if 0.95 ** n_good[s] <= 0.05), key=lambda s: -n_good[s])
+    able = [s for i, s in enumerate(able, 1) if 0.95 ** n_good[s] <= 0.05 / i]
+    want = {}
+    for s in able:
+        docs = [(d, b) for d, (t, b) in bins.items() if t == s]
+        best = None
+        for share in quality.SHARES:
+            cuts = []
+            for r in range(6):
+                values = sorted({b[r] for _, b in docs})
+                cuts.append(next(v for v in values if sum(b[r] > v for _, b in docs) <= len(docs) * share))
+            out = [d for d, b in docs if any(x > c for x, c in zip(b, cuts))]
+            good, bad = (sum(truth.get(d) == q for d in out) for q in (1, 0))
+            n = n_good[s]
+            if sum(comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(good + 1)) > 0.05 / len(able):
+                break
+            if bad > good and (best is None or bad - good > best[3] - best[2]):
+                best = (cuts, n, good, bad)
+        if best:
+            want[s] = best
+    assert got == want and len(want) >= 2 and "rare" not in want
+
+
 def test_binomial_bound_is_exact(spark):
     from math import comb
 
