@@ -28,6 +28,9 @@ BLOCK_WORDS = 256
 SHARD_BLOCKS = 1024
 BUCKET_BLOCKS = 2048
 SEED = "mix"
+#: Shards below the nodes of one task of the tree, and most tasks of a level.
+TASK_SHARDS = 16
+MAX_TASKS = 512
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
@@ -130,7 +133,9 @@ def shard_ranges(quotas: DataFrame, n_shards: int, seed: str = SEED) -> DataFram
     uniform = lambda lo, hi, i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), lo, hi, i)), 1, 13), 16, 10).cast("double") / 16.0**13
     for level in range(max(0, math.ceil(math.log2(max(1, n_shards))))):
         if level and level % 6 == 0:
-            nodes = stage_table(nodes.repartition("lo"), "tree")
+            # a node's subtree is work of its own; the number keeps adaptive execution from merging them into one task
+            parts = max(1, min(2**level, n_shards // TASK_SHARDS, MAX_TASKS))
+            nodes = stage_table(nodes.repartition(parts, "lo"), "tree")
         total = F.aggregate("counts", zero, lambda a, x: a + x)
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         n_left = F.floor(total * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
@@ -207,7 +212,7 @@ def mix(
     placed = placed.join(ranges, ["ix", "cell"]).filter("rank >= start and rank < start + n")
     local = Window.partitionBy("shard").orderBy(F.md5(F.concat_ws(":", F.lit("local"), "key")), "key")
     return placed.select(
-        "doc_id", "source", "digest", "copies", "epoch", "block", "words", "shard", F.row_number().over(local).alias("position")
+        "doc_id", "source", "digest", "copies", "epoch", "block", "words", "shard", F.row_number().over(local).cast("long").alias("position")
     )
 
 
@@ -224,17 +229,23 @@ def mixed_documents(docs: DataFrame, targets_of=source_targets) -> DataFrame:
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: what the mix takes of it, its source's size and target, and where it went."""
+    """Per row of `docs`: what the mix takes of it, its source's size and target, and where it went.
+
+    `blocks`, `shards` and `positions` run alike: block, shard and place in the shard of everything taken, first pass first. Copies
+    of a row are placed together, one after the other.
+    """
     sizes = stage_table(sized(docs), "sizes")
     targets = stage_table(source_targets(sizes), "targets")
     placed = mix(sizes, targets)
-    per = placed.groupBy("doc_id", "source", "digest").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_blocks"))
+    at = F.sort_array(F.collect_list(F.struct("epoch", "block", "shard", "position"))).alias("at")  # a text's own blocks, REPEATS times at most
+    per = placed.groupBy("doc_id", "source", "digest").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_blocks"), at)
     keys = ["doc_id", "source", "digest"]
     joined = sizes.join(per, same(sizes, per, keys), "left").drop(*[per[k] for k in keys])
     t = targets.select(F.col("source").alias("of"), "source_size", "target")
     joined = joined.join(t, F.col("source").eqNullSafe(F.col("of")))
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    place = lambda c: F.coalesce(F.col(f"at.{c}").cast("array<long>"), F.array().cast("array<long>")).alias(f"{c}s")
     return joined.select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
+        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), place("block"), place("shard"), place("position"),
     )

@@ -81,11 +81,18 @@ LEFT JOIN taken x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.source IS NOT
 """
 
 
-@query("op1_mix_sources", MIX_SQL)
+@query("op1_mix_sources")
 def op1_mix_sources(spark, sf_dir):
+    """What the mix takes of every document, and the shards and places it goes to, which SQL cannot draw."""
     return mix_table(read_documents(spark, sf_dir))
 
 
+@query("mix_sources_amounts", MIX_SQL)
+def mix_sources_amounts(spark, sf_dir):
+    """The amounts of the same mix."""
+    return mix_table(read_documents(spark, sf_dir)).drop("blocks", "shards", "positions")
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

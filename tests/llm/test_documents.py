@@ -478,6 +478,47 @@ def test_mix_shards_partition_the_draw(spark):
         assert sorted(r["position"] for r in placed if r["shard"] == s) == list(range(1, n + 1))
 
 
+def test_mix_returns_its_placement(spark, monkeypatch):
+    """Every document's blocks are in its row, each place of a shard is taken once, and the leaves equal a plain replay of the tree."""
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    rows = [(i, " ".join(["w"] * (200 + 37 * i % 1500)), "en", "hot" if i % 3 else f"s{i % 5}") for i in range(1, 300)]
+    docs = make_docs(spark, rows)
+    sizes = mixing.stage_table(mixing.sized(docs), "t")
+    placed = mixing.mix(sizes, mixing.source_targets(sizes), shard_blocks=4).collect()
+    where = {(r["doc_id"], r["epoch"], r["block"]): (r["shard"], r["position"]) for r in placed}
+    assert len(set(where.values())) == len(placed)
+    n_shards = len({r["shard"] for r in placed})
+    assert n_shards > 2**6, "the tree was written between levels"
+    assert n_shards == -(-len(placed) // 4)
+    got = mixing.mix_table(docs)
+    shards = mixing.mix(sizes, mixing.source_targets(sizes)).collect()
+    want = Counter((r["doc_id"], r["block"], r["shard"], r["position"]) for r in shards)
+    out = got.collect()
+    assert Counter((r["doc_id"], *x) for r in out for x in zip(r["blocks"], r["shards"], r["positions"])) == want
+    assert all(len(r["blocks"]) == len(r["shards"]) == len(r["positions"]) == r["n_blocks"] for r in out)
+    again = mixing.mix_table(docs).collect()
+    assert counted(out) == counted(again)
+
+
+def test_tree_of_very_many_sources(spark):
+    """Quotas of 3,000 sources are split over 100 shards: each source whole, each shard filled evenly."""
+    q = [(i, i % 7) for i in range(3000)]
+    leaves = mixing.shard_ranges(spark.createDataFrame(q, "ix long, q long"), 100).collect()
+    per, shard = Counter(), Counter()
+    spans = defaultdict(list)
+    for r in leaves:
+        per[r["ix"]] += r["n"]
+        shard[r["shard"]] += r["n"]
+        spans[r["ix"]].append((r["start"], r["n"]))
+    assert all(per[i] == n for i, n in q)
+    for s in spans.values():
+        at = 0
+        for start, n in sorted(s):
+            assert start == at
+            at += n
+    assert len(shard) == 100 and max(shard.values()) - min(shard.values()) <= 8
+
+
 def test_hypergeometric_draws(spark):
     from math import comb
 
