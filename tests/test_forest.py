@@ -39,7 +39,7 @@ def by_vector(x, y, w=None):
     return np.bincount(group, w * y)[group] / np.maximum(np.bincount(group, w)[group], 1e-300)
 
 
-@pytest.mark.parametrize("finish_rows", [100_000, 90, 3])
+@pytest.mark.parametrize("finish_rows", [100_000, 90, 30])
 def test_every_row_is_in_a_leaf_that_is_pure_or_of_equal_vectors(spark, sample, finish_rows):
     x, y = sample
     model = PureForestClassifier(numTrees=2, bootstrap=False, finish_rows=finish_rows).fit(vectors(spark, x, y))
