@@ -531,7 +531,7 @@ class PureForestClassifier(Estimator):
         width, model = first["w"] if first else 0, PureForestModel()
         base = positive / n if n else 0.5
         if positive in (0, n) or not width:
-            model._set(treesPath="", base=float(base), numTrees=0, numFeatures_=width)
+            model._set(base=float(base), numTrees=0, numFeatures_=width)  # nothing to save but the base
             return model
         numbered = sized(rows, n, TASK_ROWS).withColumn("row", F.monotonically_increasing_id())
         state = stage_table(packed(numbered, width), "forest-rows")

@@ -134,7 +134,7 @@ def test_trees_do_not_depend_on_the_partitions(spark, sample):
     assert all((one[k][a] == seven[k][a]).all() for k in one for a in ARRAYS)
 
 
-def test_missing_values_and_tables_without_anything_to_learn(spark):
+def test_missing_values_and_tables_without_anything_to_learn(spark, tmp_path):
     x = [[1.0, np.nan], [1.0, 2.0], [np.inf, 2.0], [-0.0, 3.0], [0.0, 3.0]]
     df = vectors(spark, x, [1, 0, 1, 0, 1])
     model = PureForestClassifier(numTrees=1, bootstrap=False).fit(df)
@@ -142,6 +142,10 @@ def test_missing_values_and_tables_without_anything_to_learn(spark):
     assert got == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.5, 4: 0.5}
     one_class = PureForestClassifier(numTrees=3).fit(vectors(spark, [[1.0], [2.0]], [1, 1]))
     assert predict(one_class, vectors(spark, [[9.0]], [0])).first()["probability"] == 1.0
+    from pyspark.ml import PipelineModel
+
+    back, _ = load_model(spark, save_model(spark, PipelineModel([one_class]), str(tmp_path / "m")))
+    assert predict(back, vectors(spark, [[9.0]], [0])).first()["probability"] == 1.0
     empty = PureForestClassifier(numTrees=3).fit(df.filter("false"))
     assert predict(empty, df).first()["probability"] == 0.5 and empty.featureImportances.toArray().sum() == 0
     with pytest.raises(ValueError):
