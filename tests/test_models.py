@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskframe import session
 from riskframe.operators import explain as X, metrics as M, models, neighbors
 from riskframe.operators.models import (
     MODEL_NAMES,
@@ -288,3 +289,14 @@ def test_jobs_delete_what_they_staged(spark, data, tmp_path):
     table, skipped = compare_job(spark, [f"file://{tmp_path}/model"], data, "target", "event_id", f"file://{tmp_path}/comparison")
     assert table.first()["model"] == "model" and not skipped
     assert set(list_paths(spark, f"{scratch_path(spark, 'x').rsplit('/', 1)[0]}/*")) <= before
+
+
+def test_large_tables_of_few_files_are_dealt(spark, monkeypatch):
+    """A table of more rows than tasks are worth still gets enough tasks, and no task too many rows."""
+    monkeypatch.setattr(session, "ENOUGH_TASKS", 4)
+    one = spark.range(100).coalesce(1)
+    assert session.sized(one, 100, 50).rdd.getNumPartitions() == 2
+    assert session.sized(one, 100, 5).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(session, "MOST_ROWS", 10)
+    assert session.sized(one, 100, 5).rdd.getNumPartitions() == 10
+    assert sorted(r["id"] for r in session.spread(one, 5).collect()) == list(range(100))
