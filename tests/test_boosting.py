@@ -193,3 +193,32 @@ def test_stored_means_are_looked_up_like_the_models_own(spark, monkeypatch):
     assert sorted(map(tuple, wide.transform(new).select(narrow.transform(new).columns).collect())) == want
     monkeypatch.setattr(lookup, "local_if_small", lambda t: t)
     assert sorted(map(tuple, wide.transform(new).select(narrow.transform(new).columns).collect())) == want
+
+
+def test_histograms_send_as_many_cells_as_there_are_bins(spark, monkeypatch):
+    """Two-valued features cost two cells each, and the sums are those of a plain count."""
+    x = np.array([[0, 5, 1], [1, 2, 0], [1, 5, 1], [0, 0, 1]], dtype=np.uint8)
+    label, margin = np.array([0.0, 1.0, 1.0, 0.0]), np.array([0.1, -0.2, 0.3, 0.0])
+    sent = []
+    monkeypatch.setattr(boosting, "sum", lambda parts: sent.append(parts[0].size) or sum(parts), raising=False)
+    state = spark.sparkContext.parallelize([(0, 4, label.tobytes(), margin.tobytes(), x.tobytes())], 1)
+    root = {"feature": np.array([-1]), "bin": np.array([0]), "left": np.array([-1]), "right": np.array([-1])}
+    got = boosting.histograms(state, 1, np.array([2, 6, 2]), root, [0], (1.0, 0))
+    p = 1 / (1 + np.exp(-margin))
+    want = np.zeros((3, 1, 3, 6))
+    for i, row in enumerate(x):
+        for f, b in enumerate(row):
+            want[:, 0, f, b] += np.rint((p[i] - label[i]) * boosting.UNIT), np.rint(p[i] * (1 - p[i]) * boosting.UNIT), 1
+    assert (got == want).all() and sent == [3 * (2 + 6 + 2)]
+
+
+def test_margins_hold_all_trees_before(spark, sample, monkeypatch):
+    """Rounds between and after the written margins go on from all trees before them."""
+    x, y = sample
+    monkeypatch.setattr(boosting, "STAGED_TREES", 2)
+    model = HistogramGBTClassifier(maxIter=4, maxDepth=3).fit(vectors(spark, x, y))
+    want = naive_rounds(x, y, 4, OPTIONS | {"maxDepth": 3})
+    scored = model.transform(vectors(spark, x, y)).select("features", "rawPrediction").collect()
+    got = {tuple(r["features"].toArray()): r["rawPrediction"][1] for r in scored}
+    for a, margin in zip(x, want[-1][0]):
+        assert got[tuple(float(v) for v in a)] == pytest.approx(margin, abs=1e-6)
