@@ -316,6 +316,39 @@ def test_neighbours_within_groups_and_cell_copies(spark):
         assert all(n["payload"] == rows[n["neighbor"]][2] for n in r["neighbors"])
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_boxes_find_what_the_grid_finds(spark, monkeypatch, p):
+    """Points on a lattice with many ties, rare groups and far queries; most leaves are never met."""
+    rng = np.random.default_rng(14)
+    points = np.round(rng.normal(size=(1500, 3)), 1)
+    points[:200, 0], points[200:300] = 7.0, points[200]
+    rows = [(i, "aab"[i % 3] if i % 400 else "c", [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "id long, c string, v array<double>")
+    far = spark.createDataFrame([(5000 + i, c, [50.0 * i, -9.0, 0.0]) for i, c in enumerate("abcd")], df.schema)
+    queries = df.filter("id % 7 = 0").unionByName(far)
+    lists = lambda: {
+        r["id"]: [(n["neighbor"], n["distance"], n["payload"]) for n in r["neighbors"]]
+        for r in neighbors.nearest_lists(queries, df, 4, "id", "id", "v", "v", p=p, exclude_self=True, by="c", payload="v").collect()
+    }
+    by_grid, used, boxed = lists(), [], neighbors._by_boxes
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
+    monkeypatch.setattr(neighbors, "_by_boxes", lambda *a: used.append(boxed(*a)) or used[-1])
+    assert lists() == by_grid and by_grid[5003] == [] and len(by_grid[5002]) == 4
+    met = used[0].groupBy("grp", "qkey").count().filter("grp <> md5('g:c')").agg(F.avg("count")).first()[0]
+    assert met < 5 * 15  # five of each leaf, of 50 leaves
+
+
+def test_scattered_points_of_many_dimensions_stay_on_the_grid(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 12)))], "id long, v array<double>")
+    columns = dict(query_id="id", base_id="id", query_vec="v", base_vec="v", exclude_self=True)
+    by_grid = sorted(knn_join(df, df, 3, **columns).collect())
+    used, boxed = [], neighbors._by_boxes
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 10)
+    monkeypatch.setattr(neighbors, "_by_boxes", lambda *a: used.append(boxed(*a)) or used[-1])
+    assert sorted(knn_join(df, df, 3, **columns).collect()) == by_grid and used == [None]
+
+
 def test_distance_vote_prefers_exact_matches(spark):
     base = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 0), (3, [3.0], 0)], "id int, v array<double>, y int")
     query = spark.createDataFrame([(10, [0.0]), (11, [2.0])], "q int, v array<double>")
