@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskframe.operators import preprocess as R, split as L
@@ -157,10 +155,8 @@ def one_hot_wide(spark, sf):
     name = F.when(F.col("p_partkey") % 13 != 0, F.format_string("part %07d", "p_partkey"))
     df = table(spark, sf, "part").select("p_partkey", name.alias("name"))
     model = R.TabularPreprocessor(numericCols=[], categoricalCols=["name"]).fit(df)
-    total = model.transform(df).agg(Summarizer.sum(F.col("features")).alias("s"))
-    names = spark.createDataFrame(list(enumerate(model.feature_names)), "pos int, feature string")
-    sums = total.select(F.posexplode(vector_to_array("s")).alias("pos", "n"))
-    return sums.join(names, "pos").select("feature", "n")
+    sums = R.column_sums(model.transform(df))
+    return model.names_table().join(sums, "pos", "left").select("feature", F.coalesce("n", F.lit(0.0)).alias("n"))
 
 
 RANKED = f"""SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('42:' || CAST(event_id AS VARCHAR))) AS rn,

@@ -562,3 +562,20 @@ def test_wide_columns_travel_with_the_saved_model(spark, monkeypatch):
     monkeypatch.setattr(R, "WIDE", 1000)
     plain = R.TabularPreprocessor(numericCols=[], categoricalCols=["c", "b"]).fit(df)
     assert [r["features"].toArray().tolist() for r in plain.transform(df).orderBy("id").collect()] == want
+
+
+def test_wide_columns_are_named_and_summed_as_tables(spark, monkeypatch):
+    """More columns than the driver may hold: names and sums stay rows, dense and sparse vectors alike."""
+    rows = [(i, float(i), "ab"[i % 2] if i % 5 else None, f"v{i % 30:02d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, kind string, name string")
+    narrow = R.TabularPreprocessor(numericCols=["x"], categoricalCols=["kind", "name"]).fit(df)
+    monkeypatch.setattr(R, "WIDE", 5)
+    monkeypatch.setattr("riskframe.session.DRIVER_ROWS", 10)
+    wide = R.TabularPreprocessor(numericCols=["x"], categoricalCols=["kind", "name"]).fit(df)
+    want = {r["pos"]: r["feature"] for r in narrow.names_table().collect()}
+    assert list(dict(sorted(want.items())).values()) == narrow.feature_names
+    assert {r["pos"]: r["feature"] for r in wide.names_table().collect()} == want
+    total = np.array(narrow.transform(df).agg(Summarizer.sum(F.col("features")).alias("s")).first()["s"])
+    for model in (narrow, wide):
+        found = {r["pos"]: r["n"] for r in R.column_sums(model.transform(df)).collect()}
+        assert [found.get(i, 0.0) for i in range(len(want))] == pytest.approx(total.tolist())
