@@ -349,6 +349,26 @@ def test_scattered_points_of_many_dimensions_stay_on_the_grid(spark, monkeypatch
     assert sorted(knn_join(df, df, 3, **columns).collect()) == by_grid and used == [None]
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """Small blocks of a large table would copy every row once per block; their number is bounded while memory allows."""
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 2)))], "id long, v array<double>")
+    grids, stage = [], neighbors.stage_table
+    monkeypatch.setattr(neighbors, "stage_table", lambda t, name: (grids.append(stage(t, name)) or grids[-1]) if name == "knn-grid" else stage(t, name))
+    columns = dict(query_id="id", base_id="id", query_vec="v", base_vec="v", exclude_self=True)
+    wide = sorted(knn_join(df, df, 3, **columns).collect())
+    assert sorted(knn_join(df, df, 3, **columns, block_bytes=2 * 16).collect()) == wide
+    assert [(r["nb"], r["nq"]) for r in grids[1].collect()] == [(31, 31)]  # 13 rows each, not 2
+
+
+def test_close_pairs_by_stretches():
+    rng = np.random.default_rng(17)
+    points, q = np.round(rng.normal(size=(2000, 3)), 1), np.round(rng.normal(size=(50, 3)), 1)
+    qi, bi, dist = neighbors._k_nearest(q, points, 4, 2)
+    d = np.sqrt(((q[:, None] - points) ** 2).sum(axis=2))
+    assert bi.reshape(50, 4).tolist() == [np.lexsort((np.arange(2000), row))[:4].tolist() for row in d]
+
+
 def test_distance_vote_prefers_exact_matches(spark):
     base = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 0), (3, [3.0], 0)], "id int, v array<double>, y int")
     query = spark.createDataFrame([(10, [0.0]), (11, [2.0])], "q int, v array<double>")
