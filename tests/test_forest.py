@@ -156,3 +156,27 @@ def test_the_preset_has_no_depth_limit():
     assert isinstance(make_classifier("random_forest"), PureForestClassifier)
     assert isinstance(make_classifier("random_forest", maxDepth=35), PureForestClassifier)
     assert make_classifier("random_forest", maxDepth=8).getMaxDepth() == 8
+
+
+def test_equal_rows_are_counted_once_without_bags(spark, sample, monkeypatch):
+    """A table of few distinct vectors is passed as those: the same trees, whatever the number of rows."""
+    rng = np.random.default_rng(9)
+    x = np.c_[rng.integers(0, 6, 6000), rng.integers(0, 5, 6000), rng.integers(0, 3, 6000)].astype(float)
+    x[:10, 1] = np.nan
+    y = (rng.random(6000) < x[:, 0] / 6).astype(int)
+    blocks = []
+
+    def keep(df, name):
+        if name == "forest-rows":
+            blocks.append(df.groupBy().sum("n").first()[0])
+        return stage(df, name)
+
+    stage = forest.stage_table
+    monkeypatch.setattr(forest, "stage_table", keep)
+    fit = lambda: trees_of(spark, PureForestClassifier(numTrees=2, bootstrap=False, finish_rows=500).fit(vectors(spark, x, y)))
+    few = fit()
+    monkeypatch.setattr(forest, "FEW_VECTORS", 10**9, raising=False)
+    every = fit()
+    assert blocks[1] == 6000 and blocks[0] <= 2 * 93
+    assert few.keys() == every.keys() and len(few) > 4
+    assert all((few[k][a] == every[k][a]).all() for k in few for a in ARRAYS)
