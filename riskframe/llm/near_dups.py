@@ -19,7 +19,8 @@ register with a probability close to their Jaccard similarity.
 4. The exact rest: in a bucket that still holds several components, every class outside the bucket's largest
    component meets every class of another component, in blocks of bounded size. Pairs whose distances to a
    common leader differ by more than the threshold allows cannot be similar (Jaccard distance is a metric);
-   a pair is judged in the first band it shares; survivors of the estimate are verified.
+   a pair is judged in the first band it shares; survivors of the estimate are verified, cell by cell: a text goes
+   to a cell once and its set is made once there, so many undecided pairs of a group bring no copies of its texts.
    So a group of many copies costs a row per member, and no link between different sets is lost.
 
 Components come from alternating star contractions on DataFrames, written out round by round.
@@ -311,7 +312,26 @@ def _cells(threshold: float):
             right.append(other)
         left, right = (np.concatenate(x).astype("i8") if x else np.zeros(0, "i8") for x in (left, right))
         nodes = table["node"].combine_chunks()
-        return pa.table({"a": nodes.take(pa.array(left)), "b": nodes.take(pa.array(right))})
+        cell = xxhash.xxh3_64_intdigest(repr((key, table["i"][0].as_py(), table["j"][0].as_py()))) - (1 << 63)
+        return pa.table({"a": nodes.take(pa.array(left)), "b": nodes.take(pa.array(right)), "cell": pa.array(np.full(len(left), cell))})
+
+    return run
+
+
+def _cell_verified(size: int, percent: int):
+    """One cell's texts and its pairs: the pairs whose full sets are similar enough. A text's set is made once."""
+
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        at = {(n["doc"], n["high"]): i for i, n in enumerate(texts["node"].to_pylist())}
+        sets = []
+        for _, part in _chunks(texts["text"]):
+            sets += shingle_sets(part, size)
+        similar = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = (sets[at[n["doc"], n["high"]]] for n in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            similar.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
     return run
 
@@ -350,6 +370,13 @@ class _Links:
         types = f"a {NODE}, b {NODE}, similar boolean, apart double"
         return stage_text(p.select("a", "b", "text_a", "text_b").mapInArrow(run, types), "judged")
 
+    def similar_in_cells(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the similar pairs of (a, b, cell): a text goes to its cells once, however many pairs it has there."""
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("cell").alias("place")).distinct()
+        texts = need.join(self.texts(pairs), "node").select("place", "node", "text")
+        found = texts.groupBy("place").cogroup(pairs.groupBy("cell")).applyInArrow(_cell_verified(self.size, self.percent), f"a {NODE}, b {NODE}")
+        return stage_text(found, "similar")
+
     def judged_best(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Each class's leader with the most shared bands, the smallest on a tie: these pairs, and their judgement."""
         best = F.min(F.struct((-F.col("shared")).alias("fewest"), F.col("a")))
@@ -416,13 +443,14 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     as_member = m.withColumn("i", F.pmod(own, blocks)).withColumn("j", F.explode(F.sequence(zero, rest_blocks - 1))).withColumn("rest", F.lit(False))
     as_rest = m.filter("lab <> main").withColumn("j", F.pmod(own, rest_blocks)).withColumn("i", F.explode(F.sequence(zero, blocks - 1))).withColumn("rest", F.lit(True))
     cells = as_member.unionByName(as_rest).select("key", "i", "j", "node", "lab", "n", "regs", "leader", "apart", "rest")
-    more = cells.groupBy("key", "i", "j").applyInArrow(_cells(percent / 100), f"a {NODE}, b {NODE}")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cells.groupBy("key", "i", "j").applyInArrow(_cells(percent / 100), f"a {NODE}, b {NODE}, cell long")
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cell")
     apart = pairs.filter("two").select("a", "b").join(best, ["a", "b"], "left_anti")
     apart = _labelled(_labelled(apart, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
-    apart = find.likely(apart).select("a", "b")
-    more = stage_table(more.unionByName(apart).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    return links.unionByName(find.judged(more).filter("similar").select("a", "b"))
+    apart = find.likely(apart).select("a", "b", F.xxhash64("a.doc", "a.high", "b.doc", "b.high").alias("cell"))
+    more = more.unionByName(apart).groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    more = stage_table(more.join(tried, ["a", "b"], "left_anti"), "more")
+    return links.unionByName(find.similar_in_cells(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -610,3 +610,30 @@ def test_empty_tables(spark, run):
 def test_quality_of_an_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(make_docs(spark, []), labels).collect() == []
+
+
+def test_pairs_of_a_cell_are_judged_from_one_copy_of_each_text(spark, monkeypatch):
+    """Many undecided pairs of a group: a text goes to a cell once, not once a pair."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for j in rng.choice(60, int(rng.integers(1, 6)), replace=False):
+            w[j] = f"own{i}-{j}"
+        rows.append((i, " ".join(w)))
+    docs = make_docs(spark, rows, clashes=False)
+    t = near_dups.sketches(docs, 2).selectExpr("struct(doc_id as doc, high) as node", "own", "n", "regs").localCheckpoint()
+    pairs = t.selectExpr("node as a").crossJoin(t.selectExpr("node as b")).filter("a.doc < b.doc").selectExpr("a", "b", "a.doc % 2 as cell")
+    seen, stage = [], near_dups.stage_text
+
+    def keep(df, name, **options):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df, name, **options)
+
+    monkeypatch.setattr(near_dups, "stage_text", keep)
+    got = {(r["a"]["doc"], r["b"]["doc"]) for r in near_dups._Links(docs, t, 2, 80).similar_in_cells(pairs.localCheckpoint()).collect()}
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert got == want and 0 < len(want) < 435
+    assert "CoGroup" in seen[-1] and "text_a" not in seen[-1]
