@@ -20,8 +20,9 @@ register with a probability close to their Jaccard similarity.
    component meets every class of another component, in blocks of bounded size. Pairs whose distances to a
    common leader differ by more than the threshold allows cannot be similar (Jaccard distance is a metric);
    a pair is judged in the first band it shares; survivors of the estimate are verified, cell by cell: a text goes
-   to a cell once and its set is made once there, so many undecided pairs of a group bring no copies of its texts.
-   So a group of many copies costs a row per member, and no link between different sets is lost.
+   to a cell once and its set is made once there. Between cells pass a class's text and its partners' places, a row per
+   class, never a row per pair; links inside what is connected by then are not looked for.
+   So a group of many copies costs a row per member and cell, and no component changes.
 
 Components come from alternating star contractions on DataFrames, written out round by round.
 
@@ -286,34 +287,99 @@ def connected(edges: DataFrame) -> DataFrame:
         e = stage_table(small.filter("u <> v").distinct(), "small_star")
 
 
+ASKED = f"cell long, at int, node {NODE}, lab long, others binary"
+
+
 def _cells(threshold: float):
-    """One cell of a bucket: its block of classes against its block of the rest."""
+    """One cell of a bucket, its block of classes against its block of the rest: a row per class with an undecided pair.
+
+    `at` is the class's place in the cell, `others` the places (int32) it is to be compared with.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rest, key = table["rest"].to_numpy(), table["key"][0].as_py()
+        rest, key, out = table["rest"].to_numpy(), table["key"][0].as_py(), table["out"].to_numpy()
         k = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(table), REGISTERS)
         label, n = table["lab"].to_numpy(), table["n"].to_numpy().astype("f8")
         leader, apart = table["leader"].to_numpy(), table["apart"].to_numpy()
+        nodes = table["node"].combine_chunks()
+        ids = np.stack([nodes.field(c).to_numpy() for c in ("doc", "high")], axis=1)
+        # a class of both blocks has one place; places ascend with the nodes
+        _, head, place = np.unique(ids, axis=0, return_index=True, return_inverse=True)
+        place = place.ravel()
         bands = k[:, : BANDS * ROWS].reshape(len(k), BANDS, ROWS)
         mine = int(np.flatnonzero(band_keys(k[:1])[0] == key)[0])
         at = np.arange(len(table))
         theirs = at[~rest]
-        left, right = [], []
+        others: dict[int, bytes] = {}
+        met = np.zeros(len(head), dtype=bool)
         for i in at[rest].tolist():
             # distances to a common leader bound the distance between the two
             far = (leader[theirs] == leader[i]) & (np.abs(apart[theirs] - apart[i]) > 1 - threshold + 1e-9)
-            other = theirs[(label[theirs] != label[i]) & ~far]
+            # two classes of the rest meet in both orders, and are judged in one
+            other = theirs[(label[theirs] != label[i]) & ~far & (~out[theirs] | (place[theirs] > place[i]))]
             # a pair that shares an earlier band is judged there
             other = other[~(bands[other, :mine] == bands[i, :mine]).all(axis=2).any(axis=1)]
             if len(other):
                 near = estimate(k[other], np.broadcast_to(k[i], (len(other), REGISTERS)), n[other], np.full(len(other), n[i]))
-                other = other[near >= threshold - MARGIN]
-            left.append(np.full(len(other), i))
-            right.append(other)
-        left, right = (np.concatenate(x).astype("i8") if x else np.zeros(0, "i8") for x in (left, right))
-        nodes = table["node"].combine_chunks()
+                other = place[other[near >= threshold - MARGIN]]
+            if len(other):
+                others[place[i]] = other.astype(np.int32).tobytes()
+                met[other] = met[place[i]] = True
         cell = xxhash.xxh3_64_intdigest(repr((key, table["i"][0].as_py(), table["j"][0].as_py()))) - (1 << 63)
-        return pa.table({"a": nodes.take(pa.array(left)), "b": nodes.take(pa.array(right)), "cell": pa.array(np.full(len(left), cell))})
+        used = np.flatnonzero(met)
+        columns = {
+            "cell": pa.array(np.full(len(used), cell, dtype=np.int64)),
+            "at": pa.array(used, pa.int32()),
+            "node": nodes.take(pa.array(head[used])),
+            "lab": pa.array(label[head[used]]),
+            "others": pa.array([others.get(u, b"") for u in used.tolist()], pa.binary()),
+        }
+        return pa.table(columns)
+
+    return run
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        x = parent[x]
+    return x
+
+
+def _cell_linked(size: int, percent: int):
+    """One cell's classes with their texts: links between full sets that are similar enough.
+
+    Links that join what is already connected, by its label or by links of this cell, are neither looked for nor returned.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = []
+        for _, part in _chunks(table["text"]):
+            sets += shingle_sets(part, size)
+        many = np.array([len(s) for s in sets])
+        row = {p: i for i, p in enumerate(table["at"].to_pylist())}
+        label = table["lab"].to_pylist()
+        parent: dict[int, int] = {}
+        left, right = [], []
+        for i, others in enumerate(table["others"].to_pylist()):
+            mine = _root(parent, label[i])
+            rows = [row[p] for p in np.frombuffer(others, np.int32).tolist()]
+            rows = np.array([j for j in rows if _root(parent, label[j]) != mine], dtype=np.int64)
+            # about CHUNK shingles at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(many[rows]) // CHUNK)) + 1
+            for part in np.split(rows, cuts):
+                if not len(part):
+                    continue
+                x = np.concatenate([sets[j] for j in part.tolist()])
+                found = sets[i][np.minimum(np.searchsorted(sets[i], x), many[i] - 1)] == x
+                both = np.add.reduceat(found, np.cumsum(many[part]) - many[part], dtype=np.int64)
+                for j in part[100 * both >= percent * (many[i] + many[part] - both)].tolist():
+                    one, two = _root(parent, label[i]), _root(parent, label[j])
+                    if one != two:
+                        parent[max(one, two)] = min(one, two)
+                        left.append(i)
+                        right.append(j)
+        nodes = table["node"].combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(left, pa.int64())), "b": nodes.take(pa.array(right, pa.int64()))})
 
     return run
 
@@ -351,9 +417,8 @@ class _Links:
         p = p.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_similar(self.threshold), f"a {NODE}, b {NODE}, near double")
         return stage_table(p, "likely")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """The texts of the classes in `pairs`, written once: node, text."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts(self, need: DataFrame) -> DataFrame:
+        """The texts of the classes in `need`, written once: node, text."""
         need = stage_table(need.join(self.classes.select("node", "own"), "node"), "needed")
         if need.count() <= NEEDED_ROWS:
             need = F.broadcast(need)
@@ -363,7 +428,7 @@ class _Links:
 
     def judged(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similar, apart) of every pair, from the full sets."""
-        texts = self.texts(pairs)
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         p = p.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         run = _verified(self.size, self.percent)
@@ -373,10 +438,15 @@ class _Links:
     def similar_in_cells(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the similar pairs of (a, b, cell): a text goes to its cells once, however many pairs it has there."""
         need = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("cell").alias("place")).distinct()
-        texts = need.join(self.texts(pairs), "node").select("place", "node", "text")
+        texts = need.join(self.texts(need.select("node").distinct()), "node").select("place", "node", "text")
         found = texts.groupBy("place").cogroup(pairs.groupBy("cell")).applyInArrow(_cell_verified(self.size, self.percent), f"a {NODE}, b {NODE}")
         return stage_text(found, "similar")
 
+    def linked_in_cells(self, asked: DataFrame) -> DataFrame:
+        """Links (a, b) among the undecided pairs of cells (ASKED): a text goes to its cells once, however many pairs it has there."""
+        rows = asked.join(self.texts(asked.select("node").distinct()), "node").select("cell", "at", "node", "lab", "others", "text")
+        return stage_text(rows.groupBy("cell").applyInArrow(_cell_linked(self.size, self.percent), f"a {NODE}, b {NODE}"), "linked")
+
     def judged_best(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Each class's leader with the most shared bands, the smallest on a tie: these pairs, and their judgement."""
         best = F.min(F.struct((-F.col("shared")).alias("fewest"), F.col("a")))
@@ -440,17 +510,17 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     m = inside.join(open_keys, "key").join(stage_table(known, "known"), "node")
     blocks, rest_blocks = F.ceil(F.col("all") / BLOCK), F.ceil((F.col("all") - F.col("most")) / BLOCK)
     zero = F.lit(0).cast("long")
+    m = m.withColumn("out", F.col("lab") != F.col("main"))
     as_member = m.withColumn("i", F.pmod(own, blocks)).withColumn("j", F.explode(F.sequence(zero, rest_blocks - 1))).withColumn("rest", F.lit(False))
-    as_rest = m.filter("lab <> main").withColumn("j", F.pmod(own, rest_blocks)).withColumn("i", F.explode(F.sequence(zero, blocks - 1))).withColumn("rest", F.lit(True))
-    cells = as_member.unionByName(as_rest).select("key", "i", "j", "node", "lab", "n", "regs", "leader", "apart", "rest")
-    more = cells.groupBy("key", "i", "j").applyInArrow(_cells(percent / 100), f"a {NODE}, b {NODE}, cell long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cell")
+    as_rest = m.filter("out").withColumn("j", F.pmod(own, rest_blocks)).withColumn("i", F.explode(F.sequence(zero, blocks - 1))).withColumn("rest", F.lit(True))
+    cells = as_member.unionByName(as_rest).select("key", "i", "j", "node", "lab", "n", "regs", "leader", "apart", "rest", "out")
+    asked = stage_table(cells.groupBy("key", "i", "j").applyInArrow(_cells(percent / 100), ASKED), "asked")
+    links = links.unionByName(find.linked_in_cells(asked))
     apart = pairs.filter("two").select("a", "b").join(best, ["a", "b"], "left_anti")
     apart = _labelled(_labelled(apart, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
-    apart = find.likely(apart).select("a", "b", F.xxhash64("a.doc", "a.high", "b.doc", "b.high").alias("cell"))
-    more = more.unionByName(apart).groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    more = stage_table(more.join(tried, ["a", "b"], "left_anti"), "more")
-    return links.unionByName(find.similar_in_cells(more))
+    # a class has at most a pair per band here
+    apart = find.likely(apart).select("a", "b", F.xxhash64("a.doc", "a.high").alias("cell"))
+    return links.unionByName(find.similar_in_cells(apart))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

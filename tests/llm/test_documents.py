@@ -637,3 +637,31 @@ def test_pairs_of_a_cell_are_judged_from_one_copy_of_each_text(spark, monkeypatc
     want = {(i, j) for i in range(30) for j in range(i + 1, 30) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert got == want and 0 < len(want) < 435
     assert "CoGroup" in seen[-1] and "text_a" not in seen[-1]
+
+
+def test_undecided_pairs_of_a_large_group_pass_no_row_a_pair(spark, monkeypatch):
+    """Classes just below the threshold of each other: at most a row per class and bucket is written, not one per pair."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for j in rng.choice(100, 5 if i % 40 else 1, replace=False):
+            w[j] = f"own{i}-{j}"
+        rows.append((i, " ".join(w)))
+    counts, stages = {}, {name: getattr(near_dups, name) for name in ("stage_table", "stage_text")}
+
+    def counting(stage):
+        def run(df, name="stage", **options):
+            out = stage(df, name, **options)
+            counts[name] = max(counts.get(name, 0), out.count())
+            return out
+
+        return run
+
+    for name, stage in stages.items():
+        monkeypatch.setattr(near_dups, name, counting(stage))
+    got = rows_of(near_dups.near_duplicates(make_docs(spark, rows), 2).drop("own"))
+    assert counted(got) == counted(near_brute(rows, 2, 80))
+    assert 10 < len({r[2] for r in got}) < 240
+    assert max(counts.values()) <= counts["members"], counts
