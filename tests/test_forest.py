@@ -180,3 +180,24 @@ def test_equal_rows_are_counted_once_without_bags(spark, sample, monkeypatch):
     assert blocks[1] == 6000 and blocks[0] <= 2 * 93
     assert few.keys() == every.keys() and len(few) > 4
     assert all((few[k][a] == every[k][a]).all() for k in few for a in ARRAYS)
+
+
+def test_a_scoring_pass_goes_through_the_trees_of_its_chunk_only(spark, sample, monkeypatch):
+    """Many chunks: every subtree is met once, beside the upper trees of its chunk and no others."""
+    x, y = sample
+    df = vectors(spark, x, y)
+    model = PureForestClassifier(numTrees=6, finish_rows=300).fit(df)
+    one = {r["id"]: r["probability"] for r in predict(model, df).collect()}
+    passes, votes = [], PureForestModel._votes
+
+    def keep(self, spark, upper, chunk):
+        passes.append(({r["tree"] for r in upper}, [(r["tree"], r["part"]) for r in chunk.select("tree", "part").collect()]))
+        return votes(self, spark, upper, chunk)
+
+    monkeypatch.setattr(PureForestModel, "_votes", keep)
+    monkeypatch.setattr(forest, "SCORE_BYTES", 12_000)
+    assert {r["id"]: r["probability"] for r in predict(model, df).collect()} == pytest.approx(one, abs=1e-12)
+    met = [p for upper, parts in passes[1:] for p in parts]
+    assert sorted(met) == sorted((r["tree"], r["part"]) for r in model.subtrees(spark).filter("part >= 0").collect())
+    assert len(passes) > 3 and all({t for t, _ in parts} <= upper for upper, parts in passes[1:])
+    assert sum(len(upper) for upper, _ in passes) <= 6 + len(passes)
