@@ -421,6 +421,80 @@ def test_language_model_counts_and_held_out_gain(spark, odd_rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def _alone(net, docs):
+    """The network after one pass over `docs`, window by window, a step on all weights each; and the windows."""
+    lm = language_model
+    target, _, lengths = lm._streams(docs, lm.LANES)
+    inputs = np.vstack([np.full((1, target.shape[1]), lm.END), np.maximum(target[:-1], lm.END)])
+    w, seen, h, windows = net.data.copy(), np.full_like(net.data, 1e-2), np.zeros((target.shape[1], lm.HIDDEN), np.float32), 0
+    for t in range(0, len(target), lm.WINDOW):
+        goal = target[t : t + lm.WINDOW]
+        g, h, _ = lm.gradient(lm.Network(net.classes, w, net.width), h, inputs[t : t + lm.WINDOW], goal)
+        step = np.clip(g.data / np.sqrt(max(1, (goal >= 0).sum())), -1, 1)
+        seen += step * step
+        w -= lm.RATE * step / np.sqrt(seen)
+        windows += 1
+    return w, windows
+
+
+def _shards(rng, sizes, words=200):
+    return [[np.r_[rng.integers(1, words, n), language_model.END].astype(np.int32) for n in rng.integers(0, 90, size)] for size in sizes]
+
+
+def test_networks_side_by_side_are_trained_as_if_alone(monkeypatch):
+    rng = np.random.default_rng(12)
+    start = language_model.initial(rng.integers(1, 50, 200).astype(float))
+    docs = _shards(rng, (300, 3, 90))
+    docs[2].append(np.r_[rng.integers(1, 200, 300), language_model.END].astype(np.int32))
+    nets = [language_model.Network(start.classes, start.data.copy(), start.width) for _ in docs]
+    seen = [language_model.Network(start.classes, np.full_like(start.data, 1e-2), start.width) for _ in docs]
+    steps, gradient = [], language_model.stacked_gradient
+    alone = [_alone(start, d) for d in docs]
+    monkeypatch.setattr(language_model, "stacked_gradient", lambda *a: steps.append(len(a[1])) or gradient(*a))
+    language_model.train(nets, seen, docs)
+    for net, (want, _) in zip(nets, alone):
+        assert np.abs(want - start.data).max() > 0.1 and np.abs(net.data - want).max() < 1e-4
+    # a window is one step of all networks that still have documents
+    windows = [n for _, n in alone]
+    assert len(steps) == max(windows) < sum(windows) == sum(steps)
+
+
+@pytest.mark.parametrize("chunk", [10**6, 400])
+def test_a_task_trains_every_shard_on_all_its_documents(monkeypatch, chunk):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    start = language_model.initial(rng.integers(1, 50, 200).astype(float))
+    docs = _shards(rng, (40, 1, 7, 25, 60, 12, 90))
+    rows = [(s * 3, d.tobytes()) for s, shard in enumerate(docs) for d in shard]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int64()), pa.array([d for _, d in part], pa.binary())], names=["shard", "tokens"])
+        for part in (rows[i : i + 11] for i in range(0, len(rows), 11))
+    ]
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", chunk)
+
+    def trained(together):
+        monkeypatch.setattr(language_model, "TOGETHER", together)
+        out = pa.Table.from_batches(language_model._trainer(SimpleNamespace(value=start.data), start.classes, start.width)(iter(batches)))
+        return out["shard"].to_pylist(), out["n"].to_pylist(), [np.frombuffer(w, np.float32) for w in out["weights"].to_pylist()]
+
+    shards, n, alone = trained(1)
+    assert shards == [0, 3, 6, 9, 12, 15, 18] and n == [sum(map(len, d)) for d in docs]
+    again = trained(3)
+    assert again[:2] == (shards, n) and max(np.abs(a - b).max() for a, b in zip(alone, again[2])) < 1e-4
+    if chunk > 400:
+        assert max(np.abs(a - _alone(start, d)[0]).max() for a, d in zip(alone, docs)) < 1e-4
+
+
+def test_large_and_small_sums_of_the_softmax():
+    x = np.array([[0, 200, -300], [-90, -95, -92], [1, 2, 3]], np.float32)
+    goal = np.array([0, 1, 2])
+    want = np.log(np.exp(x.astype(float) - x.max(axis=1, keepdims=True)).sum(axis=1)) - (x[np.arange(3), goal] - x.max(axis=1))
+    assert np.allclose(language_model._exponentials(x.copy(), goal)[0], want, rtol=1e-5)
+
+
 def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 50, 4))) for i in range(2600)]
