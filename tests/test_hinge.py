@@ -20,7 +20,7 @@ def rows(spark):
     return table.select("label", array_to_vector("x").alias("features")).repartition(3).persist()
 
 
-@pytest.mark.parametrize("kernel", ["rbf"])
+@pytest.mark.parametrize("kernel", ["rbf", "poly"])
 def test_machines_are_those_of_spark(spark, rows, kernel, monkeypatch):
     """Every margin model equals Spark's, fold by fold; scans are as many as the longest fit's evaluations."""
     asked, fitted = [], []
