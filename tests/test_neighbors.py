@@ -63,3 +63,22 @@ def test_single_precision_loses_no_pair(scale, shift, n):
     want = np.argsort(far, axis=1, kind="stable")[:, :4]
     assert (bi.reshape(len(q), -1) == want).all()
     assert (distance == far[qi, bi]).all()
+
+
+def test_groups_by_boxes_are_exact(spark, monkeypatch):
+    """Neighbours within a class, one of them so rare that most leaves have too few of its points, by boxes as by brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1_500, 3))
+    label = (np.arange(1_500) % 40 == 0).astype(int)
+    for name, value in {"LEAF_ROWS": 16, "LEAST_LEAVES": 4, "LARGEST_SHARE": 1.0}.items():
+        monkeypatch.setattr(N, name, value)
+    taken, by_boxes = [], N._by_boxes
+    monkeypatch.setattr(N, "_by_boxes", lambda *a: taken.append(by_boxes(*a)) or taken[-1])
+    rows = [(i, int(y), v.tolist()) for i, (y, v) in enumerate(zip(label, x))]
+    table = spark.createDataFrame(rows, "id long, y int, v array<double>")
+    found = N.nearest_lists(table, table, 4, "id", "id", "v", "v", exclude_self=True, by="y").collect()
+    assert taken[0] is not None and len(found) == 1_500
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.where(label[:, None] != label[None], np.inf, 0)
+    np.fill_diagonal(far, np.inf)
+    for r in found:
+        assert [s["neighbor"] for s in r["neighbors"]] == np.argsort(far[r["id"]], kind="stable")[:4].tolist()
