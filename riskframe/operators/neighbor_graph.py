@@ -96,7 +96,8 @@ def _introductions(counter):
         if not found:
             return _pairs(*[np.zeros(0)] * 3)
         a, b = (np.concatenate(x) for x in zip(*found))
-        _, first = np.unique(np.stack([ids[a], ids[b]]), axis=1, return_index=True)  # introduced by several
+        known, code = np.unique(ids, return_inverse=True)
+        _, first = np.unique(code[a] * len(known) + code[b], return_index=True)  # introduced by several
         a, b = a[first], b[first]
         distance = _exact(v[a], v[b])
         kept = distance <= worst[a]
