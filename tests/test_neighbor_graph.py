@@ -1,9 +1,11 @@
 """The neighbour graph by descent against the exact join."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators import neighbor_graph as graph
 from riskframe.operators.neighbor_graph import neighbor_graph
 from riskframe.operators.neighbors import knn_join
 
@@ -51,3 +53,22 @@ def test_copies_hubs_and_small_tables(spark):
     assert sorted(map(tuple, two)) == [(1, 1, 2, 3.0), (2, 1, 1, 3.0)]
     with pytest.raises(Exception):
         neighbor_graph(df, 3, "nope", "v").collect()
+
+
+def test_pairs_introduced_by_several_are_offered_once(monkeypatch):
+    """They are told apart by one number a pair; sorting them as rows of a matrix took most of a block's time."""
+    unique = np.unique
+    monkeypatch.setattr(graph.np, "unique", lambda a, **k: unique(a, **k) if np.ndim(a) == 1 and "axis" not in k else pytest.fail("pairs sorted as rows"))
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 6))
+    ids = np.concatenate([rng.choice(40, 12, replace=False) for _ in range(8)])
+    fresh = rng.random(len(ids)) < 0.5
+    via = np.repeat(np.arange(8), 12)
+    table = pa.table({"via": via, "id": ids * 7 - 90, "v": pa.array(list(v[ids])), "worst": np.full(len(ids), 3.0), "fresh": fresh})
+    out = graph._introductions(None)(table)
+    want = set()
+    for n in range(8):
+        own = np.flatnonzero(via == n)
+        want |= {(ids[i] * 7 - 90, ids[j] * 7 - 90) for i in own for j in own if i != j and (fresh[i] or fresh[j]) and np.linalg.norm(v[ids[i]] - v[ids[j]]) <= 3}
+    got = list(zip(out["id"].to_pylist(), out["neighbor"].to_pylist()))
+    assert len(got) == len(set(got)) and set(got) == want
